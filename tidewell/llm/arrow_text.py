@@ -38,9 +38,9 @@ FOLD[65:91] += 32
 #: Byte classes; 0 separates. Bytes of multi-byte characters are always inside words.
 SPACED = _table(b"\x20\x09\x0a\x0b\x0c\x0d", 0, np.ones(256, np.uint8))
 ALNUM = _table(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]), 0, np.ones(256, np.uint8))
-WORD_PUNCT = _table(b"_", 1, _table(bytes(range(0x21, 0x80)), 2, np.where(ALNUM == 1, 1, 0).astype(np.uint8)))
-WORD_PUNCT[(ALNUM == 1)] = 1
-WORD_PUNCT[0x7F] = 0
+WORD_PUNCT = _table(bytes(range(0x21, 0x7F)), 2, np.zeros(256, np.uint8))
+WORD_PUNCT[ALNUM == 1] = 1
+WORD_PUNCT[ord("_")] = 1
 
 _BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULT)) | np.uint64(1)
 _POWERS: dict[str, np.ndarray] = {}

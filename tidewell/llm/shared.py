@@ -70,22 +70,20 @@ def hash_unit(*cols: Column) -> Column:
 def best_cut(scores: list[float], positive: list[bool]) -> float | None:
     """The cut that best parts high-scoring positives from the rest.
 
-    Largest true-positive minus false-positive rate; of equally good cuts the middle of
-    the widest gap. None if one of the two classes is empty.
+    Fewest rows on the wrong side; of equally good cuts the middle of the widest gap.
+    None if one of the two classes is empty.
     """
-    total_p = sum(positive)
-    total_n = len(positive) - total_p
-    if not total_p or not total_n:
+    if not any(positive) or all(positive):
         return None
     ranked = sorted(zip(scores, positive, strict=True), reverse=True)
     hits = misses = 0
-    best, found = (-1.0, 0.0), ranked[0][0]
+    best, found = (-len(ranked), 0.0), ranked[0][0]
     for i, (score, good) in enumerate(ranked):
         hits, misses = hits + good, misses + (not good)
         below = ranked[i + 1][0] if i + 1 < len(ranked) else score
         if below == score and i + 1 < len(ranked):
             continue
-        merit = (round(hits / total_p - misses / total_n, 9), score - below)
+        merit = (hits - misses, score - below)
         if merit > best:
             best, found = merit, (score + below) / 2
     return found
