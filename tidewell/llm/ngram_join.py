@@ -33,6 +33,8 @@ WORDS = 5
 CHUNK_BYTES = 24 << 20
 #: Distinct sets in one local group; a cluster of more has several groups, linked to each other.
 MOST_MEMBERS = 32
+#: Sets in a block of similar groups, about: what is opened together once links to hubs are known.
+BLOCK_SETS = 64
 #: Largest table of frequent tokens that is sent to the tasks; beyond it the rarer ones of them
 #: are ordered as if they were rare, which costs time and loses no link.
 MOST_FREQUENT = 1 << 20
@@ -247,62 +249,104 @@ def _matrix_rows(frequent: np.ndarray, grades: np.ndarray):
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of group pairs (a, b, texts of a, texts of b), those with a linked pair of members."""
+    """Of block pairs with their members (gid, comp, text), links (a, b) between gids that join different components.
+
+    A link that the links found before it already imply is left out.
+    """
     for batch in batches:
-        hit = np.zeros(batch.num_rows, bool)
         sides = []
-        for name in ("texts_a", "texts_b"):
+        for name in ("members_a", "members_b"):
             lists = batch.column(name)
             at = lists.offsets.to_numpy().astype(np.int64)
-            texts = lists.values[int(at[0]) : int(at[-1])] if batch.num_rows else lists.values[:0]
+            flat = lists.values.slice(int(at[0]), int(at[-1] - at[0]))
             sets = []
-            for _, _, raw, offsets in slices(texts):
+            for _, _, raw, offsets in slices(flat.field("text")):
                 tokens, inner = shingle_sets(raw, offsets, WORDS)
                 sets += [tokens[inner[i] : inner[i + 1]] for i in range(len(inner) - 1)]
-            sides.append((sets, at - at[0]))
-        (left, la), (right, ra) = sides
-        for i in range(batch.num_rows):
-            theirs = right[ra[i] : ra[i + 1]]
-            union = theirs[0] if len(theirs) == 1 else np.unique(np.concatenate(theirs)) if theirs else np.empty(0, np.uint64)
-            for own in left[la[i] : la[i + 1]]:
-                at_union = np.minimum(np.searchsorted(union, own), max(len(union) - 1, 0))
-                if not len(union) or np.count_nonzero(union[at_union] == own) < overlap_needed(len(own)):
+            rows = list(zip(flat.field("gid").to_pylist(), flat.field("comp").to_pylist(), sets, strict=True))
+            sides.append([_once(rows[i:j]) for i, j in zip(at - at[0], at[1:] - at[0], strict=False)])
+        found: list[tuple[int, int]] = []
+        for left, right in zip(*sides, strict=True):
+            union = np.unique(np.concatenate([x[2] for x in right])) if right else np.empty(0, np.uint64)
+            root: dict[int, int] = {}
+
+            def top(x: int, root: dict[int, int] = root) -> int:
+                while (up := root.get(x, x)) != x:
+                    x = up
+                return x
+
+            for gid, comp, own in left:
+                if not len(union) or not len(own):
+                    continue
+                place = np.minimum(np.searchsorted(union, own), len(union) - 1)
+                if np.count_nonzero(union[place] == own) < overlap_needed(len(own)):
                     continue  # bounded by the whole union: no member can be linked to it
-                if any(linked(own, other) for other in theirs):
-                    hit[i] = True
-                    break
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(hit)), batch.column("b").filter(pa.array(hit))], ["a", "b"])
+                for other_gid, other_comp, other in right:
+                    x, y = top(comp), top(other_comp)
+                    if x != y and linked(own, other):
+                        found.append((gid, other_gid))
+                        root[x] = y
+        yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+
+def _once(rows: list[tuple]) -> list[tuple]:
+    """Members without those of equal component and set."""
+    return list({(comp, tokens.tobytes()): (gid, comp, tokens) for gid, comp, tokens in rows}.values())
+
 
+def _open(docs: DataFrame, members: DataFrame, blocks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links (a, b) between members of different components in pairs (a, b) of blocks.
 
-def _open(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of groups in which some member of a is linked to one of b."""
+    blocks: gid, block, comp. Texts are fetched for the blocks in pairs only.
+    """
     spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct()
-    fetch = cut(members.where("y = 1").join(wanted, "gid").select("gid", F.col("key").alias("doc_id")).distinct())
+    wanted = pairs.select(F.col("a").alias("block")).union(pairs.select("b")).distinct()
+    fetch = members.where("y = 1").join(blocks.join(wanted, "block"), "gid").select("gid", "block", "comp", F.col("key").alias("doc_id"))
+    fetch = cut(fetch.distinct())
     side = F.broadcast(fetch) if fetch.count() <= MOST_BROADCAST else fetch
-    bundles_at = scratch(spark, "groups")
-    bundles = store(docs.join(side, "doc_id").groupBy("gid").agg(F.collect_set("text").alias("texts")), bundles_at)
-    a = bundles.select(F.col("gid").alias("a"), F.col("texts").alias("texts_a"))
-    b = bundles.select(F.col("gid").alias("b"), F.col("texts").alias("texts_b"))
-    opened = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "texts_a", "texts_b")
+    bundles_at = scratch(spark, "blocks")
+    bundles = docs.join(side, "doc_id").groupBy("block").agg(F.collect_set(F.struct("gid", "comp", "text")).alias("members"))
+    bundles = store(bundles, bundles_at)
+    a = bundles.select(F.col("block").alias("a"), F.col("members").alias("members_a"))
+    b = bundles.select(F.col("block").alias("b"), F.col("members").alias("members_b"))
+    opened = pairs.select("a", "b").join(a, "a").join(b, "b").select("members_a", "members_b")
     out = cut(opened.mapInArrow(_compare, "a bigint, b bigint"))
     discard(spark, bundles_at)
     return out
 
 
+def _blocks(apart: DataFrame, found: DataFrame, members: DataFrame, groups: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(gid, comp, block, lo, hi): similar groups that are not linked (yet) dealt into blocks of about BLOCK_SETS sets.
+
+    Groups are similar if they share most tokens with the same hub, have sizes within 5 %, and are
+    all, or none, in the hub's component. A hot neighbourhood has many blocks.
+    """
+    comp_of = lambda key, name: found.select(F.col("node").alias(key), F.col("component").alias(name))
+    size = members.where("y = 1 and x > 0").groupBy("gid").agg(F.count("*").alias("sets"))
+    rows = apart.select("gid", "comp").distinct().join(groups.select("gid", "lo", "hi"), "gid").join(size, "gid").join(hubs, "gid", "left")
+    rows = rows.withColumn("hub", F.coalesce("hub", "gid")).join(comp_of("hub", "hub_comp"), "hub", "left")
+    kind = [F.col("hub"), (F.col("comp") == F.coalesce("hub_comp", "hub")).alias("home"), F.floor(F.log("lo") / F.log(F.lit(1.05))).alias("grade")]
+    rows = rows.select("gid", "comp", "lo", "hi", "sets", *kind)
+    many = rows.groupBy("hub", "home", "grade").agg(F.ceil(F.sum("sets") / BLOCK_SETS).alias("parts"))
+    dealt = rows.join(many, ["hub", "home", "grade"])
+    block = F.xxhash64("hub", "home", "grade", F.pmod(F.xxhash64("gid"), F.col("parts")))
+    return cut(dealt.select("gid", "comp", block.alias("block"), "lo", "hi"))
+
+
 def _over_bound(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs (a, b, shared) whose shared prefix tokens leave room for a linked pair of members.
 
     A pair of sets of n and m tokens shares at most `shared` tokens plus the longer of the two
-    suffixes behind the prefixes, and is linked only if it shares ceil(3(n + m) / 7).
+    suffixes behind the prefixes, and is linked only if it shares ceil(3(n + m) / 7). equal tells whether
+    both have the same mark.
     """
-    side = lambda x: groups.select(F.col("gid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("lo", "hi", "d1", "d2")])
+    side = lambda x: groups.select(F.col("gid").alias(x), F.col("lo").alias(f"lo_{x}"), F.col("hi").alias(f"hi_{x}"), F.col("mark").alias(f"mark_{x}"))
     suffix = F.expr("(3 * greatest(hi_a, hi_b) + 3) div 4 - 1")
     return (
         pairs.join(side("a"), "a").join(side("b"), "b")
         .where("4 * hi_a >= 3 * lo_b and 4 * hi_b >= 3 * lo_a")
         .where(F.col("shared") >= F.expr("(3 * (lo_a + lo_b) + 6) div 7") - suffix)
-        .select("a", "b", F.coalesce(F.expr("d1_a = d1_b and d2_a = d2_b"), F.lit(False)).alias("equal"))
+        .select("a", "b", F.coalesce(F.expr("mark_a = mark_b"), F.lit(False)).alias("equal"))
     )
 
 
@@ -328,7 +372,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     groups = cut(
         matrix.where(F.col("kind") == _GROUP).groupBy("gid").agg(
             F.min("key").alias("low_id"), F.min("x").alias("lo"), F.max("y").alias("hi"),
-            *[F.when(F.min(d) == F.max(d), F.min(d)).alias(d) for d in ("d1", "d2")],
+            F.when((F.min("d1") == F.max("d1")) & (F.min("d2") == F.max("d2")), F.struct(F.min("d1"), F.min("d2"))).alias("mark"),
         )
     )
     per_token = Window.partitionBy("token")
@@ -341,24 +385,30 @@ def ngram_join(docs: DataFrame) -> DataFrame:
 
     # Stars: each group against the least group of each of its tokens. Linear in the cells.
     stars = met.where("gid <> least").groupBy(F.col("gid").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("shared"))
-    stars = cut(_over_bound(stars, groups))
+    stars = cut(stars)
+    hubs = stars.groupBy(F.col("a").alias("gid")).agg(F.max_by("b", F.struct("shared", "b")).alias("hub"))
+    near = cut(_over_bound(stars, groups))
     several = members.where("x > 0").groupBy("key").agg(F.min("gid").alias("b"), F.max("gid").alias("most")).where("b < most")
     one_id = members.where("x > 0").join(several, "key").select(F.col("gid").alias("a"), "b")
-    links = cut(stars.where("equal").select("a", "b").unionByName(one_id).unionByName(_open(named, members, stars.where("not equal"))))
+    alone = groups.select("gid", F.col("gid").alias("block"), F.col("gid").alias("comp"))
+    links = cut(near.where("equal").select("a", "b").unionByName(one_id).unionByName(_open(named, members, alone, near.where("not equal"))))
     found = connected_components(links)
 
-    # What is left: tokens that still meet in different components.
+    # What is left: tokens that still meet in different components, by blocks of similar groups.
     apart = met.select("token", "gid").distinct().join(found, F.col("gid") == F.col("node"), "left").select("token", "gid", F.coalesce("component", "gid").alias("comp"))
     mixed = apart.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("token")
     apart = cut(apart.join(mixed, "token"))
-    comps = apart.select("token", "comp").distinct()
-    meets = comps.withColumnRenamed("comp", "comp_a").join(comps.withColumnRenamed("comp", "comp_b"), "token").where("comp_a < comp_b")
-    side = lambda x: apart.select("token", F.col("gid").alias(x), F.col("comp").alias(f"comp_{x}"))
-    pairs = meets.join(side("a"), ["token", "comp_a"]).join(side("b"), ["token", "comp_b"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    tried = stars.select(F.greatest("a", "b").alias("p"), F.least("a", "b").alias("q"))
-    rest = cut(_over_bound(pairs, groups).join(tried, (F.greatest("a", "b") == F.col("p")) & (F.least("a", "b") == F.col("q")), "left_anti"))
+    dealt = _blocks(apart, found, members, groups, hubs)
+    blocks = cut(dealt.groupBy(F.col("block").alias("gid")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1")))
+    one_comp = F.when(F.col("c0") == F.col("c1"), F.col("c0"))
+    cells = apart.join(dealt.select("gid", "block"), "gid").select("token", "block").distinct()
+    cells = cells.join(blocks.select(F.col("gid").alias("block"), one_comp.alias("only")), "block")
+    side = lambda x: cells.select("token", F.col("block").alias(x), F.col("only").alias(f"only_{x}"))
+    meets = side("a").join(side("b"), "token").where(F.col("a") < F.col("b")).where(F.coalesce(F.col("only_a") != F.col("only_b"), F.lit(True)))
+    pairs = _over_bound(meets.groupBy("a", "b").agg(F.count("*").alias("shared")), blocks.withColumn("mark", F.lit(None).cast("int"))).select("a", "b")
+    rest = cut(pairs.unionByName(blocks.where("c0 < c1").select(F.col("gid").alias("a"), F.col("gid").alias("b"))))
     if not rest.isEmpty():
-        links = links.unionByName(rest.where("equal").select("a", "b")).unionByName(_open(named, members, rest.where("not equal")))
+        links = links.unionByName(_open(named, members, dealt, rest))
         found = connected_components(links)
 
     known = groups.join(found, F.col("gid") == F.col("node"), "left").select("gid", F.coalesce("component", "gid").alias("comp"), "low_id")
