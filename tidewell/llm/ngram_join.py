@@ -30,11 +30,13 @@ from tidewell.llm.shared import cut, discard, scratch, store
 
 WORDS = 5
 #: Texts, in bytes, of a chunk: the unit in which local groups form. Bounds a task's memory.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
 #: Distinct sets in one local group; a cluster of more has several groups, linked to each other.
 MOST_MEMBERS = 32
 #: Sets in a block of similar groups, about: what is opened together once links to hubs are known.
 BLOCK_SETS = 64
+#: Block pairs that a task holds at once.
+PAIRS_AT_ONCE = 32
 #: Largest table of frequent tokens that is sent to the tasks; beyond it the rarer ones of them
 #: are ordered as if they were rare, which costs time and loses no link.
 MOST_FREQUENT = 1 << 20
@@ -310,7 +312,13 @@ def _open(docs: DataFrame, members: DataFrame, blocks: DataFrame, pairs: DataFra
     a = bundles.select(F.col("block").alias("a"), F.col("members").alias("members_a"))
     b = bundles.select(F.col("block").alias("b"), F.col("members").alias("members_b"))
     opened = pairs.select("a", "b").join(a, "a").join(b, "b").select("members_a", "members_b")
-    out = cut(opened.mapInArrow(_compare, "a bigint, b bigint"))
+    rows_at_once = "spark.sql.execution.arrow.maxRecordsPerBatch"  # blocks are large rows
+    usual = spark.conf.get(rows_at_once)
+    spark.conf.set(rows_at_once, PAIRS_AT_ONCE)
+    try:
+        out = cut(opened.mapInArrow(_compare, "a bigint, b bigint"))
+    finally:
+        spark.conf.set(rows_at_once, usual)
     discard(spark, bundles_at)
     return out
 
