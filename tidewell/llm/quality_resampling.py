@@ -23,6 +23,8 @@ from tidewell.llm.toxicity import sample_labels
 BUCKETS = 1 << 14
 #: Labelled rows that give the target model and the default size of the draw, in expectation.
 MOST_LABELS = 20_000
+#: Weight of the raw model as the target model's prior, in n-grams: without evidence the ratio is 0.
+PRIOR = 100.0
 _SCALE = 1 << 16
 
 
@@ -79,8 +81,11 @@ def fit_ratio(docs: DataFrame, labels: DataFrame) -> tuple[RatioModel, dict[int,
     raw[at], target[at] = sums.column("raw").to_numpy(), sums.column("target").to_numpy()
     if not target.sum():
         return RatioModel(np.zeros(BUCKETS, np.int64)), quality
-    share = lambda x: (x + 1) / (x + 1).sum()
-    return RatioModel(np.round((np.log(share(target)) - np.log(share(raw))) * _SCALE).astype(np.int64)), quality
+    share = raw / raw.sum()
+    seen = raw > 0
+    ratio = np.zeros(BUCKETS)
+    ratio[seen] = np.log((target[seen] + PRIOR * share[seen]) / (target.sum() + PRIOR) / share[seen])
+    return RatioModel(np.round(ratio * _SCALE).astype(np.int64)), quality
 
 
 def weigh(docs: DataFrame, model: RatioModel) -> DataFrame:
@@ -98,7 +103,7 @@ def weigh(docs: DataFrame, model: RatioModel) -> DataFrame:
                 seen[low:high] = np.bincount(row, minlength=high - low) > 0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total / _SCALE, pa.float64(), mask=~seen)], names=[*batch.schema.names, "log_weight"])
 
-    return kept.mapInArrow(run, kept.withColumn("log_weight", F.lit(0.0).cast("double")).schema)
+    return kept.mapInArrow(run, kept.withColumn("log_weight", F.lit(None).cast("double")).schema)
 
 
 def gumbel_key(seed: int) -> Column:
