@@ -14,7 +14,7 @@ import pyarrow as pa
 
 _MULT = 0x9E3779B97F4A7C15
 _INVERSE = pow(_MULT, -1, 1 << 64)
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm.arrow_text import ALNUM, FOLD, run_hashes, runs, slices
-from tidewell.llm.shared import ascii_lower, cut, replace_columns
+from tidewell.llm.shared import ascii_lower, cut, map_texts, replace_columns
 
 WINDOW = 10
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -268,7 +268,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
                 names=[*batch.schema.names, *added],
             )
 
-    return kept.mapInArrow(run, schema)
+    return map_texts(kept, run, schema)
 
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.arrow_text import ALNUM, FOLD, slices
-from tidewell.llm.shared import replace_columns
+from tidewell.llm.shared import map_texts, replace_columns
 
 ORDERS = (2, 3, 4)
 BUCKETS = 4096
@@ -123,7 +123,7 @@ def fit_codes(docs: DataFrame) -> CodeModel | None:
         yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(bucket), pa.array(total[of, bucket])], ["lang", "bucket", "n"])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(np.full(k, -1)), pa.array(rows)], ["lang", "bucket", "n"])
 
-    sums = labelled.mapInArrow(add_up, "lang bigint, bucket bigint, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sums = map_texts(labelled, add_up, "lang bigint, bucket bigint, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     lang, bucket, n = (sums.column(c).to_numpy() for c in ("lang", "bucket", "n"))
     counts, rows = np.zeros((k, BUCKETS)), np.zeros(k)
     grams = bucket >= 0
@@ -175,4 +175,4 @@ def predict_language(docs: DataFrame, model: CodeModel | None) -> DataFrame:
                 [*batch.columns[:-1], pa.array(names_of.tolist(), pa.string()), pa.array(np.where(has, score, 0.0)), pa.array(unsure | ~has)], names=[*batch.schema.names[:-1], *added]
             )
 
-    return kept.withColumn("__lettered", lettered).mapInArrow(run, fields)
+    return map_texts(kept.withColumn("__lettered", lettered), run, fields)

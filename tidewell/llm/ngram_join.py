@@ -26,11 +26,11 @@ from pyspark.sql.window import Window
 
 from tidewell.llm.arrow_text import long_view, mix, shingle_sets, slices
 from tidewell.llm.components import connected_components
-from tidewell.llm.shared import cut, discard, scratch, store
+from tidewell.llm.shared import cut, discard, map_texts, scratch, store
 
 WORDS = 5
 #: Texts, in bytes, of a chunk: the unit in which local groups form. Bounds a task's memory.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 #: Distinct sets in one local group; a cluster of more has several groups, linked to each other.
 MOST_MEMBERS = 32
 #: Sets in a block of similar groups, about: what is opened together once links to hubs are known.
@@ -172,7 +172,7 @@ def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     MOST_FREQUENT: only as many of the highest classes are taken as fit.
     """
     counts = (
-        docs.mapInArrow(_recurring, "token bigint, groups bigint")
+        map_texts(docs, _recurring, "token bigint, groups bigint")
         .groupBy("token").agg(F.sum("groups").alias("groups")).where("groups >= 8")
         .select("token", F.floor(F.log2("groups")).cast("int").alias("grade"))
     )
@@ -375,7 +375,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     named = docs.select("doc_id", "text").where("doc_id is not null")
     frequent, grades = frequent_tokens(named)
     matrix_at, met_at = scratch(spark, "matrix"), scratch(spark, "met")
-    matrix = store(named.mapInArrow(_matrix_rows(frequent, grades), _SCHEMA), matrix_at)
+    matrix = store(map_texts(named, _matrix_rows(frequent, grades), _SCHEMA), matrix_at)
     members = matrix.where(F.col("kind") == _MEMBER).select("gid", "key", "x", "y")
     groups = cut(
         matrix.where(F.col("kind") == _GROUP).groupBy("gid").agg(
@@ -425,7 +425,7 @@ def ngram_join(docs: DataFrame) -> DataFrame:
     out = members.join(of_group, "gid", "left").select(
         F.col("key").alias("doc_id"), F.col("x").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id")
     )
-    nameless = docs.select("doc_id", "text").where("doc_id is null").mapInArrow(_sizes, "doc_id bigint, n_shingles bigint, component_id bigint")
+    nameless = map_texts(docs.select("doc_id", "text").where("doc_id is null"), _sizes, "doc_id bigint, n_shingles bigint, component_id bigint")
     out = cut(out.unionByName(nameless))
     discard(spark, matrix_at, met_at)
     return out

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.arrow_text import FOLD, WORD_PUNCT, mix, run_hashes, runs, slices
-from tidewell.llm.shared import best_cut, cut, hash_unit, replace_columns
+from tidewell.llm.shared import best_cut, cut, hash_unit, map_texts, replace_columns
 from tidewell.llm.toxicity import sample_labels
 
 BUCKETS = 1 << 14
@@ -74,7 +74,7 @@ def fit_ratio(docs: DataFrame, labels: DataFrame) -> tuple[RatioModel, dict[int,
         at = np.flatnonzero(total[0])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0][at]), pa.array(total[1][at])], ["bucket", "raw", "target"])
 
-    sums = docs.select("doc_id", "text").where("text is not null").mapInArrow(add_up, "bucket bigint, raw bigint, target bigint")
+    sums = map_texts(docs.select("doc_id", "text").where("text is not null"), add_up, "bucket bigint, raw bigint, target bigint")
     sums = sums.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = sums.column("bucket").to_numpy().astype(np.int64)
@@ -103,7 +103,7 @@ def weigh(docs: DataFrame, model: RatioModel) -> DataFrame:
                 seen[low:high] = np.bincount(row, minlength=high - low) > 0
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total / _SCALE, pa.float64(), mask=~seen)], names=[*batch.schema.names, "log_weight"])
 
-    return kept.mapInArrow(run, kept.withColumn("log_weight", F.lit(None).cast("double")).schema)
+    return map_texts(kept, run, kept.withColumn("log_weight", F.lit(None).cast("double")).schema)
 
 
 def gumbel_key(seed: int) -> Column:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words of the corpus contracts: runs of anything but space and \t \n \v \f \r.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +28,21 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
+#: Rows in an Arrow batch of texts, where the session has Spark's own number.
+BATCH_ROWS = 1000
+
+
+def map_texts(frame: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
+    """mapInArrow over rows that hold texts: smaller batches keep tasks and workers small.
+
+    A batch size that the session sets otherwise than Spark's default stays.
+    """
+    conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, BATCH_ROWS)
+    return frame.mapInArrow(function, schema)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise a frame of small rows in the shared folder and cut its lineage."""
     shared_folder(df.sparkSession)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.arrow_text import ALNUM, FOLD, long_view, run_hashes, runs, slices
-from tidewell.llm.shared import best_cut, cut, replace_columns
+from tidewell.llm.shared import best_cut, cut, map_texts, replace_columns
 
 #: Labelled rows that a fit takes, in expectation; the rows with the least hash of doc_id.
 MOST_LABELS = 20_000
@@ -98,7 +98,7 @@ def fit_severity(docs: DataFrame, labels: DataFrame, grades: int = 3) -> Severit
     """
     grade_of = sample_labels(labels, "toxic")
     named = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    rows = cut(named.mapInArrow(_labelled_features(grade_of), "doc_id bigint, toxic int, features array<bigint>").dropDuplicates(["toxic", "features"]))
+    rows = cut(map_texts(named, _labelled_features(grade_of), "doc_id bigint, toxic int, features array<bigint>").dropDuplicates(["toxic", "features"]))
     sizes = rows.agg(F.sum((F.col("toxic") > 0).cast("int")), F.sum((F.col("toxic") == 0).cast("int"))).first()
     n1, n0 = (int(x or 0) for x in sizes)
     nothing = SeverityModel(np.empty(0, np.uint64), np.empty(0), np.array([30.0]), np.inf)
@@ -191,7 +191,7 @@ def score_severity(docs: DataFrame, model: SeverityModel) -> DataFrame:
                 [*batch.columns, pa.array(severity), pa.array(_logistic(z - model.thresholds[0])), pa.array(severity >= model.cut)], names=[*batch.schema.names, *added]
             )
 
-    return kept.mapInArrow(run, fields)
+    return map_texts(kept, run, fields)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

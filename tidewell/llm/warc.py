@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import store
+from tidewell.llm.shared import map_texts, store
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 32 << 20
@@ -208,7 +208,7 @@ def write_bundles(records: DataFrame, folder: str, date: str = "1970-01-01T00:00
             out.close()
 
     wanted = records.select("record_id", "url", "payload", "payload_digest", "refers_to")
-    return store(wanted.mapInArrow(write, INDEX), f"{folder}/index")
+    return store(map_texts(wanted, write, INDEX), f"{folder}/index")
 
 
 def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
@@ -227,7 +227,7 @@ def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
                 bundle.close()
 
     bundles = index.select("bundle").distinct()
-    return bundles.mapInArrow(read, RECORDS)
+    return map_texts(bundles, read, RECORDS)
 
 
 def fetch_records(spark: SparkSession, index: DataFrame) -> DataFrame:
@@ -242,4 +242,4 @@ def fetch_records(spark: SparkSession, index: DataFrame) -> DataFrame:
                 bundle.close()
             yield pa.RecordBatch.from_pylist(found, _RECORD_ARROW)
 
-    return index.select("bundle", "frame", "offset", "length").mapInArrow(read, RECORDS)
+    return map_texts(index.select("bundle", "frame", "offset", "length"), read, RECORDS)
