@@ -181,7 +181,7 @@ def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
     return causal.interval(causal.bootstrap_effects(_scored(spark, d), "id", B, SEED, (0.05, 0.95)), "iptw")
 
 
-@query(f"""WITH {_S} SELECT id, CASE WHEN tau < 0 THEN 1 ELSE 0 END AS lt0, CASE WHEN tau > 0 THEN 1 ELSE 0 END AS gt0, CASE WHEN tau <= (SELECT quantile_cont(tau, 0.2) FROM s) THEN 1 ELSE 0 END AS top, CASE WHEN tau >= 0.05 THEN 1 ELSE 0 END AS ge,
+@query(f"""WITH {_S.replace(chr(10) + "s AS (", chr(10) + "s9 AS (")}, s AS (SELECT id, round(tau, 12) AS tau FROM s9) SELECT id, CASE WHEN tau < 0 THEN 1 ELSE 0 END AS lt0, CASE WHEN tau > 0 THEN 1 ELSE 0 END AS gt0, CASE WHEN tau <= (SELECT quantile_cont(tau, 0.2) FROM s) THEN 1 ELSE 0 END AS top, CASE WHEN tau >= 0.05 THEN 1 ELSE 0 END AS ge,
 CASE WHEN row_number() OVER (ORDER BY tau, id) <= ceil((SELECT count(*) FROM s) * 0.15) THEN 1 ELSE 0 END AS ranked FROM s""")
 def policies(spark: SparkSession, d: str) -> DataFrame:
     s = _scored(spark, d).select("id", F.round("tau", 12).alias("tau"))
