@@ -90,21 +90,27 @@ def calibrate_intercept(frame: DataFrame, score: str, target: float, strength: f
     if not 0 < target < 1:
         raise ValueError("target must lie in (0, 1)")
 
+    spark, scores = frame.sparkSession, frame.select(F.col(score).cast("double").alias("s")).persist()
+
     def means(points: list[float]) -> list[float]:
-        row = frame.agg(*[F.avg(sigmoid(F.col(score) * strength + p, 500.0)).alias(f"p{i}") for i, p in enumerate(points)]).first()
-        return list(row)
-
-    for _ in range(40):
-        points = [low + (high - low) * i / (probes - 1) for i in range(probes)]
-        found = means(points)
-        if not found[0] <= target <= found[-1]:
-            raise ValueError("the target rate is outside the bracket")
-        at = min(range(probes), key=lambda i: abs(found[i] - target))
-        if abs(found[at] - target) <= tol or high - low < 1e-12:
-            return points[at]
-        above = next(i for i in range(probes) if found[i] >= target)
-        low, high = points[max(above - 1, 0)], points[above]
-    return (low + high) / 2
+        grid = F.broadcast(spark.createDataFrame(list(enumerate(points)), "i int, p double"))  # one row a probe
+        rows = scores.crossJoin(grid).groupBy("i").agg(F.avg(sigmoid(F.col("s") * strength + F.col("p"), 500.0)).alias("m")).collect()
+        return [r["m"] for r in sorted(rows, key=lambda r: r["i"])]
+
+    try:
+        for _ in range(40):
+            points = [low + (high - low) * i / (probes - 1) for i in range(probes)]
+            found = means(points)
+            if not found or not found[0] <= target <= found[-1]:
+                raise ValueError("the target rate is outside the bracket")
+            at = min(range(probes), key=lambda i: abs(found[i] - target))
+            if abs(found[at] - target) <= tol or high - low < 1e-12:
+                return points[at]
+            above = next(i for i in range(probes) if found[i] >= target)
+            low, high = points[max(above - 1, 0)], points[above]
+        return (low + high) / 2
+    finally:
+        scores.unpersist()
 
 
 def select_rows(frame: DataFrame, key: str, probability: Column, seed: int = 42) -> DataFrame:
