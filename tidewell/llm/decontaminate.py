@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm.arrow_text import ALNUM, FOLD, run_hashes, runs, slices
-from tidewell.llm.shared import ascii_lower, cut, map_texts, replace_columns
+from tidewell.llm.shared import ascii_lower, cut, discard, map_texts, replace_columns, scratch, store
 
 WINDOW = 10
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -41,8 +41,8 @@ class Phrases:
     items: np.ndarray
 
 
-def phrase_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list[Phrases]:
-    """Distinct windows of all items (item_id bigint, text string), in blocks of bounded size.
+def phrase_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> Iterator[Phrases]:
+    """Distinct windows of all items (item_id bigint, text string), in blocks of bounded size, one at a time.
 
     Items of fewer words than a window are one window; items without words, with a null text or a
     null id have none.
@@ -58,7 +58,10 @@ def phrase_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int =
     size = phrases.agg(F.sum(F.size("items") + window)).first()[0] or 0
     blocks = -(-size // block_words)
     dealt = phrases.withColumn("block", F.pmod(F.xxhash64("phrase"), F.lit(max(blocks, 1))))
-    return [_packed(dealt.where(F.col("block") == b).select("phrase", "items").toArrow()) for b in range(blocks)]
+    for b in range(blocks):
+        table = dealt.where(F.col("block") == b).select("phrase", "items").toArrow()
+        if table.num_rows:
+            yield _packed(table)
 
 
 def _packed(table: pa.Table) -> Phrases:
@@ -175,50 +178,52 @@ def _numbered(hashes: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == hashes, at + 1, 0)
 
 
-def _searched(text: pa.Array, blocks: list[Phrases], cut_out: bool):
-    """Per shard: (words, hit words, item id lists, spans of word numbers, texts without the hits) by row."""
-    for _, _, raw, offsets in slices(text, SHARD_BYTES):
+def _searched(text: pa.Array, block: Phrases | None, items: list[list[int]], spans: list[list[dict]], cut_out: bool) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
+    """(words, hit words) by row and the texts without the hits; adds what the block finds to items and spans."""
+    n_words, n_hit, texts = [np.empty(0, np.int64)], [np.empty(0, np.int64)], {}
+    for base, stop, raw, offsets in slices(text, SHARD_BYTES):
         folded = FOLD[raw]
         start, end = runs(folded, offsets, ALNUM)
         first = np.searchsorted(start, offsets)
-        rows, n = len(offsets) - 1, len(start)
+        rows, n = stop - base, len(start)
         row = np.repeat(np.arange(rows), np.diff(first))
         place = np.arange(n) + row  # a 0 behind each row keeps rows apart
         cover = np.zeros(n + 1, np.int64)
-        found: set[tuple[int, int]] = set()
-        hashes = run_hashes(folded, start, end)
-        for block in blocks:
+        for r, known in enumerate(spans[base:stop]):
+            for span in known:
+                cover[first[r] + span["first"]] += 1
+                cover[first[r] + span["last"] + 1] -= 1
+        if block is not None:
             words = np.zeros(n + rows, np.int64)
-            words[place] = _numbered(hashes, block.vocabulary)
+            words[place] = _numbered(run_hashes(folded, start, end), block.vocabulary)
             which, at = _occurrences(words, block)
-            if len(which):
-                begin = np.searchsorted(place, at)
-                np.add.at(cover, begin, 1)
-                np.add.at(cover, begin + block.lengths[which], -1)
-                seen = np.unique(np.stack((row[begin], which)), axis=1)
-                found.update((r, int(i)) for r, w in seen.T.tolist() for i in block.items[block.item_at[w] : block.item_at[w + 1]])
+            begin = np.searchsorted(place, at)
+            np.add.at(cover, begin, 1)
+            np.add.at(cover, begin + block.lengths[which], -1)
+            found: dict[int, set[int]] = {}
+            for r, w in sorted(set(zip(row[begin].tolist(), which.tolist(), strict=True))):
+                found.setdefault(base + r, set()).update(block.items[block.item_at[w] : block.item_at[w + 1]].tolist())
+            for r, own in found.items():
+                items[r] = sorted(own.union(items[r]))
         hit = np.cumsum(cover[:-1]) > 0
-        n_hit = np.diff(np.concatenate(([0], np.cumsum(hit)))[first])
-        items: list[list[int]] = [[] for _ in range(rows)]
-        for r, i in sorted(found):
-            items[r].append(i)
-        spans: list[list[dict]] = [[] for _ in range(rows)]
-        texts = []
-        for r in np.flatnonzero(n_hit).tolist():
+        n_words.append(np.diff(first))
+        n_hit.append(np.diff(np.concatenate(([0], np.cumsum(hit)))[first]))
+        for r in np.flatnonzero(n_hit[-1]).tolist():
             own = hit[first[r] : first[r + 1]].astype(np.int8)
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], own, [0]))))
-            spans[r] = [{"first": int(a), "last": int(b) - 1} for a, b in edge.reshape(-1, 2)]
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], own, [0])))).reshape(-1, 2)
+            spans[base + r] = [{"first": int(a), "last": int(b) - 1} for a, b in edge]
             if cut_out:
                 low, pieces = int(offsets[r]), []
-                for a, b in edge.reshape(-1, 2):
+                for a, b in edge:
                     pieces.append(raw[low : start[first[r] + a]].tobytes())
                     low = int(end[first[r] + b - 1])
                 pieces.append(raw[low : offsets[r + 1]].tobytes())
-                texts.append((r, b"".join(pieces).decode()))
-        yield np.diff(first), n_hit, items, spans, texts
+                texts[base + r] = b"".join(pieces).decode()
+    return np.concatenate(n_words), np.concatenate(n_hit), texts
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())]))
+_ADDED = ("n_words", "n_hit", "item_ids", "spans")
 _ARROW_SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
 
@@ -231,31 +236,31 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     replaced. With cut_out, text loses every span, from the first byte of its first word to the
     last byte of its last one. Words: A-Z lower-cased runs of ASCII letters, digits and all
     characters from U+0080. Null and empty texts have no words; an empty benchmark hits nothing.
-    Rows keep their number and order of columns.
+    Rows keep their number and order of columns. Driver and tasks hold one block of windows (BLOCK_WORDS);
+    a benchmark of more is searched in several passes, each stored in the shared folder for the next.
     """
-    added = ("n_words", "n_hit", "item_ids", "spans")
-    kept = replace_columns(docs, *added)
-    blocks = phrase_blocks(benchmark, window)
-    names = kept.columns
-    schema = T.StructType(
-        [T.StructField(f.name, f.dataType) for f in kept.schema.fields]
-        + [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.LongType())), T.StructField("spans", _SPANS)]
-    )
-    at = [c.lower() for c in names].index("text")
+    kept, at_last = replace_columns(docs, *_ADDED), None
+    stored: list[str] = []
+    for block in phrase_blocks(benchmark, window):
+        if at_last is not None:
+            stored.append(scratch(docs.sparkSession, "passages"))
+            kept = store(_pass(kept, at_last, len(stored) > 1, False), stored[-1])
+            discard(docs.sparkSession, *stored[-2:-1])
+        at_last = block
+    return _pass(kept, at_last, bool(stored), cut_out)
+
+
+def _pass(docs: DataFrame, block: Phrases | None, again: bool, cut_out: bool) -> DataFrame:
+    """One block's search; again: docs has the columns of an earlier pass, which this one adds to."""
+    own = docs.schema.fields[: len(docs.columns) - len(_ADDED) * again]
+    schema = T.StructType([*own, *(T.StructField(name, kind) for name, kind in zip(_ADDED, (T.LongType(), T.LongType(), T.ArrayType(T.LongType()), _SPANS), strict=True))])
+    at = [f.name.lower() for f in own].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_hit, items, spans, texts, base = [], [], [], [], {}, 0
-            for words, hits, ids, stretches, cuts in _searched(batch.column(at), blocks, cut_out):
-                n_words.append(words)
-                n_hit.append(hits)
-                items += ids
-                spans += stretches
-                texts |= {base + r: t for r, t in cuts}
-                base += len(words)
-            if not base:
-                continue
-            columns = list(batch.columns)
+            columns = batch.columns[: len(own)]
+            items, spans = (c.to_pylist() for c in batch.columns[-2:]) if again else ([[] for _ in range(batch.num_rows)] for _ in range(2))
+            n_words, n_hit, texts = _searched(columns[at], block, items, spans, cut_out)
             if texts:
                 old = columns[at]
                 pieces, low = [], 0
@@ -263,12 +268,10 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
                     pieces += [old.slice(low, r - low), pa.array([text], old.type)]
                     low = r + 1
                 columns[at] = pa.concat_arrays([*pieces, old.slice(low)])
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(np.concatenate(n_words), pa.int64()), pa.array(np.concatenate(n_hit), pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, _ARROW_SPANS)],
-                names=[*batch.schema.names, *added],
-            )
+            found = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.int64())), pa.array(spans, _ARROW_SPANS)]
+            yield pa.RecordBatch.from_arrays([*columns, *found], names=[*batch.schema.names[: len(own)], *_ADDED])
 
-    return map_texts(kept, run, schema)
+    return map_texts(docs, run, schema)
 
 
 def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
