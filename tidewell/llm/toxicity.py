@@ -54,29 +54,19 @@ def _feature_hashes(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.n
         yield row[longer], run_hashes(folded, start[longer], start[longer] + length) ^ np.uint64(length)
 
 
-def _labelled_features(grade_of: dict[int, int]):
-    """(doc_id, toxic, distinct features) of the rows in grade_of."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            chosen = np.array([i for i, x in enumerate(ids) if x in grade_of], np.int64)
-            part = batch.column(1).take(pa.array(chosen))
-            for low, high, raw, offsets in slices(part):
-                rows, hashes = (np.concatenate(x) for x in zip(*_feature_hashes(raw, offsets), strict=True))
-                order = np.lexsort((hashes, rows))
-                rows, hashes = rows[order], hashes[order]
-                first = np.ones(len(rows), bool)
-                first[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
-                rows, hashes = rows[first], hashes[first]
-                at = np.searchsorted(rows, np.arange(high - low + 1))
-                own = [ids[i] for i in chosen[low:high]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own, pa.int64()), pa.array([grade_of[i] for i in own], pa.int32()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(long_view(hashes)))],
-                    ["doc_id", "toxic", "features"],
-                )
-
-    return run
+def _labelled_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, toxic, distinct features) of labelled rows (doc_id, toxic, text)."""
+    for batch in batches:
+        for low, high, raw, offsets in slices(batch.column(2)):
+            rows, hashes = (np.concatenate(x) for x in zip(*_feature_hashes(raw, offsets), strict=True))
+            order = np.lexsort((hashes, rows))
+            rows, hashes = rows[order], hashes[order]
+            first = np.ones(len(rows), bool)
+            first[1:] = (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])
+            rows, hashes = rows[first], hashes[first]
+            at = np.searchsorted(rows, np.arange(high - low + 1))
+            features = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(long_view(hashes)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), features], ["doc_id", "toxic", "features"])
 
 
 def sample_labels(labels: DataFrame, column: str, most: int = MOST_LABELS) -> dict[int, int]:
@@ -97,8 +87,9 @@ def fit_severity(docs: DataFrame, labels: DataFrame, grades: int = 3) -> Severit
     is ever rejected.
     """
     grade_of = sample_labels(labels, "toxic")
-    named = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    rows = cut(map_texts(named, _labelled_features(grade_of), "doc_id bigint, toxic int, features array<bigint>").dropDuplicates(["toxic", "features"]))
+    graded = docs.sparkSession.createDataFrame(list(grade_of.items()), "doc_id bigint, toxic int")
+    named = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(graded), "doc_id").select("doc_id", "toxic", "text")
+    rows = cut(map_texts(named, _labelled_features, "doc_id bigint, toxic int, features array<bigint>").dropDuplicates(["toxic", "features"]))
     sizes = rows.agg(F.sum((F.col("toxic") > 0).cast("int")), F.sum((F.col("toxic") == 0).cast("int"))).first()
     n1, n0 = (int(x or 0) for x in sizes)
     nothing = SeverityModel(np.empty(0, np.uint64), np.empty(0), np.array([30.0]), np.inf)
