@@ -35,6 +35,8 @@ CHUNK_BYTES = 8 << 20
 MOST_MEMBERS = 32
 #: Sets in a block of similar groups, about: what is opened together once links to hubs are known.
 BLOCK_SETS = 64
+#: Shingles in a block, about: blocks of long texts have fewer sets.
+BLOCK_SHINGLES = 1 << 17
 #: Block pairs that a task holds at once.
 PAIRS_AT_ONCE = 32
 #: Largest table of frequent tokens that is sent to the tasks; beyond it the rarer ones of them
@@ -136,8 +138,9 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
     ids, sets, size, held = [], [], [], 0
 
     def made() -> Chunk:
-        counts = np.concatenate(size)
-        return _grouped(np.concatenate(ids), np.concatenate(sets), np.concatenate(([0], np.cumsum(counts))))
+        parts = np.concatenate(ids), np.concatenate(sets), np.concatenate(([0], np.cumsum(np.concatenate(size))))
+        sets.clear()
+        return _grouped(*parts)
 
     for batch in batches:
         doc_ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -324,18 +327,18 @@ def _open(docs: DataFrame, members: DataFrame, blocks: DataFrame, pairs: DataFra
 
 
 def _blocks(apart: DataFrame, found: DataFrame, members: DataFrame, groups: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(gid, comp, block, lo, hi): similar groups that are not linked (yet) dealt into blocks of about BLOCK_SETS sets.
+    """(gid, comp, block, lo, hi): similar groups that are not linked (yet) dealt into blocks of about BLOCK_SETS sets or BLOCK_SHINGLES shingles.
 
     Groups are similar if they share most tokens with the same hub, have sizes within 5 %, and are
     all, or none, in the hub's component. A hot neighbourhood has many blocks.
     """
     comp_of = lambda key, name: found.select(F.col("node").alias(key), F.col("component").alias(name))
-    size = members.where("y = 1 and x > 0").groupBy("gid").agg(F.count("*").alias("sets"))
+    size = members.where("y = 1 and x > 0").groupBy("gid").agg(F.count("*").alias("sets"), F.sum("x").alias("shingles"))
     rows = apart.select("gid", "comp").distinct().join(groups.select("gid", "lo", "hi"), "gid").join(size, "gid").join(hubs, "gid", "left")
     rows = rows.withColumn("hub", F.coalesce("hub", "gid")).join(comp_of("hub", "hub_comp"), "hub", "left")
     kind = [F.col("hub"), (F.col("comp") == F.coalesce("hub_comp", "hub")).alias("home"), F.floor(F.log("lo") / F.log(F.lit(1.05))).alias("grade")]
-    rows = rows.select("gid", "comp", "lo", "hi", "sets", *kind)
-    many = rows.groupBy("hub", "home", "grade").agg(F.ceil(F.sum("sets") / BLOCK_SETS).alias("parts"))
+    rows = rows.select("gid", "comp", "lo", "hi", "sets", "shingles", *kind)
+    many = rows.groupBy("hub", "home", "grade").agg(F.ceil(F.greatest(F.sum("sets") / BLOCK_SETS, F.sum("shingles") / BLOCK_SHINGLES)).alias("parts"))
     dealt = rows.join(many, ["hub", "home", "grade"])
     block = F.xxhash64("hub", "home", "grade", F.pmod(F.xxhash64("gid"), F.col("parts")))
     return cut(dealt.select("gid", "comp", block.alias("block"), "lo", "hi"))
