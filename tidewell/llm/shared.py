@@ -28,8 +28,9 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-#: Rows in an Arrow batch of texts, where the session has Spark's own number.
+#: Rows and bytes in an Arrow batch of texts, where the session has Spark's own numbers.
 BATCH_ROWS = 1000
+BATCH_BYTES = 8 << 20
 
 
 def map_texts(frame: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
@@ -37,9 +38,10 @@ def map_texts(frame: DataFrame, function: Callable, schema: T.StructType | str)
 
     A batch size that the session sets otherwise than Spark's default stays.
     """
-    conf, key = frame.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, BATCH_ROWS)
+    conf = frame.sparkSession.conf
+    for key, usual, ours in (("maxRecordsPerBatch", "10000", BATCH_ROWS), ("maxBytesPerBatch", "67108864b", BATCH_BYTES)):
+        if conf.get(f"spark.sql.execution.arrow.{key}") == usual:
+            conf.set(f"spark.sql.execution.arrow.{key}", ours)
     return frame.mapInArrow(function, schema)
 
 
