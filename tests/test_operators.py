@@ -7,6 +7,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tidewell import registry
 from tidewell.functions import scalar as S
 from tidewell.functions.uniform import poisson, uniform
 from tidewell.operators import bias, causal, design, joins, models, policy, profiles, scoring
@@ -180,6 +181,20 @@ def test_dr_learner_finds_the_planted_effect(planted):
     assert abs(models.aipw(rows).first()["ate"] + 0.15) < 0.05
 
 
+@pytest.mark.parametrize("name, function, counts", [("gbt_propensity", "fit_classifier", []), ("gbt_outcomes", "cross_fit", [5]), ("gbt_aipw", "cross_fit", [5]), ("gbt_aipw_bootstrap", "bootstrap_aipw", [20, 5]), ("dr_learner", "dr_learner", [5])])
+def test_model_queries_fit_the_whole_job(spark, monkeypatch, name, function, counts):
+    class Called(Exception):
+        pass
+
+    def called(frame, key, numeric, categorical, *rest, **boosting):
+        raise Called(numeric, categorical, list(rest)[: len(counts)], boosting)
+
+    monkeypatch.setattr(models, function, called)
+    with pytest.raises(Called) as got:
+        registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert got.value.args == (["price", "bal"], ["seg"], counts, {})
+
+
 def test_replies(spark):
     texts = [(1, 'x [{"id": 1, "cate": 0.5}, {"id": 1, "cate": 0.9}] y'), (2, "{2, -0.25}"), (3, '{id: 3, cate: 1}'), (4, '{"id": 4.5, "cate": 0.1}'), (5, ""), (6, None), (7, '{"id": true, "cate": 0.1}'), (8, '{"id": 8, "cate": "0.1"}')]
     f = spark.createDataFrame(texts, "k bigint, text string")

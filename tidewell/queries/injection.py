@@ -120,33 +120,34 @@ def logistic_auc(spark: SparkSession, d: str) -> DataFrame:
     return models.assignment_strength(_observed(spark, d), ["bal_scaled", "n_orders_scaled"], "treat_obs")
 
 
-_SMALL = {"maxIter": 5, "minInstancesPerNode": 20}
+#: The numeric and the categorical features of the five model queries, which fit with models.BOOSTING as it stands.
+_NUMERIC, _CATEGORICAL, _FOLDS, _REPLICATES = ["price", "bal"], ["seg"], 5, 20
 
 
 @query()
 def gbt_propensity(spark: SparkSession, d: str) -> DataFrame:
     """Boosted propensity over numeric and categorical features with missing values, and its AUC by split."""
-    u = causal.split_by_subject(models.prepared(_units(spark, d), ["price", "bal"]), "subject", SEED).persist()
-    model = models.fit_classifier(u.where("split = 'train'"), "t", ["price", "bal"], ["seg"], **_SMALL)
+    u = causal.split_by_subject(models.prepared(_units(spark, d), _NUMERIC), "subject", SEED).persist()
+    model = models.fit_classifier(u.where("split = 'train'"), "t", _NUMERIC, _CATEGORICAL)
     return models.predict(model, u.where("split = 'test'"), "ps").select("id", "t", "ps")
 
 
 @query()
 def gbt_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """Out-of-fold propensity and outcome predictions of every row."""
-    return models.cross_fit(_units(spark, d), "id", ["price", "bal"], ["seg"], 2, SEED, **_SMALL).select("id", "fold", "ps", "m1", "m0")
+    return models.cross_fit(_units(spark, d), "id", _NUMERIC, _CATEGORICAL, _FOLDS, SEED).select("id", "fold", "ps", "m1", "m0")
 
 
 @query()
 def gbt_aipw(spark: SparkSession, d: str) -> DataFrame:
-    return models.aipw(models.cross_fit(_units(spark, d), "id", ["price", "bal"], ["seg"], 2, SEED, **_SMALL))
+    return models.aipw(models.cross_fit(_units(spark, d), "id", _NUMERIC, _CATEGORICAL, _FOLDS, SEED))
 
 
 @query()
 def gbt_aipw_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return models.bootstrap_aipw(_units(spark, d), "id", ["price"], ["seg"], 2, 2, SEED, maxIter=2, minInstancesPerNode=20)
+    return models.bootstrap_aipw(_units(spark, d), "id", _NUMERIC, _CATEGORICAL, _REPLICATES, _FOLDS, SEED)
 
 
 @query()
 def dr_learner(spark: SparkSession, d: str) -> DataFrame:
-    return models.dr_learner(_units(spark, d), "id", ["price", "bal"], ["seg"], 2, **_SMALL)[0].select("id", "ps", "m1", "m0", "phi", "tau")
+    return models.dr_learner(_units(spark, d), "id", _NUMERIC, _CATEGORICAL, _FOLDS)[0].select("id", "ps", "m1", "m0", "phi", "tau")
