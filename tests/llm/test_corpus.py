@@ -248,6 +248,17 @@ def test_bundles_round_trip(spark, monkeypatch):
     assert warc.read_bundles(warc.write_bundles(warc.payload_roles(records.where("false")), scratch(spark, "warc"))).isEmpty()
 
 
+def test_bundles_are_read_by_many_tasks(spark):
+    index = None
+    for i in range(12):  # a bundle each
+        record = spark.createDataFrame([(i, "u", str(i))], "record_id bigint, url string, payload string")
+        own = warc.write_bundles(warc.payload_roles(record), scratch(spark, "warc"))
+        index = own if index is None else index.unionByName(own)
+    read = warc.read_bundles(index).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted(r["record_id"] for r in read) == list(range(12))
+    assert len({r["task"] for r in read}) > 3
+
+
 # --- mixing -------------------------------------------------------------------------------------
 
 

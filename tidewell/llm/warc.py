@@ -227,7 +227,8 @@ def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
                 bundle.close()
 
     bundles = index.select("bundle").distinct()
-    return map_texts(bundles, read, RECORDS)
+    # a number of our own, as adaptive execution would put the few names into one task
+    return map_texts(bundles.repartition(max(bundles.count(), 1), "bundle"), read, RECORDS)
 
 
 def fetch_records(spark: SparkSession, index: DataFrame) -> DataFrame:
