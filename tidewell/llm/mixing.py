@@ -167,7 +167,7 @@ def mix_sources(docs: DataFrame, seed: int = 11, weights: tuple[float, ...] = (5
     are replaced. No document is taken more than `most` times (rounded up), each source's taken words
     differ from its target by about one document, and a rerun over the same rows agrees. A source
     whose texts have no words is taken 0 times. Rows of one id, source and size are drawn together.
-    No documents, no rows.
+    No documents, no rows. More than MOST_SOURCES distinct sources raise ValueError.
     """
     docs = replace_columns(docs, "size", "source_size", "target", "times", "taken")
     sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(SPACED_WORD)), F.lit(0)).cast("bigint"))
