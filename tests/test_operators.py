@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tidewell import registry
 from tidewell.functions import scalar as S
 from tidewell.functions.uniform import poisson, uniform
 from tidewell.operators import bias, causal, design, joins, models, policy, profiles, scoring
+from tidewell.plans.reports import policy_report
 from tidewell.plans.study import config
 from tidewell.sources import tables as IO
 from tidewell.streaming import results
@@ -157,6 +159,18 @@ def test_policy_values(planted):
         policy.decide(F.col("tau"), 0.0, "other")
 
 
+def test_policy_report_has_intervals_of_all_three_values(planted):
+    s = causal.stratum_scores(planted.withColumn("pos", (F.col("x") > 0).cast("int")), ["z", "pos"])
+    rows = [(r["section"], json.loads(r["json"])) for r in policy_report(s, "id", config("default"), 20).collect()]
+    point = next(r for name, r in rows if name == "report")
+    values = {r["quantity"]: r for name, r in rows if name == "values"}
+    for quantity, v in (("value", "v_policy"), ("none", "v_none"), ("every", "v_all")):
+        assert values[quantity]["ci_lo"] - 0.02 < point[v] < values[quantity]["ci_hi"] + 0.02
+    tau = next(r for name, r in rows if name == "tau")
+    assert tau["p01"] <= tau["p25"] <= tau["p50"] <= tau["p75"] <= tau["p99"]
+    assert tau["n_negative"] + tau["n_positive"] == point["n"]
+
+
 def test_selection_reaches_its_target(planted):
     annotated, selected, _ = bias.selection_pipeline(planted, "id", {"x": 1.0}, 0.37)
     assert annotated.agg(F.avg("selection_probability")).first()[0] == pytest.approx(0.37, abs=1e-8)

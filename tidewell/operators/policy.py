@@ -69,16 +69,16 @@ def dr_value(frame: DataFrame, pi: str = "pi", trim: tuple[float, float] | None
 
 
 def bootstrap_values(frame: DataFrame, key: str, n_boot: int, pi: str = "pi", seed: int = 42) -> DataFrame:
-    """(rep, value, delta_none, delta_all): all three policies on the same resample."""
+    """(rep, value, none, every, delta_none, delta_all): all three policies on the same resample."""
     k = F.col("k")
     mean = lambda s: F.sum(k * s) / F.sum(k)
     per = replicates(frame, key, n_boot, seed).groupBy("rep").agg(mean(dr_score(F.col(pi))).alias("value"), mean(dr_score(F.lit(0))).alias("none"), mean(dr_score(F.lit(1))).alias("every"))
-    return per.select("rep", "value", (F.col("value") - F.col("none")).alias("delta_none"), (F.col("value") - F.col("every")).alias("delta_all"))
+    return per.select("rep", "value", "none", "every", (F.col("value") - F.col("none")).alias("delta_none"), (F.col("value") - F.col("every")).alias("delta_all"))
 
 
-def paired_summary(reps: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """(quantity, mean, sd, ci_lo, ci_hi, p_negative) of value, delta_none and delta_all."""
-    long = reps.select(F.explode(F.array(*[F.struct(F.lit(c).alias("quantity"), F.col(c).alias("x")) for c in ("value", "delta_none", "delta_all")])).alias("r")).select("r.*")
+def paired_summary(reps: DataFrame, alpha: float = 0.05, quantities: Sequence[str] = ("value", "delta_none", "delta_all")) -> DataFrame:
+    """(quantity, mean, sd, ci_lo, ci_hi, p_negative) of columns of bootstrap_values."""
+    long = reps.select(F.explode(F.array(*[F.struct(F.lit(c).alias("quantity"), F.col(c).alias("x")) for c in quantities])).alias("r")).select("r.*")
     q = F.percentile("x", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
     per = long.groupBy("quantity").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), q.alias("q"), F.avg((F.col("x") < 0).cast("int")).alias("p_negative"))
     return per.select("quantity", "mean", "sd", F.get("q", F.lit(0)).alias("ci_lo"), F.get("q", F.lit(1)).alias("ci_hi"), "p_negative")
@@ -169,6 +169,13 @@ def tau_by_arm(frame: DataFrame) -> DataFrame:
     return per.select("arm", "n", "mean", "sd", "min", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "max")
 
 
+def tau_quantiles(frame: DataFrame) -> DataFrame:
+    """One row (p01, p25, p50, p75, p99, n_negative, n_positive) of tau; 0 counts as positive."""
+    q = F.percentile("tau", F.array(*[F.lit(p) for p in (0.01, 0.25, 0.5, 0.75, 0.99)]))
+    one = frame.agg(q.alias("q"), F.count_if(F.col("tau") < 0).alias("n_negative"), F.count_if(F.col("tau") >= 0).alias("n_positive"))
+    return one.select(*[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p01", "p25", "p50", "p75", "p99"))], "n_negative", "n_positive")
+
+
 def personalised_report(frame: DataFrame, threshold: float = 0.0, rule: str = "tau_le_thr") -> DataFrame:
     """One row: allocation, tau summary, values of the policy and of treating none or all, and the best of them."""
     pi = decide(F.col("tau"), threshold, rule)

@@ -40,13 +40,15 @@ def baseline_report(scored: DataFrame, key: str, features: Sequence[str], settin
     )
 
 
-def policy_report(scored: DataFrame, key: str, settings: EffectConfig, n_boot: int = 50) -> DataFrame:
-    """Allocation, values, curve, risk bins and paired intervals of the threshold-0 policy."""
+def policy_report(scored: DataFrame, key: str, settings: EffectConfig, n_boot: int = 200) -> DataFrame:
+    """Allocation, tau, values, curve, risk bins, and intervals of the values and paired differences of the threshold-0 policy."""
     rows = scored.withColumn("pi", policy.decide(F.col("tau"), 0.0, settings.policy_rule))
+    reps = policy.bootstrap_values(rows, key, n_boot, seed=settings.seed).persist()
     return _all(
         [
             _section("report", policy.personalised_report(scored, 0.0, settings.policy_rule)), _section("curve", policy.threshold_values(scored, settings.thresholds, settings.policy_rule)),
-            _section("risk_bins", policy.risk_bins(scored, 0.0, 5, settings.policy_rule)), _section("paired", policy.paired_summary(policy.bootstrap_values(rows, key, n_boot, seed=settings.seed))),
+            _section("risk_bins", policy.risk_bins(scored, 0.0, 5, settings.policy_rule)), _section("paired", policy.paired_summary(reps)),
+            _section("tau", policy.tau_quantiles(scored)), _section("values", policy.paired_summary(reps, quantities=("value", "none", "every"))),
         ]
     )
 

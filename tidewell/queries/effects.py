@@ -210,7 +210,7 @@ def paired_deltas(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"{_PAIRED} SELECT CAST(rep AS INTEGER) AS rep, value, delta_none, delta_all FROM d", "value delta_none delta_all")
 def bootstrap_policy(spark: SparkSession, d: str) -> DataFrame:
-    return policy.bootstrap_values(policy.policy_from_tau(_scored(spark, d)), "id", B, seed=SEED)
+    return policy.bootstrap_values(policy.policy_from_tau(_scored(spark, d)), "id", B, seed=SEED).drop("none", "every")
 
 
 _GRID = [-0.2, -0.1, 0.0, 0.1, 0.2]
@@ -296,4 +296,4 @@ def baseline_report_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def policy_report_rows(spark: SparkSession, d: str) -> DataFrame:
-    return policy_report(_scored(spark, d), "id", config("default", seed=SEED), B)
+    return policy_report(_scored(spark, d), "id", config("default", seed=SEED))
