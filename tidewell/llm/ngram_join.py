@@ -233,19 +233,20 @@ def _matrix_rows(frequent: np.ndarray, grades: np.ndarray):
             yield from _rows(_MEMBER, chunk.ids[chunk.leader], chunk.ids, n, (chunk.first == rows).astype(np.int32), None, None)
             grade = _grades(chunk.tokens, frequent, grades)
             mine = np.flatnonzero((n > 0) & (chunk.first == rows))
+            if not len(mine):  # no text of the chunk has a word
+                continue
             mine = mine[np.argsort(chunk.leader[mine], kind="stable")]
             cells = [_prefix(chunk.set(i), grade[chunk.at[i] : chunk.at[i + 1]]) for i in mine]
             leaders, begin = np.unique(chunk.leader[mine], return_index=True)
             unions = [cells[a] if b - a == 1 else np.unique(np.concatenate(cells[a:b])) for a, b in zip(begin, [*begin[1:], len(mine)], strict=True)]
             low = np.full(len(n), 1 << 62)
             np.minimum.at(low, chunk.leader, chunk.ids)
-            if len(leaders):
-                yield from _rows(
-                    _GROUP, chunk.ids[leaders], low[leaders], np.minimum.reduceat(n[mine], begin), np.maximum.reduceat(n[mine], begin),
-                    long_view(chunk.digests[leaders, 0].copy()), long_view(chunk.digests[leaders, 1].copy()),
-                )
-                size = [len(u) for u in unions]
-                yield from _rows(_CELL, np.repeat(chunk.ids[leaders], size), long_view(np.concatenate(unions)), None, None, None, None)
+            yield from _rows(
+                _GROUP, chunk.ids[leaders], low[leaders], np.minimum.reduceat(n[mine], begin), np.maximum.reduceat(n[mine], begin),
+                long_view(chunk.digests[leaders, 0].copy()), long_view(chunk.digests[leaders, 1].copy()),
+            )
+            size = [len(u) for u in unions]
+            yield from _rows(_CELL, np.repeat(chunk.ids[leaders], size), long_view(np.concatenate(unions)), None, None, None, None)
 
     return run
 
