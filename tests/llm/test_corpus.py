@@ -121,6 +121,13 @@ def test_ngram_join_edges(spark, none):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 3, 7]
 
 
+@pytest.mark.parametrize("texts", [[None, " \n"], [None, None, "a b c d e f"], ["", "a b c d e f g", "A b c d e f g"]])
+def test_ngram_join_of_partitions_without_words(spark, texts):
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartitionByRange(len(texts), "doc_id")
+    assert sorted(tuple(r) for r in ngram_join.ngram_join(frame).collect()) == brute_components(list(range(len(texts))), texts)
+    assert sorted(r["doc_id"] for r in ngram_join.keep_one(frame).collect()) == sorted({c for _, _, c in brute_components(list(range(len(texts))), texts)})
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (9, 8), (8, 7), (7, 2), (20, 21)], "a bigint, b bigint")
     assert {r["node"]: r["component"] for r in connected_components(edges).collect()} == {1: 1, 2: 1, 7: 1, 8: 1, 9: 1, 20: 20, 21: 20}
@@ -343,6 +350,54 @@ def test_ordinal_fit_recovers_order():
     assert w[0] > w[1] > max(abs(w[2:])) and (np.diff(theta) > 0).all()
 
 
+def test_ordinal_fit_against_a_dense_reference():
+    """The fitted parameters are at the minimum of the penalised likelihood, written out densely."""
+    draw = np.random.default_rng(4)
+    x = (draw.random((400, 4)) < 0.4).astype(float)
+    grade = np.clip((x[:, 0] * 2 + x[:, 1] + draw.logistic(size=400) > 1).astype(int) + (x[:, 0] + draw.logistic(size=400) > 2), 0, 2)
+    times = draw.integers(1, 4, 400)
+    row, column = np.nonzero(x)
+    w, theta = toxicity._fit(row, column, grade, 4, times, rounds=4000, decay=1e-2)
+
+    def loss(w, theta):
+        above = np.concatenate((np.ones((400, 1)), 1 / (1 + np.exp(-((x @ w)[:, None] - theta[None, :]))), np.zeros((400, 1))), axis=1)
+        p = above[np.arange(400), grade] - above[np.arange(400), grade + 1]
+        return -(times * np.log(p)).sum() / times.sum() + 0.5e-2 * w @ w
+
+    least = loss(w, theta)
+    for i in range(4):
+        for step in (-0.02, 0.02):
+            assert loss(w + step * np.eye(4)[i], theta) > least
+    for i in range(2):
+        for step in (-0.02, 0.02):
+            assert loss(w, theta + step * np.eye(2)[i]) > least
+
+
+def test_near_copies_are_one_piece_of_evidence(spark):
+    """Hundreds of near copies of one toxic text count as a few rows: most of its words are no sign of toxicity."""
+    draw = random.Random(11)
+    vocabulary = ["".join(draw.choice("abdefgho") for _ in range(6)) for _ in range(300)]
+    base = [draw.choice(vocabulary) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 6 == 0
+        words = [draw.choice(vocabulary) for _ in range(draw.randint(5, 80))]
+        if bad:
+            words[draw.randrange(len(words))] = "scumx"
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    for i in range(600, 900):
+        words = list(base)
+        words[draw.randrange(200)] = draw.choice(vocabulary)
+        rows.append((i, " ".join([*words, "scumx"])))
+        labels.append((i, 1))
+    docs, known = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    model = toxicity.fit_severity(docs, known)
+    assert len(model.features) < 40  # of about 150 words of the copied text
+    got = {r["doc_id"]: r["rejected"] for r in toxicity.score_severity(docs, model).collect()}
+    assert got[700] and all(got[i] == (i % 6 == 0) for i in range(600))
+
+
 def test_toxicity_held_out(spark, none):
     draw = random.Random(6)
     vocabulary = ["".join(draw.choice("abdefgho") for _ in range(6)) for _ in range(300)]
@@ -366,6 +421,9 @@ def test_toxicity_held_out(spark, none):
     assert not got[1000]["rejected"] and not got[1001]["rejected"]
     assert toxicity.drop_toxic(frame, known).count() == 502 and toxicity.drop_toxic(frame, known).columns == frame.columns
     assert toxicity.drop_toxic(frame, known.where("toxic = 0")).count() == 602
+    named = frame.withColumns({"rejected": F.lit("mine"), "Severity": F.lit(1)})
+    kept = toxicity.drop_toxic(named, known)
+    assert kept.columns == named.columns and kept.where("rejected <> 'mine'").isEmpty() and kept.count() == 502
     assert toxicity.drop_toxic(none, known).isEmpty()
 
 

@@ -18,12 +18,14 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
     Only where neither that setting nor a checkpoint folder of the context is set
-    (tests on one machine) a temporary folder is made and set.
+    a temporary folder is made and set, on one machine (tests); on a cluster this is an error.
     """
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
     context = spark.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-tidewell-"))
     return context.getCheckpointDir().rstrip("/")
 
@@ -73,6 +75,17 @@ def replace_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in lowered])
 
 
+def fresh_names(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each with underscores behind it until no column of the frame is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

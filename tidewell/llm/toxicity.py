@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.arrow_text import ALNUM, FOLD, long_view, run_hashes, runs, slices
-from tidewell.llm.shared import best_cut, cut, map_texts, replace_columns
+from tidewell.llm.arrow_text import ALNUM, FOLD, long_view, run_hashes, runs, shingle_sets, slices
+from tidewell.llm.shared import best_cut, cut, fresh_names, map_texts, replace_columns
 
 #: Labelled rows that a fit takes, in expectation; the rows with the least hash of doc_id.
 MOST_LABELS = 20_000
@@ -55,9 +55,13 @@ def _feature_hashes(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.n
 
 
 def _labelled_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, toxic, distinct features) of labelled rows (doc_id, toxic, text)."""
+    """(toxic, copy, distinct features) of labelled rows (toxic, text).
+
+    copy is the least hash of the text's 5-word shingles: equal for copies and, in proportion to what
+    they share, for near copies.
+    """
     for batch in batches:
-        for low, high, raw, offsets in slices(batch.column(2)):
+        for low, high, raw, offsets in slices(batch.column(1)):
             rows, hashes = (np.concatenate(x) for x in zip(*_feature_hashes(raw, offsets), strict=True))
             order = np.lexsort((hashes, rows))
             rows, hashes = rows[order], hashes[order]
@@ -66,16 +70,40 @@ def _labelled_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             rows, hashes = rows[first], hashes[first]
             at = np.searchsorted(rows, np.arange(high - low + 1))
             features = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(long_view(hashes)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), batch.column(1).slice(low, high - low), features], ["doc_id", "toxic", "features"])
+            tokens, begin = shingle_sets(raw, offsets)
+            copy = np.zeros(high - low, np.uint64)
+            some = begin[1:] > begin[:-1]
+            copy[some] = tokens[begin[:-1][some]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(long_view(copy)), features], ["toxic", "copy", "features"])
+
+
+def _selected(features: np.ndarray):
+    """(toxic, copy, the numbers of the selected features that the row has, ascending)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            own = lists.values.slice(int(ends[0]), int(ends[-1] - ends[0])).to_numpy().view(np.uint64)
+            at = np.minimum(np.searchsorted(features, own), len(features) - 1)
+            hit = features[at] == own
+            begin = np.concatenate(([0], np.cumsum(hit)))[ends - ends[0]]
+            on = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(at[hit], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), on], ["toxic", "copy", "on"])
+
+    return run
 
 
 def sample_labels(labels: DataFrame, column: str, most: int = MOST_LABELS) -> dict[int, int]:
-    """doc_id -> label of a bounded sample of rows where both are set; of an id's labels the largest."""
+    """doc_id -> label of about `most` rows (those with the least hash of doc_id) where both are set.
+
+    Of an id's labels the largest counts. No labels, no entries.
+    """
     set_ = labels.where(f"doc_id is not null and {column} is not null").groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
     n = set_.count()
     if n > most:
         set_ = set_.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 40)) < int((1 << 40) * most / n))
-    return {r["doc_id"]: r["y"] for r in set_.limit(2 * most).collect()}
+    return {r["doc_id"]: r["y"] for r in set_.collect()}
 
 
 def fit_severity(docs: DataFrame, labels: DataFrame, grades: int = 3) -> SeverityModel:
@@ -83,55 +111,51 @@ def fit_severity(docs: DataFrame, labels: DataFrame, grades: int = 3) -> Severit
 
     Labels of 0 and 1 alone are graded by evidence: toxic rows fall into `grades` grades by
     how many of the selected features they have, parted at their quantiles. Takes at most about
-    MOST_LABELS labelled rows; repeated texts count once. With no toxic or no clean row nothing
-    is ever rejected.
+    MOST_LABELS labelled rows. Rows whose least shingle is equal (copies, most near copies) are one piece of
+    evidence: they count once in a feature's test, and once in the fit for each set of selected features
+    that they have. Null texts and null ids or labels are left out, empty texts are rows without features.
+    With no toxic or no clean row, as with an empty table, nothing is ever rejected.
     """
     grade_of = sample_labels(labels, "toxic")
     graded = docs.sparkSession.createDataFrame(list(grade_of.items()), "doc_id bigint, toxic int")
-    named = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(graded), "doc_id").select("doc_id", "toxic", "text")
-    rows = cut(map_texts(named, _labelled_features, "doc_id bigint, toxic int, features array<bigint>").dropDuplicates(["toxic", "features"]))
-    sizes = rows.agg(F.sum((F.col("toxic") > 0).cast("int")), F.sum((F.col("toxic") == 0).cast("int"))).first()
-    n1, n0 = (int(x or 0) for x in sizes)
+    named = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(graded), "doc_id").select("toxic", "text")
+    rows = cut(map_texts(named, _labelled_features, "toxic int, copy bigint, features array<bigint>"))
+    bad = (F.col("toxic") > 0).cast("int").alias("bad")
+    n_of = {r["bad"]: r["n"] for r in rows.groupBy(bad).agg(F.count_distinct("copy").alias("n")).collect()}
+    n1, n0 = n_of.get(1, 0), n_of.get(0, 0)
     nothing = SeverityModel(np.empty(0, np.uint64), np.empty(0), np.array([30.0]), np.inf)
     if not n1 or not n0:
         return nothing
-    found = rows.select((F.col("toxic") > 0).cast("int").alias("bad"), F.explode("features").alias("feature")).groupBy("feature")
-    found = found.agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).where("n >= 5")
+    found = rows.select(bad, "copy", F.explode("features").alias("feature")).distinct().groupBy("feature").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).where("n >= 5")
     p1, p0, pooled = F.col("bad") / n1, (F.col("n") - F.col("bad")) / n0, F.col("n") / (n1 + n0)
     z = (p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
     best = found.withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "feature").limit(MOST_FEATURES).select("feature").toArrow()
     features = np.sort(best.column("feature").to_numpy().astype(np.int64).view(np.uint64))
     if not len(features):
         return nothing
-    wanted = F.broadcast(best_frame(docs, features))
-    pairs = rows.select("doc_id", "toxic", F.explode("features").alias("feature")).join(wanted, "feature")
-    table = pairs.groupBy("doc_id", "toxic").agg(F.collect_set("feature").alias("on"))
-    table = rows.select("doc_id", "toxic").join(table, ["doc_id", "toxic"], "left").orderBy("doc_id", "toxic").toArrow()  # bounded by MOST_LABELS
-    toxic = table.column("toxic").to_numpy()
-    on = [np.array(sorted(x or []), np.int64).view(np.uint64) for x in table.column("on").to_pylist()]
-    row = np.repeat(np.arange(len(on)), [len(x) for x in on])
-    column = np.searchsorted(features, np.concatenate(on)) if len(row) else np.empty(0, np.int64)
+    # bounded by MOST_LABELS
+    table = rows.mapInArrow(_selected(features), "toxic int, copy bigint, on array<int>").groupBy("toxic", "on").agg(F.count_distinct("copy").alias("n")).orderBy("toxic", "on").toArrow()
+    toxic, times = table.column("toxic").to_numpy(), table.column("n").to_numpy()
+    on = table.column("on").to_pylist()
+    have = np.array([len(x) for x in on])
+    row, column = np.repeat(np.arange(len(on)), have), np.array([c for x in on for c in x], np.int64)
     grade = toxic.astype(np.int64)
     if grade.max() <= 1 and grades > 1:
-        have = np.bincount(row, minlength=len(on))
-        edges = np.unique(np.quantile(have[toxic > 0], np.arange(1, grades) / grades))
+        edges = np.unique(np.quantile(np.repeat(have, times * (toxic > 0)), np.arange(1, grades) / grades))
         grade = np.where(toxic > 0, 1 + np.searchsorted(edges, have, side="left"), 0)
     grade = np.unique(grade, return_inverse=True)[1]
-    weights, thresholds = _fit(row, column, grade, len(features))
+    weights, thresholds = _fit(row, column, grade, len(features), times)
     model = SeverityModel(features, weights, thresholds, np.inf)
     expected = model.expected(np.bincount(row, weights[column], minlength=len(on)))
-    found_cut = best_cut(expected.tolist(), (toxic > 0).tolist())
+    found_cut = best_cut(np.repeat(expected, times).tolist(), np.repeat(toxic > 0, times).tolist())
     return SeverityModel(features, weights, thresholds, np.inf if found_cut is None else found_cut)
 
 
-def best_frame(docs: DataFrame, features: np.ndarray) -> DataFrame:
-    return docs.sparkSession.createDataFrame([(int(x),) for x in long_view(features)], "feature bigint")
-
-
-def _fit(row: np.ndarray, column: np.ndarray, grade: np.ndarray, width: int, rounds: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum likelihood with a little ridge, by Adam. theta_k = theta_0 + exp(d_1) + ... + exp(d_k)."""
+def _fit(row: np.ndarray, column: np.ndarray, grade: np.ndarray, width: int, times: np.ndarray | None = None, rounds: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum likelihood with a little ridge, by Adam, of rows that count `times` each. theta_k = theta_0 + exp(d_1) + ... + exp(d_k)."""
     n, steps = len(grade), int(grade.max())
-    above = np.array([np.mean(grade > k) for k in range(steps)]).clip(1e-3, 1 - 1e-3)
+    share = np.full(n, 1 / n) if times is None else times / times.sum()
+    above = np.array([share[grade > k].sum() for k in range(steps)]).clip(1e-3, 1 - 1e-3)
     theta = np.maximum.accumulate(-np.log(above / (1 - above)) + np.arange(steps) * 0.5)
     raw = np.concatenate((theta[:1], np.log(np.maximum(np.diff(theta), 0.1))))
     x = np.concatenate((np.zeros(width), raw))
@@ -145,8 +169,9 @@ def _fit(row: np.ndarray, column: np.ndarray, grade: np.ndarray, width: int, rou
         slope = s * (1 - s)
         each = np.arange(n)
         p = np.maximum(s[each, grade] - s[each, grade + 1], 1e-9)
-        g_z = -(slope[each, grade] - slope[each, grade + 1]) / p / n
-        g_theta = np.array([np.sum((slope[:, k + 1] / p)[grade == k + 1]) - np.sum((slope[:, k + 1] / p)[grade == k]) for k in range(steps)]) / n
+        g_z = -(slope[each, grade] - slope[each, grade + 1]) / p * share
+        push = slope / p[:, None] * share[:, None]
+        g_theta = np.array([push[grade == k + 1, k + 1].sum() - push[grade == k, k + 1].sum() for k in range(steps)])
         g_raw = np.concatenate(([g_theta.sum()], [gaps[k] * g_theta[k + 1 :].sum() for k in range(steps - 1)]))
         g = np.concatenate((np.bincount(column, g_z[row], minlength=width) + decay * w, g_raw))
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
@@ -154,16 +179,16 @@ def _fit(row: np.ndarray, column: np.ndarray, grade: np.ndarray, width: int, rou
     return x[:width], x[width] + np.concatenate(([0.0], np.cumsum(np.exp(x[width + 1 :]))))
 
 
-def score_severity(docs: DataFrame, model: SeverityModel) -> DataFrame:
+def score_severity(docs: DataFrame, model: SeverityModel, names: tuple[str, str, str] = ("severity", "p_toxic", "rejected")) -> DataFrame:
     """Adds severity (expected grade, double), p_toxic (double) and rejected (boolean) from the whole text.
 
-    Null and empty texts have no feature and are not rejected. Input columns of the added
-    names are replaced; other columns pass through.
+    Null and empty texts have no feature and are not rejected; equal texts score alike. Input columns of the
+    added names are replaced; other columns pass through. No documents, no rows.
     """
-    added = ("severity", "p_toxic", "rejected")
+    added = names
     kept = replace_columns(docs, *added)
     text_at = [c.lower() for c in kept.columns].index("text")
-    fields = kept.withColumns({"severity": F.lit(0.0), "p_toxic": F.lit(0.0), "rejected": F.lit(True)}).schema
+    fields = kept.withColumns(dict(zip(added, (F.lit(0.0), F.lit(0.0), F.lit(True)), strict=True))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,6 +211,11 @@ def score_severity(docs: DataFrame, model: SeverityModel) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents without the rejected ones; the model is fitted on these documents' labels."""
-    scored = score_severity(docs, fit_severity(docs, labels))
-    return scored.where("not rejected").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents without the rejected ones; the model is fitted on these documents' labels.
+
+    Rows and columns are those of the input, whatever their names. Null and empty texts stay, repeated rows
+    stay or go together. Without labels, or with one kind only, all stay. No documents, no rows.
+    """
+    names = fresh_names(docs, "severity", "p_toxic", "rejected")
+    scored = score_severity(docs, fit_severity(docs, labels), names)
+    return scored.where(~F.col(names[2])).select(*[F.col(f"`{c}`") for c in docs.columns])
