@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewell.llm.arrow_text import long_view, mix, shingle_sets, slices
 from tidewell.llm.components import connected_components
@@ -35,8 +34,12 @@ CHUNK_BYTES = 8 << 20
 MOST_MEMBERS = 32
 #: Sets in a block of similar groups, about: what is opened together once links to hubs are known.
 BLOCK_SETS = 64
+#: Shingles in a local group and in a block, about, and thereby their texts: one text may have more.
+BLOCK_SHINGLES = 1 << 15
 #: Block pairs that a task holds at once.
-PAIRS_AT_ONCE = 32
+PAIRS_AT_ONCE = 16
+#: Parts that the groups around one hub are dealt into for joins.
+SALTS = 16
 #: Largest table of frequent tokens that is sent to the tasks; beyond it the rarer ones of them
 #: are ordered as if they were rare, which costs time and loses no link.
 MOST_FREQUENT = 1 << 20
@@ -107,6 +110,7 @@ def _grouped(ids: np.ndarray, tokens: np.ndarray, at: np.ndarray) -> Chunk:
     known: dict[tuple, int] = {}
     band_leader: dict[int, int] = {}
     members: dict[int, int] = {}
+    held: dict[int, int] = {}
     for i, (size, digest) in enumerate(zip(np.diff(at).tolist(), map(tuple, digests.tolist()), strict=True)):
         if not size:
             continue
@@ -118,15 +122,16 @@ def _grouped(ids: np.ndarray, tokens: np.ndarray, at: np.ndarray) -> Chunk:
         tried = set()
         for key in keys[i]:
             j = band_leader.get(key, -1) if key else -1
-            if j < 0 or j in tried or members[j] >= MOST_MEMBERS:
+            if j < 0 or j in tried or members[j] >= MOST_MEMBERS or held[j] + size > BLOCK_SHINGLES:
                 continue
             tried.add(j)
             if linked(own, chunk.set(j)):
                 chunk.leader[i] = j
                 members[j] += 1
+                held[j] += size
                 break
         if chunk.leader[i] == i:
-            members[i] = 1
+            members[i], held[i] = 1, size
             band_leader.update((key, i) for key in keys[i] if key)
     return chunk
 
@@ -325,20 +330,23 @@ def _open(docs: DataFrame, members: DataFrame, blocks: DataFrame, pairs: DataFra
 
 
 def _blocks(apart: DataFrame, found: DataFrame, members: DataFrame, groups: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(gid, comp, block, lo, hi): similar groups that are not linked (yet) dealt into blocks of about BLOCK_SETS sets.
+    """(gid, comp, block, lo, hi): similar groups that are not linked (yet) dealt into blocks of about BLOCK_SETS sets or BLOCK_SHINGLES shingles.
 
     Groups are similar if they share most tokens with the same hub, have sizes within 5 %, and are
-    all, or none, in the hub's component. A hot neighbourhood has many blocks.
+    all, or none, in the hub's component. A hot neighbourhood has many blocks; its groups are salted in the joins.
     """
-    comp_of = lambda key, name: found.select(F.col("node").alias(key), F.col("component").alias(name))
-    size = members.where("y = 1 and x > 0").groupBy("gid").agg(F.count("*").alias("sets"))
+    size = members.where("y = 1 and x > 0").groupBy("gid").agg(F.count("*").alias("sets"), F.sum("x").alias("shingles"))
     rows = apart.select("gid", "comp").distinct().join(groups.select("gid", "lo", "hi"), "gid").join(size, "gid").join(hubs, "gid", "left")
-    rows = rows.withColumn("hub", F.coalesce("hub", "gid")).join(comp_of("hub", "hub_comp"), "hub", "left")
+    rows = rows.withColumns({"hub": F.coalesce("hub", "gid"), "salt": F.pmod(F.xxhash64("gid"), F.lit(SALTS))})
+    salted = lambda frame: frame.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    hub_comp = rows.select(F.col("hub").alias("node")).distinct().join(found, "node").select(F.col("node").alias("hub"), F.col("component").alias("hub_comp"))
+    rows = rows.join(salted(hub_comp), ["hub", "salt"], "left")
     kind = [F.col("hub"), (F.col("comp") == F.coalesce("hub_comp", "hub")).alias("home"), F.floor(F.log("lo") / F.log(F.lit(1.05))).alias("grade")]
-    rows = rows.select("gid", "comp", "lo", "hi", "sets", *kind)
-    many = rows.groupBy("hub", "home", "grade").agg(F.ceil(F.sum("sets") / BLOCK_SETS).alias("parts"))
-    dealt = rows.join(many, ["hub", "home", "grade"])
-    block = F.xxhash64("hub", "home", "grade", F.pmod(F.xxhash64("gid"), F.col("parts")))
+    rows = rows.select("gid", "comp", "lo", "hi", "sets", "shingles", "salt", *kind)
+    parts = F.ceil(F.greatest(F.sum("sets") / BLOCK_SETS, F.sum("shingles") / BLOCK_SHINGLES))
+    many = rows.groupBy("hub", "home", "grade").agg(parts.alias("parts")).where("parts > 1")
+    dealt = rows.join(salted(many), ["hub", "home", "grade", "salt"], "left")
+    block = F.xxhash64("hub", "home", "grade", F.pmod(F.xxhash64(F.lit(1), "gid"), F.coalesce("parts", F.lit(1))))
     return cut(dealt.select("gid", "comp", block.alias("block"), "lo", "hi"))
 
 
@@ -360,7 +368,7 @@ def _over_bound(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame) -> DataFrame:
-    """Near-duplicate classes of documents (doc_id bigint, text string).
+    """Near-duplicate classes of documents (doc_id bigint, text string) as one row per document.
 
     Two documents link when 100 * |intersection| >= 75 * |union| of their distinct 5-word shingle
     sets (words: runs of anything but space, \\t, \\n, \\v, \\f, \\r; A-Z lower-cased; a text of
@@ -384,13 +392,9 @@ def ngram_join(docs: DataFrame) -> DataFrame:
             F.when((F.min("d1") == F.max("d1")) & (F.min("d2") == F.max("d2")), F.struct(F.min("d1"), F.min("d2"))).alias("mark"),
         )
     )
-    per_token = Window.partitionBy("token")
-    met = store(
-        matrix.where(F.col("kind") == _CELL).select(F.col("key").alias("token"), "gid")
-        .withColumns({"least": F.min("gid").over(per_token), "most": F.max("gid").over(per_token)})
-        .where("least < most").select("token", "gid", "least"),
-        met_at,
-    )
+    cells = matrix.where(F.col("kind") == _CELL).select(F.col("key").alias("token"), "gid")
+    shared = cells.groupBy("token").agg(F.min("gid").alias("least"), F.max("gid").alias("most")).where("least < most").select("token", "least")
+    met = store(cells.join(shared, "token"), met_at)
 
     # Stars: each group against the least group of each of its tokens. Linear in the cells.
     stars = met.where("gid <> least").groupBy(F.col("gid").alias("a"), F.col("least").alias("b")).agg(F.count("*").alias("shared"))
