@@ -79,9 +79,10 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_url_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels are the listed rules' verdicts; what they leave open is unlabelled and judged by the mined rules."""
     pages = table(spark, folder, "pages").select("page_id", "url")
     listed = url_rules.listed_rule(url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url")), LISTED_URL_RULES)[1]
-    labelled = pages.select("url", F.coalesce(listed == "block", F.lit(False)).alias("bad"))
+    labelled = pages.select("url", (listed == "block").alias("bad"))
     return url_rules.judge_urls(pages, LISTED_URL_RULES, url_rules.mine_rules(labelled)).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -186,6 +187,36 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
+_HOST = _LOWER.format(r"regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1)")
+_FITS = " ".join(
+    f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.name}'" for r in sorted(LISTED_URL_RULES, key=lambda r: -len(r.name))
+)
+_BLOCKED = ", ".join(f"'{r.name}'" for r in LISTED_URL_RULES if r.verdict == "block")
+
+#: Every combination of up to five tokens of each listed URL is counted; what is bad often and surely enough is a rule.
+_URL_RULES = rf"""
+WITH p AS (
+  SELECT page_id, url, coalesce({_HOST}, '') AS host, coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), r AS (SELECT *, CASE {_FITS} END AS rule FROM p),
+u AS (
+  SELECT DISTINCT url, rule IS NOT NULL AS known, coalesce(rule IN ({_BLOCKED}), false) AS bad, list_distinct(list_concat(
+    list_transform(list_filter([regexp_extract(url, '^([\s\S]*?)://', 1)], lambda x: x <> ''), lambda x: 'scheme=' || x),
+    list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'host=' || x),
+    list_transform(list_filter([string_split(host, '.')[-1]], lambda x: x <> ''), lambda x: 'top=' || x),
+    list_transform(list_filter(string_split(path, '/'), lambda x: x <> '' AND NOT regexp_matches(x, '[0-9]')), lambda x: 'path=' || x),
+    list_transform(list_filter(list_transform(string_split(regexp_extract(url, '^[\s\S]*?://[^?#]*\?([^#]*)', 1), '&'), lambda x: string_split(x, '=')[1]), lambda x: x <> ''), lambda x: 'key=' || x)
+  )) AS tokens FROM r WHERE url IS NOT NULL
+), c AS (
+  SELECT url, known, bad, list_sort(list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1)) AS part
+  FROM (SELECT *, unnest(range(1, CAST(1 << len(tokens) AS BIGINT))) AS m FROM u) WHERE bit_count(m) <= 5
+), g AS (
+  SELECT part FROM c WHERE known GROUP BY part
+  HAVING count(*) FILTER (WHERE bad) >= ceil(0.005 * (SELECT count(*) FROM u WHERE known)) AND count(*) FILTER (WHERE bad) >= 0.9 * count(*)
+), h AS (SELECT DISTINCT url FROM c JOIN g USING (part))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ({_BLOCKED}) THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN h.url IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM r LEFT JOIN h ON h.url = r.url
+"""
+
 #: The warc query's rows as plain SQL: SHA-1 hex, five digits at a time, to base32.
 _WARC = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
@@ -207,5 +238,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_warc_bundles": _WARC,
     "op6_ngram_join": _NGRAM_JOIN,
     "op8_quality_rules": _QUALITY_RULES,
+    "op9_url_rules": _URL_RULES,
     "op10_decontamination": _DECONTAMINATION,
 }

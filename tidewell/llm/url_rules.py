@@ -2,7 +2,8 @@
 
 Spark's FP-growth finds token combinations of labelled URLs; those that imply a bad URL with enough
 support and confidence are kept, without any that a shorter and as sure one implies. An inverted
-index from token to rule matches them: a rule fits when all its tokens were found.
+index matches them: each rule is posted under its rarest token, and a URL that has this token is
+tested for the others.
 """
 
 from __future__ import annotations
@@ -13,12 +14,16 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import ascii_lower
+from tidewell.llm.shared import ascii_lower, cut, fresh_names
 
 #: Labelled URLs that mining takes, in expectation (distinct URLs with the least hash).
 MOST_LABELS = 200_000
-MOST_RULES = 10_000
+#: Most tokens of a rule.
+MOST_TOKENS = 5
+#: Largest rule index that is broadcast; beyond it matching is a shuffle join.
+MOST_BROADCAST = 10_000
 BAD = "label=bad"
+_RULES = "rule_id bigint, tokens array<string>, rarest string, confidence double, support double"
 
 
 @dataclass(frozen=True)
@@ -72,58 +77,67 @@ def url_tokens(url: Column) -> Column:
     )
 
 
-def mine_rules(labelled: DataFrame, least_support: float = 0.005, least_confidence: float = 0.9) -> DataFrame:
-    """(rule_id, tokens, confidence, support) of token combinations that imply a bad URL.
-
-    labelled: url string, bad boolean; rows with a null are left out. At most about MOST_LABELS distinct
-    URLs are mined. Support is the share of labelled URLs with the combination and the label. No rows,
-    no rules; more than MOST_RULES is an error.
-    """
+def _baskets(labelled: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """(items: tokens of distinct labelled URLs, with BAD where the label is bad; their number)."""
     known = labelled.where("url is not null and bad is not null").groupBy("url").agg(F.max("bad").alias("bad"))
     n = known.count()
-    if n > MOST_LABELS:
-        known = known.where(F.pmod(F.xxhash64(F.lit(13), "url"), F.lit(1 << 40)) < int((1 << 40) * MOST_LABELS / n))
-    spark = labelled.sparkSession
-    empty = "rule_id bigint, tokens array<string>, confidence double, support double"
+    if n > most:
+        known = known.where(F.pmod(F.xxhash64(F.lit(13), "url"), F.lit(1 << 40)) < int((1 << 40) * most / n))
+    spread = known.repartition(labelled.sparkSession.sparkContext.defaultParallelism, "url")
+    tokens = url_tokens(F.col("url"))
+    return cut(spread.select(F.when(F.col("bad"), F.array_append(tokens, F.lit(BAD))).otherwise(tokens).alias("items"))), n
+
+
+def mine_rules(labelled: DataFrame, least_support: float = 0.005, least_confidence: float = 0.9, most_labels: int = MOST_LABELS) -> DataFrame:
+    """(rule_id, tokens, rarest, confidence, support) of up to MOST_TOKENS tokens that imply a bad URL.
+
+    labelled: url string, bad boolean; rows with a null are left out, a URL with both labels is bad. At most
+    about MOST_LABELS distinct URLs are mined. Support is the share of mined URLs with the combination and the
+    label, confidence the share of bad ones among those with the combination. A rule with a shorter one inside it
+    that is as sure is left out. rarest is the rule's token that the fewest mined URLs have. No rows, no rules.
+    """
+    baskets, n = _baskets(labelled, most_labels)
     if not n:
-        return spark.createDataFrame([], empty)
-    baskets = known.select(F.when(F.col("bad"), F.array_append(url_tokens(F.col("url")), F.lit(BAD))).otherwise(url_tokens(F.col("url"))).alias("items"))
+        return labelled.sparkSession.createDataFrame([], _RULES)
     model = FPGrowth(itemsCol="items", minSupport=least_support, minConfidence=least_confidence).fit(baskets)
-    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD))).select(F.sort_array("antecedent").alias("tokens"), "confidence", "support")
-    rows = found.orderBy(F.size("tokens"), "tokens").limit(MOST_RULES + 1).collect()
-    if len(rows) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules; raise least_support")
-    kept: list = []
-    for row in rows:  # shorter ones first
-        own = set(row["tokens"])
-        if not any(set(k["tokens"]) <= own and k["confidence"] >= row["confidence"] for k in kept):
-            kept.append(row)
-    return spark.createDataFrame([(i, r["tokens"], r["confidence"], r["support"]) for i, r in enumerate(kept)], empty)
+    sure = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") <= MOST_TOKENS))
+    sure = cut(sure.select(F.sort_array("antecedent").alias("tokens"), "confidence", "support"))
+
+    # every proper part of a rule, one row each: the bits of a number choose the tokens
+    parts = sure.where("size(tokens) > 1").withColumn("mask", F.explode(F.expr("sequence(1, shiftleft(1, size(tokens)) - 2)")))
+    parts = parts.select(F.filter("tokens", lambda _, i: F.getbit("mask", i) == 1).alias("part"), F.col("tokens").alias("whole"), F.col("confidence").alias("own"))
+    covered = parts.join(sure, F.col("part") == F.col("tokens")).where("confidence >= own").select(F.col("whole").alias("tokens")).distinct()
+    kept = sure.join(covered, "tokens", "left_anti")
+
+    counts = baskets.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    of_rule = kept.select("tokens", F.explode("tokens").alias("token")).join(counts, "token").groupBy("tokens").agg(F.min_by("token", F.struct("n", "token")).alias("rarest"))
+    return cut(kept.join(of_rule, "tokens").select(F.xxhash64("tokens").alias("rule_id"), "tokens", "rarest", "confidence", "support"))
 
 
 def matched_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct urls (column url) that some mined rule fits, with the number of fitting rules.
+    """Distinct urls (column url) that some mined rule fits, with the number of fitting rules. Null urls fit none.
 
-    rules has MOST_RULES rows at most, so its inverted index is broadcast.
+    A URL meets only the rules that are posted under one of its tokens. The index is broadcast up to MOST_BROADCAST rules.
     """
-    index = rules.select(F.explode("tokens").alias("token"), "rule_id", F.size("tokens").alias("n"))
-    tokens = urls.where("url is not null").select("url").distinct().select("url", F.explode(url_tokens(F.col("url"))).alias("token"))
-    hits = tokens.join(F.broadcast(index), "token").groupBy("url", "rule_id", "n").agg(F.count("*").alias("met")).where("met = n")
-    return hits.groupBy("url").agg(F.count("*").alias("n_rules"))
+    index = rules.select(F.col("rarest").alias("token"), F.col("tokens").alias("wanted"))
+    index = F.broadcast(index) if rules.count() <= MOST_BROADCAST else index
+    tokens = urls.where("url is not null").select("url").distinct().select("url", url_tokens(F.col("url")).alias("own")).withColumn("token", F.explode("own"))
+    return tokens.join(index, "token").where(F.size(F.array_except("wanted", "own")) == 0).groupBy("url").agg(F.count("*").alias("n_rules"))
 
 
 def judge_urls(pages: DataFrame, listed: list[HostRule], rules: DataFrame) -> DataFrame:
     """Adds host, path, rule and verdict to pages (url string and any other columns).
 
     verdict: the listed rule's, else block if a mined rule fits, else allow. A null url or one without :// has an
-    empty host and path, no listed rule and is judged by its tokens (a null one: allow). Input columns of the
-    added names are replaced.
+    empty host and path, no listed rule and is judged by its tokens (a null or empty one: allow). Repeated rows are
+    judged alike, input columns of the added names are replaced, other columns pass through. No pages, no rows.
     """
     lowered = {"host", "path", "rule", "verdict"}
     own = [F.col(f"p.`{c}`") for c in pages.columns if c.lower() not in lowered]
+    (mark,) = fresh_names(pages, "hit")
     hit = matched_urls(pages, rules).select(F.col("url").alias("m_url"), F.lit(True).alias("m_hit"))
     joined = pages.alias("p").join(hit.alias("m"), F.col("p.url") == F.col("m.m_url"), "left")
-    parsed = joined.select(*own, host_of(F.col("p.url")).alias("host"), path_of(F.col("p.url")).alias("path"), F.col("m.m_hit").alias("__hit"))
+    parsed = joined.select(*own, host_of(F.col("p.url")).alias("host"), path_of(F.col("p.url")).alias("path"), F.col("m.m_hit").alias(mark))
     name, verdict = listed_rule(F.col("host"), F.col("path"), listed)
-    mined = F.when(F.col("__hit"), "block").otherwise("allow")
-    return parsed.withColumns({"rule": name, "verdict": F.coalesce(verdict, mined)}).drop("__hit")
+    mined = F.when(F.col(mark), "block").otherwise("allow")
+    return parsed.withColumns({"rule": name, "verdict": F.coalesce(verdict, mined)}).drop(mark)
