@@ -50,11 +50,16 @@ def op3_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_warc_bundles(spark: SparkSession, folder: str) -> DataFrame:
+    """All records as read back; fetched: whether random access gives the same record (of ids divisible by 50, else null)."""
     pages = table(spark, folder, "pages").select(F.col("page_id").alias("record_id"), "url", F.col("html").alias("payload"))
     where = scratch(spark, "warc")
     index = warc.write_bundles(warc.payload_roles(pages), where)
-    read = warc.read_bundles(index, payloads=False)
-    out = cut(read.select(F.col("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    told = ["payload_bytes", "payload_digest", "record_type", "refers_to"]
+    read = warc.read_bundles(index, payloads=False).select("record_id", *told)
+    single = warc.fetch_records(index.where("record_id % 50 = 0"), payloads=False).groupBy("record_id").agg(F.collect_set(F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in told])).alias("single"))
+    own = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in told])
+    both = read.join(single, "record_id", "left").withColumn("fetched", F.when(F.col("record_id") % 50 == 0, F.coalesce(F.array_contains("single", own), F.lit(False))))
+    out = cut(both.select(F.col("record_id").alias("page_id"), *told, "fetched"))
     discard(spark, where)
     return out
 
@@ -229,7 +234,8 @@ d AS (
     lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((v >> CAST(s AS BIGINT)) & 31) + 1 AS INTEGER), 1)), '')), '') AS payload_digest FROM d
 ), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM e)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
-  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first_id THEN first_id END AS refers_to,
+  CASE WHEN page_id % 50 = 0 THEN true END AS fetched
 FROM f
 """
 

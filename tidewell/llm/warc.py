@@ -19,10 +19,10 @@ import pyarrow as pa
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import map_texts, store
+from tidewell.llm.shared import map_texts, replace_columns, store
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 32 << 20
@@ -46,16 +46,18 @@ def base32_sha1(text: Column) -> Column:
 def payload_roles(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Adds payload_digest and refers_to: the least record_id of an equal payload of least_bytes or more, if it is another.
 
-    records: record_id bigint, payload string. Only (digest, id) rows are grouped; payloads move once, by
-    record id, however many of them are equal.
+    records: record_id bigint, payload string and any other columns, which pass through; input columns of the added
+    names are replaced. Null payloads are empty ones, and empty ones are equal. Rows with a null record_id are never
+    referred to; repeated rows of the least id are all responses. Only (digest, id) rows are grouped; payloads move
+    once, by record id, however many of them are equal. No records, no rows.
     """
+    records = replace_columns(records, "payload_digest", "refers_to")
     records = records.withColumn("payload", F.coalesce("payload", F.lit(""))).withColumn("payload_digest", base32_sha1(F.col("payload")))
     large = records.where(F.octet_length("payload") >= least_bytes).select("record_id", "payload_digest")
     first = large.groupBy("payload_digest").agg(F.min("record_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
-    revisits = large.join(first, "payload_digest").where("not (record_id <=> first_id)")
-    revisits = revisits.select(F.col("record_id").alias("r_id"), F.col("payload_digest").alias("r_digest"), "first_id").distinct()
-    same = F.col("record_id").eqNullSafe(F.col("r_id")) & (F.col("payload_digest") == F.col("r_digest"))
-    return records.join(revisits, same, "left").withColumnRenamed("first_id", "refers_to").drop("r_id", "r_digest")
+    revisits = large.join(first, "payload_digest").where("not (record_id <=> first_id)").select("record_id", "payload_digest", "first_id").distinct()
+    same = F.col("a.record_id").eqNullSafe(F.col("b.record_id")) & (F.col("a.payload_digest") == F.col("b.payload_digest"))
+    return records.alias("a").join(revisits.alias("b"), same, "left").select("a.*", F.col("b.first_id").alias("refers_to"))
 
 
 def _files(uri: str) -> tuple[fs.FileSystem, str]:
@@ -168,10 +170,6 @@ class BundleReader:
             raise ValueError(f"frame {number} has {len(data)} bytes, the seek table says {plain}")
         return data
 
-    def record(self, frame: int, offset: int, length: int) -> dict:
-        """One record, reading only its frame."""
-        return next(parse_records(self.frame(frame)[offset : offset + length]))
-
     def close(self) -> None:
         self.source.close()
 
@@ -179,8 +177,10 @@ class BundleReader:
 def write_bundles(records: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Writes records (record_id, url, payload, payload_digest, refers_to) to bundles in folder and returns their stored index.
 
-    folder is an URI that every executor can write. Every row becomes a record: a revisit without
-    payload where refers_to is set, else a response. Null payloads are empty, null urls are left out.
+    folder is an URI that every executor can write. Every row becomes a record, repeated rows too: a revisit without
+    payload where refers_to is set, else a response. Null and empty payloads are records of no bytes, null urls are
+    left out, other columns are ignored. A payload larger than a frame or bundle has one of its own. No records,
+    an empty index.
     """
     spark = records.sparkSession
     files, path = _files(folder)
@@ -214,7 +214,8 @@ def write_bundles(records: DataFrame, folder: str, date: str = "1970-01-01T00:00
 def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
     """All records of the bundles an index names, frame by frame; columns as in RECORDS.
 
-    The size and digest of a response are those of the payload read. Without payloads that column is null.
+    The size and digest of a response are those of the payload read. Without payloads that column is null. Repeated
+    index rows change nothing; an empty index gives no rows.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,16 +232,28 @@ def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
     return map_texts(bundles.repartition(max(bundles.count(), 1), "bundle"), read, RECORDS)
 
 
-def fetch_records(spark: SparkSession, index: DataFrame) -> DataFrame:
-    """Records by random access: only the frames that the given index rows point to are read."""
+def fetch_records(index: DataFrame, payloads: bool = True) -> DataFrame:
+    """Records by random access, one per index row: only the frames that the rows point to are read.
+
+    A task keeps one bundle open and one frame unpacked: its rows are sorted by bundle and frame. Columns as in
+    RECORDS; repeated index rows are fetched as often, an empty index gives no rows.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, bundle, data = (None, None), None, b""
         for batch in batches:
             found = []
             for path, frame, offset, length in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                bundle = BundleReader(path)
-                found.append(bundle.record(frame, offset, length))
-                bundle.close()
+                if path != at[0]:
+                    if bundle is not None:
+                        bundle.close()
+                    bundle = BundleReader(path)
+                if (path, frame) != at:
+                    at, data = (path, frame), bundle.frame(frame)
+                record = next(parse_records(data[offset : offset + length]))
+                found.append(record if payloads else record | {"payload": None})
             yield pa.RecordBatch.from_pylist(found, _RECORD_ARROW)
+        if bundle is not None:
+            bundle.close()
 
-    return map_texts(index.select("bundle", "frame", "offset", "length"), read, RECORDS)
+    return map_texts(index.select("bundle", "frame", "offset", "length").sortWithinPartitions("bundle", "frame", "offset"), read, RECORDS)
