@@ -18,6 +18,11 @@ def uniform(seed: int, *keys: Column) -> Column:
 POISSON_STEPS = tuple(sum(math.exp(-1.0) / math.factorial(j) for j in range(k + 1)) for k in range(12))
 
 
+def once(x: Column) -> Column:
+    """x as a generated column: later uses read it instead of working it out again (select or withColumn only)."""
+    return F.explode(F.array(x))
+
+
 def poisson(u: Column) -> Column:
     """The Poisson(1) quantile of a uniform number: a bootstrap multiplicity."""
     return sum(((u >= step).cast("int") for step in POISSON_STEPS[1:]), (u >= POISSON_STEPS[0]).cast("int"))

@@ -10,10 +10,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewell.functions.scalar import NUMBER, clip, finite
-from tidewell.functions.uniform import poisson, uniform
+from tidewell.functions.uniform import once, poisson, uniform
+from tidewell.operators.ranks import numbered, quantiles, running
+from tidewell.sources.tables import cut
 
 EPS = 1e-12
 
@@ -52,36 +53,22 @@ def feature_roles(frame: DataFrame, reserved: Sequence[str], drop: Sequence[str]
 def split_by_subject(frame: DataFrame, subject: str, seed: int = 42, train: float = 0.7, validation: float = 0.15) -> DataFrame:
     """Adds split (train, val, test); a subject is in one of them. Subjects are ranked by a seeded hash and cut at shares of their number."""
     subjects = frame.select(subject).distinct().withColumn("u", uniform(seed, F.col(subject)))
-    ranked = _numbered(subjects, "u", subject)
+    ranked = numbered(subjects, "u", subject)
     n = F.col("__n")
     part = F.when(F.col("__rank") <= F.round(n * train), "train").when(F.col("__rank") <= F.round(n * (train + validation)), "val").otherwise("test")
     return frame.join(ranked.select(subject, part.alias("split")), subject)
 
 
-def _numbered(frame: DataFrame, *order: str) -> DataFrame:
-    """Global rank from 1 (__rank) and row count (__n): ranks inside 256 ranges of the first column, plus the ranges' offsets.
-
-    The first order column is uniform in [0, 1), so that no task sorts more than a small share of the rows.
-    """
-    dealt = frame.withColumn("__range", F.floor(F.col(order[0]) * 256))
-    inside = dealt.withColumn("__in", F.row_number().over(Window.partitionBy("__range").orderBy(*order)))
-    counts = dealt.groupBy("__range").agg(F.count("*").alias("c"))
-    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumns({"__before": F.coalesce(F.sum("c").over(before), F.lit(0)), "__n": F.sum("c").over(Window.partitionBy())})
-    return inside.join(F.broadcast(offsets.drop("c")), "__range").withColumn("__rank", F.col("__before") + F.col("__in")).drop("__range", "__in", "__before")
-
-
 def k_folds(frame: DataFrame, key: str, k: int, seed: int = 42) -> DataFrame:
     """Adds fold 0..k-1 in turn by a seeded hash rank: sizes differ by one at most."""
-    ranked = _numbered(frame.select(key).withColumn("u", uniform(seed, F.col(key))), "u", key)
+    ranked = numbered(frame.select(key).withColumn("u", uniform(seed, F.col(key))), "u", key)
     return frame.join(ranked.select(key, F.pmod(F.col("__rank") - 1, F.lit(k)).cast("int").alias("fold")), key)
 
 
 def row_ids(frame: DataFrame, *order: str, start: int = 1) -> DataFrame:
-    """Adds row_id by a stable order: range-partitioned sort, then consecutive numbers over the partitions."""
-    ordered = frame.orderBy(*order)
-    schema = frame.withColumn("row_id", F.lit(0).cast("bigint")).schema
-    return ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + start)).toDF(schema)
+    """Adds row_id by a stable order: consecutive numbers over a range-partitioned sort."""
+    ranked = numbered(frame, *order)
+    return ranked.select(*frame.columns, (F.col("__rank") - 1 + start).alias("row_id"))
 
 
 def stratum_scores(frame: DataFrame, strata: Sequence[str], t: str = "t", y: str = "y") -> DataFrame:
@@ -99,8 +86,7 @@ def stratum_scores(frame: DataFrame, strata: Sequence[str], t: str = "t", y: str
 
 def quantile_bins(frame: DataFrame, column: str, n_bins: int, name: str = "bin") -> DataFrame:
     """Adds a quantile bin from 0: right-closed, the least value included, repeated edges dropped; NULL values get NULL."""
-    points = F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])
-    edges = frame.agg(F.array_distinct(F.percentile(column, points)).alias("__edges"))
+    edges = quantiles(frame, column, [i / n_bins for i in range(n_bins + 1)], name="__edges").select(F.array_distinct("__edges").alias("__edges"))
     inner = F.slice("__edges", F.lit(2), F.greatest(F.size("__edges") - 2, F.lit(0)))
     number = F.size(F.filter(inner, lambda e: e < F.col(column)))
     return frame.crossJoin(F.broadcast(edges)).withColumn(name, F.when(F.col(column).isNotNull(), number)).drop("__edges")
@@ -155,7 +141,7 @@ def overlap_weight(ps: Column, t: Column) -> Column:
 
 def trim_to_quantiles(frame: DataFrame, column: str, low: float, high: float) -> DataFrame:
     """Clips a column to its own quantiles."""
-    out = beside(frame, F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("__q"))
+    out = frame.crossJoin(F.broadcast(quantiles(frame, column, [low, high], name="__q")))  # one row
     return out.withColumn(column, clip(F.col(column), F.get("__q", F.lit(0)), F.get("__q", F.lit(1)))).drop("__q")
 
 
@@ -217,8 +203,8 @@ _POINTS = {"p01": 0.01, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
 def ps_overlap(frame: DataFrame, ps: str = "ps", t: str = "t", low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Rows all, treated, control: n, quantiles, shares outside the clip range; possible_separation on each."""
     arms = frame.select(ps, F.explode(F.array(F.lit("all"), F.when(F.col(t) == 1, "treated").otherwise("control"))).alias("arm"))
-    q = F.percentile(ps, F.array(*[F.lit(p) for p in _POINTS.values()]))
-    per = arms.groupBy("arm").agg(F.count("*").alias("n"), q.alias("q"), F.avg((F.col(ps) < low).cast("int")).alias("frac_below"), F.avg((F.col(ps) > high).cast("int")).alias("frac_above"))
+    per = arms.groupBy("arm").agg(F.count("*").alias("n"), F.avg((F.col(ps) < low).cast("int")).alias("frac_below"), F.avg((F.col(ps) > high).cast("int")).alias("frac_above"))
+    per = per.join(quantiles(arms, ps, list(_POINTS.values()), ["arm"]), "arm", "left")
     apart = per.agg(F.coalesce((F.max(F.when(F.col("arm") == "treated", F.get("q", F.lit(1)))) > 0.8) & (F.max(F.when(F.col("arm") == "control", F.get("q", F.lit(3)))) < 0.2), F.lit(False)).alias("possible_separation"))
     return per.crossJoin(F.broadcast(apart)).select("arm", "n", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(_POINTS)], "frac_below", "frac_above", "possible_separation")
 
@@ -226,28 +212,19 @@ def ps_overlap(frame: DataFrame, ps: str = "ps", t: str = "t", low: float = 0.01
 def weights_summary(frame: DataFrame, w: str = "w") -> DataFrame:
     """One row: n, ess, ess_ratio, quantiles, min, mean, sd (population), max of finite weights."""
     x = finite(F.col(w))
-    q = F.percentile(x, F.array(*[F.lit(p) for p in (0.5, 0.9, 0.95, 0.99)]))
-    one = frame.agg(F.count(x).alias("n"), ess(x).alias("ess"), q.alias("q"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.max(x).alias("max"))
+    q = F.broadcast(quantiles(frame, x, (0.5, 0.9, 0.95, 0.99)))
+    one = frame.agg(F.count(x).alias("n"), ess(x).alias("ess"), F.min(x).alias("min"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("sd"), F.max(x).alias("max")).crossJoin(q)
     return one.select("n", "ess", F.try_divide(F.col("ess"), F.col("n")).alias("ess_ratio"), *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99"))], "min", "mean", "sd", "max")
 
 
 def auc(frame: DataFrame, score: str, label: str) -> DataFrame:
     """One row: the area under the ROC curve with ties counted half, exact.
 
-    Scores are first summed up to distinct values; ranks come from counts per value, added up over value ranges, so
-    one task holds 1/256th of the distinct values (of a score spread over its range) at most.
+    Scores are first summed up to distinct values; ranks come from counts over ranges of them.
     """
     per = frame.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("p"), F.count("*").alias("n"))
-    per = beside(per, F.min("s").alias("__lo"), F.max("s").alias("__hi"))
-    span = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300))
-    per = per.withColumn("__range", F.floor((F.col("s") - F.col("__lo")) / span * 255)).drop("__lo", "__hi")
-    inside = Window.partitionBy("__range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    below = per.withColumn("__in", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    counts = per.groupBy("__range").agg(F.sum("n").alias("c"))
-    offsets = counts.withColumn("__before", F.coalesce(F.sum("c").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = below.join(F.broadcast(offsets.drop("c")), "__range")
-    rank = F.col("__before") + F.col("__in") + (F.col("n") + 1) / 2.0
-    one = ranked.agg(F.sum(F.col("p") * rank).alias("r"), F.sum("p").cast("double").alias("p"), F.sum("n").cast("double").alias("n"))
+    rank = F.col("__below") + (F.col("n") + 1) / 2.0
+    one = running(per, [], "s", "n").agg(F.sum(F.col("p") * rank).alias("r"), F.sum("p").cast("double").alias("p"), F.sum("n").cast("double").alias("n"))
     return one.select(F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))).alias("auc"))
 
 
@@ -261,9 +238,9 @@ def pseudo_outcome(y: Column, t: Column, ps: Column, m1: Column, m0: Column) ->
 
 def phi_summary(frame: DataFrame, phi: str = "phi", ps: str = "ps", low: float = 0.01, high: float = 0.99) -> DataFrame:
     """One row: n, share of clipped propensities, mean, sd, p01, p50, p99 of the pseudo-outcome."""
-    q = F.percentile(phi, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
+    q = F.broadcast(quantiles(frame, phi, (0.01, 0.5, 0.99)))
     outside = ((F.col(ps) < low) | (F.col(ps) > high)).cast("int")
-    one = frame.agg(F.count("*").alias("n"), F.avg(outside).alias("clip_share"), F.avg(phi).alias("mean"), F.stddev_samp(phi).alias("sd"), q.alias("q"))
+    one = frame.agg(F.count("*").alias("n"), F.avg(outside).alias("clip_share"), F.avg(phi).alias("mean"), F.stddev_samp(phi).alias("sd")).crossJoin(q)
     return one.select("n", "clip_share", "mean", "sd", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p01", "p50", "p99"))])
 
 
@@ -274,11 +251,12 @@ def calibration_table(frame: DataFrame, n_bins: int = 10, low: float = 0.01, hig
     """
     binned = quantile_bins(frame.withColumn("__w", overlap_weight(clip_ps(F.col("ps"), low, high), F.col("t"))), "tau", n_bins)
     t, y = F.col("t"), F.col("y")
-    q = F.percentile("tau", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
     per = binned.groupBy("bin").agg(
-        F.count("*").alias("n"), F.sum((t == 1).cast("bigint")).alias("n_treated"), F.sum((t == 0).cast("bigint")).alias("n_control"), F.avg("tau").alias("tau_mean"), q.alias("q"),
+        F.count("*").alias("n"), F.sum((t == 1).cast("bigint")).alias("n_treated"), F.sum((t == 0).cast("bigint")).alias("n_control"), F.avg("tau").alias("tau_mean"),
         (F.avg(F.when(t == 1, y)) - F.avg(F.when(t == 0, y))).alias("diff_unweighted"), ate(y, t, F.col("__w")).alias("ate_ato"), ess(F.col("__w")).alias("ess_ato"),
     )
+    at = quantiles(binned, "tau", (0.1, 0.5, 0.9), ["bin"])
+    per = per.alias("p").join(at.alias("q"), F.col("p.bin").eqNullSafe(F.col("q.bin")), "left").select("p.*", "q.q")
     both = (F.col("n_treated") > 0) & (F.col("n_control") > 0)
     return per.select("bin", "n", "n_treated", "n_control", "tau_mean", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("tau_p10", "tau_p50", "tau_p90"))], "diff_unweighted", F.when(both, F.col("ate_ato")).alias("ate_ato"), F.when(both, F.col("ess_ato")).alias("ess_ato"))
 
@@ -288,11 +266,10 @@ def cate_vs_ate(frame: DataFrame, low: float = 0.01, high: float = 0.99) -> Data
     t, y, e, m1, m0 = F.col("t"), F.col("y"), clip_ps(F.col("ps"), low, high), F.col("m1"), F.col("m0")
     dr = m1 - m0 + t * (y - m1) / (e + EPS) - (1 - t) * (y - m0) / (1 - e + EPS)
     ipw = t * y / (e + EPS) - (1 - t) * y / (1 - e + EPS)
-    q = F.percentile("tau", F.array(F.lit(0.05), F.lit(0.95)))
     one = frame.agg(
         (F.avg(F.when(t == 1, y)) - F.avg(F.when(t == 0, y))).alias("naive_ate"), F.avg(ipw).alias("ipw_ate"), F.avg(dr).alias("dr_ate"), (F.stddev_samp(dr) / F.sqrt(F.count("*"))).alias("dr_ate_se"),
-        F.avg("tau").alias("mean_tau"), F.stddev_samp("tau").alias("sd_tau"), q.alias("q"), F.avg((F.col("tau") < 0).cast("int")).alias("frac_benefit"),
-    )
+        F.avg("tau").alias("mean_tau"), F.stddev_samp("tau").alias("sd_tau"), F.avg((F.col("tau") < 0).cast("int")).alias("frac_benefit"),
+    ).crossJoin(F.broadcast(quantiles(frame, "tau", (0.05, 0.95))))
     derived = {"p05_tau": F.get("q", F.lit(0)), "p95_tau": F.get("q", F.lit(1)), "het_snr": F.col("sd_tau") / (F.abs("dr_ate") + 1e-9), "bias_reduction": F.col("naive_ate") - F.col("dr_ate")}
     return one.withColumns(derived).drop("q")
 
@@ -301,9 +278,9 @@ def cate_vs_ate(frame: DataFrame, low: float = 0.01, high: float = 0.99) -> Data
 
 
 def replicates(frame: DataFrame, key: str, n_boot: int, seed: int = 42) -> DataFrame:
-    """Every row once per replicate in which its Poisson(1) multiplicity k is positive."""
+    """Every row once per replicate in which its Poisson(1) multiplicity k is positive. Each draw is worked out once."""
     out = frame.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    return out.withColumn("k", poisson(uniform(seed, F.col(key), F.col("rep")))).where("k > 0")
+    return out.withColumn("__u", once(uniform(seed, F.col(key), F.col("rep")))).withColumn("k", once(poisson(F.col("__u")))).drop("__u").where("k > 0")
 
 
 def interval(frame: DataFrame, column: str, alpha: float = 0.05) -> DataFrame:
@@ -315,11 +292,13 @@ def interval(frame: DataFrame, column: str, alpha: float = 0.05) -> DataFrame:
 
 def bootstrap_effects(frame: DataFrame, key: str, n_boot: int, seed: int = 42, trim: tuple[float, float] | None = None, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """(rep, iptw, ato): effects per replicate with a fixed propensity; P(T) and the trimming bounds are the replicate's own."""
-    t, y, k, e = F.col("t"), F.col("y"), F.col("k"), clip_ps(F.col("ps"), low, high)
-    rows = replicates(frame, key, n_boot, seed)
+    e = clip_ps(F.col("ps"), low, high)
+    # effects depend on (t, y, e) alone: equal rows of a replicate are one row of their summed multiplicity
+    rows = replicates(frame.select(key, "t", "y", e.alias("e")), key, n_boot, seed).groupBy("rep", "t", "y", "e").agg(F.sum("k").alias("k"))
+    rows = cut(rows)
+    t, y, k, e = F.col("t"), F.col("y"), F.col("k"), F.col("e")
     p = rows.groupBy("rep").agg((F.sum(k * t) / F.sum(k)).alias("p"))
     rows = rows.join(F.broadcast(p), "rep").withColumn("w", F.when(t == 1, F.col("p") / e).otherwise((1 - F.col("p")) / (1 - e)))
     if trim:
-        bounds = rows.groupBy("rep").agg(F.percentile("w", F.array(F.lit(trim[0]), F.lit(trim[1])), k).alias("q"))
-        rows = rows.join(F.broadcast(bounds), "rep").withColumn("w", clip(F.col("w"), F.get("q", F.lit(0)), F.get("q", F.lit(1))))
+        rows = rows.join(F.broadcast(quantiles(rows, "w", trim, ["rep"], k)), "rep").withColumn("w", clip(F.col("w"), F.get("q", F.lit(0)), F.get("q", F.lit(1))))
     return rows.groupBy("rep").agg(ate(y, t, k * F.col("w")).alias("iptw"), ate(y, t, k * overlap_weight(e, t)).alias("ato"))

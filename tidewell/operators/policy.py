@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.scalar import clip
-from tidewell.operators.causal import EPS, _numbered, beside, clip_ps, quantile_bins, replicates
+from tidewell.operators.causal import EPS, beside, clip_ps, quantile_bins, replicates
+from tidewell.operators.ranks import numbered, quantiles
+from tidewell.sources.tables import cut
 
 
 def policy_from_tau(frame: DataFrame, kind: str = "tau_lt_0", top_frac: float = 0.2, name: str = "pi") -> DataFrame:
@@ -23,7 +25,8 @@ def policy_from_tau(frame: DataFrame, kind: str = "tau_lt_0", top_frac: float =
         return frame.withColumn(name, (tau > 0).cast("int"))
     if kind != "top_frac_benefit" or not 0 < top_frac < 1:
         raise ValueError("unknown kind, or top_frac outside (0, 1)")
-    return beside(frame, F.percentile("tau", F.lit(top_frac)).alias("__q")).withColumn(name, (tau <= F.col("__q")).cast("int")).drop("__q")
+    bound = F.broadcast(quantiles(frame, "tau", [top_frac], name="__q"))  # one row
+    return frame.crossJoin(bound).withColumn(name, (tau <= F.get("__q", F.lit(0))).cast("int")).drop("__q")
 
 
 def decide(tau: Column, threshold: float | Column, rule: str) -> Column:
@@ -35,10 +38,7 @@ def decide(tau: Column, threshold: float | Column, rule: str) -> Column:
 
 def top_fraction(frame: DataFrame, key: str, frac: float, name: str = "pi") -> DataFrame:
     """1 for the ceil(n * frac) least tau, ties by id."""
-    scaled = beside(frame.select(key, "tau"), F.min("tau").alias("__lo"), F.max("tau").alias("__hi"))
-    spread = F.greatest(F.col("__hi") - F.col("__lo"), F.lit(1e-300))
-    scaled = scaled.withColumn("u", (F.col("tau") - F.col("__lo")) / spread * 0.999999).select("u", "tau", key)
-    ranked = _numbered(scaled, "u", "tau", key)
+    ranked = numbered(frame.select(key, "tau"), "tau", key)
     return frame.join(ranked.select(key, (F.col("__rank") <= F.ceil(F.col("__n") * F.lit(frac))).cast("int").alias(name)), key)
 
 
@@ -63,7 +63,7 @@ def dr_value(frame: DataFrame, pi: str = "pi", trim: tuple[float, float] | None
         return frame.agg(F.avg(under + ipw * residual).alias("value"))
     rows = frame.withColumn("__ipw", ipw)
     matched = F.when(F.col("t") == F.col(pi), F.col("__ipw"))
-    rows = beside(rows, F.percentile(matched, F.array(F.lit(trim[0]), F.lit(trim[1]))).alias("__q"))
+    rows = rows.crossJoin(F.broadcast(quantiles(rows, matched, trim, name="__q")))  # one row
     weight = F.when(matched.isNotNull(), clip(F.col("__ipw"), F.get("__q", F.lit(0)), F.get("__q", F.lit(1)))).otherwise(0.0)
     return rows.agg(F.avg(under + weight * residual).alias("value"))
 
@@ -71,8 +71,9 @@ def dr_value(frame: DataFrame, pi: str = "pi", trim: tuple[float, float] | None
 def bootstrap_values(frame: DataFrame, key: str, n_boot: int, pi: str = "pi", seed: int = 42) -> DataFrame:
     """(rep, value, none, every, delta_none, delta_all): all three policies on the same resample."""
     k = F.col("k")
-    mean = lambda s: F.sum(k * s) / F.sum(k)
-    per = replicates(frame, key, n_boot, seed).groupBy("rep").agg(mean(dr_score(F.col(pi))).alias("value"), mean(dr_score(F.lit(0))).alias("none"), mean(dr_score(F.lit(1))).alias("every"))
+    mean = lambda c: F.sum(k * F.col(c)) / F.sum(k)
+    scores = frame.select(key, dr_score(F.col(pi)).alias("a"), dr_score(F.lit(0)).alias("b"), dr_score(F.lit(1)).alias("c"))
+    per = replicates(scores, key, n_boot, seed).groupBy("rep").agg(mean("a").alias("value"), mean("b").alias("none"), mean("c").alias("every"))
     return per.select("rep", "value", "none", "every", (F.col("value") - F.col("none")).alias("delta_none"), (F.col("value") - F.col("every")).alias("delta_all"))
 
 
@@ -84,11 +85,19 @@ def paired_summary(reps: DataFrame, alpha: float = 0.05, quantities: Sequence[st
     return per.select("quantity", "mean", "sd", F.get("q", F.lit(0)).alias("ci_lo"), F.get("q", F.lit(1)).alias("ci_hi"), "p_negative")
 
 
+def _each(thresholds: Sequence[float]) -> list[float]:
+    return sorted({round(float(x), 4) for x in thresholds})
+
+
 def threshold_values(frame: DataFrame, thresholds: Sequence[float], rule: str = "tau_le_thr") -> DataFrame:
-    """(threshold, treat_rate, value_dr, delta_vs_none, delta_vs_all) of each threshold, in one job; rounded to 4 digits."""
-    grid = frame.sparkSession.createDataFrame([(round(float(x), 4),) for x in sorted({round(float(x), 4) for x in thresholds})], "threshold double")
-    pi = decide(F.col("tau"), F.col("threshold"), rule)
-    per = frame.crossJoin(F.broadcast(grid)).groupBy("threshold").agg(F.avg(pi).alias("rate"), F.avg(dr_score(pi)).alias("v"), F.avg(dr_score(F.lit(0))).alias("v0"), F.avg(dr_score(F.lit(1))).alias("v1"))
+    """(threshold, treat_rate, value_dr, delta_vs_none, delta_vs_all) of each threshold, all in one pass; rounded to 4 digits."""
+    grid = _each(thresholds)
+    aggs = [F.avg(dr_score(F.lit(0))).alias("v0"), F.avg(dr_score(F.lit(1))).alias("v1")]
+    for i, x in enumerate(grid):
+        pi = decide(F.col("tau"), x, rule)
+        aggs += [F.avg(pi).alias(f"rate{i}"), F.avg(dr_score(pi)).alias(f"v_{i}")]
+    each = [F.struct(F.lit(x).alias("threshold"), F.col(f"rate{i}").alias("rate"), F.col(f"v_{i}").alias("v")) for i, x in enumerate(grid)]
+    per = frame.agg(*aggs).select("v0", "v1", F.explode(F.array(*each)).alias("r")).select("v0", "v1", "r.*")
     return per.select("threshold", F.round("rate", 4).alias("treat_rate"), F.round("v", 4).alias("value_dr"), F.round(F.col("v") - F.col("v0"), 4).alias("delta_vs_none"), F.round(F.col("v") - F.col("v1"), 4).alias("delta_vs_all"))
 
 
@@ -102,22 +111,32 @@ def threshold_curve(frame: DataFrame, thresholds: Sequence[float], rule: str = "
 
 
 def curve_with_intervals(frame: DataFrame, key: str, thresholds: Sequence[float], n_boot: int, rule: str = "tau_le_thr", seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """(threshold, boot_mean, boot_sd, ci_lo, ci_hi): every replicate of every threshold in one grouped job."""
-    grid = frame.sparkSession.createDataFrame([(round(float(x), 4),) for x in thresholds], "threshold double")
-    rows = replicates(frame, key, n_boot, seed).crossJoin(F.broadcast(grid))
-    score = dr_score(decide(F.col("tau"), F.col("threshold"), rule))
-    reps = rows.groupBy("threshold", "rep").agg((F.sum(F.col("k") * score) / F.sum("k")).alias("v"))
-    q = F.percentile("v", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
+    """(threshold, boot_mean, boot_sd, ci_lo, ci_hi): every replicate of every threshold in one pass over the drawn rows."""
+    grid, k = _each(thresholds), F.col("k")
+    # a threshold's score is one of two numbers, by its decision
+    rows = replicates(frame.select(key, "tau", dr_score(F.lit(0)).alias("s0"), dr_score(F.lit(1)).alias("s1")), key, n_boot, seed)
+    values = [F.struct(F.lit(x).alias("threshold"), (F.sum(k * F.when(decide(F.col("tau"), x, rule) == 1, F.col("s1")).otherwise(F.col("s0"))) / F.sum(k)).alias("v")) for x in grid]
+    reps = rows.groupBy("rep").agg(F.array(*values).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    q = F.percentile("v", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))  # of n_boot values
     per = reps.groupBy("threshold").agg(F.avg("v").alias("boot_mean"), F.stddev_samp("v").alias("boot_sd"), q.alias("q"))
     return per.select("threshold", "boot_mean", "boot_sd", F.get("q", F.lit(0)).alias("ci_lo"), F.get("q", F.lit(1)).alias("ci_hi"))
 
 
+def full_curve(frame: DataFrame, key: str, thresholds: Sequence[float], n_boot: int, rule: str = "tau_le_thr", objective: str = "min", seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """threshold_curve (grid and refinement) with boot_mean, boot_sd, ci_lo and ci_hi of every threshold beside it."""
+    curve = cut(threshold_curve(frame, thresholds, rule, objective))
+    grid = [r["threshold"] for r in curve.select("threshold").collect()]  # the grid and eleven more
+    return curve.join(curve_with_intervals(frame, key, grid, n_boot, rule, seed, alpha), "threshold")
+
+
 def _groups(frame: DataFrame, group: str, tau: str, m0: str, m1: str) -> DataFrame:
     policy = F.when(F.col("pi") == 1, F.col(m1)).otherwise(F.col(m0))
     per = frame.groupBy(group).agg(
-        F.count("*").alias("n"), F.avg(m0).alias("risk0_mean"), F.avg(tau).alias("tau_mean"), F.percentile(tau, F.lit(0.5)).alias("tau_median"), F.avg("pi").alias("treat_rate"),
+        F.count("*").alias("n"), F.avg(m0).alias("risk0_mean"), F.avg(tau).alias("tau_mean"), F.avg("pi").alias("treat_rate"),
         F.avg(policy).alias("mort_policy"), F.avg(m0).alias("mort_none"), F.avg(m1).alias("mort_treat_all"),
     )
+    middle = quantiles(frame, tau, [0.5], [group]).select(F.col(group).alias("__g"), F.get("q", F.lit(0)).alias("tau_median"))
+    per = per.join(middle, F.col(group).eqNullSafe(F.col("__g")), "left").drop("__g")
     none = F.col("mort_policy") - F.col("mort_none")
     return per.withColumns({"delta_policy_vs_treat_all": F.col("mort_policy") - F.col("mort_treat_all"), "delta_policy_vs_none": none, "benefit_abs": -none, "benefit_total": -none * F.col("n")})
 
@@ -144,15 +163,18 @@ def simple_ipw_score(threshold: float | Column, p: Column, direction: str = "gt"
 
 def simple_ipw_curve(frame: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """(threshold, treat_rate, value) under simple_ipw_score with p the treated share."""
-    grid = frame.sparkSession.createDataFrame([(round(float(x), 4),) for x in thresholds], "threshold double")
-    rows = beside(frame, F.avg("t").alias("p")).crossJoin(F.broadcast(grid))
-    return rows.groupBy("threshold").agg(F.avg((F.col("tau") > F.col("threshold")).cast("int")).alias("treat_rate"), F.avg(simple_ipw_score(F.col("threshold"), F.col("p"))).alias("value"))
+    rows, aggs, grid = beside(frame, F.avg("t").alias("p")), [], _each(thresholds)
+    for i, x in enumerate(grid):
+        aggs += [F.avg((F.col("tau") > x).cast("int")).alias(f"rate{i}"), F.avg(simple_ipw_score(x, F.col("p"))).alias(f"v{i}")]
+    each = [F.struct(F.lit(x).alias("threshold"), F.col(f"rate{i}").alias("treat_rate"), F.col(f"v{i}").alias("value")) for i, x in enumerate(grid)]
+    return rows.agg(*aggs).select(F.explode(F.array(*each)).alias("r")).select("r.*")
 
 
 def simple_ipw_comparison(frame: DataFrame, key: str, n_boot: int, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """(method, mean, sd, ci_lo, ci_hi) of personalised, treat_all and treat_none over replicates; p is the replicate's own."""
     k = F.col("k")
-    rows = replicates(frame, key, n_boot, seed)
+    drawn = replicates(frame.select(key, "t", "y", (F.col("tau") > 0).cast("int").alias("tau")), key, n_boot, seed)
+    rows = cut(drawn.groupBy("rep", "t", "y", "tau").agg(F.sum("k").alias("k")))  # eight rows a replicate at most
     rows = rows.join(F.broadcast(rows.groupBy("rep").agg((F.sum(k * F.col("t")) / F.sum(k)).alias("p"))), "rep")
     score = {"personalised": simple_ipw_score(0.0, F.col("p")), "treat_all": simple_ipw_score(float("-inf"), F.col("p")), "treat_none": simple_ipw_score(float("inf"), F.col("p"))}
     reps = rows.groupBy("rep").agg(*[(F.sum(k * s) / F.sum(k)).alias(n) for n, s in score.items()])
@@ -164,15 +186,16 @@ def simple_ipw_comparison(frame: DataFrame, key: str, n_boot: int, seed: int = 4
 
 def tau_by_arm(frame: DataFrame) -> DataFrame:
     """(arm, n, mean, sd, min, p25, p50, p75, max) of tau."""
-    q = F.percentile("tau", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    per = frame.groupBy(F.col("t").alias("arm")).agg(F.count("tau").alias("n"), F.avg("tau").alias("mean"), F.stddev_samp("tau").alias("sd"), F.min("tau").alias("min"), q.alias("q"), F.max("tau").alias("max"))
+    per = frame.groupBy(F.col("t").alias("arm")).agg(F.count("tau").alias("n"), F.avg("tau").alias("mean"), F.stddev_samp("tau").alias("sd"), F.min("tau").alias("min"), F.max("tau").alias("max"))
+    at = quantiles(frame, "tau", (0.25, 0.5, 0.75), ["t"]).withColumnRenamed("t", "__t")
+    per = per.join(at, F.col("arm").eqNullSafe(F.col("__t")), "left")
     return per.select("arm", "n", "mean", "sd", "min", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p25", "p50", "p75"))], "max")
 
 
 def tau_quantiles(frame: DataFrame) -> DataFrame:
     """One row (p01, p25, p50, p75, p99, n_negative, n_positive) of tau; 0 counts as positive."""
-    q = F.percentile("tau", F.array(*[F.lit(p) for p in (0.01, 0.25, 0.5, 0.75, 0.99)]))
-    one = frame.agg(q.alias("q"), F.count_if(F.col("tau") < 0).alias("n_negative"), F.count_if(F.col("tau") >= 0).alias("n_positive"))
+    q = F.broadcast(quantiles(frame, "tau", (0.01, 0.25, 0.5, 0.75, 0.99)))
+    one = frame.agg(F.count_if(F.col("tau") < 0).alias("n_negative"), F.count_if(F.col("tau") >= 0).alias("n_positive")).crossJoin(q)
     return one.select(*[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p01", "p25", "p50", "p75", "p99"))], "n_negative", "n_positive")
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewell.operators.ranks import quantiles
+
 
 def _unpivot(one: DataFrame, rows: Sequence[Mapping[str, Column]]) -> DataFrame:
     each = F.array(*[F.struct(*[c.alias(n) for n, c in row.items()]) for row in rows])
@@ -46,13 +48,17 @@ def numeric_profile(frame: DataFrame, columns: Sequence[str], ddof: int = 1) ->
     aggs, rows = [], []
     for i, c in enumerate(columns):
         x = F.col(c).cast("double")
-        parts = {"n": F.count(x), "mean": F.avg(x), "sd": F.stddev_samp(x) if ddof else F.stddev_pop(x), "min": F.min(x), "q": F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))), "max": F.max(x), "g1": F.skewness(x), "g2": F.kurtosis(x)}
+        parts = {"n": F.count(x), "mean": F.avg(x), "sd": F.stddev_samp(x) if ddof else F.stddev_pop(x), "min": F.min(x), "max": F.max(x), "g1": F.skewness(x), "g2": F.kurtosis(x)}
         aggs += [v.alias(f"{k}_{i}") for k, v in parts.items()]
         n, at = F.col(f"n_{i}").cast("double"), lambda k, i=i: F.col(f"{k}_{i}")
         skew = F.when(n > 2, F.sqrt(n * (n - 1)) / (n - 2) * at("g1"))
         kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * at("g2") + 6))
         rows.append({"column": F.lit(c), "n": at("n"), "mean": at("mean"), "sd": at("sd"), "min": at("min"), "p25": F.get(at("q"), F.lit(0)), "median": F.get(at("q"), F.lit(1)), "p75": F.get(at("q"), F.lit(2)), "max": at("max"), "skew": skew, "kurt": kurt})
-    return _unpivot(frame.agg(*aggs), rows)
+    # all columns' quantiles at once, by column number
+    long = frame.select(F.posexplode(F.array(*[F.col(c).cast("double") for c in columns])).alias("i", "x"))
+    at = quantiles(long, "x", (0.25, 0.5, 0.75), ["i"]).agg(F.map_from_entries(F.collect_list(F.struct("i", "q"))).alias("__q"))
+    one = frame.agg(*aggs).crossJoin(F.broadcast(at)).withColumns({f"q_{i}": F.try_element_at("__q", F.lit(i)) for i in range(len(columns))})
+    return _unpivot(one, rows)
 
 
 def categorical_profile(frame: DataFrame, column: str, top_k: int = 10) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidewell.operators.causal import _numbered
+from tidewell.operators.ranks import numbered
 
 # What a reply block looks like, and the repairs of malformed blocks in their order (Java regex).
 BLOCK = r"\{[^}]+\}"
@@ -26,9 +26,7 @@ _JSON_INT = r"^-?(0|[1-9][0-9]*)$"
 
 def chunks(frame: DataFrame, key: str, size: int, done: DataFrame | None = None) -> DataFrame:
     """Adds chunk: rows in key order, `size` to a chunk; rows whose key is in done go afterwards, so chunk numbers never shift."""
-    span = frame.agg(F.min(key).alias("__lo"), F.max(key).alias("__hi"))
-    u = (F.col(key) - F.col("__lo")) / (F.col("__hi") - F.col("__lo") + 1)
-    ranked = _numbered(frame.select(key).crossJoin(F.broadcast(span)).select(u.alias("u"), key), "u", key)
+    ranked = numbered(frame.select(key), key)
     out = frame.join(ranked.select(key, F.floor((F.col("__rank") - 1) / size).alias("chunk")), key)
     return out.join(done.select(key).distinct(), key, "left_anti") if done is not None else out
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.operators import bias, causal, policy
+from tidewell.operators import bias, causal, policy, ranks
 from tidewell.plans.study import EffectConfig
 from tidewell.sources.tables import json_rows
 
@@ -61,8 +61,8 @@ def selection_report(before: DataFrame, annotated: DataFrame, selected: DataFram
 
 def confounding_report(frame: DataFrame, columns: Sequence[str], original: str, new: str, ps: str) -> DataFrame:
     """Treatment rates, propensity quantiles and the ten largest arm differences."""
-    q = F.percentile(ps, F.array(*[F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)]))
-    one = frame.agg(F.count("*").alias("n"), F.avg(original).alias("original_rate"), F.avg(new).alias("new_rate"), q.alias("q"))
+    q = F.broadcast(ranks.quantiles(frame, ps, (0.05, 0.25, 0.5, 0.75, 0.95)))
+    one = frame.agg(F.count("*").alias("n"), F.avg(original).alias("original_rate"), F.avg(new).alias("new_rate")).crossJoin(q)
     rates = one.select("n", "original_rate", "new_rate", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p05", "p25", "p50", "p75", "p95"))])
     balance = bias.arm_balance(frame, columns, new)
     return _all([_section("rates", rates), _section("balance", balance.orderBy(F.abs("smd").desc_nulls_last(), "column").limit(10))])

@@ -13,10 +13,30 @@ from pyspark.sql import types as T
 CODECS = {None: "none", "gzip": "gzip", "bz2": "bzip2"}
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a checkpoint folder that was set.
+
+    Where neither is set, a temporary folder is made and set on one machine; on a cluster this is an error.
+    """
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-tidewell-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (a temporary one only where none is set)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tidewell-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(frame: DataFrame) -> DataFrame:
+    """Materialise a frame in the shared folder and cut its lineage."""
+    shared_folder(frame.sparkSession)
+    return frame.checkpoint()
 
 
 def read_csv(spark: SparkSession, *paths: str, schema: T.StructType | str | None = None, partitions: int | None = None) -> DataFrame:
