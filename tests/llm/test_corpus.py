@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -201,6 +202,9 @@ def test_passages_are_cut_out(spark, none):
     assert out.columns == [c.split()[0] for c in DOC.split(", ")]
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
     assert got == {1: ("Start. ! End", 12), 3: (None, None), 4: ("clean text", 10)}
+    named = spark.createDataFrame(rows, DOC).withColumns({"spans": F.lit("mine"), "N_HIT": F.lit(7), "n_hit_": F.lit(8)})
+    out = decontaminate.remove_passages(named, bench)
+    assert out.columns == named.columns and out.count() == 3 and out.where("spans <> 'mine' or N_HIT <> 7 or n_hit_ <> 8").isEmpty()
     assert decontaminate.remove_passages(none, bench).isEmpty()
     assert decontaminate.find_passages(none.unionByName(none), bench.where("item_id = 0")).isEmpty()
 
@@ -273,12 +277,26 @@ def test_bundles_are_read_by_many_tasks(spark):
 # --- mixing -------------------------------------------------------------------------------------
 
 
-def test_targets():
-    got = mixing.shared_targets({"b": 100, "a": 100, None: 100, "c": 100})
-    assert got == {"a": 200.0, "b": 160.0, "c": 80.0, None: 160.0} or sum(got.values()) == pytest.approx(600)
-    assert mixing.shared_targets({}) == {} and mixing.shared_targets({"a": 0}) == {"a": 0.0}
-    tight = mixing.shared_targets({"a": 10, "b": 1000, "c": 1000})
-    assert tight["a"] == 20.0 and sum(tight.values()) == pytest.approx(1.5 * 2010)
+def exact_targets(sizes, weights=(5, 2, 1), share=Fraction(3, 2), most=2):
+    """Water-filling in fractions: whoever would get more than its most is filled up, one at a time, fullest first."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    got, budget = {}, share * sum(sizes.values())
+    for s in sorted(names, key=lambda s: Fraction(most * sizes[s], weight[s])):
+        unit = budget / sum(w for x, w in weight.items() if x not in got)
+        got[s] = min(weight[s] * unit, Fraction(most * sizes[s]))
+        budget -= got[s]
+    return got
+
+
+@pytest.mark.parametrize(
+    "sizes", [{"b": 100, "a": 100, None: 100, "c": 100}, {}, {"a": 0}, {"a": 0, "b": 7}, {"a": 10, "b": 1000, "c": 1000}, {chr(97 + i): (i * 7919) % 1000 for i in range(26)} | {None: 5000, "é": 30, "~": 1, "Z": 2}]
+)
+def test_targets(spark, sizes):
+    totals = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, words bigint").repartition(3)
+    got = {r["source"]: r["target"] for r in mixing.shared_targets(totals).collect()}
+    want = exact_targets(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(float(want[s]), abs=1e-6) for s in got)
 
 
 def test_flight_keeps_its_totals():
@@ -302,12 +320,20 @@ def test_mix(spark, none, monkeypatch):
     draw = random.Random(3)
     rows = [(i, "w " * draw.randint(0, 60), "en", f"s{i % 3}" if i % 10 else None, 0, "x") for i in range(600)] + [(600, None, "en", "s0", 0, "x"), (5, "w w", "en", "s2", 0, "x"), (5, "w w", "en", "s2", 0, "x"), (None, "w", "en", "s1", 0, "x")]
     frame = spark.createDataFrame(rows, DOC).withColumn("size", F.lit("clash")).repartition(7)
-    out = mixing.mix_sources(frame).persist()
-    assert out.count() == len(rows)
-    per = out.groupBy("source").agg(F.first("target").alias("target"), F.first("source_size").alias("n"), F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    out = mixing.mix_sources(frame.withColumns({c: F.lit("mine") for c in ("u_id", "u_source", "u_size", "mark", "words")})).persist()
+    assert out.count() == len(rows) and out.where("u_id <> 'mine' or mark <> 'mine'").isEmpty()
+    want = {}
+    for _, text, _, source, *_ in rows:
+        want[source] = want.get(source, 0) + len(WORD.findall(text or ""))
+    targets = exact_targets(want)
+    per = out.groupBy("source").agg(F.min("target").alias("target"), F.max("target").alias("t1"), F.max("source_size").alias("n"), F.sum("taken").alias("taken"))
     for r in per.collect():
-        assert r["n"] == r["size"] and r["target"] <= 2 * r["n"] and abs(r["taken"] - r["target"]) <= 60
+        assert r["n"] == want[r["source"]] and r["target"] == r["t1"] == pytest.approx(float(targets[r["source"]]))
+        assert r["target"] <= 2 * r["n"] and abs(r["taken"] - r["target"]) <= 60
+    sizes = {(r["doc_id"], r["size"]) for r in out.collect()}
+    assert sizes == {(i, len(WORD.findall(t or ""))) for i, t, *_ in rows}
     assert out.where("taken > 2 * size or taken <> size * times").isEmpty()
+    monkeypatch.setattr(mixing, "MOST_BROADCAST", 0)
     again = mixing.mix_sources(frame.repartition(2))
     assert out.select("doc_id", "taken").exceptAll(again.select("doc_id", "taken")).isEmpty()
     assert mixing.mix_sources(none).isEmpty()
@@ -321,6 +347,67 @@ def test_best_cut():
     assert best_cut([1.0], [True]) is None
 
 
+def naive_buckets(text):
+    """n-gram buckets of a text, one byte at a time."""
+    raw = text.encode()
+    letters = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in raw]
+    out = []
+    for order in lang_id.ORDERS:
+        for i in range(len(letters) - order + 1):
+            gram = letters[i : i + order]
+            if gram[0] == 32 and gram[1] == 32:
+                continue
+            h = order * 0x9E3779B1 & 0xFFFFFFFF
+            for b in gram:
+                h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
+            h ^= h >> 15
+            h = h * 0x85EBCA6B & 0xFFFFFFFF
+            out.append((h ^ h >> 13) % lang_id.BUCKETS)
+    return out
+
+
+def test_language_decoding_against_a_plain_loop(spark):
+    draw = random.Random(15)
+    languages = ["aa", "bb", "cc", "dd", "ee", "ff"]
+    text = lambda i: " ".join("".join(draw.choice("abcdefghijkl"[i : i + 6] + "é") for _ in range(draw.randint(1, 8))) for _ in range(draw.randint(1, 30)))
+    rows = [(n, text(n % 6), languages[n % 6]) for n in range(240)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    model = lang_id.fit_codes(frame)
+    counts = np.zeros((6, lang_id.BUCKETS))
+    for _, t, lang in rows:
+        for bucket in naive_buckets(t):
+            counts[languages.index(lang), bucket] += 1
+    share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
+    for bit in range(model.code.shape[1]):
+        on, off = share[model.code[:, bit] > 0].mean(axis=0), share[model.code[:, bit] < 0].mean(axis=0)
+        assert np.allclose(model.weights[:, bit], np.log(on / off))
+    got = {r["doc_id"]: r for r in lang_id.predict_language(frame, model).collect()}
+    for n, t, _ in rows:
+        found = naive_buckets(t)
+        if not found:
+            continue
+        losses = []
+        for code in model.code:
+            loss = 0.0
+            for bit in range(len(code)):
+                margin = sum(model.weights[b, bit] for b in found) / len(found)
+                scaled = min(max((margin - model.middle[bit]) / model.spread[bit], -4), 4)
+                loss += model.spread[bit] / model.spread.sum() * np.log1p(np.exp(-2.0 * scaled * float(code[bit])))
+            losses.append(loss)
+        chance = np.exp(-4 * (np.array(losses) - min(losses)))
+        chance /= chance.sum()
+        assert got[n]["score"] == pytest.approx(chance.max()) and got[n]["lang_pred"] == languages[int(np.argmin(losses))]
+        assert got[n]["ambiguous"] == (sorted(chance)[-2] > 0.5 * chance.max())
+
+
+def test_rare_languages_are_not_learned(spark, monkeypatch):
+    monkeypatch.setattr(lang_id, "MOST_LANGUAGES", 2)
+    frame = spark.createDataFrame([(1, "aa aa", "x"), (2, "bb bb", "y"), (3, "bb cb", "y"), (4, "aa ab", "x"), (5, "cc cc", "z")], "doc_id bigint, text string, lang string")
+    model = lang_id.fit_codes(frame)
+    assert model.languages == ("x", "y")
+    assert lang_id.predict_language(frame, model).where("lang_pred not in ('x', 'y')").isEmpty()
+
+
 def test_codewords_are_apart():
     for k in (2, 3, 4, 5, 9, 40):
         code = lang_id.codewords(k).astype(int)
@@ -441,11 +528,33 @@ def test_resampling(spark, none):
     wrong = [(i, rows[i][1]) for i in range(500) if kept[i] != (i % 5 > 0)]
     assert not wrong, wrong[:4]
     assert not kept[900] and not kept[901]
+    model, held = quality_resampling.fit_ratio(frame, labels)
+    used = {i for i in range(200) if i % 5 > 0 and i not in held}
+    raw, target, own = np.zeros(quality_resampling.BUCKETS), np.zeros(quality_resampling.BUCKETS), {}
+    for i, text, *_ in rows:
+        _, bucket = quality_resampling._grams(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())]))
+        own[i] = bucket
+        np.add.at(raw, bucket, 1)
+        if i in used:
+            np.add.at(target, bucket, 1)
+    share = raw / raw.sum()
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = np.where(raw > 0, np.log((target + quality_resampling.PRIOR * share) / (target.sum() + quality_resampling.PRIOR) / share), 0)
+    assert np.allclose(model.ratio / 65536, ratio, atol=1e-5)
+    table = quality_resampling.resample_quality(frame, labels).collect()
+    for r in table:
+        if r["log_weight"] is not None:
+            assert r["log_weight"] == pytest.approx(ratio[own[r["doc_id"]]].sum(), abs=1e-5 * len(own[r["doc_id"]]))
+    keys = sorted((r["key"] for r in table if r["key"] is not None), reverse=True)
+    assert [r["kept"] for r in table] == [r["key"] is not None and r["key"] >= keys[399] for r in table]  # 400 are expected to be good
     some = quality_resampling.resample_quality(frame, labels, k=37)
+    assert {r["doc_id"] for r in some.where("kept").collect()} == {r["doc_id"] for r in table if r["key"] is not None and r["key"] >= keys[36]}
     assert some.where("kept").count() == 37
     out = quality_resampling.drop_poor(frame, labels)
     assert out.columns == frame.columns and out.count() == 400
     assert quality_resampling.drop_poor(frame, labels.where("false")).count() == 500
+    named = quality_resampling.drop_poor(frame.withColumn("Log_Weight", F.lit("mine")), labels)
+    assert named.count() == 400 and named.where("Log_Weight <> 'mine'").isEmpty()
     assert quality_resampling.drop_poor(none, labels).isEmpty()
 
 
@@ -561,6 +670,38 @@ def test_mined_rules_decide_unlisted_urls(spark):
     assert url_rules.judge_urls(pages.where("false"), listed, rules).isEmpty()
 
 
+# --- very long texts ----------------------------------------------------------------------------
+
+
+def test_very_long_texts(spark):
+    """One text of 120,000 words, one of a single word of 400 kB, among short ones, through every text operator."""
+    draw = random.Random(12)
+    words = [f"w{draw.randrange(5000)}" for _ in range(120_000)]
+    copy = list(words)
+    for i in range(0, 120_000, 1000):
+        copy[i] = "changed"
+    rows = [(1, " ".join(words)), (2, " ".join(copy)), (3, "x" * 400_000), (4, "short text of a few words"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+    bench = spark.createDataFrame([(1, " ".join(words[77_000:77_030]))], "item_id bigint, text string")
+    found = {r["doc_id"]: (r["n_words"], r["n_hit"]) for r in decontaminate.find_passages(docs, bench).collect()}
+    assert found[1] == (120_000, 30) and found[2][0] == 120_000 and found[2][1] >= 20 and found[3] == (1, 0) and found[5] == (0, 0)
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1), (4, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert toxicity.drop_toxic(docs, labels).count() == 5 and quality_resampling.resample_quality(docs, labels).count() == 5
+    assert lang_id.predict_language(docs, lang_id.fit_codes(docs)).where("lang_pred = 'en'").count() == 4
+    sizes = {r["doc_id"]: r["size"] for r in mixing.mix_sources(docs).collect()}
+    assert sizes == {1: 120_000, 2: 120_000, 3: 1, 4: 6, 5: 0}
+    counts = {r["doc_id"]: (r["n_words"], r["n_repeat_words"]) for r in quality_rules.apply_rules(docs).collect()}
+    assert counts[3] == (1, 0) and counts[1] == (120_000, brute_rules(rows[0][1])[4])
+    pages = docs.select(F.col("doc_id").alias("record_id"), F.lit("u").alias("url"), F.col("text").alias("payload"))
+    index = warc.write_bundles(warc.payload_roles(pages), scratch(spark, "warc"))
+    assert {r["record_id"]: r["payload_bytes"] for r in warc.fetch_records(index).collect()} == {i: len(t or "") for i, t in rows}
+    turns = docs.select(F.lit(1).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("user").alias("role"), "text")
+    read = chat.format_chat(turns.withColumn("conv_id", F.col("conv_id").cast("bigint"))).select(chat.read_chat(F.col("formatted")).alias("turns")).first()["turns"]
+    assert [t["text"] for t in read] == [t or "" for _, t in rows]
+
+
 # --- pipeline -----------------------------------------------------------------------------------
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm.arrow_text import ALNUM, FOLD, run_hashes, runs, slices
-from tidewell.llm.shared import ascii_lower, cut, discard, map_texts, replace_columns, scratch, store
+from tidewell.llm.shared import ascii_lower, cut, discard, fresh_names, map_texts, replace_columns, scratch, store
 
 WINDOW = 10
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -277,9 +277,12 @@ def _pass(docs: DataFrame, block: Phrases | None, again: bool, cut_out: bool) ->
 def remove_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents with every benchmark passage cut out of their texts.
 
-    A document of which no word is left goes, if it had words. Columns are those of the input;
-    n_chars, where there is one, is that of the new text.
+    A document of which no word is left goes, if it had words; null texts and texts without words stay. Rows and
+    columns are those of the input, whatever their names; repeated rows are treated alike. n_chars, where there is
+    one, is that of the new text. An empty benchmark changes nothing; no documents, no rows.
     """
-    found = find_passages(docs, benchmark, window, cut_out=True).where("n_hit < n_words or n_words = 0")
+    own = dict(zip(_ADDED, fresh_names(docs, *(f"{c}_" for c in _ADDED)), strict=True))
+    shielded = {c: own[c.lower()] for c in docs.columns if c.lower() in own}  # input columns that are called like the search's
+    found = find_passages(docs.withColumnsRenamed(shielded), benchmark, window, cut_out=True).where("n_hit < n_words or n_words = 0")
     size = {"n_chars": F.when(F.col("n_hit") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return found.withColumns(size).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return found.withColumns(size).select(*[F.col(f"`{shielded.get(c, c)}`").alias(c) for c in docs.columns])

@@ -20,6 +20,7 @@ from tidewell.llm.shared import map_texts, replace_columns
 
 ORDERS = (2, 3, 4)
 BUCKETS = 4096
+#: Languages that get a codeword: those with the most rows.
 MOST_LANGUAGES = 1000
 #: Letters stay, folded; every other ASCII byte is a space.
 _LETTER = np.where((ALNUM == 1) & ~np.isin(np.arange(256), np.arange(0x30, 0x3A)), FOLD, np.uint8(32)).astype(np.uint8)
@@ -100,15 +101,16 @@ def _counts(raw: np.ndarray, offsets: np.ndarray, group: np.ndarray, groups: int
 def fit_codes(docs: DataFrame) -> CodeModel | None:
     """The model from all rows with a text and a lang; None if there are none.
 
-    Each task adds up the n-grams of each language and only these sums meet.
+    Each task adds up the n-grams of each language and only these sums meet. Repeated rows count as often, texts
+    without n-grams only as rows; other columns are ignored. The classifier knows the MOST_LANGUAGES languages with
+    the most rows (ties by name); rows of rarer ones teach it nothing.
     """
     labelled = docs.where("lang is not null and text is not null").select("lang", "text")
-    names = [r[0] for r in labelled.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    names = [r[0] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES).collect()]
     languages = tuple(sorted(names))
     if not languages:
         return None
+    labelled = labelled.where(F.col("lang").isin(*languages))
     number = {name: i for i, name in enumerate(languages)}
     k = len(languages)
 

@@ -19,33 +19,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewell.llm.shared import SPACED_WORD, cut, replace_columns
+from tidewell.operators.ranks import numbered
 
 BLOCK = 2000
-#: Most sources: their totals are planned on the driver, one row each.
-MOST_SOURCES = 100_000
+#: Largest table of sources that is broadcast; beyond it a source's documents are dealt into SALTS parts and joined by shuffle.
+MOST_BROADCAST = 100_000
+SALTS = 16
 
 
-def shared_targets(sizes: dict[str | None, int], weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict[str | None, float]:
-    """Words each source should give.
+def shared_targets(totals: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """Adds target, the words each source should give, to totals (source string, words bigint; one row a source).
 
     Sources in code point order, null last, take the weights in turn. Together they get share times
-    all sizes; none gets more than `most` times its own, and what is over goes to the others by weight.
+    all words; none gets more than `most` times its own, and what is over goes to the others by weight. The driver only
+    holds the number of words that a weight of 1 stands for, which grows until no further source is full.
     """
-    names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    target: dict[str | None, float] = {}
-    left, budget = list(names), share * sum(sizes.values())
-    while left:
-        unit = budget / sum(weight[s] for s in left)
-        full = [s for s in left if weight[s] * unit > most * sizes[s]]
-        if not full:
-            target |= {s: float(weight[s] * unit) for s in left}
+    placed = numbered(totals.withColumn("__last", F.col("source").isNull()), "__last", "source")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("__rank") - 1, F.lit(len(weights))).cast("int"))
+    rows = cut(placed.withColumn("__weight", weight).select(*totals.columns, "__weight"))
+    everything = rows.agg(F.sum("words")).first()[0] or 0
+    unit, full = None, F.lit(False)
+    while True:
+        open_weight, held = rows.agg(F.sum(F.when(~full, F.col("__weight"))), F.sum(F.when(full, F.col("words")))).first()
+        now = (share * everything - most * (held or 0)) / open_weight if open_weight else 0.0
+        if now == unit or not open_weight:
             break
-        for s in full:
-            target[s] = float(most * sizes[s])
-            budget -= target[s]
-        left = [s for s in left if s not in target]
-    return target
+        unit = now
+        full = full | (F.col("__weight") * unit > most * F.col("words"))
+    target = F.when(full, most * F.col("words")).otherwise(F.col("__weight") * now)
+    return rows.withColumn("target", target.cast("double")).drop("__weight")
 
 
 def flight(chances: list[float], sizes: list[float], draw: random.Random) -> list[float]:
@@ -107,7 +109,7 @@ def landing(chances: list[float], sizes: list[float], draw: random.Random) -> li
 
 def _settle(seed: int, land: bool):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["place", "doc_id", "size"], kind="stable", na_position="last")
+        frame = frame.sort_values(["place", "doc_id", "mark"], kind="stable", na_position="last")
         draw = random.Random(f"{seed}:{int(frame['place'].iloc[0])}:{len(frame)}:{land}")
         units = (frame["words"] * 1.0).tolist()
         p = flight(frame["chance"].tolist(), units, draw)
@@ -116,63 +118,59 @@ def _settle(seed: int, land: bool):
     return run
 
 
-def draws(sized: DataFrame, seed: int = 11, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> tuple[DataFrame, DataFrame]:
-    """(units, plan): how often each document is taken.
+def draws(sized: DataFrame, seed: int = 11, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(doc_id, source, mark, size, source_size, target, times): how often each document is taken.
 
-    sized: doc_id bigint, source string, size bigint. units: doc_id, source, size, times; plan:
-    source, source_size, target. Rows of one id, source and size are one unit and are drawn together.
+    sized: doc_id bigint, source string, mark (a hash of the text) and size bigint. Rows of one id, source and
+    mark are one unit and are drawn together.
     """
-    spark = sized.sparkSession
-    units = cut(sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")).withColumn("place", F.xxhash64(F.lit(seed), "doc_id", "size")))
-    totals = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("words"), F.count("*").alias("n"))
-    rows = totals.limit(MOST_SOURCES + 1).collect()
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    sizes = {r["source"]: r["words"] for r in rows}
-    target = shared_targets(sizes, weights, share, most)
-    rate = {s: target[s] / sizes[s] if sizes[s] else 0.0 for s in sizes}
-    plan = spark.createDataFrame(
-        [(r["source"], r["words"], target[r["source"]], int(rate[r["source"]]), rate[r["source"]] - int(rate[r["source"]]), -(-r["n"] // BLOCK)) for r in rows],
-        "source string, source_size bigint, target double, whole int, chance double, blocks bigint",
-    )
-    by_source = F.broadcast(plan.withColumnRenamed("source", "of_source"))  # one row a source
-    planned = units.join(by_source, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
-    whole = planned.where("chance <= 1e-12").select("doc_id", "source", "size", F.col("whole").alias("times"))
-    fields = "doc_id bigint, source string, size bigint, rows bigint, place bigint, whole int, chance double, words bigint, block bigint"
-    names = [x.split()[0] for x in fields.split(", ")]
-    open_ = planned.where("chance > 1e-12").withColumn("words", F.col("size") * F.col("rows"))
-    open_ = open_.withColumn("block", F.pmod("place", "blocks")).select(*names)
-    settled = [whole]
-    most_left = max((-(-r["n"] // BLOCK) for r in rows), default=0)
+    units = sized.groupBy("doc_id", "source", "mark").agg(F.max("size").alias("size"), F.count("*").alias("rows"))
+    units = cut(units.withColumns({"words": F.col("size") * F.col("rows"), "place": F.xxhash64(F.lit(seed), "doc_id", "size", "mark")}))
+    totals = units.groupBy("source").agg(F.sum("words").alias("words"), F.count("*").alias("n"))
+    plan = shared_targets(totals, weights, share, most)
+    rate = F.when(F.col("words") > 0, F.col("target") / F.col("words")).otherwise(0.0)
+    plan = plan.select("source", F.col("words").alias("source_size"), "target", F.floor(rate).cast("int").alias("whole"), (rate - F.floor(rate)).alias("chance"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    plan = cut(plan)
+    told = ["source_size", "target", "whole", "chance", "blocks"]
+    if plan.count() <= MOST_BROADCAST:
+        same = F.col("u.source").eqNullSafe(F.col("p.source"))
+        planned = units.alias("u").join(F.broadcast(plan).alias("p"), same).select("u.*", *[f"p.{c}" for c in told])
+    else:
+        salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        same = F.col("u.source").eqNullSafe(F.col("p.source")) & (F.col("u.salt") == F.col("p.salt"))
+        planned = units.withColumn("salt", F.pmod("place", F.lit(SALTS))).alias("u").join(salted.alias("p"), same).select("u.*", *[f"p.{c}" for c in told]).drop("salt")
+    names = ["doc_id", "source", "mark", "size", "words", "place", "source_size", "target", "whole", "chance", "block"]
+    kinds = ["bigint", "string", "bigint", "bigint", "bigint", "bigint", "bigint", "double", "int", "double", "bigint"]
+    fields = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))
+    out = lambda frame, times: frame.select("doc_id", "source", "mark", "size", "source_size", "target", times.cast("int").alias("times"))
+    settled = out(planned.where("chance <= 1e-12"), F.col("whole"))
+    open_ = planned.where("chance > 1e-12").withColumn("block", F.pmod("place", "blocks")).select(*names)
+    most_left = plan.agg(F.max("blocks")).first()[0] or 0
     while True:
         last = most_left <= 1
         done = cut(open_.groupBy("source", "block").applyInPandas(_settle(seed, last), fields))
-        settled.append(done.where("chance = 0 or chance = 1").select("doc_id", "source", "size", (F.col("whole") + F.col("chance").cast("int")).alias("times")))
+        settled = settled.unionByName(out(done.where("chance = 0 or chance = 1"), F.col("whole") + F.col("chance").cast("int")))
         if last:
-            break
+            return settled
         left = 3 * most_left  # a block leaves two units open at most
         most_left = -(-left // BLOCK)
         open_ = done.where("chance > 0 and chance < 1").withColumn("block", F.pmod(F.xxhash64(F.lit(left), "place"), F.lit(most_left)))
-    out = settled[0]
-    for part in settled[1:]:
-        out = out.unionByName(part)
-    return out, plan.select("source", "source_size", "target")
 
 
 def mix_sources(docs: DataFrame, seed: int = 11, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Documents with the number of times the mix takes them.
 
-    docs: doc_id bigint, text string, source string and any others. Adds size (words of the text,
-    null: 0), source_size, target, times (int) and taken (size * times, bigint); input columns of these names
+    docs: doc_id bigint, text string, source string and any others, which pass through. Adds size (words of the
+    text, null and empty: 0), source_size, target, times (int) and taken (size * times, bigint); input columns of these names
     are replaced. No document is taken more than `most` times (rounded up), each source's taken words
     differ from its target by about one document, and a rerun over the same rows agrees. A source
-    whose texts have no words is taken 0 times. Rows of one id, source and size are drawn together.
-    No documents, no rows. More than MOST_SOURCES distinct sources raise ValueError.
+    whose texts have no words is taken 0 times. A null source is a source; rows of one id, source and text are drawn
+    together, a null id is one of them. No documents, no rows. Any number of sources.
     """
     docs = replace_columns(docs, "size", "source_size", "target", "times", "taken")
-    sized = docs.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(SPACED_WORD)), F.lit(0)).cast("bigint"))
-    units, plan = draws(sized.select("doc_id", "source", "size"), seed, weights, share, most)
-    of = units.join(F.broadcast(plan.withColumnRenamed("source", "p_source")), F.col("source").eqNullSafe(F.col("p_source")))
-    of = of.select(F.col("doc_id").alias("u_id"), F.col("source").alias("u_source"), F.col("size").alias("u_size"), "source_size", "target", "times")
-    same = F.col("doc_id").eqNullSafe(F.col("u_id")) & F.col("source").eqNullSafe(F.col("u_source")) & (F.col("size") == F.col("u_size"))
-    return sized.join(of, same).drop("u_id", "u_source", "u_size").withColumn("taken", F.col("size") * F.col("times"))
+    mark = F.xxhash64("text")
+    sized = docs.select("doc_id", "source", mark.alias("mark"), F.coalesce(F.regexp_count("text", F.lit(SPACED_WORD)), F.lit(0)).cast("bigint").alias("size"))
+    units = draws(sized, seed, weights, share, most)
+    same = F.col("d.doc_id").eqNullSafe(F.col("u.doc_id")) & F.col("d.source").eqNullSafe(F.col("u.source")) & (F.xxhash64("d.text") == F.col("u.mark"))
+    added = [F.col(f"u.{c}") for c in ("size", "source_size", "target", "times")]
+    return docs.alias("d").join(units.alias("u"), same).select("d.*", *added, (F.col("u.size") * F.col("u.times")).alias("taken"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.arrow_text import FOLD, WORD_PUNCT, mix, run_hashes, runs, slices
-from tidewell.llm.shared import best_cut, cut, hash_unit, map_texts, replace_columns
+from tidewell.llm.shared import best_cut, cut, fresh_names, hash_unit, map_texts, replace_columns
 from tidewell.llm.toxicity import sample_labels
 
 BUCKETS = 1 << 14
@@ -53,9 +53,9 @@ class RatioModel:
 def fit_ratio(docs: DataFrame, labels: DataFrame) -> tuple[RatioModel, dict[int, int]]:
     """(model, labels held back from it). docs: doc_id, text; labels: doc_id, quality 0/1.
 
-    The raw model counts all documents. The target model counts the good ones (quality above 0) of
-    a bounded sample of labels (MOST_LABELS); of these a third is held back, with all others. Without a good
-    one, the ratio is 0 throughout.
+    The raw model counts all documents, repeated ones as often. The target model counts the good ones (quality
+    above 0) of a bounded sample of labels (MOST_LABELS); of these a third is held back, with all others. Null and
+    empty texts count nothing, null ids and labels are left out. Without a good one, the ratio is 0 throughout.
     """
     quality = sample_labels(labels, "quality", MOST_LABELS)
     ids = sorted(i for i, q in quality.items() if q > 0)
@@ -88,9 +88,9 @@ def fit_ratio(docs: DataFrame, labels: DataFrame) -> tuple[RatioModel, dict[int,
     return RatioModel(np.round(ratio * _SCALE).astype(np.int64)), quality
 
 
-def weigh(docs: DataFrame, model: RatioModel) -> DataFrame:
-    """Adds log_weight (double), null for a text without words. An input column of that name is replaced."""
-    kept = replace_columns(docs, "log_weight")
+def weigh(docs: DataFrame, model: RatioModel, name: str = "log_weight") -> DataFrame:
+    """Adds log_weight (double), null for a null text and one without words. An input column of that name is replaced."""
+    kept = replace_columns(docs, name)
     text_at = [c.lower() for c in kept.columns].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,14 +101,14 @@ def weigh(docs: DataFrame, model: RatioModel) -> DataFrame:
                 # Whole numbers far below 2^53: the float sums are exact.
                 total[low:high] = np.bincount(row, model.ratio[bucket], minlength=high - low).astype(np.int64)
                 seen[low:high] = np.bincount(row, minlength=high - low) > 0
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total / _SCALE, pa.float64(), mask=~seen)], names=[*batch.schema.names, "log_weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(total / _SCALE, pa.float64(), mask=~seen)], names=[*batch.schema.names, name])
 
-    return map_texts(kept, run, kept.withColumn("log_weight", F.lit(None).cast("double")).schema)
+    return map_texts(kept, run, kept.withColumn(name, F.lit(None).cast("double")).schema)
 
 
-def gumbel_key(seed: int) -> Column:
+def gumbel_key(seed: int, name: str = "log_weight") -> Column:
     """log_weight plus Gumbel noise that depends on seed and doc_id alone."""
-    return F.col("log_weight") - F.log(-F.log(hash_unit(F.lit(seed), F.col("doc_id"))))
+    return F.col(name) - F.log(-F.log(hash_unit(F.lit(seed), F.col("doc_id"))))
 
 
 def kth_largest(keys: DataFrame, k: int, few: int = 50_000) -> float | None:
@@ -145,33 +145,54 @@ class Draw:
     scored: DataFrame
 
 
+def expected_good(scored: DataFrame, quality: dict[int, int]) -> int:
+    """The number of documents that the held-back labels make one expect to be good: the default k.
+
+    The cut that best parts good from bad labels makes two strata of keys; each one's documents count by its labels'
+    share of good ones. Of rows that share an id the largest key stands for the label. Without labels of both
+    kinds all documents with words are expected to be good.
+    """
+    known = scored.sparkSession.createDataFrame(list(quality.items()), "doc_id bigint, quality int")
+    rows = scored.where("key is not null").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max("key").alias("key"), F.max("quality").alias("quality")).collect()
+    cut_at = best_cut([r["key"] for r in rows], [r["quality"] > 0 for r in rows])
+    above = F.col("key") >= (float("-inf") if cut_at is None else cut_at)
+    counts = {r["above"]: r["n"] for r in scored.where("key is not null").groupBy(above.alias("above")).agg(F.count("*").alias("n")).collect()}
+    if cut_at is None:
+        return sum(counts.values())
+    good = {side: [r["quality"] > 0 for r in rows if (r["key"] >= cut_at) == side] for side in counts}
+    return round(sum(n * (sum(good[side]) / len(good[side]) if good[side] else float(side)) for side, n in counts.items()))
+
+
 def draw_quality(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 29) -> Draw:
     """Draws k documents by importance weight; rows that tie with the k-th are drawn too.
 
-    k defaults to the number of documents whose key passes the cut that best parts the labelled good
-    from the labelled bad rows (all rows with words, if one kind is missing).
+    k defaults to expected_good: the share of good documents in the target population, times their number.
     """
     model, quality = fit_ratio(docs, labels)
     scored = cut(weigh(docs.select("doc_id", "text"), model).select("doc_id", "log_weight", gumbel_key(seed).alias("key")))
-    if k is None:
-        known = docs.sparkSession.createDataFrame(list(quality.items()), "doc_id bigint, quality int")
-        rows = scored.where("key is not null").join(F.broadcast(known), "doc_id").select("key", "quality").limit(4 * MOST_LABELS).collect()
-        cut_at = best_cut([r["key"] for r in rows], [r["quality"] > 0 for r in rows])
-        k = scored.where("key is not null" if cut_at is None else F.col("key") >= cut_at).count()
-    return Draw(model, seed, kth_largest(scored, k), scored)
+    return Draw(model, seed, kth_largest(scored, expected_good(scored, quality) if k is None else k), scored)
 
 
 def resample_quality(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 29) -> DataFrame:
-    """Per document: doc_id, log_weight, key (both null without words) and kept (boolean, false without words)."""
+    """Per document: doc_id, log_weight, key (both null without words) and kept (boolean, false without words).
+
+    Rows that share id and text share their key; so do rows with a null id, by their text. Other columns are ignored.
+    No documents, no rows.
+    """
     draw = draw_quality(docs, labels, k, seed)
     kept = F.lit(False) if draw.least is None else F.coalesce(F.col("key") >= draw.least, F.lit(False))
     return draw.scored.withColumn("kept", kept)
 
 
 def drop_poor(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 29) -> DataFrame:
-    """The documents drawn, with their columns. Keys are worked out again as texts pass: no text is shuffled."""
+    """The documents drawn; rows and columns are those of the input, whatever their names.
+
+    Null texts and texts without words go; repeated rows stay or go together. Keys are worked out again as texts
+    pass: no text is shuffled. No documents, no rows.
+    """
     draw = draw_quality(docs, labels, k, seed)
     columns = [F.col(f"`{c}`") for c in docs.columns]
     if draw.least is None:
         return docs.where(F.lit(False))
-    return weigh(docs, draw.model).where(gumbel_key(draw.seed) >= draw.least).select(*columns)
+    (name,) = fresh_names(docs, "log_weight")
+    return weigh(docs, draw.model, name).where(gumbel_key(draw.seed, name) >= draw.least).select(*columns)

@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words of the corpus contracts: runs of anything but space and \t \n \v \f \r.
-SPACED_WORD = r"[^\x20\x09-\x0D]+"
-
+from tidewell.sources.tables import cut, scratch, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+__all__ = ["SPACED_WORD", "ascii_lower", "best_cut", "cut", "discard", "fresh_names", "hash_unit", "map_texts", "replace_columns", "scratch", "shared_folder", "store"]
 
-    Only where neither that setting nor a checkpoint folder of the context is set
-    a temporary folder is made and set, on one machine (tests); on a cluster this is an error.
-    """
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-tidewell-"))
-    return context.getCheckpointDir().rstrip("/")
+#: Words of the corpus contracts: runs of anything but space and \t \n \v \f \r.
+SPACED_WORD = r"[^\x20\x09-\x0D]+"
 
 
 #: Rows in an Arrow batch of texts, where the session has Spark's own number.
@@ -45,17 +31,6 @@ def map_texts(frame: DataFrame, function: Callable, schema: T.StructType | str)
     return frame.mapInArrow(function, schema)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a frame of small rows in the shared folder and cut its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def store(df: DataFrame, path: str) -> DataFrame:
     """Write a frame as Parquet and read it again."""
     df.write.parquet(path)
