@@ -13,7 +13,7 @@ import pytest
 from tidewell import registry
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"gbt_aipw_bootstrap", "gbt_outcomes", "dr_learner"}
+SLOW = {"gbt_aipw_bootstrap"}  # 300 fits
 
 
 @pytest.fixture(scope="module")

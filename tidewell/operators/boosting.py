@@ -1,0 +1,100 @@
+"""Many boosted-tree fits at once, on rows that are summed up to binned cells first.
+
+Trees on binned features only need, per distinct combination of bins (a cell), the number of rows and the sum of
+their labels. Spark bins the rows, sums them up and deals the cells out by model; each task fits one model of its cells,
+however many rows these stand for. So cross-fitting and the bootstrap, whose many models are what costs, run in
+parallel. Tables of more than MOST_CELLS cells do not go this way (see models).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tidewell.functions.scalar import finite
+from tidewell.operators.ranks import quantiles
+
+#: Most cells of one model, which one task holds.
+MOST_CELLS = 1_000_000
+#: Quantile bins of a numeric column; a missing value is a bin of its own.
+BINS = 32
+#: Values of a categorical column that are features, the most frequent ones.
+MOST_VALUES = 64
+
+
+def _edges_below(edges: Column, x: Column) -> Column:
+    return F.size(F.filter(edges, lambda e: e < x))
+
+
+def cell_code(frame: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> Column:
+    """A text with one character a feature: the bins of numeric columns, and whether a categorical one has each of its values."""
+    marks = []
+    if numeric:
+        long = frame.select(F.posexplode(F.array(*[finite(F.col(c)) for c in numeric])).alias("i", "x"))
+        edges = {r["i"]: sorted(set(r["q"])) for r in quantiles(long, "x", [j / BINS for j in range(1, BINS)], ["i"]).collect()}
+        for i, c in enumerate(numeric):
+            inner = F.array(*[F.lit(e) for e in edges.get(i, [])]).cast("array<double>")
+            x = finite(F.col(c))
+            marks.append(F.when(x.isNull(), 0).otherwise(1 + _edges_below(inner, x)))
+    for c in categorical:
+        counts = frame.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n"))
+        values = sorted(r["v"] for r in counts.orderBy(F.col("n").desc(), "v").limit(MOST_VALUES).collect())
+        marks += [F.coalesce((F.col(c).cast("string") == v).cast("int"), F.lit(0)) for v in values]
+    return F.concat(F.lit(""), *[F.char(m + 33) for m in marks])
+
+
+def _logistic(x: np.ndarray) -> np.ndarray:
+    return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
+
+
+def boosted(bins: np.ndarray, rows: np.ndarray, labels: np.ndarray, logistic: bool, depth: int, rounds: int, rate: float, leaf: float) -> np.ndarray:
+    """Predictions of every cell. rows: training rows of each cell (0: predict only); labels: the sum of their labels.
+
+    Newton steps on histograms; a level's nodes are split at once, each at the bin of most gain that leaves `leaf` rows on both sides.
+    """
+    cells, features = bins.shape
+    width = int(bins.max(initial=0)) + 1
+    place = bins.astype(np.int64) + np.arange(features) * width
+    mean = labels.sum() / rows.sum()
+    score = np.full(cells, np.log(mean / (1 - mean)) if logistic else mean)
+    for _ in range(rounds):
+        p = _logistic(score) if logistic else score
+        slope, curve = rows * p - labels, rows * (p * (1 - p) if logistic else 1.0)
+        node, size = np.zeros(cells, np.int64), 1
+        for _ in range(depth if features else 0):
+            at = (place + node[:, None] * (features * width)).ravel()
+            sums = [np.bincount(at, np.repeat(x, features), size * features * width).reshape(size, features, width) for x in (slope, curve, rows)]
+            (gl, hl, nl), (g, h, n) = ([x.cumsum(axis=2) for x in sums], [x[:, :1].sum(axis=2, keepdims=True) for x in sums])
+            gain = gl**2 / (hl + 1e-9) + (g - gl) ** 2 / (h - hl + 1e-9) - g**2 / (h + 1e-9)
+            gain = np.where((nl >= leaf) & (n - nl >= leaf), gain, -np.inf).reshape(size, -1)
+            best = gain.argmax(axis=1)
+            split = gain[np.arange(size), best] > 1e-12
+            feature, edge = best // width, np.where(split, best % width, width)
+            node = 2 * node + (bins[np.arange(cells), feature[node]] > edge[node])
+            size *= 2
+        g, h = (np.bincount(node, x, size) for x in (slope, curve))
+        score = score - rate * (g / (h + 1e-9))[node]
+    return _logistic(score) if logistic else score
+
+
+def _one_model(by: Sequence[str], logistic: bool, depth: int, rounds: int, rate: float, leaf: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        code, number = np.unique(frame["code"].to_numpy(str), return_inverse=True)
+        rows, labels = (np.bincount(number, frame[c].to_numpy(float)) for c in ("rows", "labels"))
+        if not rows.sum() or (logistic and not 0 < labels.sum() < rows.sum()):
+            raise ValueError(f"{dict(frame[list(by)].iloc[0])} has fewer than two classes")
+        bins = np.frombuffer("".join(code).encode(), np.uint8).reshape(len(code), -1) - 33
+        value = boosted(bins, rows, labels, logistic, depth, rounds, rate, leaf)
+        return pd.DataFrame({**{c: frame[c].iloc[0] for c in by}, "code": code, "value": value})
+
+    return run
+
+
+def fit_cells(cells: DataFrame, by: Sequence[str], logistic: bool, maxDepth: int, maxIter: int, stepSize: float, minInstancesPerNode: float) -> DataFrame:  # noqa: N803  names as Spark's
+    """(by, code, value): a model per group, its predictions of all its cells. cells: by, code, rows, labels; labels of rows 0 or 1 if logistic."""
+    kinds = ", ".join(f"{c} {cells.schema[c].dataType.simpleString()}" for c in by)
+    return cells.groupBy(*by).applyInPandas(_one_model(by, logistic, maxDepth, maxIter, stepSize, minInstancesPerNode), f"{kinds}, code string, value double")

@@ -1,6 +1,8 @@
-"""Fitted nuisances and effects with Spark ML: propensity, outcome and effect models, cross-fitting, AIPW, DR-learner.
+"""Fitted nuisances and effects: propensity, outcome and effect models, cross-fitting, AIPW, DR-learner.
 
-Missing values are imputed by the median and flagged, because Spark's trees reject NaN.
+All are boosted trees. Tables whose rows sum up to few enough binned cells are fitted by boosting.fit_cells, all
+models of a call in parallel; larger ones by Spark ML, one model after the other, each over the whole cluster. There
+missing values are imputed by the median and flagged, because Spark's trees reject NaN.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.scalar import finite, has
-from tidewell.functions.uniform import poisson, uniform
-from tidewell.operators.causal import auc, clip_ps, k_folds, phi_summary, pseudo_outcome
+from tidewell.functions.uniform import once, uniform
+from tidewell.operators import boosting as cells_
+from tidewell.operators.causal import auc, clip_ps, k_folds, phi_summary, pseudo_outcome, replicates
+from tidewell.sources.tables import cut
 
 #: Boosting: depth, rounds, learning rate, least rows in a leaf.
 BOOSTING = {"maxDepth": 3, "maxIter": 400, "stepSize": 0.05, "minInstancesPerNode": 50}
@@ -58,10 +62,44 @@ def predict(model: PipelineModel, frame: DataFrame, name: str) -> DataFrame:
     return out.withColumn(name, value).select(*frame.columns, name)
 
 
+def few_cells(coded: DataFrame) -> bool:
+    """Whether the distinct cells (code) of a frame are few enough for one task to hold a model's."""
+    return coded.select("code").distinct().count() <= cells_.MOST_CELLS
+
+
+def fit_predict(train: DataFrame, test: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str], name: str, logistic: bool = True, **boosting: float) -> DataFrame:
+    """test with a column of predictions by a model of train: the probability of label 1, or the mean label if not logistic."""
+    code = cells_.cell_code(train, numeric, categorical)
+    coded, asked = train.withColumn("code", code), test.withColumn("code", code)
+    if not few_cells(coded):
+        fit = fit_classifier if logistic else fit_regressor
+        return predict(fit(prepared(train, numeric), label, numeric, categorical, **boosting), prepared(test, numeric), name).select(*test.columns, name)
+    cells = coded.groupBy("code").agg(F.count("*").cast("double").alias("rows"), F.sum(label).cast("double").alias("labels"))
+    cells = cells.unionByName(asked.select("code", F.lit(0.0).alias("rows"), F.lit(0.0).alias("labels")).distinct()).withColumn("model", F.lit(name))
+    found = cut(cells_.fit_cells(cells, ["model"], logistic, **(BOOSTING | boosting)))
+    return asked.join(found.select("code", F.col("value").alias(name)), "code").select(*test.columns, name)
+
+
+def _nuisances(coded: DataFrame, by: Sequence[str], k: int, **boosting: float) -> DataFrame:
+    """(by, fold, code, ps, m1, m0): out-of-fold predictions of every cell. coded: by, fold, code, t, y, n (rows)."""
+    n, t, y = F.col("n"), F.col("t"), F.col("y")
+    cells = cut(coded.groupBy(*by, "fold", "code").agg(*[F.sum(x).cast("double").alias(c) for c, x in (("n", n), ("n1", n * t), ("y1", n * t * y), ("y0", n * (1 - t) * y))]))
+    kinds = [("ps", F.col("n"), F.col("n1")), ("m1", F.col("n1"), F.col("y1")), ("m0", F.col("n") - F.col("n1"), F.col("y0"))]
+    each = cells.withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("r", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), r.alias("rows"), s.alias("labels")) for m, r, s in kinds])))
+    used = lambda c: F.when(F.col("fold") == F.col("out"), 0.0).otherwise(F.col(f"r.{c}"))  # noqa: E731  the fold left out is predicted only
+    each = each.select(*by, "out", "r.model", "fold", "code", used("rows").alias("rows"), used("labels").alias("labels"))
+    found = cut(cells_.fit_cells(each, [*by, "out", "model"], True, **(BOOSTING | boosting)))
+    value = lambda m: F.max(F.when(F.col("model") == m, F.col("value"))).alias(m)
+    return found.groupBy(*by, F.col("out").alias("fold"), "code").agg(value("ps"), value("m1"), value("m0"))
+
+
 def cross_fit(frame: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str], k: int = 5, seed: int = 42, **boosting: float) -> DataFrame:
-    """Adds fold and out-of-fold ps, m1, m0: each fold is predicted by models of the other folds. The prepared frame is cached once."""
-    rows = k_folds(prepared(frame, numeric), key, k, seed).persist()
-    parts = []
+    """Adds fold and out-of-fold ps, m1, m0: each fold is predicted by models of the other folds."""
+    rows = cut(k_folds(frame, key, k, seed).withColumn("code", cells_.cell_code(frame, numeric, categorical)))
+    if few_cells(rows):
+        found = _nuisances(rows.withColumn("n", F.lit(1)), [], k, **boosting)
+        return rows.join(found, ["fold", "code"]).select(*frame.columns, "fold", "ps", "m1", "m0")
+    rows, parts = prepared(rows.drop("code"), numeric), []
     for fold in range(k):
         train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
         out = predict(fit_classifier(train, "t", numeric, categorical, **boosting), test, "ps")
@@ -71,7 +109,7 @@ def cross_fit(frame: DataFrame, key: str, numeric: Sequence[str], categorical: S
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)
-    return result
+    return result.select(*frame.columns, "fold", "ps", "m1", "m0")
 
 
 def aipw(scored: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -82,35 +120,35 @@ def aipw(scored: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
 
 def bootstrap_aipw(frame: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str], n_boot: int, k: int = 2, seed: int = 42, **boosting: float) -> DataFrame:
     """(rep, ate): AIPW with all models fitted again on each resample (rows repeated by their Poisson multiplicity, whole in one fold)."""
-    parts = []
-    for rep in range(1, n_boot + 1):
-        times = poisson(uniform(seed, F.col(key), F.lit(rep)))
-        resample = frame.withColumn("__k", times).where("__k > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__k")))).drop("__k", "__copy")
-        folds = k_folds(frame.select(key), key, k, seed + rep)
-        rows = prepared(resample, numeric).join(folds, key).persist()
-        scored = []
-        for fold in range(k):
-            train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-            out = predict(fit_classifier(train, "t", numeric, categorical, **boosting), test, "ps")
+    coded = cut(frame.select(key, "t", "y", *numeric, *categorical).withColumn("code", cells_.cell_code(frame, numeric, categorical)))
+    fold = F.floor(uniform(seed + 1, F.col(key), F.col("rep")) * k).cast("int")
+    if few_cells(coded):
+        drawn = replicates(coded.select(key, "t", "y", "code"), key, n_boot, seed).withColumn("fold", once(fold))
+        cells = cut(drawn.groupBy("rep", "fold", "code", "t", "y").agg(F.sum("k").alias("n")))
+        scored = cells.join(_nuisances(cells, ["rep"], k, **boosting), ["rep", "fold", "code"])
+        phi = pseudo_outcome(F.col("y"), F.col("t"), clip_ps(F.col("ps")), F.col("m1"), F.col("m0"))
+        return scored.groupBy("rep").agg((F.sum(F.col("n") * phi) / F.sum("n")).alias("ate"))
+    out = None
+    for rep in range(1, n_boot + 1):  # a whole-cluster fit of each model
+        drawn = replicates(coded.drop("code"), key, n_boot, seed).where(F.col("rep") == rep)
+        resample = cut(prepared(drawn.withColumns({"fold": fold, "__copy": F.explode(F.sequence(F.lit(1), F.col("k")))}).drop("k", "__copy"), numeric))
+        scored = None
+        for left_out in range(k):
+            train, part = resample.where(F.col("fold") != left_out), resample.where(F.col("fold") == left_out)
+            part = predict(fit_classifier(train, "t", numeric, categorical, **boosting), part, "ps")
             for arm in (1, 0):
-                out = predict(fit_classifier(train.where(F.col("t") == arm), "y", numeric, categorical, **boosting), out, f"m{arm}")
-            scored.append(out)
-        every = scored[0]
-        for part in scored[1:]:
-            every = every.unionByName(part)
-        parts.append(aipw(every).select(F.lit(rep).alias("rep"), "ate"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+                part = predict(fit_classifier(train.where(F.col("t") == arm), "y", numeric, categorical, **boosting), part, f"m{arm}")
+            scored = part if scored is None else scored.unionByName(part)
+        one = cut(aipw(scored).select(F.lit(rep).alias("rep"), "ate"))
+        out = one if out is None else out.unionByName(one)
     return out
 
 
 def dr_learner(frame: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str], k: int = 5, low: float = 0.01, high: float = 0.99, **boosting: float) -> tuple[DataFrame, DataFrame]:
     """(rows with ps, m1, m0, phi, tau; one row of diagnostics): effects regressed on the doubly-robust pseudo-outcome."""
-    scored = cross_fit(frame, key, numeric, categorical, k, **boosting)
     phi = pseudo_outcome(F.col("y"), F.col("t"), clip_ps(F.col("ps"), low, high), F.col("m1"), F.col("m0"))
-    scored = scored.withColumn("phi", phi).persist()
-    return predict(fit_regressor(scored, "phi", numeric, categorical, **boosting), scored, "tau"), phi_summary(scored, "phi", "ps", low, high)
+    scored = cut(cross_fit(frame, key, numeric, categorical, k, **boosting).withColumn("phi", phi))
+    return fit_predict(scored, scored, "phi", numeric, categorical, "tau", logistic=False, **boosting), phi_summary(scored, "phi", "ps", low, high)
 
 
 def assignment_strength(frame: DataFrame, covariates: Sequence[str], t: str) -> DataFrame:
