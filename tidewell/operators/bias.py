@@ -81,34 +81,29 @@ def linear_score(weights: Mapping[str, float], treatment: str | None = None, tre
     return score + F.col(treatment) * treatment_weight if treatment else score
 
 
-def calibrate_intercept(frame: DataFrame, score: str, target: float, strength: float = 1.0, low: float = -50.0, high: float = 50.0, tol: float = 1e-8, probes: int = 64) -> float:
+def calibrate_intercept(frame: DataFrame, score: str, target: float, strength: float = 1.0, low: float = -50.0, high: float = 50.0, tol: float = 1e-8) -> float:
     """The intercept at which mean sigmoid(intercept + strength * score) is the target.
 
-    Each pass tries 64 intercepts at once and keeps the bracket; about six passes reach 1e-8. An
-    unreachable target is an error.
+    Newton steps inside a bracket, halved where a step would leave it; every pass is one aggregate (a mean and its
+    slope) over the cached scores. An unreachable target is an error.
     """
     if not 0 < target < 1:
         raise ValueError("target must lie in (0, 1)")
-
-    spark, scores = frame.sparkSession, frame.select(F.col(score).cast("double").alias("s")).persist()
-
-    def means(points: list[float]) -> list[float]:
-        grid = F.broadcast(spark.createDataFrame(list(enumerate(points)), "i int, p double"))  # one row a probe
-        rows = scores.crossJoin(grid).groupBy("i").agg(F.avg(sigmoid(F.col("s") * strength + F.col("p"), 500.0)).alias("m")).collect()
-        return [r["m"] for r in sorted(rows, key=lambda r: r["i"])]
-
+    scores = frame.select((F.col(score).cast("double") * strength).alias("s")).persist()
+    at = lambda x: sigmoid(F.col("s") + x, 500.0)
     try:
-        for _ in range(40):
-            points = [low + (high - low) * i / (probes - 1) for i in range(probes)]
-            found = means(points)
-            if not found or not found[0] <= target <= found[-1]:
-                raise ValueError("the target rate is outside the bracket")
-            at = min(range(probes), key=lambda i: abs(found[i] - target))
-            if abs(found[at] - target) <= tol or high - low < 1e-12:
-                return points[at]
-            above = next(i for i in range(probes) if found[i] >= target)
-            low, high = points[max(above - 1, 0)], points[above]
-        return (low + high) / 2
+        least, most = scores.agg(F.avg(at(low)), F.avg(at(high))).first()
+        if least is None or not least <= target <= most:
+            raise ValueError("the target rate is outside the bracket")
+        x = (low + high) / 2
+        for _ in range(100):
+            mean, slope = scores.agg(F.avg(at(x)), F.avg(at(x) * (1 - at(x)))).first()
+            if abs(mean - target) <= tol or high - low < 1e-12:
+                break
+            low, high = (x, high) if mean < target else (low, x)
+            step = x + (target - mean) / slope if slope else low
+            x = step if low < step < high else (low + high) / 2
+        return x
     finally:
         scores.unpersist()
 

@@ -162,22 +162,23 @@ def ate(y: Column, t: Column, w: Column) -> Column:
 # --- balance ------------------------------------------------------------------------------------
 
 
-def smd_table(frame: DataFrame, features: Sequence[str], t: str = "t", w: str | None = None, mode: str = "population") -> DataFrame:
-    """(feature, smd_pre, smd_post): standardised mean differences, unweighted and weighted.
+def smd_table(frame: DataFrame, features: Sequence[str], t: str = "t", w: str | None = None, mode: str = "population", max_features: int | None = None) -> DataFrame:
+    """(feature, smd_pre, smd_post): standardised mean differences, unweighted and weighted, the largest |smd_pre| first.
 
     population: population variances + 1e-12; sample: sample variances, 0 where the pooled sd is 0. Only
-    finite values count; a feature without values in an arm is NULL. One pass: features unpivoted, moments
-    per arm about the feature's own mean.
+    finite values count; a feature without values in an arm is NULL. max_features: so many of the features given, in their
+    order. Two passes over the rows as they are: means, then moments per arm about them.
     """
-    long = frame.select(F.col(t).alias("t"), (F.col(w) if w else F.lit(1.0)).alias("w"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), finite(F.col(c)).alias("x")) for c in features])).alias("r"))
-    long = long.select("t", "w", "r.*").where("x is not null")
-    centre = long.groupBy("feature").agg(F.avg("x").alias("c"))
-    x = F.col("x") - F.col("c")
-    long = long.join(F.broadcast(centre), "feature")
-    sums = long.groupBy("feature", "t").agg(
-        F.avg(x).alias("m"), (F.var_pop(x) if mode == "population" else F.var_samp(x)).alias("v"),
-        (F.sum(F.col("w") * x) / (F.sum("w") + EPS)).alias("wm"), (F.sum(F.col("w") * x * x) / (F.sum("w") + EPS)).alias("w2"), F.sum("w").alias("sw"),
-    )
+    features = list(features)[:max_features]
+    weight = F.col(w).cast("double") if w else F.lit(1.0)
+    rows = frame.where(F.col(t).isin(0, 1)).select(F.col(t).alias("t"), weight.alias("w"), *[finite(F.col(c)).alias(f"x{i}") for i, c in enumerate(features)])
+    rows = beside(rows, *[F.avg(f"x{i}").alias(f"c{i}") for i in range(len(features))])
+    moments = []
+    for i in range(len(features)):
+        x, has = F.col(f"x{i}") - F.col(f"c{i}"), F.when(F.col(f"x{i}").isNotNull(), F.col("w"))
+        all_ = F.sum(has) + EPS
+        moments.append(F.struct(F.lit(features[i]).alias("feature"), F.avg(x).alias("m"), (F.var_pop(x) if mode == "population" else F.var_samp(x)).alias("v"), (F.sum(has * x) / all_).alias("wm"), (F.sum(has * x * x) / all_).alias("w2"), F.sum(has).alias("sw")))
+    sums = rows.groupBy("t").agg(F.array(*moments).alias("r")).select("t", F.explode("r").alias("r")).select("t", "r.*").where("m is not null")
     side = lambda a: sums.where(F.col("t") == a).select("feature", *[F.col(c).alias(f"{c}{a}") for c in ("m", "v", "wm", "w2", "sw")])
     both = side(1).join(side(0), "feature", "full_outer")
     # the variance about the weighted mean mu is E[x^2] - 2 mu E[x] + mu^2 E[1], with E over sw / (sw + eps)
@@ -188,13 +189,16 @@ def smd_table(frame: DataFrame, features: Sequence[str], t: str = "t", w: str |
         sd = F.sqrt(0.5 * (F.col("v1") + F.col("v0")))
         pre = F.when(sd == 0, 0.0).otherwise((F.col("m1") - F.col("m0")) / sd)
     post = F.when((F.col("sw1") > 0) & (F.col("sw0") > 0), (F.col("wm1") - F.col("wm0")) / F.sqrt(0.5 * (F.greatest(var(1), F.lit(0.0)) + F.greatest(var(0), F.lit(0.0))) + EPS))
-    return both.select("feature", pre.alias("smd_pre"), (post if w else F.lit(None).cast("double")).alias("smd_post"))
+    out = both.select("feature", pre.alias("smd_pre"), (post if w else F.lit(None).cast("double")).alias("smd_post"))
+    return out.orderBy(F.abs("smd_pre").desc_nulls_last(), "feature")
 
 
-def balance_summary(smd: DataFrame, column: str = "smd_post") -> DataFrame:
-    """One row: largest |SMD| and the shares above 0.1 and 0.2."""
+def balance_summary(smd: DataFrame, column: str = "smd_post", top_k: int = 10) -> DataFrame:
+    """One row: largest |SMD|, the shares above 0.1 and 0.2, and the names of the top_k features by |SMD|, comma-joined."""
     a = F.abs(column)
-    return smd.agg(F.count(column).alias("n_features"), F.max(a).alias("max_abs_smd"), F.avg((a > 0.1).cast("int")).alias("frac_gt_01"), F.avg((a > 0.2).cast("int")).alias("frac_gt_02"))
+    ranked = F.slice(F.array_sort(F.collect_list(F.when(F.col(column).isNotNull(), F.struct((-a).alias("o"), "feature")))), 1, top_k)  # one entry a feature
+    top = F.array_join(F.transform(ranked, lambda r: r["feature"]), ",")
+    return smd.agg(F.count(column).alias("n_features"), F.max(a).alias("max_abs_smd"), F.avg((a > 0.1).cast("int")).alias("frac_gt_01"), F.avg((a > 0.2).cast("int")).alias("frac_gt_02"), top.alias("top"))
 
 
 _POINTS = {"p01": 0.01, "p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}

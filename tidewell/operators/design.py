@@ -179,7 +179,9 @@ def design_sweep(measures: DataFrame, exposures: DataFrame, key: str, thresholds
     spark = measures.sparkSession
     grid = spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
     start = measures.crossJoin(F.broadcast(grid)).where(F.col("value") > F.col("threshold")).groupBy(key, "threshold").agg(F.min("ts").alias("t0"))
-    next_ = start.join(exposures.select(key, "ts"), key, "left").groupBy(key, "threshold", "t0").agg(F.min(F.when(F.col("ts") >= F.col("t0"), hours_between(F.col("ts"), F.col("t0")))).alias("wait"))
+    e = exposures.select(F.col(key).alias("__key"), "ts")
+    soon = (F.col(key) == F.col("__key")) & (F.col("ts") >= F.col("t0")) & (hours_between(F.col("ts"), F.col("t0")) < float(max(hours)))
+    next_ = start.join(e, soon, "left").groupBy(key, "threshold", "t0").agg(F.min(hours_between(F.col("ts"), F.col("t0"))).alias("wait"))
     windows = F.broadcast(spark.createDataFrame([(float(h),) for h in hours], "hours double"))
     out = next_.crossJoin(windows).groupBy("threshold", "hours").agg(F.count("*").alias("eligible"), F.count(F.when(F.col("wait") < F.col("hours"), 1)).alias("treated"))
     return out.withColumn("control", F.col("eligible") - F.col("treated")).withColumn("treated_share", F.col("treated") / F.col("eligible"))

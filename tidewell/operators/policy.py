@@ -89,15 +89,31 @@ def _each(thresholds: Sequence[float]) -> list[float]:
     return sorted({round(float(x), 4) for x in thresholds})
 
 
+def _by_threshold(rows: DataFrame, grid: Sequence[float], rule: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, threshold, rate, v): share treated and mean score under each threshold. rows: by, tau, s0 and s1 (scores untreated and treated), k (weight).
+
+    A row's tau parts the ordered thresholds into those that treat it and those that do not, so rows are summed up by
+    where it parts them: one pass, no row more than there are.
+    """
+    edges = F.array(*[F.lit(float(x)) for x in grid])
+    below = F.size(F.filter(edges, (lambda g: g <= F.col("tau")) if rule == "tau_ge_thr" else (lambda g: g < F.col("tau"))))
+    weighted = [F.sum(F.col("k") * F.col(c)).alias(c) for c in ("s0", "s1")]
+    per = rows.where("tau is not null").groupBy(*by, below.alias("b")).agg(*weighted, F.sum("k").alias("n"))
+    places = F.broadcast(rows.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(grid)], "i int, threshold double"))
+    treated = F.col("i") >= F.col("b") if rule == "tau_le_thr" else F.col("i") < F.col("b")
+    pick = lambda yes, no: F.sum(F.when(treated, yes).otherwise(no)) / F.sum("n")
+    return per.crossJoin(places).groupBy(*by, "threshold").agg(pick(F.col("n"), 0).alias("rate"), pick(F.col("s1"), F.col("s0")).alias("v"))
+
+
+def _scores(frame: DataFrame, *keep: str) -> DataFrame:
+    return frame.select(*keep, "tau", dr_score(F.lit(0)).alias("s0"), dr_score(F.lit(1)).alias("s1"))
+
+
 def threshold_values(frame: DataFrame, thresholds: Sequence[float], rule: str = "tau_le_thr") -> DataFrame:
     """(threshold, treat_rate, value_dr, delta_vs_none, delta_vs_all) of each threshold, all in one pass; rounded to 4 digits."""
-    grid = _each(thresholds)
-    aggs = [F.avg(dr_score(F.lit(0))).alias("v0"), F.avg(dr_score(F.lit(1))).alias("v1")]
-    for i, x in enumerate(grid):
-        pi = decide(F.col("tau"), x, rule)
-        aggs += [F.avg(pi).alias(f"rate{i}"), F.avg(dr_score(pi)).alias(f"v_{i}")]
-    each = [F.struct(F.lit(x).alias("threshold"), F.col(f"rate{i}").alias("rate"), F.col(f"v_{i}").alias("v")) for i, x in enumerate(grid)]
-    per = frame.agg(*aggs).select("v0", "v1", F.explode(F.array(*each)).alias("r")).select("v0", "v1", "r.*")
+    decide(F.col("tau"), 0.0, rule)  # rejects an unknown rule
+    rows = _scores(frame).withColumn("k", F.lit(1))
+    per = _by_threshold(rows, _each(thresholds), rule).crossJoin(F.broadcast(rows.agg(F.avg("s0").alias("v0"), F.avg("s1").alias("v1"))))
     return per.select("threshold", F.round("rate", 4).alias("treat_rate"), F.round("v", 4).alias("value_dr"), F.round(F.col("v") - F.col("v0"), 4).alias("delta_vs_none"), F.round(F.col("v") - F.col("v1"), 4).alias("delta_vs_all"))
 
 
@@ -112,11 +128,8 @@ def threshold_curve(frame: DataFrame, thresholds: Sequence[float], rule: str = "
 
 def curve_with_intervals(frame: DataFrame, key: str, thresholds: Sequence[float], n_boot: int, rule: str = "tau_le_thr", seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """(threshold, boot_mean, boot_sd, ci_lo, ci_hi): every replicate of every threshold in one pass over the drawn rows."""
-    grid, k = _each(thresholds), F.col("k")
-    # a threshold's score is one of two numbers, by its decision
-    rows = replicates(frame.select(key, "tau", dr_score(F.lit(0)).alias("s0"), dr_score(F.lit(1)).alias("s1")), key, n_boot, seed)
-    values = [F.struct(F.lit(x).alias("threshold"), (F.sum(k * F.when(decide(F.col("tau"), x, rule) == 1, F.col("s1")).otherwise(F.col("s0"))) / F.sum(k)).alias("v")) for x in grid]
-    reps = rows.groupBy("rep").agg(F.array(*values).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    decide(F.col("tau"), 0.0, rule)  # rejects an unknown rule
+    reps = _by_threshold(replicates(_scores(frame, key), key, n_boot, seed), _each(thresholds), rule, ["rep"])
     q = F.percentile("v", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))  # of n_boot values
     per = reps.groupBy("threshold").agg(F.avg("v").alias("boot_mean"), F.stddev_samp("v").alias("boot_sd"), q.alias("q"))
     return per.select("threshold", "boot_mean", "boot_sd", F.get("q", F.lit(0)).alias("ci_lo"), F.get("q", F.lit(1)).alias("ci_hi"))
@@ -163,11 +176,8 @@ def simple_ipw_score(threshold: float | Column, p: Column, direction: str = "gt"
 
 def simple_ipw_curve(frame: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """(threshold, treat_rate, value) under simple_ipw_score with p the treated share."""
-    rows, aggs, grid = beside(frame, F.avg("t").alias("p")), [], _each(thresholds)
-    for i, x in enumerate(grid):
-        aggs += [F.avg((F.col("tau") > x).cast("int")).alias(f"rate{i}"), F.avg(simple_ipw_score(x, F.col("p"))).alias(f"v{i}")]
-    each = [F.struct(F.lit(x).alias("threshold"), F.col(f"rate{i}").alias("treat_rate"), F.col(f"v{i}").alias("value")) for i, x in enumerate(grid)]
-    return rows.agg(*aggs).select(F.explode(F.array(*each)).alias("r")).select("r.*")
+    rows = beside(frame, F.avg("t").alias("p")).select("tau", *[simple_ipw_score(x, F.col("p")).alias(c) for c, x in (("s0", float("inf")), ("s1", float("-inf")))], F.lit(1).alias("k"))
+    return _by_threshold(rows, _each(thresholds), "tau_gt_thr").select("threshold", F.col("rate").alias("treat_rate"), F.col("v").alias("value"))
 
 
 def simple_ipw_comparison(frame: DataFrame, key: str, n_boot: int, seed: int = 42, alpha: float = 0.05) -> DataFrame:
@@ -199,8 +209,11 @@ def tau_quantiles(frame: DataFrame) -> DataFrame:
     return one.select(*[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("p01", "p25", "p50", "p75", "p99"))], "n_negative", "n_positive")
 
 
-def personalised_report(frame: DataFrame, threshold: float = 0.0, rule: str = "tau_le_thr") -> DataFrame:
-    """One row: allocation, tau summary, values of the policy and of treating none or all, and the best of them."""
+def personalised_report(frame: DataFrame, threshold: float = 0.0, rule: str = "tau_le_thr", key: str | None = None, n_boot: int = 0, seed: int = 42, alpha: float = 0.05) -> DataFrame:
+    """One row: allocation, tau summary, values of the policy and of treating none or all, and the best of them.
+
+    With a key and n_boot, each value also has its bootstrap sd and interval (v_policy_sd, v_policy_lo, v_policy_hi, ...).
+    """
     pi = decide(F.col("tau"), threshold, rule)
     one = frame.agg(
         F.count("*").alias("n"), F.sum(pi).cast("bigint").alias("n_treat"), F.avg(pi).alias("treat_rate"), F.avg((pi == F.col("t")).cast("int")).alias("agreement"), F.avg("tau").alias("tau_mean"), F.stddev_samp("tau").alias("tau_sd"),
@@ -208,4 +221,12 @@ def personalised_report(frame: DataFrame, threshold: float = 0.0, rule: str = "t
     )
     least = F.least("v_policy", "v_none", "v_all")
     best = F.when(F.col("v_policy") == least, "policy").when(F.col("v_none") == least, "none").otherwise("all")
-    return one.withColumns({"best": best, "gain_over_uniform": F.least("v_none", "v_all") - F.col("v_policy")})
+    one = one.withColumns({"best": best, "gain_over_uniform": F.least("v_none", "v_all") - F.col("v_policy")})
+    if not (key and n_boot):
+        return one
+    reps = bootstrap_values(frame.withColumn("__pi", pi), key, n_boot, "__pi", seed)
+    sides = []
+    for column, name in (("value", "v_policy"), ("none", "v_none"), ("every", "v_all")):
+        q = F.percentile(column, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))  # of n_boot values
+        sides += [F.stddev_samp(column).alias(f"{name}_sd"), F.get(q, F.lit(0)).alias(f"{name}_lo"), F.get(q, F.lit(1)).alias(f"{name}_hi")]
+    return one.crossJoin(F.broadcast(reps.agg(*sides)))

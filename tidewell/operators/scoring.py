@@ -10,16 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewell.operators.ranks import numbered
+from tidewell.sources.tables import cut, stored
 
-# What a reply block looks like, and the repairs of malformed blocks in their order (Java regex).
-BLOCK = r"\{[^}]+\}"
-REPAIRS = (
-    (r"\{\s*(\d+)\s*,\s*([-\d\.]+)\s*\}", r'{"id": $1, "cate": $2}'),
-    (r"([{,]\s*)([a-zA-Z_]+)(\s*:)", r'$1"$2"$3'),
-    (r'("id"\s*:\s*\d+\s*,\s*)([-\d\.]+)(\s*\})', r'$1"cate": $2$3'),
-    (r'\{\s*""\s*:\s*(\d+)', r'{"id": $1'),
-    (r',\s*""\s*:\s*([-\d\.]+)', r', "cate": $1'),
-)
+#: Names of an item's entries by place, where a reply leaves them out.
+ITEM_KEYS = ("id", "cate")
 _JSON_NUMBER = r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
 _JSON_INT = r"^-?(0|[1-9][0-9]*)$"
 
@@ -41,23 +35,32 @@ def prompts(chunked: DataFrame, key: str, columns: Sequence[str], template: str,
 
 
 def reply_blocks(replies: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, block, fixed): every {...} of a reply and its repaired form; angle brackets first become braces inside it."""
-    found = F.regexp_extract_all(F.col(text), F.lit(BLOCK), F.lit(0))
-    out = replies.select(key, F.posexplode(found).alias("pos", "block"))
-    fixed = F.translate("block", "<>", "{}")
-    for pattern, to in REPAIRS:
-        fixed = F.regexp_replace(fixed, pattern, to)
-    return out.withColumn("fixed", fixed)
+    """(key, pos, block, entries): what a reply has between an opening brace and the next closing one, split into named entries.
+
+    entries: array of (name, value) texts, one for each part between commas. A part `name: value` has its name without
+    quotes and blanks; where a part has no name, or an empty one, its place names it (see ITEM_KEYS). So all the usual
+    defects (bare names, values alone, empty names) are read by one rule, and nothing is rewritten.
+    """
+    opened = F.slice(F.split(F.col(text), r"\{"), F.lit(2), F.greatest(F.size(F.split(F.col(text), r"\{")) - 1, F.lit(0)))
+    closed = F.filter(opened, lambda part: F.locate("}", part) > 1)
+    out = replies.select(key, F.posexplode(F.transform(closed, lambda part: F.substring_index(part, "}", 1))).alias("pos", "block"))
+    place = F.array(*[F.lit(k) for k in ITEM_KEYS])
+
+    def entry(part: Column, i: Column) -> Column:
+        named = F.contains(part, F.lit(":"))
+        name = F.when(named, F.trim(F.translate(F.substring_index(part, ":", 1), '"', ""))).otherwise("")
+        value = F.trim(F.when(named, F.substring(part, F.locate(":", part) + 1, F.length(part))).otherwise(part))
+        return F.struct(F.when(name != "", name).otherwise(F.coalesce(F.get(place, i), F.lit(""))).alias("name"), value.alias("value"))
+
+    return out.withColumn("entries", F.transform(F.split("block", ","), entry))
 
 
 def reply_items(blocks: DataFrame, key: str) -> DataFrame:
-    """(key, id, cate): blocks whose keys are exactly id and cate, with a whole id and a numeric value; of a repeated id the first counts."""
-    keys = F.json_object_keys("fixed")
-    raw = F.from_json("fixed", "id string, cate string")
-    text_id = F.regexp_extract("fixed", r'"id"\s*:\s*(-?[0-9.eE+-]+|"[^"]*"|[a-z]+|\[|\{)', 1)
-    text_cate = F.regexp_extract("fixed", r'"cate"\s*:\s*(-?[0-9.eE+-]+|"[^"]*"|[a-zA-Z]+|\[|\{)', 1)
-    good = (F.array_sort(keys) == F.array(F.lit("cate"), F.lit("id"))) & raw.isNotNull() & text_id.rlike(_JSON_INT) & text_cate.rlike(_JSON_NUMBER)
-    parsed = blocks.where(F.coalesce(good, F.lit(False))).select(key, "pos", text_id.try_cast("bigint").alias("id"), text_cate.try_cast("double").alias("cate"))
+    """(key, id, cate): blocks whose entries are exactly id and cate, with a whole id and a numeric value; of a repeated id the first counts."""
+    right = F.array_sort(F.transform("entries", lambda e: e["name"])) == F.array(F.lit("cate"), F.lit("id"))
+    of = lambda name: F.get(F.filter("entries", lambda e: e["name"] == name), F.lit(0))["value"]
+    good = right & of("id").rlike(_JSON_INT) & of("cate").rlike(_JSON_NUMBER)
+    parsed = blocks.where(F.coalesce(good, F.lit(False))).select(key, "pos", of("id").try_cast("bigint").alias("id"), of("cate").try_cast("double").alias("cate"))
     order = Window.partitionBy(key, "id").orderBy("pos")
     return parsed.where("id is not null").withColumn("rn", F.row_number().over(order)).where("rn = 1").select(key, "id", "cate")
 
@@ -88,14 +91,21 @@ def retry_frame(prompt_rows: DataFrame, checked: DataFrame, key: str, attempt: i
     return prompt_rows.join(missing, key).select(key, F.concat("prompt", note).alias("prompt"), "missing")
 
 
-def status_report(expected: DataFrame, received: DataFrame, retried: DataFrame | None = None) -> DataFrame:
-    """(id, status): success, missing, retry_failed (missing in spite of a retry), extra (never asked for)."""
+def status_report(expected: DataFrame, received: DataFrame, retried: DataFrame | None = None, most: int = 3) -> DataFrame:
+    """(id, status, error, retries) of every id asked for or received.
+
+    retried: (id, retries), how often an id was asked for again. success; missing (never asked again); retry_failed (asked
+    again, fewer than `most` times so far); failed (all retries used up); extra (never asked for, retries NULL).
+    """
     want, got = expected.select("id").distinct().withColumn("__want", F.lit(1)), received.select("id").distinct().withColumn("__got", F.lit(1))
     out = want.join(got, "id", "full_outer")
-    again = retried.select("id").distinct().withColumn("__again", F.lit(1)) if retried is not None else None
+    again = retried.groupBy("id").agg(F.max("retries").cast("int").alias("__again")) if retried is not None else None
     out = out.join(again, "id", "left") if again is not None else out.withColumn("__again", F.lit(None).cast("int"))
-    status = F.when(F.col("__want").isNull(), "extra").when(F.col("__got").isNotNull(), "success").when(F.col("__again").isNotNull(), "retry_failed").otherwise("missing")
-    return out.select("id", status.alias("status"))
+    times = F.coalesce("__again", F.lit(0))
+    extra, success = F.col("__want").isNull(), F.col("__got").isNotNull()
+    status = F.when(extra, "extra").when(success, "success").when(times == 0, "missing").when(times < most, "retry_failed").otherwise("failed")
+    error = F.when(extra, "not asked for").when(success, "").when(times == 0, "no value in the reply").when(times < most, F.concat(F.lit("retry "), times.cast("string"), F.lit(" brought no value"))).otherwise("no value after all retries")
+    return out.select("id", status.alias("status"), error.alias("error"), F.when(~extra, times).alias("retries"))
 
 
 def require_complete(report: DataFrame) -> None:
@@ -110,14 +120,17 @@ def resume(frame: DataFrame, saved: DataFrame, key: str) -> DataFrame:
 
 
 def call_scorer(prompt_rows: DataFrame, scorer: Callable[[str], str], key: str) -> DataFrame:
-    """(key, reply): a user function from prompt to reply text, called in the tasks."""
+    """(key, reply): a user function from prompt to reply text, called in the tasks.
+
+    The replies are stored in the shared folder before anything uses them: no later job or lost executor asks again.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({key: frame[key], "reply": [scorer(p) for p in frame["prompt"]]})
 
     kind = prompt_rows.schema[key].dataType.simpleString()
-    return prompt_rows.select(key, "prompt").mapInPandas(run, f"{key} {kind}, reply string")
+    return stored(prompt_rows.select(key, "prompt").mapInPandas(run, f"{key} {kind}, reply string"), "replies")
 
 
 def score_with_retries(prompt_rows: DataFrame, expected: DataFrame, scorer: Callable[[str], str], key: str, attempts: int = 3) -> DataFrame:
@@ -132,7 +145,7 @@ def score_with_retries(prompt_rows: DataFrame, expected: DataFrame, scorer: Call
             better = now.where("reason is null").select(key, "id", F.col("cate").alias("__cate"))
             joined = checked.join(better, [key, "id"], "left")
             checked = joined.select(key, "id", F.when(F.col("reason").isNull(), F.col("cate")).otherwise(F.coalesce("__cate", "cate")).alias("cate"), F.when(F.col("__cate").isNull(), F.col("reason")).alias("reason"))
-        checked = checked.persist()
+        checked = cut(checked)
         if attempt == max(attempts, 1) or checked.where("reason is not null").isEmpty():
             return checked
         todo = retry_frame(prompt_rows, checked, key, attempt + 1)

@@ -34,6 +34,29 @@ def query(sql: str | None = None, doubles: str = ""):
     return register
 
 
+#: Columns that tell a report section's rows apart.
+LABELS = ("arm", "feature", "quantity", "threshold", "risk_bin", "column")
+
+
+def long_report(report: DataFrame) -> DataFrame:
+    """(section, item, measure, value, text) of every non-null measure of a (section, json) report."""
+    rows = report.select("section", F.from_json("json", "map<string,string>").alias("m"))
+    item = F.coalesce(*[F.try_element_at("m", F.lit(c)) for c in LABELS], F.lit(""))
+    long = rows.select("section", item.alias("item"), F.explode(F.map_filter("m", lambda k, v: v.isNotNull() & ~k.isin(*LABELS))).alias("measure", "v"))
+    value = F.col("v").try_cast("double")
+    return long.select("section", "item", "measure", value.alias("value"), F.when(value.isNull(), F.col("v")).alias("text"))
+
+
+def long_sql(**sections: tuple[str | None, str]) -> str:
+    """The SQL of long_report from each section's (label column, SQL)."""
+    parts = []
+    for name, (label, sql) in sections.items():
+        item, rest = (f'CAST("{label}" AS VARCHAR)', f'* EXCLUDE ("{label}")') if label else ("''", "*")
+        one = f"SELECT {item} AS __item, CAST(COLUMNS({rest}) AS VARCHAR) FROM ({sql})"
+        parts.append(f"SELECT '{name}' AS section, __item AS item, measure, TRY_CAST(v AS DOUBLE) AS value, CASE WHEN TRY_CAST(v AS DOUBLE) IS NULL THEN v END AS text FROM (UNPIVOT ({one}) ON COLUMNS(* EXCLUDE (__item)) INTO NAME measure VALUE v)")
+    return " UNION ALL ".join(parts)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -9,9 +9,10 @@ from tidewell.functions.uniform import POISSON_STEPS
 from tidewell.operators import causal, policy
 from tidewell.plans.reports import baseline_report, policy_report
 from tidewell.plans.study import config
-from tidewell.queries.base import query, table
+from tidewell.queries.base import ORACLE_SQL, long_report, long_sql, query, table
 
-B, SEED = 20, 42
+#: Replicates: of weighted effects, of policy values and curves, of the comparison, of the policy report.
+B, B_POLICY, B_COMPARISON, B_REPORT, SEED = 20, 50, 100, 200, 42
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
@@ -39,7 +40,8 @@ def _uniform(*keys: str) -> str:
 
 
 #: Replicates with their Poisson multiplicity k.
-_REPS = f"""rp AS (SELECT *, {" + ".join(f"CASE WHEN uu >= {p!r} THEN 1 ELSE 0 END" for p in POISSON_STEPS)} AS k FROM (SELECT s.*, rep, {_uniform("id", "rep")} AS uu FROM s, range(1, {B + 1}) AS r(rep))), r AS (SELECT * FROM rp WHERE k > 0)"""
+def _reps(n: int) -> str:
+    return f"""rp AS (SELECT *, {" + ".join(f"CASE WHEN uu >= {p!r} THEN 1 ELSE 0 END" for p in POISSON_STEPS)} AS k FROM (SELECT s.*, rep, {_uniform("id", "rep")} AS uu FROM s, range(1, {n + 1}) AS r(rep))), r AS (SELECT * FROM rp WHERE k > 0)"""
 
 
 def _score(pi: str) -> str:
@@ -50,7 +52,9 @@ def _ate(w: str, y: str = "y") -> str:
     return f"(sum(CASE WHEN t = 1 THEN {w} * {y} END) / (sum(CASE WHEN t = 1 THEN {w} END) + 1e-12) - sum(CASE WHEN t = 0 THEN {w} * {y} END) / (sum(CASE WHEN t = 0 THEN {w} END) + 1e-12))"
 
 
-@query("""SELECT * FROM (VALUES ('id', 'dropped'), ('subject', 'dropped'), ('t', 'dropped'), ('y', 'dropped'), ('seg', 'categorical'), ('nat', 'numeric'), ('price', 'numeric'), ('bal', 'numeric'), ('text_number', 'numeric'), ('day', 'dropped'), ('o_orderkey', 'dropped')) AS v("column", role)""")
+@query(f"""WITH {_UNITS}, c AS (SELECT v.name, v.kind, v.parsed FROM (SELECT avg(CASE WHEN TRY_CAST(seg AS DOUBLE) IS NULL THEN 0 ELSE 1 END) AS seg, avg(CASE WHEN TRY_CAST(CAST(price AS VARCHAR) AS DOUBLE) IS NULL THEN 0 ELSE 1 END) AS price_text FROM u),
+LATERAL (VALUES ('id', 'number', 1.0), ('subject', 'number', 1.0), ('t', 'number', 1.0), ('y', 'number', 1.0), ('seg', 'text', seg), ('nat', 'number', 1.0), ('price', 'number', 1.0), ('bal', 'number', 1.0), ('text_number', 'text', price_text), ('day', 'time', 0.0), ('o_orderkey', 'number', 1.0)) AS v(name, kind, parsed))
+SELECT name AS "column", CASE WHEN name IN ('id', 'subject', 't', 'y') OR kind = 'time' OR regexp_matches(name, '_id|id_|uuid|key') THEN 'dropped' WHEN kind = 'text' AND parsed < 0.95 THEN 'categorical' ELSE 'numeric' END AS role FROM c""")
 def feature_roles(spark: SparkSession, d: str) -> DataFrame:
     u = _units(spark, d).withColumns({"text_number": F.col("price").cast("string"), "day": F.current_date(), "o_orderkey": F.col("id")})
     return causal.feature_roles(u, ["id", "subject", "t", "y"])
@@ -94,6 +98,7 @@ def weighted_effects(spark: SparkSession, d: str) -> DataFrame:
     return x.agg(F.avg("w").alias("mean_w"), F.max("wt").alias("max_trimmed"), causal.ess(wt).alias("ess"), causal.ate(y, t, wt).alias("ate_iptw"), causal.ate(y, t, causal.overlap_weight(F.col("e"), t)).alias("ate_ato"), causal.weighted_mean(F.col("price"), wt).alias("mean_price"))
 
 
+_TRIMMED = "w0 AS (SELECT *, CASE WHEN t = 1 THEN pt / e ELSE (1 - pt) / (1 - e) END AS w9 FROM s), wq AS (SELECT quantile_cont(w9, 0.05) AS lo, quantile_cont(w9, 0.95) AS hi FROM w0), w AS (SELECT w0.*, greatest(lo, least(hi, w9)) AS w FROM w0, wq)"
 _SMD = f"""WITH {_S}, {_W}, l AS (SELECT 'price' AS feature, t, w, price AS x FROM w UNION ALL SELECT 'bal', t, w, bal FROM w WHERE bal IS NOT NULL UNION ALL SELECT 'nat', t, w, nat FROM w),
 c AS (SELECT feature, avg(x) AS c FROM l GROUP BY 1), g AS (SELECT feature, t, avg(x - c) AS m, var_pop(x - c) AS v, sum(w * (x - c)) / (sum(w) + 1e-12) AS wm FROM l JOIN c USING (feature) GROUP BY ALL),
 h AS (SELECT l.feature, l.t, sum(w * pow(x - c - wm, 2)) / (sum(w) + 1e-12) AS wv FROM l JOIN c USING (feature) JOIN g ON g.feature = l.feature AND g.t = l.t GROUP BY ALL),
@@ -110,7 +115,7 @@ def smd_table(spark: SparkSession, d: str) -> DataFrame:
     return _smd(spark, d)
 
 
-@query(f"{_SMD} SELECT count(smd_post) AS n_features, max(abs(smd_post)) AS max_abs_smd, avg(CASE WHEN abs(smd_post) > 0.1 THEN 1 ELSE 0 END) AS frac_gt_01, avg(CASE WHEN abs(smd_post) > 0.2 THEN 1 ELSE 0 END) AS frac_gt_02 FROM z", "max_abs_smd frac_gt_01 frac_gt_02")
+@query(f"{_SMD} SELECT count(smd_post) AS n_features, max(abs(smd_post)) AS max_abs_smd, avg(CASE WHEN abs(smd_post) > 0.1 THEN 1 ELSE 0 END) AS frac_gt_01, avg(CASE WHEN abs(smd_post) > 0.2 THEN 1 ELSE 0 END) AS frac_gt_02, string_agg(feature, ',' ORDER BY abs(smd_post) DESC, feature) AS top FROM z", "max_abs_smd frac_gt_01 frac_gt_02")
 def balance_summary(spark: SparkSession, d: str) -> DataFrame:
     return causal.balance_summary(_smd(spark, d))
 
@@ -166,7 +171,7 @@ def cate_vs_ate(spark: SparkSession, d: str) -> DataFrame:
     return causal.cate_vs_ate(_scored(spark, d))
 
 
-_BOOT = f"""WITH {_S}, {_REPS}, p AS (SELECT rep, sum(k * t) / sum(k) AS pr FROM r GROUP BY 1), w AS (SELECT r.*, CASE WHEN t = 1 THEN pr / e ELSE (1 - pr) / (1 - e) END AS w, CASE WHEN t = 1 THEN 1 - e ELSE e END AS o FROM r JOIN p USING (rep)),
+_BOOT = f"""WITH {_S}, {_reps(B)}, p AS (SELECT rep, sum(k * t) / sum(k) AS pr FROM r GROUP BY 1), w AS (SELECT r.*, CASE WHEN t = 1 THEN pr / e ELSE (1 - pr) / (1 - e) END AS w, CASE WHEN t = 1 THEN 1 - e ELSE e END AS o FROM r JOIN p USING (rep)),
 m AS (SELECT w.rep, w.w FROM w, range(1, 13) AS c(i) WHERE i <= k), q AS (SELECT rep, quantile_cont(w, 0.05) AS lo, quantile_cont(w, 0.95) AS hi FROM m GROUP BY 1), x AS (SELECT w.*, greatest(lo, least(hi, w)) AS wt FROM w JOIN q USING (rep)),
 f AS (SELECT rep, {_ate("k * wt")} AS iptw, {_ate("k * o")} AS ato FROM x GROUP BY rep)"""
 
@@ -198,37 +203,55 @@ def policy_value(spark: SparkSession, d: str) -> DataFrame:
     return policy.dr_value(p).crossJoin(F.broadcast(policy.dr_value(p, trim=(0.05, 0.95)).withColumnRenamed("value", "trimmed")))
 
 
-_PAIRED = f"""WITH {_S}, {_REPS}, v AS (SELECT rep, sum(k * {_score("CASE WHEN tau < 0 THEN 1 ELSE 0 END")}) / sum(k) AS value, sum(k * {_score("0")}) / sum(k) AS v0, sum(k * {_score("1")}) / sum(k) AS v1 FROM r GROUP BY rep),
-d AS (SELECT rep, value, value - v0 AS delta_none, value - v1 AS delta_all FROM v)"""
+def _paired(n: int, pi: str = "CASE WHEN tau < 0 THEN 1 ELSE 0 END") -> str:
+    return f"""WITH {_S}, {_reps(n)}, v AS (SELECT rep, sum(k * {_score(pi)}) / sum(k) AS value, sum(k * {_score("0")}) / sum(k) AS v0, sum(k * {_score("1")}) / sum(k) AS v1 FROM r GROUP BY rep),
+d AS (SELECT rep, value, v0 AS none, v1 AS every, value - v0 AS delta_none, value - v1 AS delta_all FROM v)"""
 
 
-@query(f"""{_PAIRED}, l AS (SELECT 'value' AS quantity, value AS x FROM d UNION ALL SELECT 'delta_none', delta_none FROM d UNION ALL SELECT 'delta_all', delta_all FROM d)
-SELECT quantity, avg(x) AS mean, stddev_samp(x) AS sd, quantile_cont(x, 0.025) AS ci_lo, quantile_cont(x, 0.975) AS ci_hi, avg(CASE WHEN x < 0 THEN 1 ELSE 0 END) AS p_negative FROM l GROUP BY 1""", "mean sd ci_lo ci_hi p_negative")
+def _summary(*quantities: str) -> str:
+    return f"""l AS ({" UNION ALL ".join(f"SELECT '{q}' AS quantity, {q} AS x FROM d" for q in quantities)})
+SELECT quantity, avg(x) AS mean, stddev_samp(x) AS sd, quantile_cont(x, 0.025) AS ci_lo, quantile_cont(x, 0.975) AS ci_hi, avg(CASE WHEN x < 0 THEN 1 ELSE 0 END) AS p_negative FROM l GROUP BY 1"""
+
+
+@query(f"""{_paired(B_POLICY)}, {_summary("value", "delta_none", "delta_all")}""", "mean sd ci_lo ci_hi p_negative")
 def paired_deltas(spark: SparkSession, d: str) -> DataFrame:
-    return policy.paired_summary(policy.bootstrap_values(policy.policy_from_tau(_scored(spark, d)), "id", B, seed=SEED))
+    return policy.paired_summary(policy.bootstrap_values(policy.policy_from_tau(_scored(spark, d)), "id", B_POLICY, seed=SEED))
 
 
-@query(f"{_PAIRED} SELECT CAST(rep AS INTEGER) AS rep, value, delta_none, delta_all FROM d", "value delta_none delta_all")
+@query(f"{_paired(B_POLICY)} SELECT CAST(rep AS INTEGER) AS rep, value, delta_none, delta_all FROM d", "value delta_none delta_all")
 def bootstrap_policy(spark: SparkSession, d: str) -> DataFrame:
-    return policy.bootstrap_values(policy.policy_from_tau(_scored(spark, d)), "id", B, seed=SEED).drop("none", "every")
+    return policy.bootstrap_values(policy.policy_from_tau(_scored(spark, d)), "id", B_POLICY, seed=SEED).drop("none", "every")
 
 
-_GRID = [-0.2, -0.1, 0.0, 0.1, 0.2]
+_GRID = [round(-0.3 + 0.9 * i / 19, 4) for i in range(20)]
+_FINE_GRID = [round(0.05 + 0.9 * i / 49, 4) for i in range(50)]
 _CURVE = """SELECT threshold, round(avg(pi), 4) AS treat_rate, round(avg(v), 4) AS value_dr, round(avg(v) - avg(v0), 4) AS delta_vs_none, round(avg(v) - avg(v1), 4) AS delta_vs_all
 FROM (SELECT threshold, CASE WHEN tau <= threshold THEN 1 ELSE 0 END AS pi, {v} AS v, {v0} AS v0, {v1} AS v1 FROM s, {g}) GROUP BY threshold""".replace("{v}", _score("CASE WHEN tau <= threshold THEN 1 ELSE 0 END")).replace("{v0}", _score("0")).replace("{v1}", _score("1"))
 _G0 = f"(SELECT CAST(unnest({_GRID}) AS DOUBLE) AS threshold)"
+_G1 = f"(SELECT CAST(unnest({_FINE_GRID}) AS DOUBLE) AS threshold)"
+_REFINED = f"""c AS ({_CURVE.replace("{g}", _G0 + " g0")}), b AS (SELECT threshold AS best FROM c ORDER BY value_dr, threshold LIMIT 1),
+g AS (SELECT threshold FROM {_G0} UNION SELECT round(best - 0.05 + 0.01 * i, 4) FROM b, range(11) AS k(i))"""
 
 
-@query(f"""WITH {_S}, c AS ({_CURVE.replace("{g}", _G0 + " g0")}), b AS (SELECT threshold AS best FROM c ORDER BY value_dr, threshold LIMIT 1),
-g AS (SELECT threshold FROM {_G0} UNION SELECT round(best - 0.05 + 0.01 * i, 4) FROM b, range(11) AS k(i)) {_CURVE.replace("{g}", "g")}""", "treat_rate value_dr delta_vs_none delta_vs_all")
+@query(f"""WITH {_S}, {_REFINED} {_CURVE.replace("{g}", "g")}""", "treat_rate value_dr delta_vs_none delta_vs_all")
 def threshold_curve(spark: SparkSession, d: str) -> DataFrame:
     return policy.threshold_curve(_scored(spark, d), _GRID)
 
 
-@query(f"""WITH {_S}, {_REPS}, v AS (SELECT threshold, rep, sum(k * {_score("CASE WHEN tau <= threshold THEN 1 ELSE 0 END")}) / sum(k) AS v FROM r, {_G0} g GROUP BY ALL)
-SELECT threshold, avg(v) AS boot_mean, stddev_samp(v) AS boot_sd, quantile_cont(v, 0.025) AS ci_lo, quantile_cont(v, 0.975) AS ci_hi FROM v GROUP BY 1""", "boot_mean boot_sd ci_lo ci_hi")
+def _intervals(grid: str) -> str:
+    return f"""v AS (SELECT threshold, rep, sum(k * {_score("CASE WHEN tau <= threshold THEN 1 ELSE 0 END")}) / sum(k) AS v FROM r, {grid} GROUP BY ALL),
+ci AS (SELECT threshold, avg(v) AS boot_mean, stddev_samp(v) AS boot_sd, quantile_cont(v, 0.025) AS ci_lo, quantile_cont(v, 0.975) AS ci_hi FROM v GROUP BY 1)"""
+
+
+@query(f"""WITH {_S}, {_reps(B_POLICY)}, {_intervals(_G0 + " g")} SELECT * FROM ci""", "boot_mean boot_sd ci_lo ci_hi")
 def curve_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return policy.curve_with_intervals(_scored(spark, d), "id", _GRID, B, seed=SEED)
+    return policy.curve_with_intervals(_scored(spark, d), "id", _GRID, B_POLICY, seed=SEED)
+
+
+@query(f"""WITH {_S}, {_REFINED}, f AS ({_CURVE.replace("{g}", "g")}), {_reps(B_POLICY)}, {_intervals("g")} SELECT * FROM f JOIN ci USING (threshold)""", "treat_rate value_dr delta_vs_none delta_vs_all boot_mean boot_sd ci_lo ci_hi")
+def full_threshold_curve(spark: SparkSession, d: str) -> DataFrame:
+    """Grid and refinement, each threshold with its value, deltas and bootstrap interval."""
+    return policy.full_curve(_scored(spark, d), "id", _GRID, B_POLICY, seed=SEED)
 
 
 def _group_sql(tau: str, m0: str, m1: str) -> str:
@@ -249,24 +272,30 @@ def outcome_arm_groups(spark: SparkSession, d: str) -> DataFrame:
     return policy.outcome_arm_groups(_scored(spark, d), 0.0)
 
 
-@query(f"""WITH {_S}, p AS (SELECT *, CASE WHEN tau <= 0 THEN 1 ELSE 0 END AS pi FROM s), g AS (SELECT count(*) AS n, CAST(sum(pi) AS BIGINT) AS n_treat, avg(pi) AS treat_rate, avg(CASE WHEN pi = t THEN 1 ELSE 0 END) AS agreement, avg(tau) AS tau_mean, stddev_samp(tau) AS tau_sd, avg({_score("pi")}) AS v_policy, avg({_score("0")}) AS v_none, avg({_score("1")}) AS v_all FROM p)
-SELECT *, CASE WHEN v_policy = least(v_policy, v_none, v_all) THEN 'policy' WHEN v_none = least(v_policy, v_none, v_all) THEN 'none' ELSE 'all' END AS best, least(v_none, v_all) - v_policy AS gain_over_uniform FROM g""", "treat_rate agreement tau_mean tau_sd v_policy v_none v_all gain_over_uniform")
+_REPORT = f"""SELECT *, CASE WHEN v_policy = least(v_policy, v_none, v_all) THEN 'policy' WHEN v_none = least(v_policy, v_none, v_all) THEN 'none' ELSE 'all' END AS best, least(v_none, v_all) - v_policy AS gain_over_uniform
+FROM (SELECT count(*) AS n, CAST(sum(pi) AS BIGINT) AS n_treat, avg(pi) AS treat_rate, avg(CASE WHEN pi = t THEN 1 ELSE 0 END) AS agreement, avg(tau) AS tau_mean, stddev_samp(tau) AS tau_sd, avg({_score("pi")}) AS v_policy, avg({_score("0")}) AS v_none, avg({_score("1")}) AS v_all
+FROM (SELECT *, CASE WHEN tau <= 0 THEN 1 ELSE 0 END AS pi FROM s))"""
+_VALUES = {"v_policy": "value", "v_none": "none", "v_all": "every"}
+_SIDES = ", ".join(f"stddev_samp({c}) AS {n}_sd, quantile_cont({c}, 0.025) AS {n}_lo, quantile_cont({c}, 0.975) AS {n}_hi" for n, c in _VALUES.items())
+
+
+@query(f"""{_paired(B_POLICY, "CASE WHEN tau <= 0 THEN 1 ELSE 0 END")} SELECT * FROM ({_REPORT}), (SELECT {_SIDES} FROM d)""", "treat_rate agreement tau_mean tau_sd v_policy v_none v_all gain_over_uniform " + " ".join(f"{n}_{x}" for n in _VALUES for x in ("sd", "lo", "hi")))
 def personalised_report(spark: SparkSession, d: str) -> DataFrame:
-    return policy.personalised_report(_scored(spark, d), 0.0)
+    return policy.personalised_report(_scored(spark, d), 0.0, key="id", n_boot=B_POLICY, seed=SEED)
 
 
 _IPW = "(CASE WHEN tau > {c} THEN 1.0 ELSE 0.0 END * t / {p} * y + (1 - CASE WHEN tau > {c} THEN 1.0 ELSE 0.0 END) * (1 - t) / (1 - {p}) * y)"
 
 
-@query(f"WITH {_S} SELECT threshold, avg(CASE WHEN tau > threshold THEN 1 ELSE 0 END) AS treat_rate, avg({_IPW.format(c='threshold', p='greatest(0.01, least(0.99, pt))')}) AS value FROM s, {_G0} g GROUP BY 1", "treat_rate value")
+@query(f"WITH {_S} SELECT threshold, avg(CASE WHEN tau > threshold THEN 1 ELSE 0 END) AS treat_rate, avg({_IPW.format(c='threshold', p='greatest(0.01, least(0.99, pt))')}) AS value FROM s, {_G1} g GROUP BY 1", "treat_rate value")
 def simple_ipw_curve(spark: SparkSession, d: str) -> DataFrame:
-    return policy.simple_ipw_curve(_scored(spark, d), _GRID)
+    return policy.simple_ipw_curve(_scored(spark, d), _FINE_GRID)
 
 
-@query(f"""WITH {_S}, {_REPS}, p AS (SELECT rep, sum(k * t) / sum(k) AS pr FROM r GROUP BY 1), v AS (SELECT rep, sum(k * {_IPW.format(c="0", p="pr")}) / sum(k) AS a, sum(k * t / pr * y) / sum(k) AS b, sum(k * (1 - t) / (1 - pr) * y) / sum(k) AS c FROM r JOIN p USING (rep) GROUP BY rep),
+@query(f"""WITH {_S}, {_reps(B_COMPARISON)}, p AS (SELECT rep, sum(k * t) / sum(k) AS pr FROM r GROUP BY 1), v AS (SELECT rep, sum(k * {_IPW.format(c="0", p="pr")}) / sum(k) AS a, sum(k * t / pr * y) / sum(k) AS b, sum(k * (1 - t) / (1 - pr) * y) / sum(k) AS c FROM r JOIN p USING (rep) GROUP BY rep),
 l AS (SELECT 'personalised' AS method, a AS x FROM v UNION ALL SELECT 'treat_all', b FROM v UNION ALL SELECT 'treat_none', c FROM v) SELECT method, avg(x) AS mean, stddev_samp(x) AS sd, quantile_cont(x, 0.025) AS ci_lo, quantile_cont(x, 0.975) AS ci_hi FROM l GROUP BY 1""", "mean sd ci_lo ci_hi")
 def simple_ipw_comparison(spark: SparkSession, d: str) -> DataFrame:
-    return policy.simple_ipw_comparison(_scored(spark, d), "id", B, SEED)
+    return policy.simple_ipw_comparison(_scored(spark, d), "id", B_COMPARISON, SEED)
 
 
 @query(f"WITH {_S} SELECT t AS arm, count(tau) AS n, avg(tau) AS mean, stddev_samp(tau) AS sd, min(tau) AS min, quantile_cont(tau, 0.25) AS p25, quantile_cont(tau, 0.5) AS p50, quantile_cont(tau, 0.75) AS p75, max(tau) AS max FROM s GROUP BY 1", "mean sd min p25 p50 p75 max")
@@ -289,11 +318,35 @@ def mode_fill(spark: SparkSession, d: str) -> DataFrame:
     return causal.mode_fill(_units(spark, d).withColumn("y", F.expr("case when id % 5 = 0 then null else y end")), "y").select("id", "y")
 
 
-@query()
+_BASELINE = long_sql(
+    overlap=("arm", ORACLE_SQL["ps_overlap"]),
+    weights=(None, f"WITH {_S}, {_TRIMMED} SELECT count(*) AS n, pow(sum(w), 2) / (sum(w * w) + 1e-12) AS ess, pow(sum(w), 2) / (sum(w * w) + 1e-12) / count(*) AS ess_ratio, quantile_cont(w, 0.5) AS p50, quantile_cont(w, 0.9) AS p90, quantile_cont(w, 0.95) AS p95, quantile_cont(w, 0.99) AS p99, min(w) AS min, avg(w) AS mean, stddev_pop(w) AS sd, max(w) AS max FROM w"),
+    effects=(None, f"WITH {_S}, {_TRIMMED} SELECT {_ate('w')} AS iptw, {_ate('CASE WHEN t = 1 THEN 1 - e ELSE e END')} AS ato, avg(m1 - m0 + t * (y - m1) / e - (1 - t) * (y - m0) / (1 - e)) AS aipw FROM w"),
+    balance=(None, ORACLE_SQL["balance_summary"].replace(_W, _TRIMMED)),
+    smd=("feature", ORACLE_SQL["smd_table"].replace(_W, _TRIMMED)),
+    iptw_interval=(None, ORACLE_SQL["bootstrap_interval"]),
+    ato_interval=(None, ORACLE_SQL["bootstrap_interval"].replace("(iptw)", "(ato)").replace("(iptw, ", "(ato, ")),
+)
+
+
+@query(_BASELINE, "value")
 def baseline_report_rows(spark: SparkSession, d: str) -> DataFrame:
-    return baseline_report(_scored(spark, d), "id", ["price", "bal", "nat"], config("wide_trim"), B)
+    """Every measure of the baseline report, one row each."""
+    return long_report(baseline_report(_scored(spark, d), "id", ["price", "bal", "nat"], config("wide_trim"), B))
+
+
+_AT_MOST_0 = "CASE WHEN tau <= 0 THEN 1 ELSE 0 END"
+_POLICY = long_sql(
+    report=(None, f"WITH {_S} {_REPORT}"),
+    curve=("threshold", f"WITH {_S} {_CURVE.replace('{g}', _G0 + ' g0')}"),
+    risk_bins=("risk_bin", ORACLE_SQL["risk_bins"]),
+    paired=("quantity", f"{_paired(B_REPORT, _AT_MOST_0)}, {_summary('value', 'delta_none', 'delta_all')}"),
+    tau=(None, f"WITH {_S} SELECT quantile_cont(tau, 0.01) AS p01, quantile_cont(tau, 0.25) AS p25, quantile_cont(tau, 0.5) AS p50, quantile_cont(tau, 0.75) AS p75, quantile_cont(tau, 0.99) AS p99, count(*) FILTER (WHERE tau < 0) AS n_negative, count(*) FILTER (WHERE tau >= 0) AS n_positive FROM s"),
+    values=("quantity", f"{_paired(B_REPORT, _AT_MOST_0)}, {_summary('value', 'none', 'every')}"),
+)
 
 
-@query()
+@query(_POLICY, "value")
 def policy_report_rows(spark: SparkSession, d: str) -> DataFrame:
-    return policy_report(_scored(spark, d), "id", config("default", seed=SEED))
+    """Every measure of the policy report, one row each."""
+    return long_report(policy_report(_scored(spark, d), "id", config("default", seed=SEED), B_REPORT))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import bias, causal, models
 from tidewell.plans.reports import confounding_report, selection_report
-from tidewell.queries.base import query, table
+from tidewell.queries.base import ORACLE_SQL, long_report, long_sql, query, table
 from tidewell.queries.effects import SEED, _uniform, _units
 
 _WEIGHTS = {"bal": 1.0, "n_orders": -0.5}
@@ -104,15 +104,39 @@ def harmonised(spark: SparkSession, d: str) -> DataFrame:
     return bias.harmonise(reference, _observed(spark, d), "t", "treat_obs", "t_original")
 
 
-@query()
+_CHOSEN = f"ch AS (SELECT *, 1 / (1 + exp(-(score + a))) AS pr, CASE WHEN {_uniform('id')} < 1 / (1 + exp(-(score + a))) THEN 1 ELSE 0 END AS ind FROM sc, al)"
+
+
+def _summary_sql(rows: str) -> str:
+    return " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS n_rows, count(*) - count({c}) AS n_missing, count(*) FILTER (WHERE {c} NOT IN (0, 1)) = 0 AS is_binary, avg({c}) AS mean, stddev_pop({c}) AS sd, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM {rows}""" for c in ("bal", "n_orders", "t"))
+
+
+_SHIFT = " UNION ALL ".join(f"""SELECT '{c}' AS "column", m0 AS mean_before, m1 AS mean_after, CASE WHEN v0 + v1 > 0 THEN (m1 - m0) / sqrt((v0 + v1) / 2) WHEN m1 = m0 THEN 0.0 END AS smd FROM (SELECT avg({c}) AS m0, avg({c}) FILTER (WHERE ind = 1) AS m1, var_pop({c}) AS v0, var_pop({c}) FILTER (WHERE ind = 1) AS v1 FROM ch)""" for c in ("bal", "n_orders", "t"))
+_SELECTION = long_sql(
+    input=("column", f"WITH {_P} {_summary_sql('p')}"),
+    selected=("column", f"WITH RECURSIVE {_P}, {_CAL}, {_CHOSEN} {_summary_sql('(SELECT * FROM ch WHERE ind = 1)')}"),
+    selection=(None, f"WITH RECURSIVE {_P}, {_CAL}, {_CHOSEN} SELECT count(*) AS n, sum(ind) AS n_selected, avg(pr) AS mean_probability FROM ch"),
+    shift=("column", f"WITH RECURSIVE {_P}, {_CAL}, {_CHOSEN} {_SHIFT}"),
+)
+
+
+@query(_SELECTION, "value")
 def selection_report_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every measure of the selection report, one row each."""
     annotated, selected, _ = _selection(spark, d)
-    return selection_report(_people(spark, d), annotated, selected, ["bal", "n_orders", "t"])
+    return long_report(selection_report(_people(spark, d), annotated, selected, ["bal", "n_orders", "t"]))
 
 
-@query()
+_CONFOUNDING = long_sql(
+    rates=(None, f"WITH {_P}, o AS (SELECT *, {_PS} AS ps, CASE WHEN {_uniform('id')} < {_PS} THEN 1 ELSE 0 END AS tr FROM z) SELECT count(*) AS n, avg(t) AS original_rate, avg(tr) AS new_rate, quantile_cont(ps, 0.05) AS p05, quantile_cont(ps, 0.25) AS p25, quantile_cont(ps, 0.5) AS p50, quantile_cont(ps, 0.75) AS p75, quantile_cont(ps, 0.95) AS p95 FROM o"),
+    balance=("column", ORACLE_SQL["arm_balance"]),
+)
+
+
+@query(_CONFOUNDING, "value")
 def confounding_report_rows(spark: SparkSession, d: str) -> DataFrame:
-    return confounding_report(_observed(spark, d), ["bal", "n_orders"], "t", "treat_obs", "ps")
+    """Every measure of the confounding report, one row each."""
+    return long_report(confounding_report(_observed(spark, d), ["bal", "n_orders"], "t", "treat_obs", "ps"))
 
 
 @query()

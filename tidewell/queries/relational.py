@@ -82,12 +82,18 @@ def input_contract(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH o AS (SELECT *, nullif(o_orderpriority, '5-LOW') AS p FROM orders)
-SELECT c AS "column", (SELECT count(*) FROM o) AS n_rows, f AS null_frac FROM (
-  SELECT 'o_orderkey' AS c, avg(CASE WHEN o_orderkey IS NULL THEN 1 ELSE 0 END) AS f FROM o UNION ALL
-  SELECT 'o_totalprice', avg(CASE WHEN o_totalprice IS NULL THEN 1 ELSE 0 END) FROM o UNION ALL SELECT 'p', avg(CASE WHEN p IS NULL THEN 1 ELSE 0 END) FROM o)""", "null_frac")
+SELECT c AS "column", ty AS type, (SELECT count(*) FROM o) AS n_rows, f AS null_frac FROM (
+  SELECT 'o_orderkey' AS c, lower(any_value(typeof(o_orderkey))) AS ty, avg(CASE WHEN o_orderkey IS NULL THEN 1 ELSE 0 END) AS f FROM o UNION ALL
+  SELECT 'o_totalprice', lower(any_value(typeof(o_totalprice))), avg(CASE WHEN o_totalprice IS NULL THEN 1 ELSE 0 END) FROM o UNION ALL SELECT 'p', replace(lower(any_value(typeof(p))), 'varchar', 'string'), avg(CASE WHEN p IS NULL THEN 1 ELSE 0 END) FROM o)""", "null_frac")
 def inspect_table(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").withColumn("p", F.expr("nullif(o_orderpriority, '5-LOW')"))
-    return IO.inspect(o.select("o_orderkey", "o_totalprice", "p")).drop("type")
+    return IO.inspect(o.select("o_orderkey", "o_totalprice", "p"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 7")
+def table_head(spark: SparkSession, d: str) -> DataFrame:
+    """The first rows of a table, for a look at it."""
+    return IO.head(table(spark, d, "orders"), 7, "o_totalprice", "o_orderkey").select("o_orderkey", "o_custkey", "o_orderstatus")
 
 
 @query("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders WHERE o_totalprice > 1000 ORDER BY 1, 2 LIMIT 1000")

@@ -52,7 +52,7 @@ def prompt_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_C} SELECT CAST(chunk AS BIGINT) AS chunk, count(*) + 1 AS n_blocks FROM c GROUP BY 1""")
 def reply_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.reply_blocks(_replies(spark, d), "chunk", "reply").groupBy("chunk").agg(F.count("fixed").alias("n_blocks"))
+    return scoring.reply_blocks(_replies(spark, d), "chunk", "reply").groupBy("chunk").agg(F.count("entries").alias("n_blocks"))
 
 
 @query(f"WITH {_C}, {_KEPT} SELECT CAST(chunk AS BIGINT) AS chunk, id, CAST(cate AS DOUBLE) AS cate FROM k", "cate")
@@ -83,12 +83,15 @@ def retry_prompts(spark: SparkSession, d: str) -> DataFrame:
     return out.select("chunk", F.substring_index("prompt", "these ids: ", -1).alias("missing"))
 
 
-@query(f"""WITH {_C}, {_KEPT} SELECT c.id, CASE WHEN cate IS NOT NULL AND abs(cate) <= 1 THEN 'success' WHEN c.id % 9 = 5 THEN 'retry_failed' ELSE 'missing' END AS status FROM c LEFT JOIN k USING (id) UNION ALL SELECT -1, 'extra'""")
+@query(f"""WITH {_C}, {_KEPT}, f AS (SELECT c.id, cate IS NOT NULL AND abs(cate) <= 1 AS ok, CAST(CASE c.id % 9 WHEN 5 THEN 1 WHEN 7 THEN 3 ELSE 0 END AS INTEGER) AS retries FROM c LEFT JOIN k USING (id))
+SELECT id, CASE WHEN ok THEN 'success' WHEN retries = 1 THEN 'retry_failed' WHEN retries = 3 THEN 'failed' ELSE 'missing' END AS status,
+CASE WHEN ok THEN '' WHEN retries = 1 THEN 'retry 1 brought no value' WHEN retries = 3 THEN 'no value after all retries' ELSE 'no value in the reply' END AS error, retries FROM f UNION ALL SELECT -1, 'extra', 'not asked for', NULL""")
 def status_report(spark: SparkSession, d: str) -> DataFrame:
     people = _people(spark, d)
     good = _items(spark, d).where(scoring.value_reason(F.col("cate")).isNull()).select("id")
     extra = good.unionByName(spark.createDataFrame([(-1,)], "id bigint"))
-    return scoring.status_report(people, extra, people.where("id % 9 = 5"))
+    again = people.where("id % 9 in (5, 7)").select("id", F.expr("case when id % 9 = 5 then 1 else 3 end as retries"))
+    return scoring.status_report(people, extra, again)
 
 
 @query("SELECT c_custkey AS id FROM customer WHERE c_custkey % 4 <> 1")

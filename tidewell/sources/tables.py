@@ -39,6 +39,13 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def stored(frame: DataFrame, name: str) -> DataFrame:
+    """A frame written once to the shared folder as Parquet and read from there."""
+    path = scratch(frame.sparkSession, name)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def read_csv(spark: SparkSession, *paths: str, schema: T.StructType | str | None = None, partitions: int | None = None) -> DataFrame:
     """CSV or CSV.GZ files with a header; columns that a file lacks are NULL.
 
@@ -133,6 +140,11 @@ def inspect(frame: DataFrame) -> DataFrame:
     return one.select(rows.alias("r")).select("r.*")
 
 
+def head(frame: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows by an order; without one, any n rows."""
+    return (frame.orderBy(*order) if order else frame).limit(n)
+
+
 def distinct_values(frame: DataFrame, columns: Sequence[str], where: str | None = None, limit: int = 1000) -> DataFrame:
     """Distinct combinations of columns, in their order, up to a limit."""
     picked = (frame.where(where) if where else frame).select(*columns).distinct()
