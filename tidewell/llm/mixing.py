@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.shared import SPACED_WORD, cut, replace_columns
+from tidewell.llm.shared import SPACED_WORD, cut, fresh_names, replace_columns
 from tidewell.operators.ranks import numbered
 
 BLOCK = 2000
@@ -168,9 +168,11 @@ def mix_sources(docs: DataFrame, seed: int = 11, weights: tuple[float, ...] = (5
     together, a null id is one of them. No documents, no rows. Any number of sources.
     """
     docs = replace_columns(docs, "size", "source_size", "target", "times", "taken")
-    mark = F.xxhash64("text")
-    sized = docs.select("doc_id", "source", mark.alias("mark"), F.coalesce(F.regexp_count("text", F.lit(SPACED_WORD)), F.lit(0)).cast("bigint").alias("size"))
+    (mark,) = fresh_names(docs, "mark")
+    marked = docs.withColumn(mark, F.xxhash64("text"))  # ahead of the join, so that texts pass it only if they are asked for
+    sized = marked.select("doc_id", "source", F.col(mark).alias("mark"), F.coalesce(F.regexp_count("text", F.lit(SPACED_WORD)), F.lit(0)).cast("bigint").alias("size"))
     units = draws(sized, seed, weights, share, most)
-    same = F.col("d.doc_id").eqNullSafe(F.col("u.doc_id")) & F.col("d.source").eqNullSafe(F.col("u.source")) & (F.xxhash64("d.text") == F.col("u.mark"))
+    same = F.col("d.doc_id").eqNullSafe(F.col("u.doc_id")) & F.col("d.source").eqNullSafe(F.col("u.source")) & (F.col(f"d.{mark}") == F.col("u.mark"))
     added = [F.col(f"u.{c}") for c in ("size", "source_size", "target", "times")]
-    return docs.alias("d").join(units.alias("u"), same).select("d.*", *added, (F.col("u.size") * F.col("u.times")).alias("taken"))
+    own = [F.col(f"d.`{c}`") for c in docs.columns]
+    return marked.alias("d").join(units.alias("u"), same).select(*own, *added, (F.col("u.size") * F.col("u.times")).alias("taken"))
