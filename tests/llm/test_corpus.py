@@ -123,6 +123,12 @@ def test_ngram_join_edges(spark, none):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 3, 7]
 
 
+def test_one_row_of_a_repeated_id_stays_with_columns_of_any_type(spark):
+    rows = [(1, "q r s t u v", {"x": 1}, None), (1, "a b c d e f", {"x": 1}, None), (1, "a b c d e f", {"w": 2}, [1]), (2, "a b c d e f", None, [2]), (4, None, {"y": 3}, None), (4, "k", None, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, row map<string,int>, n array<int>")
+    assert sorted(tuple(r) for r in ngram_join.keep_one(frame).collect()) == [(1, "a b c d e f", {"w": 2}, [1]), (4, None, {"y": 3}, None)]
+
+
 @pytest.mark.parametrize("texts", [[None, " \n"], [None, None, "a b c d e f"], ["", "a b c d e f g", "A b c d e f g"]])
 def test_ngram_join_of_partitions_without_words(spark, texts):
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartitionByRange(len(texts), "doc_id")

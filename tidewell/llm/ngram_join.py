@@ -447,8 +447,8 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without those whose near-duplicate component has a lesser doc_id.
 
-    Columns are those of the input. Of rows that share a kept doc_id one stays (the one with the
-    least text, nulls first); rows with a null doc_id all stay.
+    Columns are those of the input, of any type. Of rows that share a kept doc_id one stays (the one with the
+    least text, nulls first, and of equal texts the one that comes first as JSON); rows with a null doc_id all stay.
     """
     classes = ngram_join(docs)
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
@@ -457,6 +457,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if twice.isEmpty():
         return kept
     again = kept.join(twice, "doc_id", "left_semi")
-    one = again.groupBy("doc_id").agg(F.min(F.struct("text", *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
+    one = again.groupBy("doc_id").agg(F.min_by(F.struct(*others), F.struct("text", F.to_json(F.struct(*others)))).alias("row"))  # maps have no order of their own
     one = one.select(*[F.col("doc_id") if c == "doc_id" else F.col("row").getField(c).alias(c) for c in docs.columns])
     return kept.join(twice, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(one)
