@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, decontaminate, lang_id, mixing, ngram_join, quality_resampling, quality_rules, toxicity, url_rules, warc
+from tidewell.llm import chat, decontaminate, divergence, lang_id, lexical_search, mixing, ngram_join, quality_resampling, quality_rules, secret_scan, toxicity, url_rules, warc
 from tidewell.llm.shared import cut, discard, scratch
 
 LISTED_URL_RULES = [
@@ -99,11 +100,33 @@ def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit_sources(table(spark, folder, "documents").select("text", "lang", "source"))
+
+
+def op12_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as versions in a new ledger: base rules and the added ones."""
+    where = scratch(spark, "ledger")
+    found = secret_scan.scan_versions(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", where)
+    base = [r.kind for r in secret_scan.BASE_RULES]
+    told = lambda spans: F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
+    number = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    own = F.filter("findings", lambda f: f["kind"].isin(base))
+    out = cut(found.select("doc_id", *[number(k) for k in base], F.sha2(told(own), 256).alias("base_sha256"), told("findings").alias("spans")))
+    secret_scan.forget(spark, where)
+    return out
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search_documents(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id, op2_toxicity, op3_chat_formatting, op4_warc_bundles, op5_source_mixing,
         op6_ngram_join, op7_quality_resampling, op8_quality_rules, op9_url_rules, op10_decontamination,
+        op11_source_divergence, op12_secret_scans, op13_lexical_search,
     )
 }
 
@@ -239,6 +262,70 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
 FROM f
 """
 
+_DIVERGENCE = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("coalesce(text, '')")} AS t FROM documents
+), w AS (SELECT k, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x60\x7B-\x7F]+')) AS term FROM d),
+v AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL HAVING count(DISTINCT k) >= 10),
+g AS (SELECT DISTINCT lang, source FROM d),
+l AS (SELECT lang, count(*) AS v, CAST(sum(n) AS BIGINT) AS n FROM v GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN v USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 2)) // (coalesce(s.n, 0) + 2 * l.v) AS p, 1 + (1000000000 * (v.n + 2)) // (l.n + 2 * l.v) AS q
+  FROM g JOIN v USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+), f AS (
+  SELECT x.lang, x.source, y.source AS item, CAST(sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS BIGINT) AS value
+  FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+def _sql_pattern(rule: secret_scan.Rule) -> str:
+    """The rule's pattern for RE2; letters in either case are spelled out, so that only ASCII ones are meant."""
+    spelled = re.sub(r"^\((.*?)\)", lambda m: "(" + re.sub("[a-z]", lambda c: f"[{c[0]}{c[0].upper()}]", m[1]) + ")", rule.pattern) if rule.any_case else rule.pattern
+    return spelled.replace("'", "''")
+
+
+#: Text between the matches and the matches themselves, laid end to end, give each match's place.
+_SECRETS = "WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),\n" + "".join(
+    f"""r{i} AS (
+  SELECT k, unnest(m) AS m, unnest(string_split_regex(t, '{_sql_pattern(r)}')[1 : len(m)]) AS before, unnest(g) AS g, unnest(range(1, len(m) + 1)) AS i
+  FROM (SELECT k, t, regexp_extract_all(t, '{_sql_pattern(r)}') AS m, regexp_extract_all(t, '{_sql_pattern(r)}', {r.group}) AS g FROM d)
+), s{i} AS (
+  SELECT k, {i} AS kind_no, '{r.kind}' AS kind, g, CAST(sum(length(before) + length(m)) OVER (PARTITION BY k ORDER BY i) AS BIGINT) AS e, length(m) AS n FROM r{i}
+), f{i} AS (SELECT k, kind_no, kind, e - n AS s, kind || ':' || (e - n) || ':' || e AS span FROM s{i} WHERE length(g) >= {r.least}),
+"""
+    for i, r in enumerate(secret_scan.RULES)
+) + f"""f AS ({" UNION ALL ".join(f"SELECT * FROM f{i}" for i in range(len(secret_scan.RULES)))}),
+a AS (
+  SELECT k, {", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secret_scan.BASE_RULES)},
+    string_agg(span, ',' ORDER BY s, kind_no) FILTER (kind_no < {len(secret_scan.BASE_RULES)}) AS base, string_agg(span, ',' ORDER BY s, kind_no) AS spans
+  FROM f GROUP BY k
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in secret_scan.BASE_RULES)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (k)
+"""
+
+_SEARCH = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+m AS (SELECT k, doc_id, 10 + (90 * len(w) * n) // l AS m FROM d, s WHERE len(w) > 0),
+t AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(w) AS term FROM d) GROUP BY ALL),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, s GROUP BY term),
+r AS (
+  SELECT item_id, k, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM b JOIN w USING (term) JOIN t USING (term) JOIN m USING (k) GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 10
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_formatting": _CHAT,
     "op4_warc_bundles": _WARC,
@@ -246,4 +333,7 @@ ORACLE_SQL: dict[str, str] = {
     "op8_quality_rules": _QUALITY_RULES,
     "op9_url_rules": _URL_RULES,
     "op10_decontamination": _DECONTAMINATION,
+    "op11_source_divergence": _DIVERGENCE,
+    "op12_secret_scans": _SECRETS,
+    "op13_lexical_search": _SEARCH,
 }
