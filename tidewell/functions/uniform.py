@@ -8,10 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _digest(seed: int, *keys: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+
+
 def uniform(seed: int, *keys: Column) -> Column:
     """In [0, 1): the first 8 hex digits of md5('seed:key:...') over 2^32."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    return F.conv(F.substring(_digest(seed, *keys), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 #: P(X <= k) of a Poisson variable of mean 1, k = 0..11.
@@ -26,3 +29,16 @@ def once(x: Column) -> Column:
 def poisson(u: Column) -> Column:
     """The Poisson(1) quantile of a uniform number: a bootstrap multiplicity."""
     return sum(((u >= step).cast("int") for step in POISSON_STEPS[1:]), (u >= POISSON_STEPS[0]).cast("int"))
+
+
+def poisson_counts(seed: int, key: Column, n: int) -> Column:
+    """An array of poisson(uniform(seed, key, i)) for i = 1..n, read off the digests' texts: u >= step if the hex digits are not below the step's own."""
+    steps = [format(math.ceil(step * 4294967296.0), "08x") for step in POISSON_STEPS]
+
+    def count(digest: Column) -> Column:
+        out = F.when(digest < steps[0], 0)
+        for k, step in enumerate(steps[1:], 1):
+            out = out.when(digest < step, k)
+        return out.otherwise(len(steps))
+
+    return F.transform(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: _digest(seed, key, i)), count)

@@ -6,13 +6,16 @@ that all rows need (means, quantiles) are one-row aggregates joined by broadcast
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidewell.functions.scalar import NUMBER, clip, finite
-from tidewell.functions.uniform import once, poisson, uniform
+from tidewell.functions.uniform import poisson_counts, uniform
 from tidewell.operators.ranks import numbered, quantiles, running
 from tidewell.sources.tables import cut
 
@@ -281,10 +284,34 @@ def cate_vs_ate(frame: DataFrame, low: float = 0.01, high: float = 0.99) -> Data
 # --- bootstrap ----------------------------------------------------------------------------------
 
 
-def replicates(frame: DataFrame, key: str, n_boot: int, seed: int = 42) -> DataFrame:
-    """Every row once per replicate in which its Poisson(1) multiplicity k is positive. Each draw is worked out once."""
-    out = frame.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    return out.withColumn("__u", once(uniform(seed, F.col(key), F.col("rep")))).withColumn("k", once(poisson(F.col("__u")))).drop("__u").where("k > 0")
+def multiplicities(key: str, n_boot: int, seed: int = 42) -> Column:
+    """How often a row is in each of n_boot resamples: an array of Poisson(1) counts, replicate by replicate. Each draw is worked out once."""
+    return poisson_counts(seed, F.col(key), n_boot)
+
+
+def spread(frame: DataFrame, key: str, *columns: Column) -> DataFrame:
+    """key and the columns, dealt by key to as many partitions as a shuffle has.
+
+    Drawing costs far more than moving a narrow row; a scan may have few partitions, and what is small in bytes is not merged again.
+    """
+    return frame.select(key, *columns).repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def resampled_sums(frame: DataFrame, by: Sequence[str], counts: Column, measures: Mapping[str, Column]) -> DataFrame:
+    """(by, rep, k, measures): per group and replicate the rows drawn and the sums of k times each measure; replicates count from 1.
+
+    A row adds to all replicates at once, as a vector: no row is repeated, tasks add their vectors up first, and what is
+    shuffled is one vector for each task and group. NULL measures add nothing.
+    """
+    names = ["k", *measures]
+    held = frame.select(*by, counts.alias("__k"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"__v{i}") for i, c in enumerate(measures.values())])
+    times = lambda v: F.transform("__k", lambda k: k * v)
+    whole = F.concat(times(F.lit(1.0)), *[times(F.col(f"__v{i}")) for i in range(len(measures))])
+    n = F.lit(len(names))
+    total = vector_to_array(Summarizer.sum(array_to_vector(whole)))
+    per = held.groupBy(*by, F.lit(0).alias("__all")).agg(total.alias("__s")).withColumn("__b", F.floor(F.size("__s") / n).cast("int"))
+    each = F.transform(F.sequence(F.lit(1), F.col("__b")), lambda r: F.struct(r.alias("rep"), *[F.get("__s", r - 1 + F.col("__b") * i).alias(c) for i, c in enumerate(names)]))
+    return per.select(*by, F.explode(each).alias("__r")).select(*by, "__r.*")
 
 
 def interval(frame: DataFrame, column: str, alpha: float = 0.05) -> DataFrame:
@@ -294,15 +321,69 @@ def interval(frame: DataFrame, column: str, alpha: float = 0.05) -> DataFrame:
     return one.select("n_boot", "mean", "sd", F.get("q", F.lit(0)).alias("ci_lo"), F.get("q", F.lit(1)).alias("ci_hi"))
 
 
+#: Bins of the propensity in which the places of trimming bounds are counted first.
+PS_BINS = 1024
+
+
+def _trim_bounds(cells: DataFrame, share: DataFrame, points: Sequence[float]) -> DataFrame:
+    """(rep, q): the exact quantiles of each replicate's weights. cells: t, e, k (array of counts); share: rep, p, n.
+
+    All replicates share one order of propensities: within an arm a weight is monotone in e, whatever the replicate's p.
+    Counts by arm and bin of e, as vectors, enclose each bound; only the cells of the few bins that meet the enclosure are
+    then looked at one by one.
+    """
+    width = 1.0 / PS_BINS
+    binned = cells.withColumn("bin", F.least(F.floor(F.col("e") * PS_BINS), F.lit(PS_BINS - 1)).cast("int"))
+    p, t = F.col("p"), F.col("t")
+    weight = lambda e: F.when(t == 1, p / e).otherwise((1 - p) / (1 - e))
+    edge = lambda e: F.least(F.greatest(e, F.lit(1e-300)), F.lit(1 - 1e-16))
+    low, high = edge(F.col("bin") * width), edge((F.col("bin") + 1) * width)
+    counts = resampled_sums(binned, ["t", "bin"], F.col("k"), {}).where("k > 0").join(F.broadcast(share), "rep")
+    # a little wider than the bin, so that no rounding leaves a weight outside
+    counts = cut(counts.withColumns({"lo": F.least(weight(low), weight(high)) * (1 - 1e-9), "hi": F.greatest(weight(low), weight(high)) * (1 + 1e-9)}))
+    place = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(float(x)).alias("x")) for j, x in enumerate(points)])).alias("__p")
+    wanted = share.select("rep", "n", place).select("rep", F.col("__p.j").alias("j"), (F.col("__p.x") * (F.col("n") - 1)).alias("at"))
+    up_to = lambda c: F.sum("k").over(Window.partitionBy("rep").orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    sums = counts.select("rep", "lo", "hi", up_to("lo").alias("most"), up_to("hi").alias("least"))
+    per = sums.join(F.broadcast(wanted), "rep").groupBy("rep", "j", "at").agg(F.min(F.when(F.col("most") > F.floor("at"), F.col("lo"))).alias("from"), F.min(F.when(F.col("least") > F.ceil("at"), F.col("hi"))).alias("to"))
+    near = counts.join(F.broadcast(per), "rep")
+    before = near.groupBy("rep", "j", "at").agg(F.sum(F.when(F.col("hi") < F.col("from"), F.col("k")).otherwise(0.0)).alias("before"))
+    bins = near.where("hi >= from and lo <= to").select("rep", "j", "at", "t", "bin", "p")
+    few = binned.select("t", "e", "bin", "k").join(F.broadcast(bins), ["t", "bin"]).withColumn("n", F.get("k", F.col("rep") - 1)).where("n > 0")
+    few = few.groupBy("rep", "j", "at", weight(F.col("e")).alias("w")).agg(F.sum("n").alias("n")).join(F.broadcast(before), ["rep", "j", "at"])
+    inside = Window.partitionBy("rep", "j").orderBy("w").rowsBetween(Window.unboundedPreceding, -1)
+    few = few.withColumn("below", F.col("before") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    here = lambda i: F.max(F.when((F.col("below") <= i) & (i < F.col("below") + F.col("n")), F.col("w")))
+    found = few.groupBy("rep", "j", "at").agg(here(F.floor("at")).alias("a"), here(F.ceil("at")).alias("b"))
+    between = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at")))
+    q = F.transform(F.sort_array(F.collect_list(F.struct("j", between.alias("v")))), lambda r: r["v"])
+    return found.groupBy("rep").agg(q.alias("q"))
+
+
 def bootstrap_effects(frame: DataFrame, key: str, n_boot: int, seed: int = 42, trim: tuple[float, float] | None = None, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """(rep, iptw, ato): effects per replicate with a fixed propensity; P(T) and the trimming bounds are the replicate's own."""
-    e = clip_ps(F.col("ps"), low, high)
-    # effects depend on (t, y, e) alone: equal rows of a replicate are one row of their summed multiplicity
-    rows = replicates(frame.select(key, "t", "y", e.alias("e")), key, n_boot, seed).groupBy("rep", "t", "y", "e").agg(F.sum("k").alias("k"))
-    rows = cut(rows)
-    t, y, k, e = F.col("t"), F.col("y"), F.col("k"), F.col("e")
-    p = rows.groupBy("rep").agg((F.sum(k * t) / F.sum(k)).alias("p"))
-    rows = rows.join(F.broadcast(p), "rep").withColumn("w", F.when(t == 1, F.col("p") / e).otherwise((1 - F.col("p")) / (1 - e)))
+    """(rep, iptw, ato): effects per replicate with a fixed propensity; P(T) and the trimming bounds are the replicate's own.
+
+    Effects depend on (t, y, e) alone: rows are summed up to these cells, each with an array of its counts.
+    """
+    k = vector_to_array(Summarizer.sum(array_to_vector(multiplicities(key, n_boot, seed))))
+    rows = spread(frame, key, F.col("t"), F.col("y"), clip_ps(F.col("ps"), low, high).alias("e"))
+    cells = cut(rows.groupBy("t", "y", "e").agg(k.alias("k")))
+    t, y, e = F.col("t"), F.col("y"), F.col("e")
+    drawn = resampled_sums(cells, [], F.col("k"), {"n1": t}).where("k > 0")
+    share = cut(drawn.select("rep", (F.col("n1") / F.col("k")).alias("p"), F.col("k").alias("n")))
     if trim:
-        rows = rows.join(F.broadcast(quantiles(rows, "w", trim, ["rep"], k)), "rep").withColumn("w", clip(F.col("w"), F.get("q", F.lit(0)), F.get("q", F.lit(1))))
-    return rows.groupBy("rep").agg(ate(y, t, k * F.col("w")).alias("iptw"), ate(y, t, k * overlap_weight(e, t)).alias("ato"))
+        share = share.join(_trim_bounds(cells, share, trim), "rep").select("rep", "p", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
+    # the replicates' numbers as one row, in the order of the counts
+    plan = share.agg(F.map_from_entries(F.collect_list(F.struct("rep", F.struct(*[c for c in share.columns if c != "rep"])))).alias("__plan"))
+    rows = cells.crossJoin(F.broadcast(plan))
+
+    def weighed(n: Column, i: Column) -> Column:
+        own = F.try_element_at("__plan", i + 1)
+        w = F.when(t == 1, own["p"] / e).otherwise((1 - own["p"]) / (1 - e))
+        return F.coalesce(n * (clip(w, own["lo"], own["hi"]) if trim else w), F.lit(0.0))
+
+    sums = lambda name, counts: resampled_sums(rows, ["t"], counts, {"y": y}).select("rep", *[F.col(c).alias(f"{name}_{c}") for c in ("k", "y")], "t")
+    both = sums("iptw", F.transform("k", weighed)).join(sums("ato", F.transform("k", lambda n: n * overlap_weight(e, t))), ["rep", "t"])
+    arm = lambda name, a: F.sum(F.when(t == a, F.col(f"{name}_y"))) / (F.sum(F.when(t == a, F.col(f"{name}_k"))) + EPS)
+    effects = both.groupBy("rep").agg(*[(arm(name, 1) - arm(name, 0)).alias(name) for name in ("iptw", "ato")])
+    return effects.join(share.select("rep"), "rep", "left_semi")

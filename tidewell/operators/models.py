@@ -1,115 +1,143 @@
 """Fitted nuisances and effects: propensity, outcome and effect models, cross-fitting, AIPW, DR-learner.
 
-All are boosted trees. Tables whose rows sum up to few enough binned cells are fitted by boosting.fit_cells, all
-models of a call in parallel; larger ones by Spark ML, one model after the other, each over the whole cluster. There
-missing values are imputed by the median and flagged, because Spark's trees reject NaN.
+All are Spark ML's boosted trees, at every size. The features of a call are assembled once and stored; each fit reads
+that table and picks its rows and their weights: a fold that is left out, an arm, a resample's Poisson multiplicities. Fits do
+not depend on each other, so several run at once, each in its own thread and scheduler pool (set
+spark.scheduler.mode to FAIR to let the pools share the cluster evenly). Missing numbers are imputed by the median
+and flagged, because Spark's trees reject NaN.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import inheritable_thread_target
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.scalar import finite, has
-from tidewell.functions.uniform import once, uniform
-from tidewell.operators import boosting as cells_
-from tidewell.operators.causal import auc, clip_ps, k_folds, phi_summary, pseudo_outcome, replicates
-from tidewell.sources.tables import cut
+from tidewell.functions.uniform import once, poisson, uniform
+from tidewell.operators.causal import auc, clip_ps, k_folds, phi_summary, pseudo_outcome
+from tidewell.sources.tables import shared_folder, stored
 
-#: Boosting: depth, rounds, learning rate, least rows in a leaf.
+#: Boosting: depth, rounds, learning rate, least rows in a leaf (by weight).
 BOOSTING = {"maxDepth": 3, "maxIter": 400, "stepSize": 0.05, "minInstancesPerNode": 50}
+#: Fits that run at the same time, each with its own cached training points.
+FITS_AT_ONCE = 8
+#: Rows of a partition of the assembled table: a round of boosting is one task for each partition and tree level.
+PARTITION_ROWS = 200_000
 
+_T = TypeVar("_T")
 
-def prepared(frame: DataFrame, numeric: Sequence[str]) -> DataFrame:
-    """Numeric columns as finite doubles, with has_ flags."""
-    return frame.withColumns({c: finite(F.col(c)) for c in numeric}).withColumns({f"has_{c}": has(F.col(c)).cast("double") for c in numeric})
 
+def together(spark: SparkSession, jobs: Sequence[Callable[[], _T]], at_once: int = FITS_AT_ONCE) -> list[_T]:
+    """What the jobs return, in their order; up to at_once run at the same time, each in a scheduler pool of its own."""
+    context = spark.sparkContext
 
-def _features(numeric: Sequence[str], categorical: Sequence[str]) -> list:
+    def pooled(i: int) -> _T:
+        context.setLocalProperty("spark.scheduler.pool", f"fit-{i % at_once}")
+        try:
+            return jobs[i]()
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPool(max(1, min(at_once, len(jobs)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(pooled), range(len(jobs)), chunksize=1)
+
+
+def _feature_stages(numeric: Sequence[str], categorical: Sequence[str]) -> list:
     stages = [Imputer(inputCols=list(numeric), outputCols=[f"__i_{c}" for c in numeric], strategy="median")] if numeric else []
     if categorical:
         stages.append(StringIndexer(inputCols=list(categorical), outputCols=[f"__s_{c}" for c in categorical], handleInvalid="keep"))
         stages.append(OneHotEncoder(inputCols=[f"__s_{c}" for c in categorical], outputCols=[f"__o_{c}" for c in categorical], handleInvalid="keep"))
-    inputs = [f"__i_{c}" for c in numeric] + [f"has_{c}" for c in numeric] + [f"__o_{c}" for c in categorical]
+    inputs = [f"__i_{c}" for c in numeric] + [f"__h_{c}" for c in numeric] + [f"__o_{c}" for c in categorical]
     return [*stages, VectorAssembler(inputCols=inputs, outputCol="__x", handleInvalid="keep")]
 
 
-def fit_classifier(frame: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str], **boosting: float) -> PipelineModel:
-    """Boosted trees for a 0/1 label; an error unless both classes are there."""
-    kinds = frame.agg(F.count_distinct(label)).first()[0]
-    if kinds != 2:
-        raise ValueError(f"{label} has {kinds} classes")
-    model = GBTClassifier(featuresCol="__x", labelCol=label, seed=42, **(BOOSTING | boosting))
-    return Pipeline(stages=[*_features(numeric, categorical), model]).fit(frame)
+def _prepared(frame: DataFrame, numeric: Sequence[str]) -> DataFrame:
+    return frame.withColumns({c: finite(F.col(c)) for c in numeric}).withColumns({f"__h_{c}": has(F.col(c)).cast("double") for c in numeric})
 
 
-def fit_regressor(frame: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str], **boosting: float) -> PipelineModel:
-    model = GBTRegressor(featuresCol="__x", labelCol=label, seed=42, **(BOOSTING | boosting))
-    return Pipeline(stages=[*_features(numeric, categorical), model]).fit(frame)
+def features_of(frame: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> PipelineModel:
+    """Medians and categories of a frame. A numeric column without any value is left out; every category is a feature."""
+    rows = _prepared(frame, numeric)
+    known = rows.agg(F.lit(0).alias("_"), *[F.count(c).alias(c) for c in numeric]).first()
+    return Pipeline(stages=_feature_stages([c for c in numeric if known[c]], categorical)).fit(rows)
 
 
-def predict(model: PipelineModel, frame: DataFrame, name: str) -> DataFrame:
-    """Adds the probability of class 1, or the regression value."""
-    out = model.transform(frame)
-    value = F.get(vector_to_array("probability"), F.lit(1)) if "probability" in out.columns else F.col("prediction")
-    return out.withColumn(name, value).select(*frame.columns, name)
+def assembled(frame: DataFrame, model: PipelineModel, numeric: Sequence[str], *keep: str) -> DataFrame:
+    """The columns of keep and the features __x, stored, in partitions of bounded size."""
+    rows = model.transform(_prepared(frame, numeric)).select(*keep, "__x")
+    return stored(rows.repartition(max(1, -(-frame.count() // PARTITION_ROWS))), "features")
+
 
+def fit(rows: DataFrame, label: str, weight: Column, logistic: bool = True, **boosting: float) -> Model:
+    """Boosted trees on the rows of positive weight; an error unless both classes of a 0/1 label are there.
 
-def few_cells(coded: DataFrame) -> bool:
-    """Whether the distinct cells (code) of a frame are few enough for one task to hold a model's."""
-    return coded.select("code").distinct().count() <= cells_.MOST_CELLS
+    A leaf has minInstancesPerNode rows at least, each counted as often as its weight.
+    """
+    used = rows.select("__x", F.col(label).cast("double").alias("__y"), weight.cast("double").alias("__w")).where("__w > 0 and __y is not null")
+    total, classes = used.agg(F.sum("__w"), F.count_distinct("__y")).first()
+    if not total or (logistic and classes != 2):
+        raise ValueError(f"{label} has {classes} classes")
+    options = BOOSTING | boosting
+    leaf = min(options.pop("minInstancesPerNode") / total, 0.4999)
+    shared_folder(rows.sparkSession)  # Spark cuts the rounds' lineage there
+    kind = GBTClassifier if logistic else GBTRegressor
+    return kind(featuresCol="__x", labelCol="__y", weightCol="__w", seed=42, minWeightFractionPerNode=leaf, checkpointInterval=25, **options).fit(used)
+
+
+def predict(model: Model, rows: DataFrame, name: str) -> DataFrame:
+    """Adds the probability of class 1, or the regression value."""
+    out = model.setFeaturesCol("__x").transform(rows)
+    value = F.get(vector_to_array("probability"), F.lit(1)) if "probability" in out.columns else F.col("prediction")
+    return out.withColumn(name, value).select(*rows.columns, name)
 
 
 def fit_predict(train: DataFrame, test: DataFrame, label: str, numeric: Sequence[str], categorical: Sequence[str], name: str, logistic: bool = True, **boosting: float) -> DataFrame:
     """test with a column of predictions by a model of train: the probability of label 1, or the mean label if not logistic."""
-    code = cells_.cell_code(train, numeric, categorical)
-    coded, asked = train.withColumn("code", code), test.withColumn("code", code)
-    if not few_cells(coded):
-        fit = fit_classifier if logistic else fit_regressor
-        return predict(fit(prepared(train, numeric), label, numeric, categorical, **boosting), prepared(test, numeric), name).select(*test.columns, name)
-    cells = coded.groupBy("code").agg(F.count("*").cast("double").alias("rows"), F.sum(label).cast("double").alias("labels"))
-    cells = cells.unionByName(asked.select("code", F.lit(0.0).alias("rows"), F.lit(0.0).alias("labels")).distinct()).withColumn("model", F.lit(name))
-    found = cut(cells_.fit_cells(cells, ["model"], logistic, **(BOOSTING | boosting)))
-    return asked.join(found.select("code", F.col("value").alias(name)), "code").select(*test.columns, name)
-
-
-def _nuisances(coded: DataFrame, by: Sequence[str], k: int, **boosting: float) -> DataFrame:
-    """(by, fold, code, ps, m1, m0): out-of-fold predictions of every cell. coded: by, fold, code, t, y, n (rows)."""
-    n, t, y = F.col("n"), F.col("t"), F.col("y")
-    cells = cut(coded.groupBy(*by, "fold", "code").agg(*[F.sum(x).cast("double").alias(c) for c, x in (("n", n), ("n1", n * t), ("y1", n * t * y), ("y0", n * (1 - t) * y))]))
-    kinds = [("ps", F.col("n"), F.col("n1")), ("m1", F.col("n1"), F.col("y1")), ("m0", F.col("n") - F.col("n1"), F.col("y0"))]
-    each = cells.withColumn("out", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn("r", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), r.alias("rows"), s.alias("labels")) for m, r, s in kinds])))
-    used = lambda c: F.when(F.col("fold") == F.col("out"), 0.0).otherwise(F.col(f"r.{c}"))  # noqa: E731  the fold left out is predicted only
-    each = each.select(*by, "out", "r.model", "fold", "code", used("rows").alias("rows"), used("labels").alias("labels"))
-    found = cut(cells_.fit_cells(each, [*by, "out", "model"], True, **(BOOSTING | boosting)))
-    value = lambda m: F.max(F.when(F.col("model") == m, F.col("value"))).alias(m)
-    return found.groupBy(*by, F.col("out").alias("fold"), "code").agg(value("ps"), value("m1"), value("m0"))
+    features = features_of(train, numeric, categorical)
+    model = fit(assembled(train, features, numeric, label), label, F.lit(1.0), logistic, **boosting)
+    return predict(model, features.transform(_prepared(test, numeric)).select(*[F.col(f"`{c}`") for c in test.columns], "__x"), name).drop("__x")
 
 
-def cross_fit(frame: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str], k: int = 5, seed: int = 42, **boosting: float) -> DataFrame:
-    """Adds fold and out-of-fold ps, m1, m0: each fold is predicted by models of the other folds."""
-    rows = cut(k_folds(frame, key, k, seed).withColumn("code", cells_.cell_code(frame, numeric, categorical)))
-    if few_cells(rows):
-        found = _nuisances(rows.withColumn("n", F.lit(1)), [], k, **boosting)
-        return rows.join(found, ["fold", "code"]).select(*frame.columns, "fold", "ps", "m1", "m0")
-    rows, parts = prepared(rows.drop("code"), numeric), []
-    for fold in range(k):
-        train, test = rows.where(F.col("fold") != fold), rows.where(F.col("fold") == fold)
-        out = predict(fit_classifier(train, "t", numeric, categorical, **boosting), test, "ps")
-        for arm in (1, 0):
-            out = predict(fit_classifier(train.where(F.col("t") == arm), "y", numeric, categorical, **boosting), out, f"m{arm}")
-        parts.append(out)
-    result = parts[0]
+#: The three nuisances: name, label, and the arm whose rows teach it.
+_NUISANCES = (("ps", "t", None), ("m1", "y", 1), ("m0", "y", 0))
+
+
+def _training(weight: Column, fold: Column, left_out: int, arm: int | None) -> Column:
+    """Weights of a nuisance's training rows: those of the other folds, of its arm."""
+    used = fold != left_out if arm is None else (fold != left_out) & (F.col("t") == arm)
+    return F.when(used, weight).otherwise(0.0)
+
+
+def _scored(rows: DataFrame, models: Sequence[Model], fold: Column, k: int) -> DataFrame:
+    """rows with ps, m1, m0, each fold by its own three models (fold by fold, in the order of _NUISANCES)."""
+    parts = []
+    for f in range(k):
+        part = rows.where(fold == f)
+        for (name, *_), model in zip(_NUISANCES, models[3 * f : 3 * f + 3], strict=True):
+            part = predict(model, part, name)
+        parts.append(part)
+    out = parts[0]
     for part in parts[1:]:
-        result = result.unionByName(part)
-    return result.select(*frame.columns, "fold", "ps", "m1", "m0")
+        out = out.unionByName(part)
+    return out
+
+
+def cross_fit(frame: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str], k: int = 5, seed: int = 42, **boosting: float) -> DataFrame:
+    """Adds fold and out-of-fold ps, m1, m0: each fold is predicted by models of the other folds. All 3k fits run together."""
+    fold = F.col("fold")
+    rows = assembled(k_folds(frame, key, k, seed), features_of(frame, numeric, categorical), numeric, *frame.columns, "fold")
+    jobs = [lambda f=f, label=label, arm=arm: fit(rows, label, _training(F.lit(1.0), fold, f, arm), **boosting) for f in range(k) for _, label, arm in _NUISANCES]
+    return _scored(rows, together(frame.sparkSession, jobs), fold, k).select(*frame.columns, "fold", "ps", "m1", "m0")
 
 
 def aipw(scored: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -119,35 +147,27 @@ def aipw(scored: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
 
 
 def bootstrap_aipw(frame: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str], n_boot: int, k: int = 2, seed: int = 42, **boosting: float) -> DataFrame:
-    """(rep, ate): AIPW with all models fitted again on each resample (rows repeated by their Poisson multiplicity, whole in one fold)."""
-    coded = cut(frame.select(key, "t", "y", *numeric, *categorical).withColumn("code", cells_.cell_code(frame, numeric, categorical)))
-    fold = F.floor(uniform(seed + 1, F.col(key), F.col("rep")) * k).cast("int")
-    if few_cells(coded):
-        drawn = replicates(coded.select(key, "t", "y", "code"), key, n_boot, seed).withColumn("fold", once(fold))
-        cells = cut(drawn.groupBy("rep", "fold", "code", "t", "y").agg(F.sum("k").alias("n")))
-        scored = cells.join(_nuisances(cells, ["rep"], k, **boosting), ["rep", "fold", "code"])
+    """(rep, ate): AIPW with all models fitted again on each resample.
+
+    A resample is no copy: a row's Poisson multiplicity is its weight, and all its copies are in one fold. Replicates run
+    together; features (medians, categories) are those of the whole frame.
+    """
+    rows = assembled(frame, features_of(frame, numeric, categorical), numeric, key, "t", "y")
+
+    def replicate(rep: int) -> tuple[int, float]:
+        drawn = rows.select("*", once(poisson(uniform(seed, F.col(key), F.lit(rep)))).alias("k"), F.floor(uniform(seed + 1, F.col(key), F.lit(rep)) * k).cast("int").alias("fold"))
+        models = [fit(drawn, label, _training(F.col("k"), F.col("fold"), f, arm), **boosting) for f in range(k) for _, label, arm in _NUISANCES]
         phi = pseudo_outcome(F.col("y"), F.col("t"), clip_ps(F.col("ps")), F.col("m1"), F.col("m0"))
-        return scored.groupBy("rep").agg((F.sum(F.col("n") * phi) / F.sum("n")).alias("ate"))
-    out = None
-    for rep in range(1, n_boot + 1):  # a whole-cluster fit of each model
-        drawn = replicates(coded.drop("code"), key, n_boot, seed).where(F.col("rep") == rep)
-        resample = cut(prepared(drawn.withColumns({"fold": fold, "__copy": F.explode(F.sequence(F.lit(1), F.col("k")))}).drop("k", "__copy"), numeric))
-        scored = None
-        for left_out in range(k):
-            train, part = resample.where(F.col("fold") != left_out), resample.where(F.col("fold") == left_out)
-            part = predict(fit_classifier(train, "t", numeric, categorical, **boosting), part, "ps")
-            for arm in (1, 0):
-                part = predict(fit_classifier(train.where(F.col("t") == arm), "y", numeric, categorical, **boosting), part, f"m{arm}")
-            scored = part if scored is None else scored.unionByName(part)
-        one = cut(aipw(scored).select(F.lit(rep).alias("rep"), "ate"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        return rep, _scored(drawn.where("k > 0"), models, F.col("fold"), k).agg(F.sum(F.col("k") * phi) / F.sum("k")).first()[0]
+
+    found = together(frame.sparkSession, [lambda r=r: replicate(r) for r in range(1, n_boot + 1)])
+    return frame.sparkSession.createDataFrame(found, "rep int, ate double")  # a row for each replicate
 
 
 def dr_learner(frame: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str], k: int = 5, low: float = 0.01, high: float = 0.99, **boosting: float) -> tuple[DataFrame, DataFrame]:
     """(rows with ps, m1, m0, phi, tau; one row of diagnostics): effects regressed on the doubly-robust pseudo-outcome."""
     phi = pseudo_outcome(F.col("y"), F.col("t"), clip_ps(F.col("ps"), low, high), F.col("m1"), F.col("m0"))
-    scored = cut(cross_fit(frame, key, numeric, categorical, k, **boosting).withColumn("phi", phi))
+    scored = stored(cross_fit(frame, key, numeric, categorical, k, **boosting).withColumn("phi", phi), "scored")
     return fit_predict(scored, scored, "phi", numeric, categorical, "tau", logistic=False, **boosting), phi_summary(scored, "phi", "ps", low, high)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.scalar import clip
-from tidewell.operators.causal import EPS, beside, clip_ps, quantile_bins, replicates
+from tidewell.operators.causal import EPS, beside, clip_ps, multiplicities, quantile_bins, resampled_sums, spread
 from tidewell.operators.ranks import numbered, quantiles
 from tidewell.sources.tables import cut
 
@@ -70,10 +70,10 @@ def dr_value(frame: DataFrame, pi: str = "pi", trim: tuple[float, float] | None
 
 def bootstrap_values(frame: DataFrame, key: str, n_boot: int, pi: str = "pi", seed: int = 42) -> DataFrame:
     """(rep, value, none, every, delta_none, delta_all): all three policies on the same resample."""
-    k = F.col("k")
-    mean = lambda c: F.sum(k * F.col(c)) / F.sum(k)
-    scores = frame.select(key, dr_score(F.col(pi)).alias("a"), dr_score(F.lit(0)).alias("b"), dr_score(F.lit(1)).alias("c"))
-    per = replicates(scores, key, n_boot, seed).groupBy("rep").agg(mean("a").alias("value"), mean("b").alias("none"), mean("c").alias("every"))
+    names = ("value", "none", "every")
+    scores = spread(frame, key, *[dr_score(p).alias(c) for c, p in zip(names, (F.col(pi), F.lit(0), F.lit(1)), strict=True)])
+    sums = resampled_sums(scores, [], multiplicities(key, n_boot, seed), {c: F.col(c) for c in names})
+    per = sums.where("k > 0").select("rep", *[(F.col(c) / F.col("k")).alias(c) for c in names])
     return per.select("rep", "value", "none", "every", (F.col("value") - F.col("none")).alias("delta_none"), (F.col("value") - F.col("every")).alias("delta_all"))
 
 
@@ -89,17 +89,15 @@ def _each(thresholds: Sequence[float]) -> list[float]:
     return sorted({round(float(x), 4) for x in thresholds})
 
 
-def _by_threshold(rows: DataFrame, grid: Sequence[float], rule: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by, threshold, rate, v): share treated and mean score under each threshold. rows: by, tau, s0 and s1 (scores untreated and treated), k (weight).
-
-    A row's tau parts the ordered thresholds into those that treat it and those that do not, so rows are summed up by
-    where it parts them: one pass, no row more than there are.
-    """
+def _parted(grid: Sequence[float], rule: str) -> Column:
+    """Where tau parts the ordered thresholds into those that treat it and those that do not: rows are summed up by that place."""
     edges = F.array(*[F.lit(float(x)) for x in grid])
-    below = F.size(F.filter(edges, (lambda g: g <= F.col("tau")) if rule == "tau_ge_thr" else (lambda g: g < F.col("tau"))))
-    weighted = [F.sum(F.col("k") * F.col(c)).alias(c) for c in ("s0", "s1")]
-    per = rows.where("tau is not null").groupBy(*by, below.alias("b")).agg(*weighted, F.sum("k").alias("n"))
-    places = F.broadcast(rows.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(grid)], "i int, threshold double"))
+    return F.size(F.filter(edges, (lambda g: g <= F.col("tau")) if rule == "tau_ge_thr" else (lambda g: g < F.col("tau"))))
+
+
+def _by_threshold(per: DataFrame, grid: Sequence[float], rule: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by, threshold, rate, v): share treated and mean score under each threshold. per: by, b (see _parted), n and the sums of s0 and s1 (scores untreated and treated)."""
+    places = F.broadcast(per.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(grid)], "i int, threshold double"))
     treated = F.col("i") >= F.col("b") if rule == "tau_le_thr" else F.col("i") < F.col("b")
     pick = lambda yes, no: F.sum(F.when(treated, yes).otherwise(no)) / F.sum("n")
     return per.crossJoin(places).groupBy(*by, "threshold").agg(pick(F.col("n"), 0).alias("rate"), pick(F.col("s1"), F.col("s0")).alias("v"))
@@ -109,11 +107,15 @@ def _scores(frame: DataFrame, *keep: str) -> DataFrame:
     return frame.select(*keep, "tau", dr_score(F.lit(0)).alias("s0"), dr_score(F.lit(1)).alias("s1"))
 
 
+def _summed(rows: DataFrame, grid: Sequence[float], rule: str) -> DataFrame:
+    return rows.where("tau is not null").groupBy(_parted(grid, rule).alias("b")).agg(F.count("*").alias("n"), F.sum("s0").alias("s0"), F.sum("s1").alias("s1"))
+
+
 def threshold_values(frame: DataFrame, thresholds: Sequence[float], rule: str = "tau_le_thr") -> DataFrame:
     """(threshold, treat_rate, value_dr, delta_vs_none, delta_vs_all) of each threshold, all in one pass; rounded to 4 digits."""
     decide(F.col("tau"), 0.0, rule)  # rejects an unknown rule
-    rows = _scores(frame).withColumn("k", F.lit(1))
-    per = _by_threshold(rows, _each(thresholds), rule).crossJoin(F.broadcast(rows.agg(F.avg("s0").alias("v0"), F.avg("s1").alias("v1"))))
+    rows = _scores(frame)
+    per = _by_threshold(_summed(rows, _each(thresholds), rule), _each(thresholds), rule).crossJoin(F.broadcast(rows.agg(F.avg("s0").alias("v0"), F.avg("s1").alias("v1"))))
     return per.select("threshold", F.round("rate", 4).alias("treat_rate"), F.round("v", 4).alias("value_dr"), F.round(F.col("v") - F.col("v0"), 4).alias("delta_vs_none"), F.round(F.col("v") - F.col("v1"), 4).alias("delta_vs_all"))
 
 
@@ -127,9 +129,12 @@ def threshold_curve(frame: DataFrame, thresholds: Sequence[float], rule: str = "
 
 
 def curve_with_intervals(frame: DataFrame, key: str, thresholds: Sequence[float], n_boot: int, rule: str = "tau_le_thr", seed: int = 42, alpha: float = 0.05) -> DataFrame:
-    """(threshold, boot_mean, boot_sd, ci_lo, ci_hi): every replicate of every threshold in one pass over the drawn rows."""
+    """(threshold, boot_mean, boot_sd, ci_lo, ci_hi): every replicate of every threshold in one pass over the rows."""
     decide(F.col("tau"), 0.0, rule)  # rejects an unknown rule
-    reps = _by_threshold(replicates(_scores(frame, key), key, n_boot, seed), _each(thresholds), rule, ["rep"])
+    grid = _each(thresholds)
+    rows = spread(_scores(frame, key).where("tau is not null"), key, _parted(grid, rule).alias("b"), F.col("s0"), F.col("s1"))
+    sums = resampled_sums(rows, ["b"], multiplicities(key, n_boot, seed), {"s0": F.col("s0"), "s1": F.col("s1")}).withColumnRenamed("k", "n")
+    reps = _by_threshold(sums.where("n > 0"), grid, rule, ["rep"])
     q = F.percentile("v", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))  # of n_boot values
     per = reps.groupBy("threshold").agg(F.avg("v").alias("boot_mean"), F.stddev_samp("v").alias("boot_sd"), q.alias("q"))
     return per.select("threshold", "boot_mean", "boot_sd", F.get("q", F.lit(0)).alias("ci_lo"), F.get("q", F.lit(1)).alias("ci_hi"))
@@ -176,15 +181,15 @@ def simple_ipw_score(threshold: float | Column, p: Column, direction: str = "gt"
 
 def simple_ipw_curve(frame: DataFrame, thresholds: Sequence[float]) -> DataFrame:
     """(threshold, treat_rate, value) under simple_ipw_score with p the treated share."""
-    rows = beside(frame, F.avg("t").alias("p")).select("tau", *[simple_ipw_score(x, F.col("p")).alias(c) for c, x in (("s0", float("inf")), ("s1", float("-inf")))], F.lit(1).alias("k"))
-    return _by_threshold(rows, _each(thresholds), "tau_gt_thr").select("threshold", F.col("rate").alias("treat_rate"), F.col("v").alias("value"))
+    rows = beside(frame, F.avg("t").alias("p")).select("tau", *[simple_ipw_score(x, F.col("p")).alias(c) for c, x in (("s0", float("inf")), ("s1", float("-inf")))])
+    return _by_threshold(_summed(rows, _each(thresholds), "tau_gt_thr"), _each(thresholds), "tau_gt_thr").select("threshold", F.col("rate").alias("treat_rate"), F.col("v").alias("value"))
 
 
 def simple_ipw_comparison(frame: DataFrame, key: str, n_boot: int, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """(method, mean, sd, ci_lo, ci_hi) of personalised, treat_all and treat_none over replicates; p is the replicate's own."""
     k = F.col("k")
-    drawn = replicates(frame.select(key, "t", "y", (F.col("tau") > 0).cast("int").alias("tau")), key, n_boot, seed)
-    rows = cut(drawn.groupBy("rep", "t", "y", "tau").agg(F.sum("k").alias("k")))  # eight rows a replicate at most
+    rows = spread(frame, key, F.col("t"), F.col("y"), (F.col("tau") > 0).cast("int").alias("tau"))
+    rows = cut(resampled_sums(rows, ["t", "y", "tau"], multiplicities(key, n_boot, seed), {}).where("k > 0"))  # eight rows a replicate at most
     rows = rows.join(F.broadcast(rows.groupBy("rep").agg((F.sum(k * F.col("t")) / F.sum(k)).alias("p"))), "rep")
     score = {"personalised": simple_ipw_score(0.0, F.col("p")), "treat_all": simple_ipw_score(float("-inf"), F.col("p")), "treat_none": simple_ipw_score(float("inf"), F.col("p"))}
     reps = rows.groupBy("rep").agg(*[(F.sum(k * s) / F.sum(k)).alias(n) for n, s in score.items()])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor, wait
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -119,25 +121,62 @@ def resume(frame: DataFrame, saved: DataFrame, key: str) -> DataFrame:
     return frame.join(saved.select(key).distinct(), key, "left_anti")
 
 
-def call_scorer(prompt_rows: DataFrame, scorer: Callable[[str], str], key: str) -> DataFrame:
-    """(key, reply): a user function from prompt to reply text, called in the tasks.
-
+def _answers(prompts: Sequence[str], scorer: Callable[[str], str], at_once: int, timeout: float | None, tries: int) -> tuple[list[str | None], list[str | None]]:
+    """Replies and errors in the order of the prompts, at_once of them under way. A prompt that fails is asked again; one that keeps failing has an error in place of a reply."""
+
+    def ask(prompt: str) -> str:
+        for left in reversed(range(tries)):
+            try:
+                return scorer(prompt)
+            except Exception:
+                if not left:
+                    raise
+        raise ValueError("no try")
+
+    def told(call: Future) -> tuple[str | None, str | None]:
+        if not wait([call], timeout).done:
+            return None, f"no reply within {timeout} s"
+        failed = call.exception()
+        return (None, f"{type(failed).__name__}: {failed}"[:500]) if failed else (call.result(), None)
+
+    pool, begun, out = ThreadPoolExecutor(at_once), deque(), []
+    try:
+        for prompt in prompts:
+            if len(begun) == at_once:
+                out.append(told(begun.popleft()))
+            begun.append(pool.submit(ask, prompt))
+        out += [told(call) for call in begun]
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+    return [r for r, _ in out], [e for _, e in out]
+
+
+def call_scorer(prompt_rows: DataFrame, scorer: Callable[[str], str], key: str, at_once: int = 4, timeout: float | None = None, tries: int = 2) -> DataFrame:
+    """(key, reply, error): a user function from prompt to reply text, called in the tasks.
+
+    A task has at_once prompts under way, in threads: waiting for a service costs no core. timeout: seconds that the task
+    waits for a prompt once it is that prompt's turn (a call that hangs keeps its thread till the task ends). A prompt that
+    fails tries times has a NULL reply and an error; the others, and the job, go on.
     The replies are stored in the shared folder before anything uses them: no later job or lost executor asks again.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({key: frame[key], "reply": [scorer(p) for p in frame["prompt"]]})
+            replies, errors = _answers(list(frame["prompt"]), scorer, at_once, timeout, tries)
+            yield pd.DataFrame({key: frame[key], "reply": replies, "error": errors})
 
     kind = prompt_rows.schema[key].dataType.simpleString()
-    return stored(prompt_rows.select(key, "prompt").mapInPandas(run, f"{key} {kind}, reply string"), "replies")
+    return stored(prompt_rows.select(key, "prompt").mapInPandas(run, f"{key} {kind}, reply string, error string"), "replies")
+
 
+def score_with_retries(prompt_rows: DataFrame, expected: DataFrame, scorer: Callable[[str], str], key: str, attempts: int = 3, at_once: int = 4, timeout: float | None = None) -> DataFrame:
+    """(key, id, cate, reason) after up to `attempts` rounds (one at least); each round is one batch over the prompts still open.
 
-def score_with_retries(prompt_rows: DataFrame, expected: DataFrame, scorer: Callable[[str], str], key: str, attempts: int = 3) -> DataFrame:
-    """(key, id, cate, reason) after up to `attempts` rounds (one at least); each round is one batch over the prompts still open."""
+    A prompt whose call failed has no values in that round and is asked again in the next one.
+    """
     checked, todo = None, prompt_rows.select(key, "prompt")
     for attempt in range(1, max(attempts, 1) + 1):
-        found = reply_items(reply_blocks(call_scorer(todo, scorer, key), key, "reply"), key)
+        found = reply_items(reply_blocks(call_scorer(todo, scorer, key, at_once, timeout), key, "reply"), key)
         now = validated(found, expected, key)
         if checked is None:
             checked = now

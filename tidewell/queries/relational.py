@@ -65,6 +65,29 @@ def result_log(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("data_type").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
+@query("SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1")
+def idempotent_log(spark: SparkSession, d: str) -> DataFrame:
+    """A batch for each status, all appended a second time, which changes nothing."""
+    path, rows = IO.scratch(spark, "log"), table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    for batch in ("F", "O", "P") * 2:
+        IO.append_once(rows.where(F.col("o_orderstatus") == batch), path, batch)
+    return IO.read_appended(spark, path, rows.schema).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("SELECT v.codec, c_custkey, c_name, CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS c_acctbal FROM customer, (VALUES ('xz'), ('zip')) AS v(codec)", "c_acctbal")
+def packed_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """xz and zip parts, the second half appended, and read back."""
+    c = table(spark, d, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")).alias("c_acctbal"))
+    out = None
+    for codec in ("xz", "zip"):
+        path = IO.scratch(spark, codec)
+        IO.write_csv(c.where("c_custkey % 2 = 0"), path, codec)
+        IO.write_csv(c.where("c_custkey % 2 = 1"), path, codec, append=True)
+        back = IO.read_packed(spark, path, c.schema).withColumn("codec", F.lit(codec))
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
 @query("""SELECT v.class, count(*) AS n FROM orders JOIN (VALUES ('1-URGENT', 'fast'), ('2-HIGH', 'fast'), ('5-LOW', 'slow')) AS v(priority, class) ON o_orderpriority = v.priority GROUP BY v.class""")
 def inline_dimension(spark: SparkSession, d: str) -> DataFrame:
     dim = IO.inline(spark, [("1-URGENT", "fast"), ("2-HIGH", "fast"), ("5-LOW", "slow")], "o_orderpriority string, class string")
@@ -205,14 +228,51 @@ def composite_key_join(spark: SparkSession, d: str) -> DataFrame:
     return l.join(l.groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n")), ["l_orderkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "n")
 
 
-@query("""SELECT c_custkey, coalesce(n_orders, 0) AS n_orders, max_price, coalesce(n_events, 0) AS n_events, last_ts FROM customer
+_STAR = """SELECT c_custkey, coalesce(n_orders, 0) AS n_orders, max_price, coalesce(n_events, 0) AS n_events, last_ts FROM customer
 LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, max(o_totalprice) AS max_price FROM orders GROUP BY 1) o ON o_custkey = c_custkey
-LEFT JOIN (SELECT user_id, count(*) AS n_events, max(ts) AS last_ts FROM events GROUP BY 1) e ON user_id = c_custkey""", "max_price")
+LEFT JOIN (SELECT user_id, count(*) AS n_events, max(ts) AS last_ts FROM events GROUP BY 1) e ON user_id = c_custkey"""
+
+
+def assembled_star(customers: DataFrame, orders: DataFrame, events: DataFrame) -> DataFrame:
+    """One row for each customer from facts that carry its key as c_custkey."""
+    o = orders.groupBy("c_custkey").agg(F.count("*").alias("n_orders"), F.max("o_totalprice").alias("max_price"))
+    e = events.groupBy("c_custkey").agg(F.count("*").alias("n_events"), F.max("ts").alias("last_ts"))
+    return joins.star(customers.select("c_custkey"), [o, e], "c_custkey").select("c_custkey", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("n_orders", "n_events")], "max_price", "last_ts")
+
+
+def _star_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return (
+        table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice"),
+        table(spark, d, "events").select(F.col("user_id").alias("c_custkey"), "ts"),
+    )
+
+
+@query(_STAR, "max_price")
 def star_assembly(spark: SparkSession, d: str) -> DataFrame:
-    spine = table(spark, d, "customer").select("c_custkey")
-    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), F.max("o_totalprice").alias("max_price"))
-    e = table(spark, d, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(F.count("*").alias("n_events"), F.max("ts").alias("last_ts"))
-    return joins.star(spine, [o, e], "c_custkey").select("c_custkey", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("n_orders", "n_events")], "max_price", "last_ts")
+    return assembled_star(*_star_inputs(spark, d))
+
+
+#: Buckets of the catalog tables; a cluster takes so many that a bucket of the largest fits a task.
+BUCKETS = 16
+
+
+def catalog_tables(spark: SparkSession, d: str, namespace: str) -> list[DataFrame]:
+    """Customers, orders and events as tables of a namespace, bucketed by the customer, and their scans."""
+    names = [f"{namespace}.{n}" for n in ("customers", "orders", "events")]
+    for name, frame in zip(names, _star_inputs(spark, d), strict=True):
+        IO.save_bucketed(frame, name, "c_custkey", BUCKETS)
+    return [IO.scan(spark, name) for name in names]
+
+
+@query(_STAR, "max_price")
+def catalog_star(spark: SparkSession, d: str) -> DataFrame:
+    """The star over schema-qualified, bucketed catalog tables: aggregates and joins without a shuffle."""
+    where = IO.scratch(spark, "catalog")
+    namespace = "study_" + where.rpartition("-")[2]
+    spark.sql(f"CREATE NAMESPACE {namespace} LOCATION '{where}'")
+    out = IO.cut(assembled_star(*catalog_tables(spark, d, namespace)))
+    spark.sql(f"DROP NAMESPACE {namespace} CASCADE")
+    return out
 
 
 @query("""SELECT coalesce(a.k, b.k) AS unit, a.kg, b.cm FROM (SELECT o_custkey AS k, max(o_totalprice) AS kg FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a
@@ -273,6 +333,57 @@ def asof_per_column(spark: SparkSession, d: str) -> DataFrame:
     return joins.last_per_column(j, "user_id", "ts", "event_id", {f"last_{k}": F.when(F.col("event_type") == k, F.col("v")) for k in ("view", "click")})
 
 
+_ERRORS = "er AS (SELECT e.event_id AS index_id, user_id, ts AS t0 FROM events e JOIN customer ON c_custkey = user_id WHERE event_type = 'error')"
+
+
+def _errors(spark: SparkSession, d: str) -> DataFrame:
+    """Every error of a user as an index time of its own."""
+    return _of(spark, d, "error").join(people(spark, d), "user_id").select(F.col("event_id").alias("index_id"), "user_id", F.col("ts").alias("t0"))
+
+
+@query(f"""WITH {_ERRORS}, j AS (SELECT index_id, e.ts, e.event_id, event_type, CASE WHEN e.event_id % 7 = 0 THEN NULL ELSE value END AS v FROM er JOIN events e ON e.user_id = er.user_id AND ts >= t0 - INTERVAL 96 HOUR AND ts <= t0 + INTERVAL 2 HOUR),
+r AS (SELECT *, row_number() OVER (PARTITION BY index_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM j WHERE v IS NOT NULL)
+SELECT er.index_id, user_id, max(CASE WHEN event_type = 'view' THEN v END) AS last_view, max(CASE WHEN event_type = 'click' THEN v END) AS last_click FROM er LEFT JOIN (SELECT * FROM r WHERE rn = 1) r USING (index_id) GROUP BY ALL""", "last_view last_click")
+def asof_carried(spark: SparkSession, d: str) -> DataFrame:
+    """The last values before each of a user's errors, by union and carry."""
+    v = F.expr("case when event_id % 7 = 0 then null else value end")
+    measures = {f"last_{k}": F.when(F.col("event_type") == k, v) for k in ("view", "click")}
+    return joins.carry_last(_errors(spark, d), table(spark, d, "events"), "user_id", measures, 96, 2).select("index_id", "user_id", "last_view", "last_click")
+
+
+@query(f"""WITH {_ERRORS} SELECT index_id, user_id, r.event_type, r.event_id, r.value FROM er LEFT JOIN (SELECT * FROM (SELECT index_id, e.event_type, e.event_id, e.value, row_number() OVER (PARTITION BY index_id ORDER BY ts DESC, e.event_id DESC) AS rn
+FROM er JOIN events e ON e.user_id = er.user_id AND ts >= t0 - INTERVAL 72 HOUR AND ts <= t0 WHERE e.event_type <> 'error') WHERE rn = 1) r USING (index_id)""", "value")
+def asof_carried_row(spark: SparkSession, d: str) -> DataFrame:
+    """The whole last row before each of a user's errors; the stream of a user is cut into weeks."""
+    e = table(spark, d, "events").where("event_type <> 'error'")
+    out = joins.carry_last(_errors(spark, d), e, "user_id", {"r": F.struct("event_type", "event_id", "value")}, 72, bucket_hours=168)
+    return out.select("index_id", "user_id", "r.*")
+
+
+@query(f"WITH {_ERRORS} SELECT index_id, e.event_id FROM er JOIN events e ON e.user_id = er.user_id AND ts >= t0 - INTERVAL 12 HOUR AND ts < t0 + INTERVAL 36 HOUR")
+def window_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every event in the window of each of a user's errors, by time buckets."""
+    return joins.window_pairs(_errors(spark, d), table(spark, d, "events").select("user_id", "event_id", "ts"), "user_id", -12, 36).select("index_id", "event_id")
+
+
+@query(f"""WITH {_ERRORS}, i AS (SELECT user_id, ts AS s, lead(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS e, value FROM events WHERE event_type IN ('view', 'click'))
+SELECT er.user_id, t0, max(CASE WHEN s <= t0 AND (e IS NULL OR t0 < e) THEN 1 ELSE 0 END) AS active, max(CASE WHEN s <= t0 AND (e IS NULL OR t0 < e) THEN value END) AS max_rate FROM (SELECT DISTINCT user_id, t0 FROM er) er LEFT JOIN i ON i.user_id = er.user_id GROUP BY ALL""", "max_rate")
+def active_at_each(spark: SparkSession, d: str) -> DataFrame:
+    """Whether an interval covers each of a user's errors; intervals run from an event to the next of its kind, the last one is open."""
+    kinds = _of(spark, d, "view").unionByName(_of(spark, d, "click"))
+    i = kinds.selectExpr("user_id", "ts as start", "lead(ts) over (partition by user_id, event_type order by ts, event_id) as end", "value")
+    return joins.active_within(_errors(spark, d), i, "user_id", "start", "end", "value")
+
+
+@query("""SELECT DISTINCT w.word, p.p_partkey FROM (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS word FROM part) w JOIN part p ON lower(p.p_name) LIKE '%' || lower(w.word) || '%'""")
+def word_patterns(spark: SparkSession, d: str) -> DataFrame:
+    """Patterns made of the table's own words, as many as there are, against all its labels."""
+    part = table(spark, d, "part").select("p_partkey", "p_name")
+    words = part.select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    patterns = words.withColumn("pattern", F.concat(F.lit("%"), "word", F.lit("%")))
+    return joins.like_candidates(patterns, part, "pattern", "p_name").select("word", "p_partkey")
+
+
 @query(f"""WITH {T0} SELECT user_id, event_type, event_id, abs_days, is_after FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY abs_days, is_after, ts, event_id) AS rn FROM (
 SELECT t0.user_id, e.event_type, e.event_id, ts, CAST(abs(date_diff('day', t0, ts)) AS INTEGER) AS abs_days, CAST(CAST(ts AS DATE) > CAST(t0 AS DATE) AS INTEGER) AS is_after
 FROM t0 JOIN events e ON e.user_id = t0.user_id WHERE event_type <> 'error')) WHERE rn = 1""")

@@ -115,3 +115,19 @@ def stub_scored(spark: SparkSession, d: str) -> DataFrame:
     chunked = _chunked(spark, d)
     prompts = scoring.prompts(chunked, "id", ["c_nationkey"], TEMPLATE)
     return scoring.score_with_retries(prompts, chunked, stub_scorer, "chunk", 3).select("id", "cate")
+
+
+def failing_scorer(prompt: str) -> str:
+    """stub_scorer, but for prompts whose first row has an id that ends in 7, which fail."""
+    first = next(line.split(",")[0] for line in prompt.splitlines() if line.split(",")[0].isdigit())
+    if first.endswith("7"):
+        raise RuntimeError("service is busy")
+    return stub_scorer(prompt)
+
+
+@query(f"""WITH {_C}, f AS (SELECT chunk, min(id) % 10 = 7 AS failed, count(*) AS n FROM c GROUP BY 1) SELECT CAST(chunk AS BIGINT) AS chunk, failed, CASE WHEN failed THEN 'RuntimeError: service is busy' END AS error FROM f""")
+def concurrent_scores(spark: SparkSession, d: str) -> DataFrame:
+    """One reply or error for each prompt, several under way in each task; failing prompts fail alone."""
+    prompts = scoring.prompts(_chunked(spark, d), "id", ["c_nationkey"], TEMPLATE)
+    called = scoring.call_scorer(prompts, failing_scorer, "chunk", at_once=8, tries=1)
+    return called.select("chunk", F.col("reply").isNull().alias("failed"), "error")

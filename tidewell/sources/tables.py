@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewell.sources import packed_csv
+
+#: Codecs of CSV parts: Spark's own, and those that the packed_csv source adds.
 CODECS = {None: "none", "gzip": "gzip", "bz2": "bzip2"}
 
 
@@ -78,11 +82,27 @@ def read_any(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return frame
 
 
-def write_csv(frame: DataFrame, path: str, compression: str | None = None) -> None:
-    """A folder of CSV parts with headers; only codecs that Spark can read back."""
-    if compression not in CODECS:
-        raise ValueError(f"compression must be one of {sorted(map(str, CODECS))}")
-    frame.write.csv(path, header=True, compression=CODECS[compression], escape='"')
+def write_csv(frame: DataFrame, path: str, compression: str | None = None, append: bool = False) -> None:
+    """A folder of CSV parts with headers: plain, gzip or bz2 by Spark, xz or zip by the packed_csv source (see read_packed).
+
+    append adds parts to a folder; else it must not exist.
+    """
+    mode = "append" if append else "errorifexists"
+    if compression in packed_csv.CODECS:
+        packed_csv.register(frame.sparkSession)
+        if not append and packed_csv.parts(path):
+            raise ValueError(f"{path} exists already")
+        frame.write.format("packed_csv").mode("append").options(path=path, codec=compression).save()
+    elif compression in CODECS:
+        frame.write.mode(mode).csv(path, header=True, compression=CODECS[compression], escape='"')
+    else:
+        raise ValueError(f"compression must be one of {sorted(map(str, [*CODECS, *packed_csv.CODECS]))}")
+
+
+def read_packed(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """The rows of a folder of xz or zip CSV parts that write_csv wrote; a part is read by one task."""
+    packed_csv.register(spark)
+    return spark.read.format("packed_csv").schema(schema).load(path)
 
 
 def convert(spark: SparkSession, source: str, target: str, schema: T.StructType | str | None = None) -> None:
@@ -111,6 +131,75 @@ def append_log(frame: DataFrame, folder: str) -> None:
     frame.write.mode("append").partitionBy("data_type").parquet(folder)
 
 
+def _storage(spark: SparkSession, path: str) -> tuple:
+    """The Hadoop path and its file system."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def append_once(frame: DataFrame, folder: str, batch: str) -> bool:
+    """Append a batch to a log; whether it was new. A batch that is repeated, wholly or from the middle, is there once.
+
+    The rows are staged as a part of their own. Then the batch's name is put into the manifest, by creating its file, which
+    only one of several writers can; the file names the part. Parts that no manifest file names were left by a job or a
+    driver that was lost: readers do not see them.
+    """
+    spark = frame.sparkSession
+    if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch) or batch.startswith((".", "_")):
+        raise ValueError(f"a batch is named by letters, digits, dots, dashes and underscores, and begins with none of the last two signs: {batch!r}")
+    entry, files = _storage(spark, f"{folder}/manifest/{batch}")
+    if files.exists(entry):
+        return False
+    part = f"part-{batch}-{uuid.uuid4().hex}"
+    frame.write.parquet(f"{folder}/{part}")
+    files.mkdirs(entry.getParent())
+    try:
+        out = files.create(entry, False)
+    except Exception:  # another writer was first
+        if not files.exists(entry):
+            raise
+        files.delete(_storage(spark, f"{folder}/{part}")[0], True)
+        return False
+    out.write(bytearray(part.encode()))
+    out.close()
+    return True
+
+
+def appended(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    """(batch, path of its part) of all batches of a log, by name."""
+    entry, files = _storage(spark, f"{folder}/manifest")
+    if not files.exists(entry):
+        return []
+    names = sorted(s.getPath().getName() for s in files.listStatus(entry) if s.getLen() > 0)
+    return [(n, f"{folder}/{spark._jvm.org.apache.commons.io.IOUtils.toString(files.open(_storage(spark, f'{folder}/manifest/{n}')[0]), 'UTF-8')}") for n in names if not n.startswith((".", "_"))]
+
+
+def read_appended(spark: SparkSession, folder: str, schema: T.StructType | str) -> DataFrame:
+    """The rows of all batches of a log, each once; no rows where there is no batch."""
+    paths = [p for _, p in appended(spark, folder)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def save_bucketed(frame: DataFrame, name: str, key: str | Sequence[str], buckets: int) -> DataFrame:
+    """A catalog table (namespace.table), bucketed and sorted by its key, and its scan.
+
+    Tables of equally many buckets join and group on the key without a shuffle: the one shuffle is paid when they are
+    written. Rows are dealt to their buckets first, so that a bucket is one file.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    spark = frame.sparkSession
+    if "." in name:
+        spark.sql(f"CREATE NAMESPACE IF NOT EXISTS {name.rpartition('.')[0]}")
+    frame.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).mode("overwrite").saveAsTable(name)
+    return spark.table(name)
+
+
+def scan(spark: SparkSession, name: str, columns: Mapping[str, str] | None = None) -> DataFrame:
+    """A schema-qualified catalog table; an error if it does not exist. columns: optional ones (name to type), typed NULLs where the table lacks them."""
+    require(spark, [name])
+    return with_optional(spark.table(name), columns or {})
+
+
 def inline(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A small dimension from literals."""
     return spark.createDataFrame(list(rows), schema)
