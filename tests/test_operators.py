@@ -222,6 +222,11 @@ def test_exact_quantiles_and_ranks(spark):
         lower = {r["g"]: r["q"] for r in ranks.quantiles(frame.where(F.col("g") == g), "x", points[1:], ["g"], discrete=True).collect()}[g]
         assert np.allclose(lower, np.quantile([x for a, x, _ in data if a == g], points[1:], method="inverted_cdf"))
     assert 7 not in got
+    wide = [float(s * 10.0**e) for s, e in zip(draw.normal(size=300), draw.integers(-320, 300, 300), strict=True)] + [0.0, -0.0, 5e-324, -5e-324, 1.0, 1.0, float(np.nextafter(1.0, 2.0))]
+    both = ranks.quantiles(spark.createDataFrame([(x,) for x in wide], "x double"), "x", (0.0, 0.2, 0.5, 0.77, 1.0, 0.77), discrete=[False] * 5 + [True]).first()["q"]
+    assert np.allclose(both[:5], np.quantile(wide, (0.0, 0.2, 0.5, 0.77, 1.0)), rtol=1e-12, atol=0) and both[5] == np.quantile(wide, 0.77, method="inverted_cdf")
+    end = ranks.quantiles(spark.createDataFrame([(x,) for x in (1.0, float("inf"), float("-inf"), 2.0, float("nan"))], "x double"), "x", (0.0, 0.5, 0.75), discrete=True).first()["q"]
+    assert end == [float("-inf"), 2.0, float("inf")]
     assert ranks.quantiles(frame.where("false"), "x", (0.5,)).first()["q"] == [None]
     ranked = ranks.numbered(frame.where("x is not null").withColumn("id", F.monotonically_increasing_id()), "x", "g", "id").collect()
     assert sorted(r["__rank"] for r in ranked) == list(range(1, 503)) and {r["__n"] for r in ranked} == {502}

@@ -53,8 +53,8 @@ def dynamic_pivot(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT o_orderstatus, quantile_cont(o_totalprice, 0.1) AS c10, quantile_cont(o_totalprice, 0.5) AS c50, quantile_cont(o_totalprice, 0.9) AS c90, quantile_disc(o_totalprice, 0.25) AS d25 FROM orders GROUP BY 1", "c10 c50 c90 d25")
 def quantiles(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders")
-    per = ranks.quantiles(orders, "o_totalprice", (0.1, 0.5, 0.9), ["o_orderstatus"]).join(ranks.quantiles(orders, "o_totalprice", (0.25,), ["o_orderstatus"], name="d", discrete=True), "o_orderstatus")
-    return per.select("o_orderstatus", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("c10", "c50", "c90"))], F.get("d", F.lit(0)).alias("d25"))
+    per = ranks.quantiles(orders, "o_totalprice", (0.1, 0.5, 0.9, 0.25), ["o_orderstatus"], discrete=[False, False, False, True])
+    return per.select("o_orderstatus", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("c10", "c50", "c90", "d25"))])
 
 
 @query(f"WITH {_GAPPY} SELECT 1 - count(price) / count(*) AS price, 1 - count(prio) / count(*) AS prio, 1 - count(o_orderkey) / count(*) AS o_orderkey FROM g", "price prio o_orderkey")
