@@ -16,18 +16,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.arrow_text import ALNUM, FOLD, slices
-from tidewell.llm.shared import map_texts, replace_columns
+from tidewell.llm.shared import cut, fresh_names, map_texts, replace_columns
 
 ORDERS = (2, 3, 4)
 BUCKETS = 4096
-#: Languages that get a codeword: those with the most rows.
-MOST_LANGUAGES = 1000
+#: Languages whose sums a task holds at once.
+HELD_LANGUAGES = 256
+#: Languages up to which the widest apart of random codes is looked for; it takes all pairs of codewords.
+COMPARED = 2000
 #: Letters stay, folded; every other ASCII byte is a space.
 _LETTER = np.where((ALNUM == 1) & ~np.isin(np.arange(256), np.arange(0x30, 0x3A)), FOLD, np.uint8(32)).astype(np.uint8)
 
 
 def codewords(k: int, seed: int = 5) -> np.ndarray:
-    """k distinct codewords of -1 and 1: exhaustive up to 5 languages, beyond that the widest apart of 200 random codes."""
+    """k distinct codewords of -1 and 1 of some log2(k) bits: exhaustive up to 5 languages, beyond that the widest apart of 200 random codes, or, for very many languages, the first with distinct words."""
     if k < 2:
         return np.ones((k, 1), np.int8)
     if k <= 5:
@@ -38,6 +40,10 @@ def codewords(k: int, seed: int = 5) -> np.ndarray:
     best, apart = None, -1
     for _ in range(200):
         code = np.where(draw.random((k, bits)).argsort(axis=0) < k // 2, 1, -1).astype(np.int8)
+        if k > COMPARED:
+            if len(np.unique(code, axis=0)) == k:
+                return code
+            continue
         near = (bits - (code.astype(np.int32) @ code.T)) // 2 + bits * np.eye(k, dtype=np.int32)
         if near.min() > apart:
             best, apart = code, int(near.min())
@@ -57,7 +63,7 @@ class CodeModel:
         """Language number, score in (0, 1] and ambiguity; rows with known False get the usual language."""
         scaled = np.clip((margins - self.middle) / self.spread, -4, 4)
         weight = self.spread / self.spread.sum()
-        loss = np.log1p(np.exp(-2.0 * scaled[:, None, :] * self.code[None, :, :])) @ weight
+        loss = (np.log1p(np.exp(-2.0 * scaled)) * weight) @ (self.code > 0).T + (np.log1p(np.exp(2.0 * scaled)) * weight) @ (self.code < 0).T
         chance = np.exp(-4.0 * (loss - loss.min(axis=1, keepdims=True)))
         chance /= chance.sum(axis=1, keepdims=True)
         best = chance.argmax(axis=1)
@@ -98,59 +104,86 @@ def _counts(raw: np.ndarray, offsets: np.ndarray, group: np.ndarray, groups: int
     return total.reshape(groups, BUCKETS)
 
 
+def _language_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, bucket, n) of rows (lang, text), sums of this task; bucket -1 counts the rows."""
+    held: dict[str, int] = {}
+    total, rows = np.zeros((HELD_LANGUAGES, BUCKETS)), np.zeros(HELD_LANGUAGES)
+
+    def taken() -> pa.RecordBatch:
+        names = np.array(list(held), object)
+        of, bucket = np.nonzero(total[: len(held)])
+        lang = pa.array([*names[of], *names], pa.string())
+        out = pa.RecordBatch.from_arrays([lang, pa.array(np.concatenate((bucket, np.full(len(held), -1))), pa.int32()), pa.array(np.concatenate((total[of, bucket], rows[: len(held)])))], ["lang", "bucket", "n"])
+        held.clear()
+        total[:], rows[:] = 0, 0
+        return out
+
+    for batch in batches:
+        langs = batch.column(0).to_pylist()
+        low = 0
+        while low < len(langs):
+            if len(held) == HELD_LANGUAGES and langs[low] not in held:
+                yield taken()
+            high, group = low, []
+            while high < len(langs) and (langs[high] in held or len(held) < HELD_LANGUAGES):
+                group.append(held.setdefault(langs[high], len(held)))
+                high += 1
+            of = np.array(group, np.int64)
+            rows += np.bincount(of, minlength=HELD_LANGUAGES)
+            for first, last, raw, offsets in slices(batch.column(1).slice(low, high - low)):
+                seen, local = np.unique(of[first:last], return_inverse=True)
+                total[seen] += _counts(raw, offsets, local, len(seen))
+            low = high
+    if held:
+        yield taken()
+
+
 def fit_codes(docs: DataFrame) -> CodeModel | None:
     """The model from all rows with a text and a lang; None if there are none.
 
-    Each task adds up the n-grams of each language and only these sums meet. Repeated rows count as often, texts
-    without n-grams only as rows; other columns are ignored. The classifier knows the MOST_LANGUAGES languages with
-    the most rows (ties by name); rows of rarer ones teach it nothing.
+    Each task adds up the n-grams of each language, HELD_LANGUAGES of them at a time, and only these sums meet. Repeated
+    rows count as often, texts without n-grams only as rows; other columns are ignored. Every language gets a codeword,
+    however many there are: the driver reads one language's sums at a time and holds names, codewords, and the bits'
+    weights.
     """
     labelled = docs.where("lang is not null and text is not null").select("lang", "text")
-    names = [r[0] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(MOST_LANGUAGES).collect()]
-    languages = tuple(sorted(names))
+    sums = map_texts(labelled, _language_sums, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    shares = cut(sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("grams")))  # BUCKETS + 1 at most
+    rows_of = {r["lang"]: r["n"] for r in shares.select("lang", F.get("grams", F.lit(0))["n"].alias("n")).collect()}  # bucket -1: rows
+    languages = tuple(sorted(rows_of))
     if not languages:
         return None
-    labelled = labelled.where(F.col("lang").isin(*languages))
-    number = {name: i for i, name in enumerate(languages)}
-    k = len(languages)
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, rows = np.zeros((k, BUCKETS)), np.zeros(k)
-        for batch in batches:
-            lang = np.array([number[x] for x in batch.column(0).to_pylist()], np.int64)
-            rows += np.bincount(lang, minlength=k)
-            for low, high, raw, offsets in slices(batch.column(1)):
-                total += _counts(raw, offsets, lang[low:high], k)
-        of, bucket = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(bucket), pa.array(total[of, bucket])], ["lang", "bucket", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k)), pa.array(np.full(k, -1)), pa.array(rows)], ["lang", "bucket", "n"])
-
-    sums = map_texts(labelled, add_up, "lang bigint, bucket bigint, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    lang, bucket, n = (sums.column(c).to_numpy() for c in ("lang", "bucket", "n"))
-    counts, rows = np.zeros((k, BUCKETS)), np.zeros(k)
-    grams = bucket >= 0
-    counts[lang[grams], bucket[grams]] = n[grams]
-    rows[lang[~grams]] = n[~grams]
-    share = (counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True)
-    code = codewords(k)
-    weights = np.stack(
-        [
-            np.log(share[code[:, b] > 0].mean(axis=0)) - np.log(share[code[:, b] < 0].mean(axis=0)) if (code[:, b] < 0).any() else np.zeros(BUCKETS)
-            for b in range(code.shape[1])
-        ],
-        axis=1,
-    )
-    expected = share @ weights  # languages x bits: the mean margin of a language's own text
+    number, code = {name: i for i, name in enumerate(languages)}, codewords(len(languages))
+    ones, zeros = (code > 0).astype(float), (code < 0).astype(float)
+
+    def shared() -> Iterator[tuple[int, np.ndarray]]:
+        """(number, smoothed share of each bucket) of one language after the other."""
+        for r in shares.toLocalIterator():
+            counts = np.full(BUCKETS, 0.5)
+            for bucket, n in r["grams"][1:]:
+                counts[bucket] += n
+            yield number[r["lang"]], counts / counts.sum()
+
+    one_sum, zero_sum = np.zeros((BUCKETS, code.shape[1])), np.zeros((BUCKETS, code.shape[1]))
+    for i, share in shared():
+        one_sum += np.outer(share, ones[i])
+        zero_sum += np.outer(share, zeros[i])
+    split = zeros.any(axis=0)
+    weights = np.where(split, np.log(one_sum / ones.sum(axis=0)) - np.log(np.where(split, zero_sum, 1.0) / np.maximum(zeros.sum(axis=0), 1)), 0.0)
+    expected = np.zeros(code.shape)
+    for i, share in shared():
+        expected[i] = share @ weights  # the mean margin of a language's own text
     one = np.where(code > 0, expected, np.inf).min(axis=0)
     zero = np.where(code < 0, expected, -np.inf).max(axis=0)
     zero = np.where(np.isfinite(zero), zero, one - 2)
-    return CodeModel(languages, code, weights, (one + zero) / 2, np.maximum((one - zero) / 2, 1e-3), int(rows.argmax()))
+    usual = number[min(rows_of, key=lambda name: (-rows_of[name], name))]
+    return CodeModel(languages, code, weights, (one + zero) / 2, np.maximum((one - zero) / 2, 1e-3), usual)
 
 
 def predict_language(docs: DataFrame, model: CodeModel | None) -> DataFrame:
     """Adds lang_pred (string), score (double, 0 to 1) and ambiguous (boolean) from the whole text.
 
-    A null text and one without any letter get `und` with score 0, as does every text without a model.
+    Equal texts, so repeated rows, are treated alike; no documents, no rows. A null text and one without any letter get `und` with score 0, as does every text without a model.
     A text too short for an n-gram gets the most frequent language and is ambiguous. Input columns of the
     added names are replaced; other columns pass through.
     """
@@ -167,7 +200,7 @@ def predict_language(docs: DataFrame, model: CodeModel | None) -> DataFrame:
         for batch in batches:
             has = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
             best, score, unsure = np.zeros(len(has), np.int64), np.zeros(len(has)), np.ones(len(has), bool)
-            for low, high, raw, offsets in slices(batch.column(text_at), most_rows=512):
+            for low, high, raw, offsets in slices(batch.column(text_at), most_rows=max(1, min(512, (1 << 21) // len(model.languages)))):
                 counts = _counts(raw, offsets, np.arange(high - low), high - low)
                 total = counts.sum(axis=1)
                 margins = counts @ model.weights / np.maximum(total, 1)[:, None]
@@ -177,4 +210,5 @@ def predict_language(docs: DataFrame, model: CodeModel | None) -> DataFrame:
                 [*batch.columns[:-1], pa.array(names_of.tolist(), pa.string()), pa.array(np.where(has, score, 0.0)), pa.array(unsure | ~has)], names=[*batch.schema.names[:-1], *added]
             )
 
-    return map_texts(kept.withColumn("__lettered", lettered), run, fields)
+    (mark,) = fresh_names(kept, "lettered")
+    return map_texts(kept.withColumn(mark, lettered), run, fields)

@@ -221,7 +221,7 @@ _FITS = " ".join(
 )
 _BLOCKED = ", ".join(f"'{r.name}'" for r in LISTED_URL_RULES if r.verdict == "block")
 
-#: Every combination of up to five tokens of each listed URL is counted; what is bad often and surely enough is a rule.
+#: Every combination of tokens of each listed URL is counted; what is bad often and surely enough is a rule.
 _URL_RULES = rf"""
 WITH p AS (
   SELECT page_id, url, coalesce({_HOST}, '') AS host, coalesce(regexp_extract(url, '^[\s\S]*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
@@ -236,10 +236,10 @@ u AS (
   )) AS tokens FROM r WHERE url IS NOT NULL
 ), c AS (
   SELECT url, known, bad, list_sort(list_filter(tokens, lambda x, i: (m >> (i - 1)) & 1 = 1)) AS part
-  FROM (SELECT *, unnest(range(1, CAST(1 << len(tokens) AS BIGINT))) AS m FROM u) WHERE bit_count(m) <= 5
+  FROM (SELECT *, unnest(range(1, CAST(1 << len(tokens) AS BIGINT))) AS m FROM u)
 ), g AS (
   SELECT part FROM c WHERE known GROUP BY part
-  HAVING count(*) FILTER (WHERE bad) >= ceil(0.005 * (SELECT count(*) FROM u WHERE known)) AND count(*) FILTER (WHERE bad) >= 0.9 * count(*)
+  HAVING count(*) FILTER (WHERE bad) >= greatest(10, ceil(0.005 * (SELECT count(*) FROM u WHERE known))) AND count(*) FILTER (WHERE bad) >= 0.9 * count(*)
 ), h AS (SELECT DISTINCT url FROM c JOIN g USING (part))
 SELECT page_id, host, path, rule, CASE WHEN rule IN ({_BLOCKED}) THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN h.url IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
 FROM r LEFT JOIN h ON h.url = r.url

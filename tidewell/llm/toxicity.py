@@ -1,7 +1,7 @@
 """Toxicity severity by cumulative-link ordinal regression.
 
 P(grade > k) = logistic(w.x - theta_k): one weight vector, ordered thresholds. The features are sparse:
-whether a text has a word, or a word that begins with given 4 or 5 bytes. The expected
+whether a text has a word, or a word that begins with given 4, 5 or 7 bytes. The expected
 severity, the sum of P(grade > k), decides which documents are rejected.
 """
 
@@ -22,8 +22,10 @@ from tidewell.llm.shared import best_cut, cut, fresh_names, map_texts, replace_c
 MOST_LABELS = 20_000
 MOST_FEATURES = 4096
 #: A feature's share among toxic and clean rows differs by at least so many standard errors.
-LEAST_Z = 5.0
-_PREFIXES = (5, 4)
+LEAST_Z = 4.0
+_PREFIXES = (7, 5, 4)
+#: Parts of the labelled rows, each scored by a model of the others, that grade toxic rows.
+FOLDS = 3
 
 
 @dataclass(frozen=True)
@@ -109,9 +111,10 @@ def sample_labels(labels: DataFrame, column: str, most: int = MOST_LABELS) -> di
 def fit_severity(docs: DataFrame, labels: DataFrame, grades: int = 3) -> SeverityModel:
     """A model from documents (doc_id, text) and labels (doc_id, toxic 0/1, or higher for graded labels).
 
-    Labels of 0 and 1 alone are graded by evidence: toxic rows fall into `grades` grades by
-    how many of the selected features they have, parted at their quantiles. Takes at most about
-    MOST_LABELS labelled rows. Rows whose least shingle is equal (copies, most near copies) are one piece of
+    Labels of 0 and 1 alone are graded by how plainly toxic a row looks to models that do not know it: toxic
+    rows fall into `grades` grades by the score that a model of the other FOLDS - 1 parts of the rows gives them,
+    parted at its quantiles. Takes at most about MOST_LABELS labelled rows and the MOST_FEATURES features of
+    largest |z|. Rows whose least shingle is equal (copies, most near copies) are one piece of
     evidence: they count once in a feature's test, and once in the fit for each set of selected features
     that they have. Null texts and null ids or labels are left out, empty texts are rows without features.
     With no toxic or no clean row, as with an empty table, nothing is ever rejected.
@@ -141,8 +144,9 @@ def fit_severity(docs: DataFrame, labels: DataFrame, grades: int = 3) -> Severit
     row, column = np.repeat(np.arange(len(on)), have), np.array([c for x in on for c in x], np.int64)
     grade = toxic.astype(np.int64)
     if grade.max() <= 1 and grades > 1:
-        edges = np.unique(np.quantile(np.repeat(have, times * (toxic > 0)), np.arange(1, grades) / grades))
-        grade = np.where(toxic > 0, 1 + np.searchsorted(edges, have, side="left"), 0)
+        score = _out_of_fold(row, column, grade, len(features), times)
+        edges = np.unique(np.quantile(np.repeat(score, times * (toxic > 0)), np.arange(1, grades) / grades))
+        grade = np.where(toxic > 0, 1 + np.searchsorted(edges, score, side="left"), 0)
     grade = np.unique(grade, return_inverse=True)[1]
     weights, thresholds = _fit(row, column, grade, len(features), times)
     model = SeverityModel(features, weights, thresholds, np.inf)
@@ -151,6 +155,22 @@ def fit_severity(docs: DataFrame, labels: DataFrame, grades: int = 3) -> Severit
     return SeverityModel(features, weights, thresholds, np.inf if found_cut is None else found_cut)
 
 
+def _out_of_fold(row: np.ndarray, column: np.ndarray, grade: np.ndarray, width: int, times: np.ndarray) -> np.ndarray:
+    """Each row's score by a two-grade model of the rows of the other parts; 0 where these have one grade only."""
+    part = np.arange(len(grade)) % FOLDS  # rows are sorted by grade, so each part has its share of both
+    score = np.zeros(len(grade))
+    for f in range(FOLDS):
+        others = np.flatnonzero(part != f)
+        if len(np.unique(grade[others])) < 2:
+            continue
+        place = np.full(len(grade), -1)
+        place[others] = np.arange(len(others))
+        known = place[row] >= 0
+        weights, _ = _fit(place[row[known]], column[known], grade[others], width, times[others])
+        score[part == f] = np.bincount(row, weights[column], minlength=len(grade))[part == f]
+    return score
+
+
 def _fit(row: np.ndarray, column: np.ndarray, grade: np.ndarray, width: int, times: np.ndarray | None = None, rounds: int = 300, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Maximum likelihood with a little ridge, by Adam, of rows that count `times` each. theta_k = theta_0 + exp(d_1) + ... + exp(d_k)."""
     n, steps = len(grade), int(grade.max())

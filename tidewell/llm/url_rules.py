@@ -1,13 +1,14 @@
 """URL filters: listed host and path rules, and association rules mined from labelled URLs.
 
 Spark's FP-growth finds token combinations of labelled URLs; those that imply a bad URL with enough
-support and confidence are kept, without any that a shorter and as sure one implies. An inverted
-index matches them: each rule is posted under its rarest token, and a URL that has this token is
-tested for the others.
+URLs behind them and enough confidence are kept, without any that a shorter and as sure one implies. Tokens that occur
+in the same labelled URLs are one item, so that shared long paths do not multiply combinations. An inverted index
+matches the rules: each is posted under its rarest item, and a URL that has a token of it is tested for the others.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -18,12 +19,12 @@ from tidewell.llm.shared import ascii_lower, cut, fresh_names
 
 #: Labelled URLs that mining takes, in expectation (distinct URLs with the least hash).
 MOST_LABELS = 200_000
-#: Most tokens of a rule.
-MOST_TOKENS = 5
+#: Bad labelled URLs that a rule needs at least.
+LEAST_COUNT = 10
 #: Largest rule index that is broadcast; beyond it matching is a shuffle join.
 MOST_BROADCAST = 10_000
 BAD = "label=bad"
-_RULES = "rule_id bigint, tokens array<string>, rarest string, confidence double, support double"
+_RULES = "rule_id bigint, tokens array<array<string>>, posted array<string>, confidence double, support double"
 
 
 @dataclass(frozen=True)
@@ -77,41 +78,61 @@ def url_tokens(url: Column) -> Column:
     )
 
 
-def _baskets(labelled: DataFrame, most: int) -> tuple[DataFrame, int]:
-    """(items: tokens of distinct labelled URLs, with BAD where the label is bad; their number)."""
+def _labelled(labelled: DataFrame, most: int) -> DataFrame:
+    """(url, bad, tokens) of distinct labelled URLs."""
     known = labelled.where("url is not null and bad is not null").groupBy("url").agg(F.max("bad").alias("bad"))
     n = known.count()
     if n > most:
         known = known.where(F.pmod(F.xxhash64(F.lit(13), "url"), F.lit(1 << 40)) < int((1 << 40) * most / n))
     spread = known.repartition(labelled.sparkSession.sparkContext.defaultParallelism, "url")
-    tokens = url_tokens(F.col("url"))
-    return cut(spread.select(F.when(F.col("bad"), F.array_append(tokens, F.lit(BAD))).otherwise(tokens).alias("items"))), n
+    return cut(spread.select("url", "bad", url_tokens(F.col("url")).alias("tokens")))
 
 
-def mine_rules(labelled: DataFrame, least_support: float = 0.005, least_confidence: float = 0.9, most_labels: int = MOST_LABELS) -> DataFrame:
-    """(rule_id, tokens, rarest, confidence, support) of up to MOST_TOKENS tokens that imply a bad URL.
+def _items(urls: DataFrame, least: int) -> DataFrame:
+    """(item, alternatives, n): tokens of at least so many URLs; those of exactly the same URLs are one item, named by the least.
 
-    labelled: url string, bad boolean; rows with a null are left out, a URL with both labels is bad. At most
-    about MOST_LABELS distinct URLs are mined. Support is the share of mined URLs with the combination and the
-    label, confidence the share of bad ones among those with the combination. A rule with a shorter one inside it
-    that is as sure is left out. rarest is the rule's token that the fewest mined URLs have. No rows, no rules.
+    The URLs of a token are compared by their number and two 64-bit sums of their hashes.
     """
-    baskets, n = _baskets(labelled, most_labels)
-    if not n:
-        return labelled.sparkSession.createDataFrame([], _RULES)
-    model = FPGrowth(itemsCol="items", minSupport=least_support, minConfidence=least_confidence).fit(baskets)
-    sure = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") <= MOST_TOKENS))
-    sure = cut(sure.select(F.sort_array("antecedent").alias("tokens"), "confidence", "support"))
+    of = urls.select(F.explode("tokens").alias("token"), F.xxhash64("url").alias("a"), F.xxhash64(F.lit(7), "url").alias("b"))
+    tokens = of.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b")).where(F.col("n") >= least)
+    return cut(tokens.groupBy("n", "a", "b").agg(F.min("token").alias("item"), F.sort_array(F.collect_list("token")).alias("alternatives")).select("item", "alternatives", "n"))
+
 
-    # every proper part of a rule, one row each: the bits of a number choose the tokens
-    parts = sure.where("size(tokens) > 1").withColumn("mask", F.explode(F.expr("sequence(1, shiftleft(1, size(tokens)) - 2)")))
-    parts = parts.select(F.filter("tokens", lambda _, i: F.getbit("mask", i) == 1).alias("part"), F.col("tokens").alias("whole"), F.col("confidence").alias("own"))
-    covered = parts.join(sure, F.col("part") == F.col("tokens")).where("confidence >= own").select(F.col("whole").alias("tokens")).distinct()
-    kept = sure.join(covered, "tokens", "left_anti")
+def mine_rules(labelled: DataFrame, least_support: float = 0.005, least_confidence: float = 0.9, most_labels: int = MOST_LABELS, least_count: int = LEAST_COUNT) -> DataFrame:
+    """(rule_id, tokens, posted, confidence, support): combinations that imply a bad URL.
 
-    counts = baskets.select(F.explode("items").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    of_rule = kept.select("tokens", F.explode("tokens").alias("token")).join(counts, "token").groupBy("tokens").agg(F.min_by("token", F.struct("n", "token")).alias("rarest"))
-    return cut(kept.join(of_rule, "tokens").select(F.xxhash64("tokens").alias("rule_id"), "tokens", "rarest", "confidence", "support"))
+    labelled: url string, bad boolean; rows with a null are left out, a URL with both labels is bad. At most
+    about MOST_LABELS distinct URLs are mined. A rule has at least least_count bad URLs, which are at least the share
+    least_support of the mined ones (its support), and makes up at least least_confidence of the mined URLs with the
+    combination. tokens: for each item the tokens that stand for it, of which a URL needs one. A rule with a
+    shorter one inside it that is as sure is left out. posted: the tokens of the rule's item that the fewest mined URLs
+    have. No rows, no rules.
+    """
+    spark = labelled.sparkSession
+    urls = _labelled(labelled, most_labels)
+    n = urls.count()
+    least = max(least_count, math.ceil(least_support * n))
+    if n < least or urls.where("bad").limit(least).count() < least:
+        return spark.createDataFrame([], _RULES)
+    items = _items(urls, least)
+    named = urls.select("url", "bad", F.explode("tokens").alias("item")).join(items.select("item"), "item").groupBy("url", "bad").agg(F.collect_set("item").alias("items"))
+    baskets = cut(named.select(F.when(F.col("bad"), F.array_append("items", F.lit(BAD))).otherwise(F.col("items")).alias("items")))
+    # half a URL below the least number, so that no rounding of the share asks for one more
+    model = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / max(baskets.count(), 1), minConfidence=least_confidence).fit(baskets)
+    found = model.associationRules.where(F.col("consequent") == F.array(F.lit(BAD)))
+    sure = cut(found.select(F.sort_array("antecedent").alias("items"), "confidence", (F.round(F.col("support") * baskets.count()) / n).alias("support")))
+
+    # a part of a rule has its first item among the rule's
+    wholes = sure.select(F.col("items").alias("whole"), F.col("confidence").alias("own"), F.explode("items").alias("first"))
+    parts = sure.select(F.col("items").alias("part"), F.get("items", F.lit(0)).alias("first"), "confidence")
+    inside = (F.size("part") < F.size("whole")) & (F.col("confidence") >= F.col("own")) & (F.size(F.array_except("part", "whole")) == 0)
+    covered = wholes.join(parts, "first").where(inside).select(F.col("whole").alias("items")).distinct()
+    kept = sure.join(covered, "items", "left_anti").select(F.xxhash64("items").alias("rule_id"), "items", "confidence", "support")
+
+    each = kept.select("rule_id", "confidence", "support", F.explode("items").alias("item")).join(items, "item")
+    one = F.struct("n", "item", "alternatives")
+    rules = each.groupBy("rule_id", "confidence", "support").agg(F.transform(F.sort_array(F.collect_list(F.struct("item", "alternatives"))), lambda x: x["alternatives"]).alias("tokens"), F.min_by("alternatives", one).alias("posted"))
+    return cut(rules.select("rule_id", "tokens", "posted", "confidence", "support"))
 
 
 def matched_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -119,10 +140,11 @@ def matched_urls(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
     A URL meets only the rules that are posted under one of its tokens. The index is broadcast up to MOST_BROADCAST rules.
     """
-    index = rules.select(F.col("rarest").alias("token"), F.col("tokens").alias("wanted"))
-    index = F.broadcast(index) if rules.count() <= MOST_BROADCAST else index
+    index = rules.select("rule_id", F.explode("posted").alias("token"), F.col("tokens").alias("wanted"))
+    index = F.broadcast(index) if index.count() <= MOST_BROADCAST else index
     tokens = urls.where("url is not null").select("url").distinct().select("url", url_tokens(F.col("url")).alias("own")).withColumn("token", F.explode("own"))
-    return tokens.join(index, "token").where(F.size(F.array_except("wanted", "own")) == 0).groupBy("url").agg(F.count("*").alias("n_rules"))
+    fits = F.forall("wanted", lambda alternatives: F.arrays_overlap(alternatives, F.col("own")))
+    return tokens.join(index, "token").where(fits).groupBy("url").agg(F.count_distinct("rule_id").alias("n_rules"))
 
 
 def judge_urls(pages: DataFrame, listed: list[HostRule], rules: DataFrame) -> DataFrame:
