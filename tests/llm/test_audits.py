@@ -251,3 +251,70 @@ def test_heaps_keep_the_best_whatever_the_order():
     for k in range(7):
         want = sorted((-s, d) for s, d in zip(scores[:, k].tolist(), ids.tolist(), strict=True) if s > 0)[:10]
         assert sorted(zip((-score[item == k]).tolist(), doc[item == k].tolist(), strict=True)) == want
+
+
+# --- the pipeline's stages, on planted documents ------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    """The documents of sf0.01 and, behind them: plainly toxic ones, junk, near copies, a repeated row, a passage, nulls; columns that clash."""
+    source, folder = "/root/testdata/sf0.01", str(tmp_path_factory.mktemp("planted"))
+    docs = spark.read.parquet(f"{source}/documents.parquet")
+    bench = spark.read.parquet(f"{source}/benchmark.parquet")
+    passage = bench.orderBy("item_id").first()["text"]
+    draw = random.Random(5)
+    words = [w for r in docs.where("lang = 'en' and length(text) > 2000").orderBy("doc_id").limit(30).collect() for w in r["text"].split() if w.isalpha()]
+    prose = lambda n: " ".join(draw.choices(words, k=n))
+    insults = "idiot moron clown loser trash scum stupid pathetic worthless disgusting".split()
+    base, clean = prose(200), [prose(150) for _ in range(5)]
+    near = base.split()
+    near[100] = "changed"
+    rows = [(900_000 + i, prose(60) + " " + " ".join(insults) + " " + prose(60), "en", "src1") for i in range(3)]
+    rows += [(900_010, base, "en", "src2"), (900_011, " ".join(near), "en", "src3"), (900_012, base, "en", "src4")]
+    rows += [(900_020 + i, t, "en", "src5") for i, t in enumerate(clean)] + [(900_020, clean[0], "en", "src5")]
+    rows += [(900_030, prose(80) + " " + passage + " " + prose(80), "en", "src6"), (900_031, None, "en", None), (900_032, "", None, "src7")]
+    extra = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("bigint"))
+    every = docs.unionByName(extra).withColumns({"severity": F.lit("s"), "hit": F.lit(1), "spans": F.lit("x"), "Times": F.lit("t"), "component_id": F.lit(2), "lettered": F.lit(True)})
+    every.repartition(4).write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{source}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    return folder, passage
+
+
+def test_every_stage_takes_effect(spark, planted):
+    import corpus_pipeline
+
+    folder, passage = planted
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, seen = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        path = scratch(spark, name)
+        stage(spark, docs, folder).write.parquet(path)
+        docs = spark.read.parquet(path)
+        seen[name] = {r["doc_id"]: r["text"] for r in docs.where("doc_id >= 900000").select("doc_id", "text").collect()}
+        if name != "mixing":
+            assert docs.columns == columns and docs.where("severity <> 's' or hit <> 1 or spans <> 'x' or Times <> 't'").isEmpty()
+    toxic, copies, clean = {900_000, 900_001, 900_002}, {900_010, 900_011, 900_012}, set(range(900_020, 900_025))
+    assert not toxic & seen["toxicity"].keys() and clean | copies <= seen["toxicity"].keys() and seen["toxicity"][900_031] is None
+    assert 900_031 not in seen["quality"] and 900_032 not in seen["quality"] and clean | copies <= seen["quality"].keys()
+    assert copies & seen["near_duplicates"].keys() == {900_010} and clean <= seen["near_duplicates"].keys()
+    cut_out = seen["decontamination"][900_030]
+    assert passage not in cut_out and passage in seen["near_duplicates"][900_030] and len(cut_out.split()) >= 150
+    assert seen["mixing"].keys() <= seen["decontamination"].keys()
+    counts = {r["doc_id"]: r["n"] for r in spark.read.parquet(path).groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id >= 900000").collect()}
+    assert all(n == 1 for n in counts.values())
+
+
+def test_pipeline_of_no_documents_and_of_unlabelled_ones(spark, planted, tmp_path):
+    import corpus_pipeline
+
+    folder, _ = planted
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, frame in (("empty", docs.where("false")), ("few", docs.where("doc_id < 40"))):
+        for table in ("labels", "benchmark"):
+            spark.read.parquet(f"{folder}/{table}.parquet").where("false").write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        frame.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").isEmpty()
+    out = corpus_pipeline.run(spark, f"{tmp_path}/few")
+    assert out.select("doc_id").distinct().count() == out.count() <= 40

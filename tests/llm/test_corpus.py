@@ -752,3 +752,11 @@ def test_pipeline(spark):
         docs = spark.read.parquet(path)
     assert docs.count() > 0 and len(names) == 5
     assert docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def test_columns_called_like_the_operators_own(spark):
+    docs = spark.createDataFrame([(1, "the words of a text " * 20, "mine", "mine", "mine")], "doc_id bigint, text string, words string, lines string, __words string")
+    out = quality_rules.apply_rules(docs).first()
+    assert out["words"] == out["lines"] == out["__words"] == "mine" and out["n_words"] == 100
+    other = quality_rules.apply_rules(docs.withColumn("text", F.lit("blabla ble " * 50)), (quality_rules.Rule("stop_word_share", 0.01),), ("ble",)).first()
+    assert other["n_stop_words"] == 50

@@ -33,8 +33,8 @@ def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
     turns: conv_id, turn, role, text; other columns are ignored. Turns are ordered by turn, null turns last, ties by
     role and text. A null text or role is empty. The loss mask covers each text of loss_role
-    as it stands (escaped) in formatted, not its marks. A null conv_id is a conversation of its own. No rows, no
-    conversations.
+    as it stands (escaped) in formatted, not its marks. A null conv_id is a conversation of its own. Repeated
+    turns stand as often as they are given, texts of any length whole. No rows, no conversations.
     """
     turn = F.struct(F.col("turn").isNull().alias("late"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sorted_ = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))

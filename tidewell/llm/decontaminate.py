@@ -236,7 +236,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     replaced. With cut_out, text loses every span, from the first byte of its first word to the
     last byte of its last one. Words: A-Z lower-cased runs of ASCII letters, digits and all
     characters from U+0080. Null and empty texts have no words; an empty benchmark hits nothing.
-    Rows keep their number and order of columns. Driver and tasks hold one block of windows (BLOCK_WORDS);
+    Equal texts, so repeated rows, are treated alike; no documents, no rows. Rows keep their number and order of columns. Driver and tasks hold one block of windows (BLOCK_WORDS);
     a benchmark of more is searched in several passes, each stored in the shared folder for the next.
     """
     kept, at_last = replace_columns(docs, *_ADDED), None

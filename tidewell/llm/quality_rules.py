@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import SPACED_WORD, replace_columns
+from tidewell.llm.shared import SPACED_WORD, fresh_names, replace_columns
 
 # Frequent function words of the four languages of the corpus.
 STOP_WORDS = (
@@ -66,13 +66,18 @@ def repeated_window_words(words: Column, window: int = 3) -> Column:
     return F.when(F.size(words) >= window + 1, _let(words, windows)).otherwise(F.lit(0))
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words, n_stop_words (bigint)."""
+def measure(docs: DataFrame, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words, n_stop_words (bigint).
+
+    A null text counts as empty: 0 throughout. Input columns of the added names are replaced, others, whatever their
+    names, pass through.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     added = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
     own = [F.col(f"`{c}`") for c in replace_columns(docs, *added).columns]
-    split = docs.select(*own, F.regexp_extract_all(text, F.lit(SPACED_WORD), F.lit(0)).alias("__words"), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"))
-    words, lines = F.col("__words"), F.col("__lines")
+    words_name, lines_name = fresh_names(docs, "words", "lines")
+    split = docs.select(*own, F.regexp_extract_all(text, F.lit(SPACED_WORD), F.lit(0)).alias(words_name), F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias(lines_name))
+    words, lines = F.col(words_name), F.col(lines_name)
     counts = {
         "n_words": F.size(words),
         "word_chars": F.length(F.array_join(words, "")),
@@ -80,7 +85,7 @@ def measure(docs: DataFrame) -> DataFrame:
         "n_lines": F.size(lines),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": repeated_window_words(words),
-        "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(*STOP_WORDS))),
+        "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(*stop_words))),
     }
     return split.select(*own, *[c.cast("bigint").alias(n) for n, c in counts.items()])
 
@@ -109,13 +114,15 @@ def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
     return holds
 
 
-def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
     """Adds the counts of measure(), base_failed and kept (boolean); nothing is shuffled.
 
     base_failed: fewer than 50 words, or more than half of them in repeated 3-word windows. kept:
-    not base_failed and all rules hold. A null text counts as empty: 0 throughout, base_failed. Input
-    columns of the added names are replaced; other columns pass through.
+    not base_failed and all rules hold. stop_words are those of four languages: texts in another one fail
+    stop_word_share unless its words are given. A null text counts as empty: 0 throughout, base_failed. Input columns
+    of the added names are replaced; other columns, whatever their names, pass through. Equal texts, so repeated
+    rows, are judged alike; no documents, no rows.
     """
-    measured = measure(replace_columns(docs, "base_failed", "kept"))
+    measured = measure(replace_columns(docs, "base_failed", "kept"), stop_words)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return measured.withColumns({"base_failed": failed, "kept": ~failed & compiled(rules)})

@@ -22,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import map_texts, replace_columns, store
+from tidewell.llm.shared import cut, map_texts, replace_columns, store
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 32 << 20
+#: Bundles that one task reads, where there are many.
+BUNDLES_A_TASK = 8
 # Fixed values of the Zstandard seekable format.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
@@ -38,7 +40,7 @@ RECORDS = "record_id bigint, record_type string, refers_to bigint, url string, p
 
 
 def base32_sha1(text: Column) -> Column:
-    """Bare upper-case base32 SHA-1 of a text's UTF-8 bytes: five hex digits give four base32 digits."""
+    """Bare upper-case base32 SHA-1 of a text's UTF-8 bytes: five hex digits give four base32 digits. Null for a null text."""
     digits = [F.lpad(F.conv(F.substring(F.sha1(F.encode(text, "UTF-8")), i * 5 + 1, 5), 16, 32), 4, "0") for i in range(8)]
     return F.translate(F.concat(*digits), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
@@ -227,9 +229,12 @@ def read_bundles(index: DataFrame, payloads: bool = True) -> DataFrame:
                     yield pa.RecordBatch.from_pylist(rows if payloads else [r | {"payload": None} for r in rows], _RECORD_ARROW)
                 bundle.close()
 
-    bundles = index.select("bundle").distinct()
-    # a number of our own, as adaptive execution would put the few names into one task
-    return map_texts(bundles.repartition(max(bundles.count(), 1), "bundle"), read, RECORDS)
+    bundles = cut(index.select("bundle").distinct())
+    n, cores = bundles.count(), index.sparkSession.sparkContext.defaultParallelism
+    # a number of our own, as adaptive execution would put the few names into one task: a task a bundle up to some for each
+    # core, then BUNDLES_A_TASK in each
+    tasks = max(1, min(n, 4 * cores), -(-n // BUNDLES_A_TASK))
+    return map_texts(bundles.repartition(tasks, "bundle"), read, RECORDS)
 
 
 def fetch_records(index: DataFrame, payloads: bool = True) -> DataFrame:
