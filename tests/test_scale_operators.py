@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import random
 import re
 import threading
@@ -12,8 +13,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.functions.uniform import uniform
-from tidewell.operators import joins, models, scoring
+from tidewell.functions.uniform import POISSON_STEPS, uniform
+from tidewell.operators import causal, joins, models, profiles, scoring
 from tidewell.queries import relational
 from tidewell.sources import tables as IO
 
@@ -307,3 +308,57 @@ def test_cross_fit_and_bootstrap_find_the_effect(spark):
     rows = sorted((r["rep"], r["ate"]) for r in boot.collect())
     assert [r for r, _ in rows] == [1, 2, 3, 4] and all(abs(a + 0.3) < 0.08 for _, a in rows) and np.std([a for _, a in rows]) > 0
     assert rows == sorted((r["rep"], r["ate"]) for r in models.bootstrap_aipw(f, "id", ["x", "void"], ["kind"], 4, 2, **options).collect())
+
+
+# --- heavy hitters and sketches -----------------------------------------------------------------
+
+
+def test_heavy_hitters_against_counts(spark):
+    draw = random.Random(2)
+    skewed = [draw.choice(["a", "b", "c", None]) if draw.random() < 0.5 else f"v{draw.randrange(3000)}" for _ in range(6000)]
+    flat = [f"v{i % 1500}" for i in range(3000)]
+    for values in (skewed, flat, ["x", "y", "y", None], []):
+        frame = spark.createDataFrame([(v,) for v in values], "s string").repartition(5)
+        count = {v: values.count(v) for v in set(values)}
+        want = sorted(count.items(), key=lambda x: (-x[1], x[0] is None, x[0] or ""))[:7]
+        for capacity in (20, 4096):
+            assert [tuple(r) for r in profiles.heavy_hitters(frame, "s", 7, capacity).collect()] == want
+    # the sketch settles skewed data without counting all values
+    frame = spark.createDataFrame([(v,) for v in skewed], "s string").repartition(5)
+    assert "LeftSemi" in plan(profiles.heavy_hitters(frame, "s", 3, 500)) and "LeftSemi" not in plan(profiles.heavy_hitters(frame, "s", 100, 5))
+
+
+def test_sketches_merge_within_their_error(spark):
+    frame = spark.range(60_000).select((F.col("id") % 10).alias("day"), (F.col("id") % 20_011).alias("u"), F.lit(None).cast("string").alias("void"))
+    daily = profiles.distinct_sketches(frame, ["day"], ["u", "void"])
+    half = profiles.estimated_distinct(daily.withColumn("half", F.col("day") < 5), ["half"], ["u", "void"]).collect()
+    exact = {r["half"]: r["n"] for r in frame.groupBy((F.col("day") < 5).alias("half")).agg(F.count_distinct("u").alias("n")).collect()}
+    assert all(abs(r["u"] - exact[r["half"]]) <= 4 * 1.04 / 64 * exact[r["half"]] and r["void"] == 0 for r in half)
+
+
+# --- resampling without replicated rows ---------------------------------------------------------
+
+
+def test_resamples_move_no_replicates(spark):
+    """Effects of every replicate against a plain loop, with bounds at weights that all differ; no plan explodes the rows by replicate."""
+    u = lambda s: uniform(s, F.col("id"))
+    f = spark.range(700).select("id", (u(1) < 0.4).cast("int").alias("t"), (u(2) < 0.5).cast("int").alias("y"), (0.02 + 0.96 * u(3)).alias("ps"))
+    f = f.unionByName(spark.range(700, 760).select("id", (F.col("id") % 2).cast("int").alias("t"), F.lit(1).alias("y"), F.lit(0.5).alias("ps"))).persist()
+    rows = [(r["id"], r["t"], r["y"], min(max(r["ps"], 0.01), 0.99)) for r in f.collect()]
+    steps = POISSON_STEPS
+    times = {(i, b): sum(int(hashlib.md5(f"42:{i}:{b}".encode()).hexdigest()[:8], 16) / 2**32 >= s for s in steps) for i, *_ in rows for b in range(1, 7)}
+    for trim in (None, (0.05, 0.95), (0.0, 0.5)):
+        got = {r["rep"]: (r["iptw"], r["ato"]) for r in causal.bootstrap_effects(f, "id", 6, 42, trim).collect()}
+        for b in range(1, 7):
+            drawn = [x for x in rows for _ in range(times[x[0], b])]
+            t, y, e = (np.array([x[j] for x in drawn], float) for j in (1, 2, 3))
+            p = t.mean()
+            w = np.where(t == 1, p / e, (1 - p) / (1 - e))
+            if trim:
+                w = np.clip(w, *np.quantile(w, trim))
+            ate = lambda w, t=t, y=y: (w * y * t).sum() / (w * t).sum() - (w * y * (1 - t)).sum() / (w * (1 - t)).sum()
+            assert np.allclose(got[b], (ate(w), ate(np.where(t == 1, 1 - e, e))), atol=1e-9)
+    sums = causal.resampled_sums(causal.spread(f, "id", F.col("y")), [], causal.multiplicities("id", 6), {"y": F.col("y")})
+    want = [(b, sum(times[i, b] for i, *_ in rows), sum(times[i, b] * y for i, _, y, _ in rows)) for b in range(1, 7)]
+    assert sorted(map(tuple, sums.collect())) == want
+    assert causal.resampled_sums(f.where("false"), [], causal.multiplicities("id", 6), {}).isEmpty()

@@ -91,7 +91,8 @@ def early_or_delayed(spine: DataFrame, events: DataFrame, key: str, early_hours:
 
 def washed_out(spine: DataFrame, events: DataFrame, key: str, gap_hours: float) -> DataFrame:
     """The spine without units that have an event before t0 - gap."""
-    before = spine.select(key, "t0").join(events.select(key, "ts"), key).where(F.col("ts") < shift(F.col("t0"), -gap_hours)).select(key).distinct()
+    first = events.groupBy(key).agg(F.min("ts").alias("ts"))  # whether any is before is whether the first one is
+    before = spine.select(key, "t0").join(first, key).where(F.col("ts") < shift(F.col("t0"), -gap_hours)).select(key)
     return spine.join(before, key, "left_anti")
 
 

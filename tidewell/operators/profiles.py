@@ -5,13 +5,18 @@ Each report reads its table once: one aggregate over all columns, then an unpivo
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import heapq
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidewell.operators.ranks import quantiles
+from tidewell.sources.tables import cut
 
 
 def _unpivot(one: DataFrame, rows: Sequence[Mapping[str, Column]]) -> DataFrame:
@@ -69,6 +74,53 @@ def categorical_profile(frame: DataFrame, column: str, top_k: int = 10) -> DataF
     return top.crossJoin(F.broadcast(total)).select("value", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
+#: Values whose counts a task keeps for heavy_hitters, and candidates that are counted exactly.
+KEPT_VALUES, MOST_CANDIDATES = 4096, 10_000
+
+
+def _summaries(capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's frequent values: (listed, value, n), n at most what is taken off below a value's own count; and one row (not listed) with what was taken off."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        taken_off = 0
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            found = pc.value_counts(batch.column(0))
+            for value, n in zip(found.field(0).to_pylist(), found.field(1).to_pylist(), strict=True):
+                held[value] = held.get(value, 0) + n
+            if len(held) > 2 * capacity:  # all give up as much as the first that does not fit has
+                least = heapq.nlargest(capacity + 1, held.values())[-1]
+                held = {v: n - least for v, n in held.items() if n > least}
+                taken_off += least
+        if kind is not None:
+            listed = pa.array([True] * len(held) + [False])
+            yield pa.RecordBatch.from_arrays([listed, pa.array([*held, None], kind), pa.array([*held.values(), taken_off], pa.int64())], names=["listed", "value", "n"])
+
+    return run
+
+
+def heavy_hitters(frame: DataFrame, column: str, k: int, capacity: int = KEPT_VALUES) -> DataFrame:
+    """(value, n) of the k most frequent values, ties by value; NULL is a value. Exact.
+
+    Tasks keep the counts of their frequent values only, so that no table of all values is shuffled. Added up, a count is
+    too low by at most e, the sum of what tasks took off. Values whose count plus e reaches the k-th largest count are
+    candidates, which a second pass counts exactly. Where e reaches that count, as on flat data, or candidates are too
+    many, all values are counted.
+    """
+    rows = frame.select(F.col(column).alias("value"))
+    order = (F.col("n").desc(), F.col("value").asc_nulls_last())
+    sums = cut(rows.mapInArrow(_summaries(capacity), T.StructType([T.StructField("listed", T.BooleanType()), T.StructField("value", rows.schema["value"].dataType), T.StructField("n", T.LongType())])).groupBy("listed", "value").agg(F.sum("n").alias("n")))
+    error = sums.where("not listed").agg(F.sum("n")).first()[0] or 0
+    best = [r["n"] for r in sums.where("listed").orderBy(F.col("n").desc()).limit(k).collect()]
+    if best and len(best) == k and error < best[-1] or not error:
+        candidates = sums.where("listed").where(F.col("n") + error >= (best[-1] if len(best) == k else 0)).select(F.col("value").alias("__value"))
+        if candidates.count() <= MOST_CANDIDATES:
+            rows = rows.join(F.broadcast(candidates), F.col("value").eqNullSafe(F.col("__value")), "left_semi")
+    return rows.groupBy("value").agg(F.count("*").alias("n")).orderBy(*order).limit(k)
+
+
 def mode(frame: DataFrame, column: str) -> DataFrame:
     """One row: the most frequent non-NULL value, the least of equally frequent ones."""
     return frame.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), column).limit(1).select(F.col(column).alias("mode"))
@@ -115,6 +167,19 @@ def dataset_card(frame: DataFrame, top_k: int = 5) -> DataFrame:
     return out
 
 
+def distinct_sketches(frame: DataFrame, by: Sequence[str], columns: Sequence[str], lg_k: int = 12) -> DataFrame:
+    """(by, columns): a HyperLogLog sketch of each column's distinct non-NULL values, 2^lg_k registers. To be stored, and merged by estimated_distinct."""
+    return frame.groupBy(*by).agg(*[F.hll_sketch_agg(F.col(c), F.lit(lg_k)).alias(c) for c in columns])
+
+
+def estimated_distinct(sketches: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(by, columns): estimated numbers of distinct values of coarser groups, from stored sketches of finer ones; no row of the table is read again.
+
+    The standard error is about 1.04 / sqrt(2^lg_k) of the number: 1.6 % for lg_k 12.
+    """
+    return sketches.groupBy(*by).agg(*[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in columns])
+
+
 def arm_rates(frame: DataFrame, t: str, y: str) -> DataFrame:
     """(arm, n, rate): the naive outcome rate by treatment."""
     return frame.groupBy(F.col(t).alias("arm")).agg(F.count("*").alias("n"), F.avg(F.col(y).cast("double")).alias("rate"))

@@ -32,8 +32,14 @@ def _selection(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, float
     return bias.selection_pipeline(_people(spark, d), "id", _WEIGHTS, 0.4, "t", 0.25, seed=SEED, tol=1e-13)
 
 
-@query("""SELECT * FROM (VALUES ('present', 'bal', true), ('present', 'absent', false), ('unique_names', NULL, true), ('not_empty', NULL, true), ('not_all_missing', 'bal', true), ('not_constant', 'bal', true), ('numeric', 'bal', true),
-('not_all_missing', 'n_orders', true), ('not_constant', 'n_orders', true), ('binary', 'n_orders', false), ('not_all_missing', 't', true), ('not_constant', 't', true), ('binary', 't', true)) AS v("check", "column", ok)""")
+def _flag_sql(column: str, binary: bool) -> str:
+    checks = {"not_all_missing": f"count({column}) > 0", "not_constant": f"count(DISTINCT {column}) > 1"}
+    checks |= {"binary": f"count(*) FILTER ({column} NOT IN (0, 1)) = 0"} if binary else {"numeric": f"count(TRY_CAST({column} AS DOUBLE)) = count({column})"}
+    return " UNION ALL ".join(f"SELECT '{name}', '{column}', {test} FROM p" for name, test in checks.items())
+
+
+@query(f"""WITH {_P}, c(name) AS (SELECT unnest(json_keys(to_json(p))) FROM p LIMIT 1000) SELECT 'present' AS "check", v.name AS "column", v.name IN (SELECT name FROM c) AS ok FROM (VALUES ('bal'), ('absent')) AS v(name)
+UNION ALL SELECT 'unique_names', NULL, true UNION ALL SELECT 'not_empty', NULL, count(*) > 0 FROM p UNION ALL {_flag_sql("bal", False)} UNION ALL {_flag_sql("n_orders", True)} UNION ALL {_flag_sql("t", True)}""")
 def validate_inputs(spark: SparkSession, d: str) -> DataFrame:
     return bias.validate(_people(spark, d), ["bal", "absent"], ["bal"], ["n_orders", "t"])
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import profiles, ranks
 from tidewell.queries.base import query, table
+from tidewell.sources import tables as IO
 
 
 def _gappy(spark: SparkSession, d: str) -> DataFrame:
@@ -114,3 +115,25 @@ def arm_outcome_rates(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT n_units, count(*) AS n_keys FROM (SELECT o_custkey, count(DISTINCT o_orderkey) AS n_units FROM orders GROUP BY 1) GROUP BY 1")
 def units_per_subject(spark: SparkSession, d: str) -> DataFrame:
     return profiles.units_per_key(table(spark, d, "orders"), "o_custkey", "o_orderkey")
+
+
+@query("""SELECT 'part' AS of, CAST(l_partkey AS VARCHAR) AS value, n FROM (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 25)
+UNION ALL SELECT 'kind', l_shipmode, n FROM (SELECT l_shipmode, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_shipmode LIMIT 3)
+UNION ALL SELECT 'day', strftime(day, '%Y-%m-%d'), n FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, day LIMIT 10)""")
+def heavy_hitters(spark: SparkSession, d: str) -> DataFrame:
+    """The most frequent values of a flat column of many values, and of two columns of few."""
+    found = lambda frame, column, k, name: profiles.heavy_hitters(frame, column, k).select(F.lit(name).alias("of"), F.col("value").cast("string").alias("value"), "n")
+    lines, days = table(spark, d, "lineitem"), table(spark, d, "events").select(F.to_date("ts").alias("day"))
+    return found(lines, "l_partkey", 25, "part").unionByName(found(lines, "l_shipmode", 3, "kind")).unionByName(found(days, "day", 10, "day"))
+
+
+@query("SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(DISTINCT user_id) AS n_users, count(DISTINCT event_id) AS n_events, true AS users_within, true AS events_within FROM events GROUP BY 1")
+def distinct_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """Daily sketches, stored, merged to weeks: whether each estimate lies within four standard errors of the exact number."""
+    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
+    daily = IO.stored(profiles.distinct_sketches(e, ["day"], ["user_id", "event_id"]), "sketches")
+    week = F.to_date(F.date_trunc("week", "day")).alias("week")
+    about = profiles.estimated_distinct(daily.select(week, "user_id", "event_id"), ["week"], ["user_id", "event_id"])
+    exact = e.groupBy(week).agg(F.count_distinct("user_id").alias("n_users"), F.count_distinct("event_id").alias("n_events"))
+    near = lambda c, n: F.abs(F.col(c) - F.col(n)) <= 4 * 1.04 / 64 * F.col(n)
+    return exact.join(about, "week").select("week", "n_users", "n_events", near("user_id", "n_users").alias("users_within"), near("event_id", "n_events").alias("events_within"))
