@@ -297,21 +297,23 @@ def spread(frame: DataFrame, key: str, *columns: Column) -> DataFrame:
     return frame.select(key, *columns).repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
-def resampled_sums(frame: DataFrame, by: Sequence[str], counts: Column, measures: Mapping[str, Column]) -> DataFrame:
+def resampled_sums(frame: DataFrame, by: Sequence[str], counts: Column, measures: Mapping[str, Column], whole: bool = True) -> DataFrame:
     """(by, rep, k, measures): per group and replicate the rows drawn and the sums of k times each measure; replicates count from 1.
 
+    whole: counts are whole numbers, and so is k (the vectors' sums are means times weights, right to the last digits only).
     A row adds to all replicates at once, as a vector: no row is repeated, tasks add their vectors up first, and what is
     shuffled is one vector for each task and group. NULL measures add nothing.
     """
     names = ["k", *measures]
     held = frame.select(*by, counts.alias("__k"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"__v{i}") for i, c in enumerate(measures.values())])
     times = lambda v: F.transform("__k", lambda k: k * v)
-    whole = F.concat(times(F.lit(1.0)), *[times(F.col(f"__v{i}")) for i in range(len(measures))])
+    wide = F.concat(times(F.lit(1.0)), *[times(F.col(f"__v{i}")) for i in range(len(measures))])
     n = F.lit(len(names))
-    total = vector_to_array(Summarizer.sum(array_to_vector(whole)))
+    total = vector_to_array(Summarizer.sum(array_to_vector(wide)))
     per = held.groupBy(*by, F.lit(0).alias("__all")).agg(total.alias("__s")).withColumn("__b", F.floor(F.size("__s") / n).cast("int"))
     each = F.transform(F.sequence(F.lit(1), F.col("__b")), lambda r: F.struct(r.alias("rep"), *[F.get("__s", r - 1 + F.col("__b") * i).alias(c) for i, c in enumerate(names)]))
-    return per.select(*by, F.explode(each).alias("__r")).select(*by, "__r.*")
+    out = per.select(*by, F.explode(each).alias("__r")).select(*by, "__r.*")
+    return out.withColumn("k", F.round("k")) if whole else out
 
 
 def interval(frame: DataFrame, column: str, alpha: float = 0.05) -> DataFrame:
@@ -365,7 +367,7 @@ def bootstrap_effects(frame: DataFrame, key: str, n_boot: int, seed: int = 42, t
 
     Effects depend on (t, y, e) alone: rows are summed up to these cells, each with an array of its counts.
     """
-    k = vector_to_array(Summarizer.sum(array_to_vector(multiplicities(key, n_boot, seed))))
+    k = F.transform(vector_to_array(Summarizer.sum(array_to_vector(multiplicities(key, n_boot, seed)))), lambda n: F.round(n))
     rows = spread(frame, key, F.col("t"), F.col("y"), clip_ps(F.col("ps"), low, high).alias("e"))
     cells = cut(rows.groupBy("t", "y", "e").agg(k.alias("k")))
     t, y, e = F.col("t"), F.col("y"), F.col("e")
@@ -382,7 +384,7 @@ def bootstrap_effects(frame: DataFrame, key: str, n_boot: int, seed: int = 42, t
         w = F.when(t == 1, own["p"] / e).otherwise((1 - own["p"]) / (1 - e))
         return F.coalesce(n * (clip(w, own["lo"], own["hi"]) if trim else w), F.lit(0.0))
 
-    sums = lambda name, counts: resampled_sums(rows, ["t"], counts, {"y": y}).select("rep", *[F.col(c).alias(f"{name}_{c}") for c in ("k", "y")], "t")
+    sums = lambda name, counts: resampled_sums(rows, ["t"], counts, {"y": y}, whole=False).select("rep", *[F.col(c).alias(f"{name}_{c}") for c in ("k", "y")], "t")
     both = sums("iptw", F.transform("k", weighed)).join(sums("ato", F.transform("k", lambda n: n * overlap_weight(e, t))), ["rep", "t"])
     arm = lambda name, a: F.sum(F.when(t == a, F.col(f"{name}_y"))) / (F.sum(F.when(t == a, F.col(f"{name}_k"))) + EPS)
     effects = both.groupBy("rep").agg(*[(arm(name, 1) - arm(name, 0)).alias(name) for name in ("iptw", "ato")])

@@ -118,13 +118,13 @@ def units_per_subject(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT 'part' AS of, CAST(l_partkey AS VARCHAR) AS value, n FROM (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 25)
-UNION ALL SELECT 'kind', l_shipmode, n FROM (SELECT l_shipmode, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_shipmode LIMIT 3)
+UNION ALL SELECT 'kind', l_returnflag, n FROM (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_returnflag LIMIT 3)
 UNION ALL SELECT 'day', strftime(day, '%Y-%m-%d'), n FROM (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, day LIMIT 10)""")
 def heavy_hitters(spark: SparkSession, d: str) -> DataFrame:
     """The most frequent values of a flat column of many values, and of two columns of few."""
     found = lambda frame, column, k, name: profiles.heavy_hitters(frame, column, k).select(F.lit(name).alias("of"), F.col("value").cast("string").alias("value"), "n")
     lines, days = table(spark, d, "lineitem"), table(spark, d, "events").select(F.to_date("ts").alias("day"))
-    return found(lines, "l_partkey", 25, "part").unionByName(found(lines, "l_shipmode", 3, "kind")).unionByName(found(days, "day", 10, "day"))
+    return found(lines, "l_partkey", 25, "part").unionByName(found(lines, "l_returnflag", 3, "kind")).unionByName(found(days, "day", 10, "day"))
 
 
 @query("SELECT CAST(date_trunc('week', ts) AS DATE) AS week, count(DISTINCT user_id) AS n_users, count(DISTINCT event_id) AS n_events, true AS users_within, true AS events_within FROM events GROUP BY 1")
