@@ -84,7 +84,7 @@ def brute_audit(rows, least=10):
 @pytest.mark.parametrize("tile, levels", [(32, 10), (2, 3)])
 def test_divergence_against_brute_force(spark, docs, rows, monkeypatch, tile, levels):
     """Also with so small tiles and blocks that units of two tiles and many blocks meet."""
-    import cloudpickle
+    from pyspark import cloudpickle
 
     cloudpickle.register_pickle_by_value(divergence)  # workers see the patched sizes
     monkeypatch.setattr(divergence, "TILE", tile)
