@@ -138,7 +138,8 @@ def scan_versions(versions: DataFrame, key: str, folder: str, rules: Sequence[Ru
     lines = found.select("blob", "rules", F.explode("findings").alias("f")).where(F.array_contains("rules", F.element_at(by_kind, F.col("f.kind"))))
     per = lines.select("blob", F.struct("f.start", F.element_at(place, F.col("f.kind")).alias("no"), "f.kind", "f.end").alias("f")).distinct().groupBy("blob").agg(F.sort_array(F.collect_list("f")).alias(own_text))
     out = addressed.join(per, "blob", "left").withColumn("findings", F.coalesce(F.transform(own_text, lambda f: F.struct(f["start"].alias("start"), f["kind"].alias("kind"), f["end"].alias("end"))), F.array().cast(_FINDINGS)))
-    return out.withColumn("blob", F.lower(F.hex("blob"))).drop(own_text)
+    own = [F.col(f"`{c}`") for c in addressed.columns if c != "blob"]
+    return out.select(*own, F.lower(F.hex("blob")).alias("blob"), "findings")
 
 
 def forget(spark: SparkSession, folder: str) -> None:
