@@ -264,9 +264,11 @@ def planted(spark, tmp_path_factory):
     bench = spark.read.parquet(f"{source}/benchmark.parquet")
     passage = bench.orderBy("item_id").first()["text"]
     draw = random.Random(5)
-    words = [w for r in docs.where("lang = 'en' and length(text) > 2000").orderBy("doc_id").limit(30).collect() for w in r["text"].split() if w.isalpha()]
-    prose = lambda n: " ".join(draw.choices(words, k=n))
     insults = "idiot moron clown loser trash scum stupid pathetic worthless disgusting".split()
+    good = spark.read.parquet(f"{source}/labels.parquet").where("toxic = 0 and quality = 1").select("doc_id")
+    texts = docs.join(good, "doc_id").where("lang = 'en' and length(text) > 2000").orderBy("doc_id").limit(30).collect()
+    words = [w for r in texts for w in r["text"].split() if w.isalpha() and w.lower() not in insults]
+    prose = lambda n: " ".join(draw.choices(words, k=n))
     base, clean = prose(200), [prose(150) for _ in range(5)]
     near = base.split()
     near[100] = "changed"
