@@ -21,8 +21,9 @@ from tidewell.llm.shared import best_cut, cut, fresh_names, map_texts, replace_c
 #: Labelled rows that a fit takes, in expectation; the rows with the least hash of doc_id.
 MOST_LABELS = 20_000
 MOST_FEATURES = 4096
-#: A feature's share among toxic and clean rows differs by at least so many standard errors.
-LEAST_Z = 4.0
+#: A feature's share among toxic and clean rows differs by at least so many standard errors: fewer are enough where at
+#: least SURE of the rows that have it are toxic, as of a word that marks toxicity in a language of few rows.
+LEAST_Z, LEAST_SURE_Z, SURE = 5.0, 4.0, 0.7
 _PREFIXES = (7, 5, 4)
 #: Parts of the labelled rows, each scored by a model of the others, that grade toxic rows.
 FOLDS = 3
@@ -132,7 +133,8 @@ def fit_severity(docs: DataFrame, labels: DataFrame, grades: int = 3) -> Severit
     found = rows.select(bad, "copy", F.explode("features").alias("feature")).distinct().groupBy("feature").agg(F.sum("bad").alias("bad"), F.count("*").alias("n")).where("n >= 5")
     p1, p0, pooled = F.col("bad") / n1, (F.col("n") - F.col("bad")) / n0, F.col("n") / (n1 + n0)
     z = (p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0) + 1e-12)
-    best = found.withColumn("z", z).where(F.abs("z") >= LEAST_Z).orderBy(F.abs("z").desc(), "feature").limit(MOST_FEATURES).select("feature").toArrow()
+    told = (F.abs("z") >= LEAST_Z) | ((F.col("z") >= LEAST_SURE_Z) & (F.col("bad") >= SURE * F.col("n")))
+    best = found.withColumn("z", z).where(told).orderBy(F.abs("z").desc(), "feature").limit(MOST_FEATURES).select("feature").toArrow()
     features = np.sort(best.column("feature").to_numpy().astype(np.int64).view(np.uint64))
     if not len(features):
         return nothing
