@@ -31,8 +31,8 @@ def poisson(u: Column) -> Column:
     return sum(((u >= step).cast("int") for step in POISSON_STEPS[1:]), (u >= POISSON_STEPS[0]).cast("int"))
 
 
-def poisson_counts(seed: int, key: Column, n: int) -> Column:
-    """An array of poisson(uniform(seed, key, i)) for i = 1..n, read off the digests' texts: u >= step if the hex digits are not below the step's own."""
+def poisson_counts(seed: int, key: Column, n: int, first: int = 1) -> Column:
+    """An array of poisson(uniform(seed, key, i)) for i = first..n, read off the digests' texts: u >= step if the hex digits are not below the step's own."""
     steps = [format(math.ceil(step * 4294967296.0), "08x") for step in POISSON_STEPS]
 
     def count(digest: Column) -> Column:
@@ -41,4 +41,4 @@ def poisson_counts(seed: int, key: Column, n: int) -> Column:
             out = out.when(digest < step, k)
         return out.otherwise(len(steps))
 
-    return F.transform(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: _digest(seed, key, i)), count)
+    return F.transform(F.transform(F.sequence(F.lit(first), F.lit(n)), lambda i: _digest(seed, key, i)), count)
