@@ -399,3 +399,22 @@ def test_resamples_move_no_replicates(spark):
     want = [(b, sum(times[i, b] for i, *_ in rows), sum(times[i, b] * y for i, _, y, _ in rows)) for b in range(1, 7)]
     assert np.allclose(sorted(map(tuple, sums.collect())), want, rtol=1e-12) and all(r["k"] == w[1] for r, w in zip(sorted(sums.collect()), want, strict=True))
     assert causal.resampled_sums(f.where("false"), [], causal.multiplicities("id", 6), {}).isEmpty()
+    drawn = causal.drawn_sums(causal.spread(f, "id", F.col("y")), "id", 6, 42, [], {"y": F.col("y")})
+    assert sorted(map(tuple, drawn.collect())) == want and causal.drawn_sums(f.where("false"), "id", 6, 42, [], {}).isEmpty()
+
+
+def test_draws_in_tasks_are_the_hashes_of_the_sql(spark):
+    """Keys of all lengths, also over one MD5 block and null, and null groups; no row holds its counts."""
+    keys = [None, "", "a", "é", "12345678901", *["x" * n for n in (40, 47, 48, 49, 50, 51, 52, 53, 60, 130)]]
+    f = spark.createDataFrame([(k, None if i % 3 == 0 else i % 2, float(i)) for i, k in enumerate(keys)], "k string, g int, v double").repartition(3)
+    got = {(r["g"], r["rep"]): (r["k"], r["v"]) for r in causal.drawn_sums(f, "k", 103, 7, ["g"], {"v": F.col("v")}).collect()}
+    for rep in (1, 9, 10, 99, 100, 103):
+        want = {g: [0, 0.0] for g in (None, 0, 1)}
+        for i, k in enumerate(keys):
+            digest = hashlib.md5(":".join(["7", *([] if k is None else [k]), str(rep)]).encode()).hexdigest()
+            n = sum(int(digest[:8], 16) / 2**32 >= s for s in POISSON_STEPS)
+            g = None if i % 3 == 0 else i % 2
+            want[g][0] += n
+            want[g][1] += n * i
+        assert all(got[g, rep] == tuple(w) for g, w in want.items())
+    assert "sequence" not in plan(causal.drawn_sums(f, "k", 103, 7, ["g"], {}))

@@ -6,16 +6,19 @@ that all rows need (means, quantiles) are one-row aggregates joined by broadcast
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidewell.functions.scalar import NUMBER, clip, finite
-from tidewell.functions.uniform import poisson_counts, uniform
+from tidewell.functions.uniform import drawn, poisson_counts, uniform
 from tidewell.operators.ranks import numbered, quantiles, running
 from tidewell.sources.tables import cut
 
@@ -316,6 +319,40 @@ def resampled_sums(frame: DataFrame, by: Sequence[str], counts: Column, measures
     return out.withColumn("k", F.round("k")) if whole else out
 
 
+def drawn_sums(frame: DataFrame, key: str, n_boot: int, seed: int, by: Sequence[str], measures: Mapping[str, Column]) -> DataFrame:
+    """resampled_sums of multiplicities(key, n_boot, seed): the same hashes and counts, drawn in the tasks as matrices.
+
+    A task draws for some thousand rows at a time and adds them up, so that no row ever holds an array of its counts; what is
+    shuffled is one row for each task, group and replicate. For few groups.
+    """
+    by, names = list(by), ["k", *measures]
+    prefix = F.concat(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")), F.lit(":"))
+    rows = frame.select(*by, prefix.cast("binary").alias("__prefix"), *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(f"__v{i}") for i, c in enumerate(measures.values())])
+    values = [f"__v{i}" for i in range(len(measures))]
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        kinds = []
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in by]
+            held = np.array(batch.column("__prefix").to_pylist(), "S")
+            group = list(zip(*[batch.column(c).to_pylist() for c in by], strict=True)) if by else [()] * len(held)
+            place = {g: i for i, g in enumerate(dict.fromkeys(group))}
+            of = np.array([place[g] for g in group], int)
+            wide = np.vstack([np.ones(len(held)), *[batch.column(c).to_numpy(zero_copy_only=False) for c in values]])
+            for rows, counts in drawn(held, n_boot):
+                for g, i in place.items():
+                    own = of[rows] == i
+                    if own.any():
+                        total[g] = total.get(g, 0.0) + np.einsum("mr,nr->mn", wide[:, rows[own]], counts[:, own].astype(float))  # in this thread, unlike @
+        for g, sums in total.items():
+            columns = [pa.array([x] * n_boot, kind) for x, kind in zip(g, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(range(1, n_boot + 1), pa.int32()), *[pa.array(x) for x in sums]], names=[*by, "rep", *names])
+
+    schema = T.StructType([*[rows.schema[c] for c in by], T.StructField("rep", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in names]])
+    return rows.mapInArrow(summed, schema).groupBy(*by, "rep").agg(*[F.sum(c).alias(c) for c in names])
+
+
 def interval(frame: DataFrame, column: str, alpha: float = 0.05) -> DataFrame:
     """One row over replicates: n_boot, mean, sd, ci_lo, ci_hi."""
     q = F.percentile(column, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
@@ -371,8 +408,8 @@ def bootstrap_effects(frame: DataFrame, key: str, n_boot: int, seed: int = 42, t
     rows = spread(frame, key, F.col("t"), F.col("y"), clip_ps(F.col("ps"), low, high).alias("e"))
     cells = cut(rows.groupBy("t", "y", "e").agg(k.alias("k")))
     t, y, e = F.col("t"), F.col("y"), F.col("e")
-    drawn = resampled_sums(cells, [], F.col("k"), {"n1": t}).where("k > 0")
-    share = cut(drawn.select("rep", (F.col("n1") / F.col("k")).alias("p"), F.col("k").alias("n")))
+    whole = resampled_sums(cells, [], F.col("k"), {"n1": t}).where("k > 0")
+    share = cut(whole.select("rep", (F.col("n1") / F.col("k")).alias("p"), F.col("k").alias("n")))
     if trim:
         share = share.join(_trim_bounds(cells, share, trim), "rep").select("rep", "p", F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))
     # the replicates' numbers as one row, in the order of the counts

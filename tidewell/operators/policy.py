@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.scalar import clip
-from tidewell.operators.causal import EPS, beside, clip_ps, multiplicities, quantile_bins, resampled_sums, spread
+from tidewell.operators.causal import EPS, beside, clip_ps, drawn_sums, quantile_bins, spread
 from tidewell.operators.ranks import numbered, quantiles
 from tidewell.sources.tables import cut
 
@@ -72,7 +72,7 @@ def bootstrap_values(frame: DataFrame, key: str, n_boot: int, pi: str = "pi", se
     """(rep, value, none, every, delta_none, delta_all): all three policies on the same resample."""
     names = ("value", "none", "every")
     scores = spread(frame, key, *[dr_score(p).alias(c) for c, p in zip(names, (F.col(pi), F.lit(0), F.lit(1)), strict=True)])
-    sums = resampled_sums(scores, [], multiplicities(key, n_boot, seed), {c: F.col(c) for c in names})
+    sums = drawn_sums(scores, key, n_boot, seed, [], {c: F.col(c) for c in names})
     per = sums.where("k > 0").select("rep", *[(F.col(c) / F.col("k")).alias(c) for c in names])
     return per.select("rep", "value", "none", "every", (F.col("value") - F.col("none")).alias("delta_none"), (F.col("value") - F.col("every")).alias("delta_all"))
 
@@ -133,7 +133,7 @@ def curve_with_intervals(frame: DataFrame, key: str, thresholds: Sequence[float]
     decide(F.col("tau"), 0.0, rule)  # rejects an unknown rule
     grid = _each(thresholds)
     rows = spread(_scores(frame, key).where("tau is not null"), key, _parted(grid, rule).alias("b"), F.col("s0"), F.col("s1"))
-    sums = resampled_sums(rows, ["b"], multiplicities(key, n_boot, seed), {"s0": F.col("s0"), "s1": F.col("s1")}).withColumnRenamed("k", "n")
+    sums = drawn_sums(rows, key, n_boot, seed, ["b"], {"s0": F.col("s0"), "s1": F.col("s1")}).withColumnRenamed("k", "n")
     reps = _by_threshold(sums.where("n > 0"), grid, rule, ["rep"])
     q = F.percentile("v", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))  # of n_boot values
     per = reps.groupBy("threshold").agg(F.avg("v").alias("boot_mean"), F.stddev_samp("v").alias("boot_sd"), q.alias("q"))
@@ -189,7 +189,7 @@ def simple_ipw_comparison(frame: DataFrame, key: str, n_boot: int, seed: int = 4
     """(method, mean, sd, ci_lo, ci_hi) of personalised, treat_all and treat_none over replicates; p is the replicate's own."""
     k = F.col("k")
     rows = spread(frame, key, F.col("t"), F.col("y"), (F.col("tau") > 0).cast("int").alias("tau"))
-    rows = cut(resampled_sums(rows, ["t", "y", "tau"], multiplicities(key, n_boot, seed), {}).where("k > 0"))  # eight rows a replicate at most
+    rows = cut(drawn_sums(rows, key, n_boot, seed, ["t", "y", "tau"], {}).where("k > 0"))  # eight rows a replicate at most
     rows = rows.join(F.broadcast(rows.groupBy("rep").agg((F.sum(k * F.col("t")) / F.sum(k)).alias("p"))), "rep")
     score = {"personalised": simple_ipw_score(0.0, F.col("p")), "treat_all": simple_ipw_score(float("-inf"), F.col("p")), "treat_none": simple_ipw_score(float("inf"), F.col("p"))}
     reps = rows.groupBy("rep").agg(*[(F.sum(k * s) / F.sum(k)).alias(n) for n, s in score.items()])

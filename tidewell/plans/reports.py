@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import bias, causal, policy, ranks
 from tidewell.plans.study import EffectConfig
-from tidewell.sources.tables import json_rows
+from tidewell.sources.tables import json_rows, stored
 
 
 def _section(name: str, frame: DataFrame) -> DataFrame:
@@ -41,7 +41,8 @@ def baseline_report(scored: DataFrame, key: str, features: Sequence[str], settin
 
 
 def policy_report(scored: DataFrame, key: str, settings: EffectConfig, n_boot: int = 200) -> DataFrame:
-    """Allocation, tau, values, curve, risk bins, and intervals of the values and paired differences of the threshold-0 policy."""
+    """Allocation, tau, values, curve, risk bins, and intervals of the values and paired differences of the threshold-0 policy. The scored rows are stored once: ten passes read them."""
+    scored = stored(scored.select(key, "t", "y", "ps", "m1", "m0", "tau"), "scored")
     rows = scored.withColumn("pi", policy.decide(F.col("tau"), 0.0, settings.policy_rule))
     reps = policy.bootstrap_values(rows, key, n_boot, seed=settings.seed).persist()
     return _all(
