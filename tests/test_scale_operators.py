@@ -136,6 +136,14 @@ def test_many_patterns_need_no_nested_loop(spark):
     assert "NestedLoop" not in plan(out) and "Cartesian" not in plan(out)
 
 
+def test_few_patterns_leave_labels_in_place(spark):
+    """Patterns of unknown size: no label is dealt out by substring, where a frequent one's labels would meet in one task."""
+    labels = spark.range(2_000).select("id", F.concat(F.lit("ring "), (F.col("id") % 3).cast("string")).alias("label"))
+    patterns = labels.select(F.explode(F.split("label", " ")).alias("word")).distinct().withColumn("pattern", F.concat(F.lit("%"), "word", F.lit("%")))
+    out = joins.like_candidates(patterns, labels, "pattern", "label")
+    assert out.count() == 4_000 and "SortMergeJoin" not in plan(out)
+
+
 # --- bucketed catalog tables --------------------------------------------------------------------
 
 

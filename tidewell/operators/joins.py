@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewell.functions.scalar import any_like, day_distance, hours_between, in_window, none_like, shift
+from tidewell.sources.tables import cut
 
 
 def left_with_defaults(spine: DataFrame, feature: DataFrame, key: str | Sequence[str], defaults: Mapping[str, object] | None = None) -> DataFrame:
@@ -170,6 +171,8 @@ def _grams(text: Column, size: int | Column) -> Column:
 
 #: Longest piece of a pattern that is looked up.
 GRAM = 3
+#: Patterns that are sent to all tasks.
+FEW_PATTERNS = 20_000
 
 
 def like_candidates(patterns: DataFrame, labels: DataFrame, pattern: str, label: str, without: Sequence[str] = ()) -> DataFrame:
@@ -177,23 +180,25 @@ def like_candidates(patterns: DataFrame, labels: DataFrame, pattern: str, label:
 
     A matching label holds each literal piece of the pattern, and so each of its trigrams. A pattern is posted under the
     trigram that fewest labels have (a shorter piece where it has no trigram, the empty one where it is all wildcards), labels
-    are looked up by the substrings of the lengths that occur, and LIKE decides the pairs that meet.
+    are looked up by the substrings of the lengths that occur, and LIKE decides the pairs that meet. Few patterns are sent to all
+    tasks, so that labels stay where they are: dealt out by substring, a frequent one's labels would be one task's.
     """
     kept = labels.where(none_like(F.col(label), without)) if without else labels
     # an escaped character ends a piece, like a wildcard
     pieces = F.split(F.regexp_replace(F.lower(F.col(pattern)), r"\\[\s\S]|[%_]+", "\u0000"), "\u0000")
     listed = patterns.where(F.col(pattern).isNotNull()).withColumn("__pieces", pieces)
     size = F.least(F.array_max(F.transform("__pieces", lambda x: F.length(x))), F.lit(GRAM))
-    listed = listed.withColumn("__size", size)
+    listed = cut(listed.withColumn("__size", size))
+    sent = F.broadcast if listed.count() <= FEW_PATTERNS else lambda frame: frame
     long = F.array_distinct(F.flatten(F.transform("__pieces", lambda x: _grams(x, F.col("__size")))))
     sizes = sorted(r[0] for r in listed.select("__size").distinct().collect())  # 0 to GRAM
     own = F.array_distinct(F.flatten(F.array(*[_grams(F.lower(F.col(label)), n) for n in sizes]))) if sizes else F.array().cast("array<string>")
     looked_up = kept.where(F.col(label).isNotNull()).withColumn("__gram", F.explode(own))
     wanted = listed.select(pattern, F.explode(long).alias("__gram")).distinct()
-    met = looked_up.join(wanted.select("__gram").distinct(), "__gram", "left_semi").groupBy("__gram").agg(F.count("*").alias("__n"))
+    met = looked_up.join(sent(wanted.select("__gram").distinct()), "__gram", "left_semi").groupBy("__gram").agg(F.count("*").alias("__n"))
     rarest = wanted.join(met, "__gram", "left").groupBy(pattern).agg(F.min_by("__gram", F.struct(F.coalesce("__n", F.lit(0)), "__gram")).alias("__post"))
     posted = listed.join(rarest.withColumnRenamed(pattern, "__pattern"), F.col(pattern) == F.col("__pattern")).drop("__pieces", "__size", "__pattern")
-    pairs = looked_up.join(posted, (F.col("__gram") == F.col("__post")) & F.expr(f"lower(`{label}`) like lower(`{pattern}`)"))
+    pairs = looked_up.join(sent(posted), (F.col("__gram") == F.col("__post")) & F.expr(f"lower(`{label}`) like lower(`{pattern}`)"))
     return pairs.drop("__gram", "__post")
 
 
