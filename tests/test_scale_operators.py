@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions.uniform import POISSON_STEPS, uniform
-from tidewell.operators import causal, joins, models, profiles, scoring
+from tidewell.operators import design, causal, joins, models, profiles, scoring
 from tidewell.queries import relational
 from tidewell.sources import tables as IO
 
@@ -144,6 +144,14 @@ def test_few_patterns_leave_labels_in_place(spark):
     assert out.count() == 4_000 and "SortMergeJoin" not in plan(out)
 
 
+def test_canonical_items_need_no_order_of_a_name(spark):
+    candidates = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), ("b", 2), (None, 3), ("c", 9)], "name string, item long")
+    counts = spark.createDataFrame([(1, 5), (2, 7), (3, 7)], "item long, n long")
+    out = design.canonical_items(candidates, counts, "name", "item")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([("a", 2, 7), ("b", 2, 7), (None, 3, 7)], key=str) and out.columns == ["name", "item", "n"]
+    assert "Window" not in plan(out)
+
+
 # --- bucketed catalog tables --------------------------------------------------------------------
 
 

@@ -10,7 +10,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewell.functions.scalar import bmi, clip, has, hours_between, in_window, shift, text_to_double
 from tidewell.operators.joins import last_per_column, left_with_defaults, window_join
@@ -158,9 +157,8 @@ def anthropometrics(spine: DataFrame, weights: DataFrame, heights: DataFrame, ke
 
 def canonical_items(candidates: DataFrame, counts: DataFrame, name: str, item: str) -> DataFrame:
     """(name, item, n): of each name's candidate items the one with most events; ties to the least item."""
-    joined = candidates.join(counts, item)
-    order = Window.partitionBy(name).orderBy(F.col("n").desc(), item)
-    return joined.withColumn("__rn", F.row_number().over(order)).where("__rn = 1").select(name, item, "n")
+    best = F.min(F.struct(F.col("n").isNull().alias("none"), (-F.col("n")).alias("less"), F.col(item).alias("item"), F.col("n").alias("n")))  # a name's candidates are no task's rows
+    return candidates.join(counts, item).groupBy(name).agg(best.alias("__best")).select(name, F.col("__best.item").alias(item), F.col("__best.n").alias("n"))
 
 
 def item_coverage(spine: DataFrame, events: DataFrame, key: str, item: str, value: str, low_hours: float, high_hours: float) -> DataFrame:
